@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, langid, quality, rules, toxicity, urls, warc
+from tarnwell.llm import bpe, decontam, langid, quality, rules, toxicity, urls, warc
 from tarnwell.llm.common import fold, read
 
 #: Folder of the public tokenizer files.
@@ -48,17 +48,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(read(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
 def queries() -> dict:
-    made = [op1_quality, op2_langid, op4_rules, op5_urls, op6_toxicity, op7_warc, op9_bpe]
+    made = [op1_quality, op2_langid, op4_rules, op5_urls, op6_toxicity, op7_warc, op8_decontam, op9_bpe]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7}
+    return {"op7_warc": OP7, "op8_decontam": OP8}
 
 
 OP7 = """
@@ -69,3 +73,18 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN w.winner IS NULL OR w.winner = p.page_id THEN NULL ELSE w.winner END AS refers_to
 FROM p LEFT JOIN w USING (payload_digest)
 """
+
+_WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id, w, len(w) AS n FROM (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+win AS (SELECT DISTINCT item_id, w[i:i + least(n, 10) - 1] AS g FROM (SELECT item_id, w, n, unnest(range(1, greatest(n - 10, 0) + 2)) AS i FROM b WHERE n > 0)),
+sizes AS (SELECT DISTINCT len(g) AS k FROM win),
+pos AS (SELECT r, i, k, w[i:i + k - 1] AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+occ AS (SELECT pos.r, pos.i, pos.k, win.item_id FROM pos JOIN win USING (g)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM occ) GROUP BY r),
+its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM occ GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(its.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(its.items, '')) AS items_sha256, hit.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+"""
