@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, decontam, langid, quality, rules, toxicity, urls, warc
+from tarnwell.llm import bpe, decontam, langid, quality, rules, sa_dedup, toxicity, urls, warc
 from tarnwell.llm.common import fold, read
 
 #: Folder of the public tokenizer files.
@@ -56,8 +56,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sa_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    made = [op1_quality, op2_langid, op4_rules, op5_urls, op6_toxicity, op7_warc, op8_decontam, op9_bpe]
+    made = [op1_quality, op2_langid, op4_rules, op5_urls, op6_toxicity, op7_warc, op8_decontam, op9_bpe, op10_suffix_dedup]
     return {f.__name__: f for f in made}
 
 
