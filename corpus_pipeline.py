@@ -3,24 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe
-from tarnwell.llm.common import Workspace, read
+from tarnwell.llm import bpe, decontam, ngram_join, sa_dedup, toxicity
+from tarnwell.llm.common import Workspace, fold, read
 from tarnwell.llm.queries import TOKENIZERS
 
+#: Ids up to which the removed ones are broadcast (8 bytes each); beyond, they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """docs less the rows with one of the ids. Rows with null id stay."""
+    gone = Workspace(docs.sparkSession).table(ids.where("doc_id is not null").distinct(), name)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+
+
+def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity score is 0.7 or more."""
+    machine = toxicity.train(docs, read(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity.reject(docs, machine, 0.7)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each component of similar ones."""
+    found = ngram_join.join(docs)
+    return without(docs, found.where("doc_id <> component_id").select("doc_id"), "copies")
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 200 bytes or more that an earlier document, or place, has."""
+    done = sa_dedup.dedup(docs, keep="first", whole_chars=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    changed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return done.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten words in a row of a benchmark item."""
+    found = decontam.find(docs, read(spark, sf_dir, "benchmark"))
+    return without(docs, found.where(F.size("spans") > 0).select("doc_id"), "leaks")
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of all that is left."""
     return bpe.digests(docs, f"{TOKENIZERS}/word_bpe_49k.json")
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("toxicity", detoxify), ("ngram_join", near_duplicates), ("suffix_dedup", repeats), ("decontam", decontaminate), ("bpe", encode)]
 
-#: The trained, iterative and token-level stages have no SQL form; the tests hold them against brute force.
+#: The trained, iterative and byte-level stages have no SQL form; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
     work = Workspace(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

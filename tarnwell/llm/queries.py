@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, decontam, langid, quality, rules, sa_dedup, toxicity, urls, warc
+from tarnwell.llm import bpe, decontam, langid, ngram_join, quality, rules, sa_dedup, toxicity, urls, warc
 from tarnwell.llm.common import fold, read
 
 #: Folder of the public tokenizer files.
@@ -28,6 +28,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return rules.judge(docs, rules.train(docs, read(spark, sf_dir, "labels")))
@@ -61,7 +65,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = [op1_quality, op2_langid, op4_rules, op5_urls, op6_toxicity, op7_warc, op8_decontam, op9_bpe, op10_suffix_dedup]
+    made = [op1_quality, op2_langid, op3_ngram_join, op4_rules, op5_urls, op6_toxicity, op7_warc, op8_decontam, op9_bpe, op10_suffix_dedup]
     return {f.__name__: f for f in made}
 
 
