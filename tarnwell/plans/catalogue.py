@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-REGISTRY: dict = {}
-ORACLES: dict = {}
+from tarnwell.plans import evaluation_queries, table_queries, text_queries  # noqa: F401  they register themselves
+from tarnwell.plans.registry import ORACLES, QUERIES
 
 
 def queries() -> dict:
-    return dict(REGISTRY)
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
