@@ -14,7 +14,7 @@ equal. Grams with more than `hot` runs would make large groups; their windows ar
 the hash of the whole window instead, and each batch sends one record for each different
 window, so that no group exceeds the number of batches.
 
-Equal texts are worked on once, with the number of copies. Texts are told apart by 96
+Equal texts are worked on once, with the number of copies. Texts are told apart by 84
 hash bits, windows of hot grams by 128.
 
 Null and empty texts, and those shorter than `length`, lose nothing. Null ids come last in
@@ -30,10 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import Workspace, arrow, offsets_of, payload, pieces
+from tarnwell.llm.common import Workspace, arrow, offsets_of, payload, pieces, ragged
 
 #: Windows that one numpy step works on.
 STEP = 1 << 21
@@ -184,16 +185,31 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple
 
 
 def keys(text: Column) -> tuple[Column, Column]:
-    return F.xxhash64(text).alias("key"), (F.crc32(text) - F.lit(1 << 31)).cast("int").alias("chk")
+    return F.xxhash64(text).alias("key"), F.shiftright(F.crc32(text), 12).cast("int").alias("chk")
+
+
+# A spot is 20 bits of the text's check sum, 31 bits of a place in the text and 12 bits of a count, in one long.
+CHK, START = 43, 12
+
+
+def spot(chk, start, count):
+    return (chk.astype(np.int64) << CHK) | (start.astype(np.int64) << START) | count
+
+
+def unspot(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Check sum, place, count."""
+    return spots >> CHK, (spots >> START) & ((1 << (CHK - START)) - 1), spots & ((1 << START) - 1)
 
 
 def text_of(docs: DataFrame) -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
 
 
+ANCHOR_ARROW = pa.schema([("key", pa.int64()), ("gram", pa.int64()), ("spot", pa.int64())])
+
+
 def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """key, chk, gram, spot (place of the gram; windows before it and in all) of each run of windows; a batch sends equal texts once."""
-    schema = pa.schema([("key", pa.int64()), ("chk", pa.int32()), ("gram", pa.int64()), ("at", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+    """key, gram and spot (first window; windows after it) of each run of windows; a batch sends equal texts once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2, STEP):
@@ -210,46 +226,71 @@ def anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
                 cuts = np.unique(np.clip(at, begin, stop)) - begin
                 if len(cuts) < 2:
                     continue
-                gram, place, first, last = anchors_of(data[begin:stop], cuts, length, k)
-                place, first, last = place + begin, first + begin, last + begin
-                doc = np.searchsorted(at, place, "right") - 1
-                yield arrow({"key": key[doc], "chk": chk[doc], "gram": gram.view(np.int64), "at": place - at[doc], "first": first - at[doc], "last": last - at[doc]}, schema)
+                gram, _, first, last = anchors_of(data[begin:stop], cuts, length, k)
+                doc = np.searchsorted(at, first + begin, "right") - 1
+                yield arrow({"key": key[doc], "gram": gram.view(np.int64), "spot": spot(chk[doc], first + begin - at[doc], last - first)}, ANCHOR_ARROW)
 
     rows = docs.select(*keys(text_of(docs)), text_of(docs)).where(F.octet_length(text_of(docs)) >= length)
-    return rows.mapInArrow(work, "key long, chk int, gram long, at long, first long, last long")
+    return rows.mapInArrow(work, "key long, gram long, spot long")
+
+
+def different_texts(docs: DataFrame) -> DataFrame:
+    """key, chk, text (compressed), ord (smallest id) and copies of each different text."""
+    schema = pa.schema([("key", pa.int64()), ("chk", pa.int32()), ("o", pa.int64()), ("t", pa.binary())])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in pieces(batches, 3, STEP):
+            yield arrow({"key": batch.column(0), "chk": batch.column(1), "o": batch.column(2), "t": [compress(t.as_buffer()) for t in batch.column(3)]}, schema)
 
+    rows = docs.select(*keys(text_of(docs)), order_of(docs), text_of(docs).alias("t")).mapInArrow(squeeze, "key long, chk int, o long, t binary")
+    return rows.groupBy("key", "chk").agg(F.min("t").alias("text"), F.min("o").alias("ord"), F.count("*").alias("copies"))
 
-RECORD = "g long, g2 long, hot boolean, ord long, key long, chk int, start long, copies int, piece binary"
-RECORD_ARROW = pa.schema([("g", pa.int64()), ("g2", pa.int64()), ("hot", pa.bool_()), ("ord", pa.int64()), ("key", pa.int64()), ("chk", pa.int32()), ("start", pa.int64()), ("copies", pa.int32()), ("piece", pa.binary())])
+
+def order_of(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("o")
+
+
+RECORD = "g long, g2 long, ord long, key long, spot long, piece binary"
+RECORD_ARROW = pa.schema([*[(c, pa.int64()) for c in ("g", "g2", "ord", "key", "spot")], ("piece", pa.binary())])
 RANGE = "key long, chk int, start long, stop long"
 RANGE_ARROW = pa.schema([("key", pa.int64()), ("chk", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
 def spans_of(texts: DataFrame, length: int, keep: str) -> DataFrame:
-    """Records to compare: runs of windows by gram, windows of hot grams by hash; records without g are settled windows.
+    """Records to compare: runs of windows with their bytes by gram; windows of hot grams by hash, without bytes.
 
-    texts: key, chk, ord, text and runs (gram, hot, first, last).
+    The count in a spot is the copies that the record stands for; windows that are settled
+    in the batch have no group. texts: key, ord, text and runs (gram, hot, spot).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 3, STEP):
-            out: dict[str, list] = {name: [] for name in RECORD_ARROW.names}
-            wide = []  # one row for each window of a hot gram
-            for key, chk, order, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                heated = []
-                for run in runs:
-                    if run["hot"]:
-                        heated.append((run["first"], run["last"]))
-                        continue
-                    for name, value in zip(RECORD_ARROW.names, (run["gram"], 0, False, order, key, chk, run["first"], 1, text[run["first"] : run["last"] + length])):
-                        out[name].append(value)
-                if heated:
-                    data = np.frombuffer(text, np.uint8)
-                    for first, last in heated:
-                        part = data[first : last + length]
-                        wide.append((rolling(part, length), rolling(part, length, 1), np.arange(first, last + 1), order, key, chk))
-            if out["g"]:
-                yield arrow(out, RECORD_ARROW)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            key, order, texts_, runs = batch.columns
+            bounds, flat = offsets_of(runs).astype(np.int64), runs.values
+            gram, hot, spots = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            wide, held = [], 0
+            for i in range(batch.num_rows):
+                a, b = bounds[i], bounds[i + 1]
+                text = unpack(texts_[i].as_buffer())
+                _, first, more = unspot(spots[a:b])
+                cold = np.flatnonzero(~hot[a:b])
+                if len(cold):
+                    n = len(cold)
+                    stops = first + more + length
+                    yield arrow(
+                        {"g": gram[a:b][cold], "g2": np.zeros(n), "ord": np.repeat(order[i].as_py(), n), "key": np.repeat(key[i].as_py(), n), "spot": spots[a:b][cold] >> START << START | 1, "piece": [text[x:y] for x, y in zip(first[cold].tolist(), stops[cold].tolist())]},
+                        RECORD_ARROW,
+                    )
+                data = np.frombuffer(text, np.uint8)
+                for j in np.flatnonzero(hot[a:b]):
+                    part = data[first[j] : first[j] + more[j] + length]
+                    wide.append((rolling(part, length), rolling(part, length, 1), np.arange(first[j], first[j] + more[j] + 1), order[i].as_py(), key[i].as_py(), spots[a + j] >> CHK))
+                    held += int(more[j]) + 1
+                if held > STEP // 4:
+                    yield from heat(wide)
+                    wide, held = [], 0
             if wide:
                 yield from heat(wide)
 
@@ -260,18 +301,17 @@ def spans_of(texts: DataFrame, length: int, keep: str) -> DataFrame:
         by = np.lexsort((start, chk, key, order, h2, h))
         h, h2, start, order, key, chk = (x[by] for x in (h, h2, start, order, key, chk))
         head = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
-        count = np.diff(np.concatenate([np.flatnonzero(head), [len(h)]]))
+        count = np.diff(np.append(np.flatnonzero(head), len(h)))
         settled = ~head if keep == "first" else np.repeat(count > 1, count)
-        send = np.flatnonzero(head)
-        for mask, hot, copies in ((np.flatnonzero(settled), None, None), (send, True, count)):
-            n = len(mask)
+        for rows, copies, own in ((np.flatnonzero(settled), None, False), (np.flatnonzero(head), np.minimum(count, 2), True)):
+            n = len(rows)
             if n:
                 yield arrow(
-                    {"g": pa.nulls(n, pa.int64()) if hot is None else h[mask].view(np.int64), "g2": h2[mask].view(np.int64), "hot": np.ones(n, bool), "ord": order[mask], "key": key[mask], "chk": chk[mask], "start": start[mask], "copies": np.ones(n) if copies is None else np.minimum(copies, 2), "piece": pa.nulls(n, pa.binary())},
+                    {"g": h[rows].view(np.int64) if own else pa.nulls(n, pa.int64()), "g2": h2[rows].view(np.int64), "ord": order[rows], "key": key[rows], "spot": spot(chk[rows], start[rows], copies if own else 1), "piece": pa.nulls(n, pa.binary())},
                     RECORD_ARROW,
                 )
 
-    return texts.select("key", "chk", "ord", "text", "runs").mapInArrow(work, RECORD)
+    return texts.select("key", "ord", "text", "runs").mapInArrow(work, RECORD)
 
 
 def merge_windows(start: np.ndarray, key: np.ndarray, chk: np.ndarray, length: int) -> pa.RecordBatch:
@@ -288,53 +328,51 @@ def resolve(records: DataFrame, length: int, keep: str, held_bytes: int = 1 << 2
     """Ranges of bytes to remove, from records that are sorted by group and order within their partition."""
 
     def weights(rows: pa.RecordBatch) -> np.ndarray:
-        at = offsets_of(rows.column(8))
+        at = offsets_of(rows.column(5))
         return at[1:] - at[0]
 
     def cold(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole groups of runs: suffix order and previous factors of the different pieces."""
         table = pa.Table.from_batches(rows)
-        pieces_, codes = [], {}
-        which = np.array([codes.setdefault(p, len(codes)) for p in table.column("piece").to_pylist()])
-        pieces_ = list(codes)
+        codes: dict[bytes, int] = {}
         # rows come in order of copies within a group, and a piece belongs to one group
-        sizes = np.array([len(p) for p in pieces_])
-        data = np.frombuffer(b"".join(pieces_), np.uint8)
-        heads = np.concatenate([[0], np.cumsum(sizes)])
+        which = np.array([codes.setdefault(p, len(codes)) for p in table.column("piece").to_pylist()])
+        sizes = np.array([len(p) for p in codes])
+        data = np.frombuffer(b"".join(codes), np.uint8)
+        heads = np.cumsum(sizes) - sizes
         windows = sizes - length + 1
-        owner = np.repeat(np.arange(len(pieces_)), windows)
-        starts = np.arange(int(windows.sum())) + np.repeat(heads[:-1] - (np.cumsum(windows) - windows), windows)
-        earlier, some = repeated_windows(data, starts, length)
-        copies = np.bincount(which, minlength=len(pieces_))
+        begin = np.concatenate([[0], np.cumsum(windows)])
+        owner = np.repeat(np.arange(len(sizes)), windows)
+        earlier, some = repeated_windows(data, ragged(heads, windows), length)
+        copies = np.bincount(which, minlength=len(sizes))
         leader = np.zeros(len(which), bool)
         leader[np.unique(which, return_index=True)[1]] = True
         gone = some | (copies[owner] > 1) if keep == "none" else np.ones(len(owner), bool)
-        begin = np.concatenate([[0], np.cumsum(windows)])
-        out = []
-        key, chk, first = (table.column(c).to_numpy() for c in ("key", "chk", "start"))
-        for i, piece in enumerate(which):
-            own = slice(begin[piece], begin[piece + 1])
-            mask = earlier[own] if keep == "first" and leader[i] else gone[own]
-            hit = np.flatnonzero(mask)
-            if len(hit):
-                out.append((hit + first[i], i))
-        if out:
-            rows_of = np.repeat([i for _, i in out], [len(h) for h, _ in out])
-            yield merge_windows(np.concatenate([h for h, _ in out]), key[rows_of], chk[rows_of], length)
+        key = table.column("key").to_numpy()
+        chk, first, _ = unspot(table.column("spot").to_numpy())
+        # a window of the result for each copy of a piece
+        each = ragged(begin[:-1][which], windows[which])
+        row = np.repeat(np.arange(len(which)), windows[which])
+        hit = np.where(leader[row], earlier[each], True) if keep == "first" else gone[each]
+        at, row = (each - begin[which][row])[hit], row[hit]
+        if len(row):
+            yield merge_windows(first[row] + at, key[row], chk[row], length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         held, last, pending = 0, None, None
         for batch in batches:
+            bare = pc.is_null(batch.column(5))
             settled = batch.filter(pc.is_null(batch.column(0)))
             if settled.num_rows:
-                yield merge_windows(*(settled.column(c).to_numpy() for c in ("start", "key", "chk")), length)
-            hot = batch.filter(pc.and_(pc.is_valid(batch.column(0)), batch.column(2)))
+                chk, start, _ = unspot(settled.column(4).to_numpy())
+                yield merge_windows(start, settled.column(3).to_numpy(), chk, length)
+            hot = batch.filter(pc.and_(pc.is_valid(batch.column(0)), bare))
             if hot.num_rows:
                 found, last, pending = heated(hot, last, pending)
                 if found is not None:
                     yield found
-            rows = batch.filter(pc.invert(batch.column(2)))
+            rows = batch.filter(pc.invert(bare))
             while rows.num_rows:
                 g = rows.column(0).to_numpy()
                 ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
@@ -343,7 +381,7 @@ def resolve(records: DataFrame, length: int, keep: str, held_bytes: int = 1 << 2
                 waiting.append(rows.slice(0, stop))
                 held += int(weights(rows)[stop - 1])
                 rows = rows.slice(stop)
-                if rows.num_rows:  # the groups so far are whole
+                if rows.num_rows:  # the groups so far are whole; the last one of a batch may go on
                     yield from cold(waiting)
                     waiting, held = [], 0
         if waiting:
@@ -351,21 +389,19 @@ def resolve(records: DataFrame, length: int, keep: str, held_bytes: int = 1 << 2
 
     def heated(hot: pa.RecordBatch, last, pending):
         """Windows by hash. The group that was open at the end of a batch may go on in the next."""
-        g, g2, start, key, chk, copies = (hot.column(c).to_numpy() for c in ("g", "g2", "start", "key", "chk", "copies"))
+        g, g2, key = (hot.column(c).to_numpy() for c in ("g", "g2", "key"))
+        chk, start, copies = unspot(hot.column("spot").to_numpy())
         head = np.concatenate([[last != (g[0], g2[0])], (g[1:] != g[:-1]) | (g2[1:] != g2[:-1])])
         if keep == "first":
             gone = ~head
         else:
-            alone = head & np.concatenate([head[1:], [False]])
-            gone = ~alone & ~(head & (np.arange(len(g)) == len(g) - 1))  # the last may be alone yet
-            gone &= copies < 2  # those of more copies are settled already
-        back = []
-        if keep == "none" and pending is not None and not head[0]:
-            back = [pending]
+            alone = head & np.append(head[1:], True)  # the last may be alone yet
+            gone = ~alone & (copies < 2)  # those of more copies are settled already
         hit = np.flatnonzero(gone)
-        rows = [np.concatenate([a[hit], np.array([p[i] for p in back], a.dtype)]) for i, a in enumerate((start, key, chk))]
-        open_last = head[-1] and copies[-1] < 2
-        pending = (start[-1], key[-1], chk[-1]) if open_last else None
+        rows = [start[hit], key[hit], chk[hit]]
+        if keep == "none" and pending is not None and not head[0]:
+            rows = [np.append(a, x) for a, x in zip(rows, pending)]
+        pending = (start[-1], key[-1], chk[-1]) if head[-1] and copies[-1] < 2 else None
         return (merge_windows(*rows, length) if len(rows[0]) else None), (g[-1], g2[-1]), pending
 
     return records.mapInArrow(work, RANGE)
@@ -392,7 +428,7 @@ def cut(text: bytes, starts: list[int], stops: list[int], whole_chars: bool) ->
     return data[~gone].tobytes(), int(gone.sum()), runs
 
 
-def dedup(docs: DataFrame, length: int = 200, k: int = 64, hot: int = 256, keep: str = "none", whole_chars: bool = False, texts_back: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, k: int = 64, hot: int = 2048, keep: str = "none", whole_chars: bool = False, texts_back: bool = True) -> DataFrame:
     """All columns of docs with n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of each row's text.
 
     Columns of docs with those names are replaced. whole_chars: a character goes only with
@@ -401,26 +437,29 @@ def dedup(docs: DataFrame, length: int = 200, k: int = 64, hot: int = 256, keep:
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep is none or first, not {keep}")
+    if not 8 <= k <= length < k + (1 << START):
+        raise ValueError("k must be 8 at least, and length from k on, by less than 4096")
     found = Workspace(docs.sparkSession).table(anchors(docs, length, k), "anchors")
     # 1. grams that are minimizers of two runs or more
     shared = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram", (F.col("c") > hot).alias("hot"))
-    runs = found.join(shared, "gram").groupBy("key", "chk").agg(F.collect_set(F.struct("gram", "hot", "first", "last")).alias("runs"))
+    chk = F.shiftright("spot", CHK).cast("int").alias("chk")
+    runs = found.join(shared, "gram").groupBy("key", chk).agg(F.collect_set(F.struct("gram", "hot", "spot")).alias("runs"))
     # 2. the different texts, and the records that their shared runs make
-    text = text_of(docs)
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("o")
-    texts = docs.select(*keys(text), order, text.alias("t")).groupBy("key", "chk").agg(F.min("t").alias("text"), F.min("o").alias("ord"), F.count("*").alias("copies"))
+    texts = different_texts(docs)
     records = spans_of(texts.join(runs, ["key", "chk"]), length, keep)
     # settled windows have no group; they stay spread
-    spread = F.coalesce(F.col("g"), F.xxhash64("key", "start"))
-    grouped = records.repartition(spread).sortWithinPartitions("g", "g2", "ord", "key", "chk", "start")
+    spread = F.coalesce(F.col("g"), F.xxhash64("key", "spot"))
+    grouped = records.repartition(spread).sortWithinPartitions("g", "g2", "ord", "key", "spot")
     # 3. the ranges to remove, back at their texts
     ranges = resolve(grouped, length, keep).groupBy("key", "chk").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     whole = texts.join(ranges, ["key", "chk"], "left").select("key", "chk", "ord", "copies", "text", "starts", "stops")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 4, STEP):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in pieces(batches, 4, STEP // 4):
             rows = []
-            for key, chk, first, copies, body, starts, stops in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, chk, first, copies, squeezed, starts, stops in zip(*(c.to_pylist() for c in batch.columns)):
+                body = unpack(squeezed)
                 if keep == "none" and copies > 1 and len(body) >= length:
                     starts, stops = [0], [len(body)]
                 left, gone, spans = cut(body, starts, stops, whole_chars) if starts else (body, 0, 0)
@@ -429,7 +468,7 @@ def dedup(docs: DataFrame, length: int = 200, k: int = 64, hot: int = 256, keep:
 
     done = whole.mapInArrow(work, RESULT)
     names = [c for c in docs.columns if c not in NEW]
-    own = docs.select(F.struct(*names).alias("row"), order, *keys(text)).join(done, ["key", "chk"])
+    own = docs.select(F.struct(*names).alias("row"), order_of(docs), *keys(text_of(docs))).join(done, ["key", "chk"])
     later = F.lit(keep == "first") & (F.col("o") != F.col("ord")) & (F.col("n_bytes") >= length)
     empty = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept": F.lit("").cast("binary") if texts_back else F.lit(None).cast("binary"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest())}
     return own.select("row.*", "n_bytes", *[F.when(later, empty[c]).otherwise(F.col(c)).alias(c) for c in NEW[1:]])
