@@ -102,7 +102,7 @@ def matches(phrases: Phrases, terms: np.ndarray, starts: np.ndarray, positions:
         return
     row = np.minimum(np.searchsorted(terms, phrases.terms), len(terms) - 1)
     known = terms[row] == phrases.terms
-    count = np.where(known, starts[row + 1] - starts[row], 0)
+    count = np.where(known, starts[row + 1] - starts[row], 0).astype(np.int64)
     filled = phrases.windows >= 0
     many = np.where(filled, count[phrases.windows], np.iinfo(np.int64).max)
     for w in np.flatnonzero(many.min(1) > 0):

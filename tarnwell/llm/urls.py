@@ -38,7 +38,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def match(host: Column, path: Column, rules: list[Rule]) -> Column:
     """A struct (rule, verdict) of the longest rule that fits, or null."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for h, p, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
