@@ -70,7 +70,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7, "op8_decontam": OP8}
+    return {"op3_ngram_join": OP3, "op5_urls": OP5, "op7_warc": OP7, "op8_decontam": OP8}
 
 
 OP7 = """
@@ -96,3 +96,44 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0
        CAST(coalesce(its.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(its.items, '')) AS items_sha256, hit.n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
+
+OP3 = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, w[i:i + least(len(w), 5) - 1] AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT r, r AS m FROM d UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT c.r, min(x.doc_id) AS component_id FROM c JOIN d x ON x.r = c.m GROUP BY c.r) k USING (r)
+"""
+
+
+def _url_levels() -> str:
+    """The two models of each order, from the one below."""
+    out = ""
+    for k in range(1, urls.ORDER + 1):
+        low = "1.0 / 256" if k == 1 else "{0}0"
+        prob = lambda s, low=low: f"CASE WHEN {s}_n = 0 THEN {low.format('p' + s)} ELSE ({s} + {s}_t * {low.format('p' + s)}) / ({s}_n + {s}_t) END"
+        below = "" if k == 1 else f" JOIN (SELECT g AS below, pa AS pa0, pb AS pb0 FROM p{k - 1}) ON below = right(g, {k - 1})"
+        out += f"""l{k} AS (SELECT right(g, {k}) AS g, sum(a) AS a, sum(b) AS b FROM c GROUP BY 1),
+t{k} AS (SELECT left(g, {k - 1}) AS x, sum(a) AS a_n, sum(b) AS b_n, count(*) FILTER (a > 0) AS a_t, count(*) FILTER (b > 0) AS b_t FROM l{k} GROUP BY 1),
+p{k} AS (SELECT g, {prob('a')} AS pa, {prob('b')} AS pb FROM l{k} JOIN t{k} ON x = left(g, {k - 1}){below}),
+"""
+    return out
+
+
+_PARTS = urls.PARTS
+OP5 = f"""
+WITH rules(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+page AS (SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(url, '{_PARTS}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path FROM pages),
+j AS (SELECT r, page_id, host, path, h || p AS rule, v FROM page LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC) = 1),
+u AS (SELECT host || path AS u, max(v) AS v FROM j GROUP BY 1),
+pos AS (SELECT u, v, substr(repeat(chr(2), {urls.ORDER - 1}) || u || chr(3), i, {urls.ORDER}) AS g FROM (SELECT u, v, unnest(range(1, length(u) + 2)) AS i FROM u)),
+c AS (SELECT g, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v = 'block') AS b FROM pos GROUP BY g),
+{_url_levels()}score AS (SELECT u, any_value(v) AS v, avg(ln(pa) - ln(pb)) AS llr FROM pos JOIN p{urls.ORDER} USING (g) GROUP BY u),
+mid AS (SELECT (avg(llr) FILTER (v = 'allow') + avg(llr) FILTER (v = 'block')) / 2 AS limit_ FROM score)
+SELECT page_id, host, path, rule, coalesce(j.v, CASE WHEN limit_ IS NULL OR llr >= limit_ THEN 'allow' ELSE 'block' END) AS verdict
+FROM j JOIN score ON score.u = host || path, mid
+"""
