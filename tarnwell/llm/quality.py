@@ -118,10 +118,14 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: in
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, teaches: Column, max_rows: int) -> DataFrame:
-    """doc_id, text and y of at most max_rows labelled ids, those of the lowest hash. The ids are few enough to broadcast: max_rows."""
+    """doc_id, text and y of at most max_rows labelled ids, those of the lowest hash. The ids are few enough to broadcast: max_rows.
+
+    An id that several rows have teaches once, with the smallest of their texts.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & teaches).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return own.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, teaches: Column, max_rows: int = 20_000, **params) -> Trees:
