@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as tx
@@ -106,3 +106,9 @@ def summarize_levels(chunks: DataFrame, key: str, position: str, text: str, leng
         level = summarize(merged.withColumnRenamed("_g", "chunk_index"), [key, "chunk_index"], "_t", length)
         out = out.unionByName(level.withColumn("level", F.lit(k)))
     return out
+
+
+def normalised(text: Column, stop_words: list[str] = tx.STOP_WORDS) -> Column:
+    """Stand-in for lemmas: lower-cased words of three letters or more without stop words, joined by blanks; null gives an empty text."""
+    kept = F.filter(tx.words(F.coalesce(text, F.lit(""))), lambda w: (F.length(w) > 2) & w.rlike(r"^\p{L}+$") & ~w.isin(stop_words))
+    return F.array_join(kept, " ")
