@@ -238,27 +238,42 @@ def verified(pairs: DataFrame, classes: DataFrame, min_percent: int, cuts: int)
     return summed.where(F.lit(100) * F.col("o") >= F.lit(min_percent) * (F.col("n_a") + F.col("n_b") - F.col("o"))).select("a", "b")
 
 
+def first_ones(classes: DataFrame) -> DataFrame:
+    """token, key, n, own (n-grams of the class alone) and at (place in its order) of each prefix n-gram."""
+    own = (F.col("n") - F.size("tokens")).alias("own")
+    rows = classes.select("key", "n", own, F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("pos", "token"))
+    return rows.select("token", "key", "n", "own", (F.col("own") + F.col("pos")).alias("at"))
+
+
 def candidates(entries: DataFrame, min_percent: int) -> DataFrame:
-    """Each class with the two leaders of each of its prefix n-grams."""
-    leaders = entries.groupBy("token").agg(F.min(F.struct("key", "n")).alias("low"), F.max(F.struct("key", "n")).alias("high")).where("low.key < high.key")
-    both = entries.join(leaders, "token").select("key", "n", F.explode(F.array("low", "high")).alias("lead"))
-    return fitting(both.select("key", "n", F.col("lead.key").alias("other"), F.col("lead.n").alias("m")), min_percent)
+    """Each class with the leader of each of its prefix n-grams: the one with the smallest share of n-grams of its own.
+
+    That order is the same for all n-grams, so that a group of copies has few leaders.
+    """
+    lead = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("at").alias("at2"))
+    leaders = entries.groupBy("token").agg(F.min(lead).alias("lead")).select("token", "lead.other", "lead.m", "lead.at2")
+    return fitting(entries.join(leaders, "token"), min_percent)
 
 
 def fitting(rows: DataFrame, min_percent: int) -> DataFrame:
-    """Different pairs (a, b) of key, n, other, m whose sizes allow a link."""
-    sized = rows.where((F.col("key") != F.col("other")) & (F.lit(100) * F.least("n", "m") >= F.lit(min_percent) * F.greatest("n", "m")))
-    return sized.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    """Different pairs (a, b) of key and other that can link by their sizes and by where the n-gram stands in each.
+
+    If it is the first that the two share, at most the ones from there on are shared; if it
+    is not, the first one brings the pair.
+    """
+    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at2"))
+    able = rows.where((F.col("key") != F.col("other")) & (F.lit(100 + min_percent) * most >= F.lit(min_percent) * (F.col("n") + F.col("m"))))
+    return able.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
 def across(entries: DataFrame, roots: DataFrame, min_percent: int, block: int) -> DataFrame:
     """All pairs of different components that share a prefix n-gram: blocks of its classes against each other."""
-    named = entries.join(roots, entries["key"] == roots["node"], "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
+    named = entries.join(roots, entries["key"] == roots["node"], "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     split = named.groupBy("token").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
     placed = named.join(split.select("token", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "token")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    first = placed.select("token", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "key", "n", "root")
-    second = placed.select("token", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("root").alias("root2"))
+    first = placed.select("token", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "key", "n", "at", "root")
+    second = placed.select("token", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("at").alias("at2"), F.col("root").alias("root2"))
     return fitting(first.join(second, ["token", "i", "j"]).where((F.col("root") != F.col("root2")) & ((F.col("i") != F.col("j")) | (F.col("key") < F.col("other")))), min_percent)
 
 
@@ -273,7 +288,7 @@ def join(docs: DataFrame, min_percent: int = 80, width: int = 5, fragment_bytes:
     fragments = min(1 << 22, max(1, math.ceil(size / fragment_bytes)))
     found = work.table(shared(segments(docs, fragments, width, often, piece_bytes), max(1, fragments // 2)), "shared")
     classes = work.table(ordered(found, min_percent), "classes")
-    entries = work.table(classes.select("key", "n", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "entries")
+    entries = work.table(first_ones(classes), "entries")
     links = work.table(verified(candidates(entries, min_percent), classes, min_percent, cuts), "leaders")
     roots = components(links, work)
     more = verified(across(entries, roots, min_percent, block), classes, min_percent, cuts)
