@@ -35,7 +35,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 200 bytes or more that an earlier document, or place, has."""
     done = sa_dedup.dedup(docs, keep="first", whole_chars=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
-    changed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    size = F.coalesce(F.length(text).cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else None
+    changed = {"text": text, "n_chars": size}
     return done.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 

@@ -11,17 +11,18 @@ import pytest
 import corpus_pipeline
 from tarnwell.llm import bpe, queries
 
-DATA = "/root/testdata/sf0.01"
+DATA = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
 def planted(spark, tmp_path_factory):
-    """Tables of sf0.01 with added documents: copies, near copies, leaks, repeated passages, toxic and clean ones."""
+    """The labelled documents of sf0.1 and added ones: copies, near copies, leaks, repeated passages, toxic and clean ones."""
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
     say = lambda n: " ".join(word() for _ in range(n))
     folder = str(tmp_path_factory.mktemp("sf"))
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
     text, passage = say(200), say(80)
     near = text.split(" ")
@@ -33,10 +34,10 @@ def planted(spark, tmp_path_factory):
         900031: say(20) + " idiot " + say(3) + " scum moron worthless " + say(20),
         900041: say(120), 900042: say(15),
     }
-    extra = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows.items()] + [(None, None, None, None, None)], docs.schema)
+    extra = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows.items()] + [(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.unionByName(extra).write.parquet(f"{folder}/documents.parquet")
     for t in ("benchmark", "labels"):
-        spark.read.parquet(f"/root/testdata/{'sf0.1' if t == 'labels' else 'sf0.01'}/{t}.parquet").where("doc_id < 1000" if t == "labels" else "true").write.parquet(f"{folder}/{t}.parquet")
+        spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
     return folder, rows, passage
 
 
