@@ -109,7 +109,11 @@ def fit(owners: np.ndarray, places: np.ndarray, y: np.ndarray, hash_bits: int =
     if y.min() == y.max() or not len(places):
         return nothing
     size = 1 << hash_bits
-    having, toxic = np.bincount(places, minlength=size), np.bincount(places, y[owners], size)
+    having, toxic = np.zeros(size), np.zeros(size)
+    steps = [slice(a, a + (1 << 19)) for a in range(0, len(places), 1 << 19)]  # so that the entries are never copied whole
+    for part in steps:
+        having += np.bincount(places[part], minlength=size)
+        toxic += np.bincount(places[part], y[owners[part]], size)
     # distance of the toxic share of a place's rows from that of all rows, in standard deviations
     clear = np.where(having >= least_rows, np.abs(toxic - having * share) / np.sqrt(np.maximum(having, 1) * share * (1 - share)), 0)
     kept = np.sort(np.lexsort((np.arange(size), -clear))[:max_places])
@@ -118,8 +122,8 @@ def fit(owners: np.ndarray, places: np.ndarray, y: np.ndarray, hash_bits: int =
         return nothing
     row = np.full(size, -1)
     row[kept] = np.arange(len(kept))
-    chosen = row[places] >= 0
-    own, found = owners[chosen], row[places[chosen]]
+    own = np.concatenate([owners[part][row[places[part]] >= 0] for part in steps]).astype(np.int64)
+    found = np.concatenate([row[places[part]][row[places[part]] >= 0] for part in steps])
     rng = np.random.default_rng(7)
     weights, vectors, bias = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), factors)), nothing.bias
     sums = [np.full(a.shape, 1e-6) for a in (weights, vectors, np.zeros(1))]
@@ -153,11 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column, max_rows: int = 2
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], ["doc_id", "y", "x"])
 
     rows = labelled(docs, labels, "toxic", teaches, max_rows).select("doc_id", "text", "y").mapInArrow(work, "doc_id long, y int, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], bytes(r["x"])))
+    rows.sort(key=lambda r: r["doc_id"])  # an id is there once
+    y = np.array([r["y"] for r in rows], float)
     lists = [np.frombuffer(r["x"], "<u4") for r in rows]
-    owners = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-    places = np.concatenate(lists).astype(np.int64) if rows else np.zeros(0, np.int64)
-    return fit(owners, places, np.array([r["y"] for r in rows], float), hash_bits, prefix_chars, **params)
+    owners = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in lists])
+    places = np.concatenate(lists) if rows else np.zeros(0, np.uint32)
+    del rows, lists
+    return fit(owners, places, y, hash_bits, prefix_chars, **params)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
