@@ -37,15 +37,22 @@ class Workspace:
         atexit.register(self.drop)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.path}/{name}/{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self, *names: str) -> None:
+        """Deletes the tables of these names; only for tables that no result will read."""
+        for name in names:
+            self._delete(f"{self.path}/{name}")
+
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def drop(self) -> None:
         try:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(self.path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(self.path)
         except Exception:  # the session has ended: nothing left to ask
             pass
 

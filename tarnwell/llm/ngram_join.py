@@ -13,7 +13,7 @@ similarity is min_percent or more; what comes back is each row's component.
    an n-gram among the rarest n - ceil(t n) + 1 of each (single ones first), so classes
    whose single n-grams fill that prefix have no partner.
 3. Classes that share a prefix n-gram are candidates. To keep a large group of copies from
-   becoming all its pairs, each class is first compared with two leaders of each of its
+   becoming all its pairs, each class is first compared with one leader of each of its
    prefix n-grams; then all pairs of different components that share a prefix n-gram, in
    blocks of the n-gram's classes. Pairs within a component can't change the result.
 4. Candidates are verified fragment by fragment: the order is cut again, each fragment
@@ -245,14 +245,15 @@ def first_ones(classes: DataFrame) -> DataFrame:
     return rows.select("token", "key", "n", "own", (F.col("own") + F.col("pos")).alias("at"))
 
 
-def candidates(entries: DataFrame, min_percent: int) -> DataFrame:
+def candidates(entries: DataFrame, min_percent: int, work: Workspace) -> DataFrame:
     """Each class with the leader of each of its prefix n-grams: the one with the smallest share of n-grams of its own.
 
     That order is the same for all n-grams, so that a group of copies has few leaders.
     """
     lead = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("at").alias("at2"))
     leaders = entries.groupBy("token").agg(F.min(lead).alias("lead")).select("token", "lead.other", "lead.m", "lead.at2")
-    return fitting(entries.join(leaders, "token"), min_percent)
+    # written first: a join of two exchanges can split a frequent n-gram
+    return fitting(entries.join(work.table(leaders, "lead"), "token"), min_percent)
 
 
 def fitting(rows: DataFrame, min_percent: int) -> DataFrame:
@@ -266,18 +267,19 @@ def fitting(rows: DataFrame, min_percent: int) -> DataFrame:
     return able.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
-def across(entries: DataFrame, roots: DataFrame, min_percent: int, block: int) -> DataFrame:
+def across(entries: DataFrame, roots: DataFrame, min_percent: int, block: int, work: Workspace) -> DataFrame:
     """All pairs of different components that share a prefix n-gram: blocks of its classes against each other."""
     named = entries.join(roots, entries["key"] == roots["node"], "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     split = named.groupBy("token").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
-    placed = named.join(split.select("token", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "token")
+    split = work.table(split.select("token", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "split")
+    placed = named.join(split, "token")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     first = placed.select("token", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "key", "n", "at", "root")
     second = placed.select("token", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("at").alias("at2"), F.col("root").alias("root2"))
     return fitting(first.join(second, ["token", "i", "j"]).where((F.col("root") != F.col("root2")) & ((F.col("i") != F.col("j")) | (F.col("key") < F.col("other")))), min_percent)
 
 
-def join(docs: DataFrame, min_percent: int = 80, width: int = 5, fragment_bytes: int = 12 << 20, often: int = 64, block: int = 256, cuts: int = 4, piece_bytes: int = 4 << 20) -> DataFrame:
+def join(docs: DataFrame, min_percent: int = 80, width: int = 5, fragment_bytes: int = 8 << 20, often: int = 64, block: int = 256, cuts: int = 4, piece_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id of each row.
 
     fragment_bytes: text by which a fragment of the n-gram order grows; the number of
@@ -287,17 +289,21 @@ def join(docs: DataFrame, min_percent: int = 80, width: int = 5, fragment_bytes:
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     fragments = min(1 << 22, max(1, math.ceil(size / fragment_bytes)))
     found = work.table(shared(segments(docs, fragments, width, often, piece_bytes), max(1, fragments // 2)), "shared")
+    rows = work.table(rows_of(found), "rows")
     classes = work.table(ordered(found, min_percent), "classes")
+    work.free("shared")
     entries = work.table(first_ones(classes), "entries")
-    links = work.table(verified(candidates(entries, min_percent), classes, min_percent, cuts), "leaders")
-    roots = components(links, work)
-    more = verified(across(entries, roots, min_percent, block), classes, min_percent, cuts)
-    roots = components(links.union(more), work)
-    return labelled(found, roots)
+    links = work.table(verified(candidates(entries, min_percent, work), classes, min_percent, cuts), "links")
+    roots = components(links)
+    more = work.table(verified(across(entries, roots, min_percent, block, work), classes, min_percent, cuts), "more")
+    work.free("classes", "entries", "lead", "split")
+    roots = components(links.union(more))
+    work.free("links", "more")
+    return labelled(rows, roots)
 
 
-def labelled(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of documents with the smallest id of their component."""
+def rows_of(found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and key (null: empty set) of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +311,11 @@ def labelled(found: DataFrame, roots: DataFrame) -> DataFrame:
                 key, n = np.frombuffer(keys.as_py(), "<i8"), np.frombuffer(sizes.as_py(), "<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(n.astype(np.int64)), pa.array(key, mask=n == 0)], ["doc_id", "n_shingles", "key"])
 
-    rows = found.where("kind = 1").select("keys", "sizes", "ids").mapInArrow(work, "doc_id long, n_shingles long, key long")
+    return found.where("kind = 1").select("keys", "sizes", "ids").mapInArrow(work, "doc_id long, n_shingles long, key long")
+
+
+def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of documents with the smallest id of their component."""
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -113,7 +113,8 @@ def plan(pages: DataFrame, min_revisit: int) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= min_revisit
     winners = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("winner"))
-    out = rows.join(winners, "digest", "left")
+    # written first: a join of two exchanges can split a frequent payload
+    out = rows.join(Workspace(pages.sparkSession).table(winners, "winners"), "digest", "left")
     refers = F.when(F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))
     return out.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.llm import bpe, decontam, langid, ngram_join, quality, queries, rules, sa_dedup, toxicity, urls, warc
-from tarnwell.llm.common import Workspace, fold
+from tarnwell.llm.common import fold
 from tarnwell.llm.components import components
 
 DATA = "/root/testdata/sf0.01"
@@ -391,7 +391,7 @@ def test_ngram_join_of_nothing(spark):
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(40)] + [(200, 200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long"), Workspace(spark)).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     parent = {}
     top = lambda x: x if parent.setdefault(x, x) == x else top(parent[x])
     for a, b in pairs:
