@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm.common import Workspace, arrow, offsets_of, payload, pieces, ragged
 
 #: Windows that one numpy step works on.
-STEP = 1 << 21
+STEP = 1 << 20
 _SEED = np.random.default_rng(20240229)
 _BYTES = [_SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 _BASE = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
@@ -267,7 +267,7 @@ def spans_of(texts: DataFrame, length: int, keep: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            key, order, texts_, runs = batch.columns
+            key, order, texts_, runs = batch.columns[:4]
             bounds, flat = offsets_of(runs).astype(np.int64), runs.values
             gram, hot, spots = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             wide, held = [], 0
@@ -311,7 +311,8 @@ def spans_of(texts: DataFrame, length: int, keep: str) -> DataFrame:
                     RECORD_ARROW,
                 )
 
-    return texts.select("key", "ord", "text", "runs").mapInArrow(work, RECORD)
+    # copies goes along unused, so that both uses of texts have the same columns
+    return texts.select("key", "ord", "text", "runs", "copies").mapInArrow(work, RECORD)
 
 
 def merge_windows(start: np.ndarray, key: np.ndarray, chk: np.ndarray, length: int) -> pa.RecordBatch:
@@ -439,9 +440,11 @@ def dedup(docs: DataFrame, length: int = 200, k: int = 64, hot: int = 2048, keep
         raise ValueError(f"keep is none or first, not {keep}")
     if not 8 <= k <= length < k + (1 << START):
         raise ValueError("k must be 8 at least, and length from k on, by less than 4096")
-    found = Workspace(docs.sparkSession).table(anchors(docs, length, k), "anchors")
-    # 1. grams that are minimizers of two runs or more
+    work_tables = Workspace(docs.sparkSession)
+    found = work_tables.table(anchors(docs, length, k), "anchors")
+    # 1. grams that are minimizers of two runs or more; as a table, so that a join can split a hot one
     shared = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram", (F.col("c") > hot).alias("hot"))
+    shared = work_tables.table(shared, "shared")
     chk = F.shiftright("spot", CHK).cast("int").alias("chk")
     runs = found.join(shared, "gram").groupBy("key", chk).agg(F.collect_set(F.struct("gram", "hot", "spot")).alias("runs"))
     # 2. the different texts, and the records that their shared runs make
@@ -455,7 +458,7 @@ def dedup(docs: DataFrame, length: int = 200, k: int = 64, hot: int = 2048, keep
     whole = texts.join(ranges, ["key", "chk"], "left").select("key", "chk", "ord", "copies", "text", "starts", "stops")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
         for batch in pieces(batches, 4, STEP // 4):
             rows = []
             for key, chk, first, copies, squeezed, starts, stops in zip(*(c.to_pylist() for c in batch.columns)):
@@ -463,15 +466,26 @@ def dedup(docs: DataFrame, length: int = 200, k: int = 64, hot: int = 2048, keep
                 if keep == "none" and copies > 1 and len(body) >= length:
                     starts, stops = [0], [len(body)]
                 left, gone, spans = cut(body, starts, stops, whole_chars) if starts else (body, 0, 0)
-                rows.append((key, chk, first, copies, len(body), gone, spans, left if texts_back else None, hashlib.sha256(left).hexdigest()))
+                rows.append((key, chk, first, copies, len(body), gone, spans, pack(left) if texts_back else None, hashlib.sha256(left).hexdigest()))
             yield arrow(dict(zip(RESULT_ARROW.names, zip(*rows))), RESULT_ARROW)
 
     done = whole.mapInArrow(work, RESULT)
     names = [c for c in docs.columns if c not in NEW]
     own = docs.select(F.struct(*names).alias("row"), order_of(docs), *keys(text_of(docs))).join(done, ["key", "chk"])
     later = F.lit(keep == "first") & (F.col("o") != F.col("ord")) & (F.col("n_bytes") >= length)
-    empty = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept": F.lit("").cast("binary") if texts_back else F.lit(None).cast("binary"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest())}
-    return own.select("row.*", "n_bytes", *[F.when(later, empty[c]).otherwise(F.col(c)).alias(c) for c in NEW[1:]])
+    empty = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept": F.lit(None).cast("binary"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest())}
+    out = own.select("row.*", "n_bytes", *[F.when(later, empty[c]).otherwise(F.col(c)).alias(c) for c in NEW[1:]])
+    if not texts_back:
+        return out
+    at = out.columns.index("kept")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts_ = pa.array([open_(t.as_buffer()) if t.is_valid else b"" for t in batch.column(at)], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), texts_)
+
+    return out.mapInArrow(unpack, out.schema)
 
 
 def digest(docs: DataFrame, **params) -> DataFrame:
