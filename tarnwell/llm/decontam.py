@@ -11,8 +11,9 @@ in the phrase, are the candidate starts; the lists of the other terms, rarest fi
 them down. With slop > 0 the other terms may stand that many words off (a proximity match).
 
 Phrases go to the executors in blocks of block_bytes of benchmark text, however large the
-benchmark is; the results of several blocks are merged by document. Terms are told apart
-by 64-bit hashes.
+benchmark is; the results of several blocks are merged by shard and place in it. A shard
+has a name of its own, so shards of equal content stay apart. Terms are told apart by
+64-bit hashes.
 
 Null and empty texts have no words and no hits. Benchmark rows with null id or without
 words are left out; rows that share an id are one item. Repeated documents give repeated
@@ -21,8 +22,8 @@ results; a text longer than a shard's size is a shard of its own; other columns
 
 from __future__ import annotations
 
-import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,7 +67,7 @@ def build_index(docs: DataFrame, shard_bytes: int = 4 << 20) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(np.bincount(ranked, minlength=len(ids)))])
             positions = places[np.argsort(ranked, kind="stable")].astype("<i4").tobytes()
             yield arrow(
-                {"shard": [hashlib.md5(positions + terms.tobytes()).hexdigest()], "doc_ids": [batch.column(0).to_pylist()], "n_words": [counts], "terms": [terms[by_hash].astype("<u8").tobytes()], "starts": [starts.astype("<i4").tobytes()], "positions": [positions]},
+                {"shard": [uuid.uuid4().hex], "doc_ids": [batch.column(0).to_pylist()], "n_words": [counts], "terms": [terms[by_hash].astype("<u8").tobytes()], "starts": [starts.astype("<i4").tobytes()], "positions": [positions]},
                 SHARD,
             )
 

@@ -327,6 +327,17 @@ def test_decontamination(spark):
     assert decontam.digest(decontam.find(frame(spark, docs), bench.limit(0))).where("contaminated").count() == 0
 
 
+def test_decontamination_of_equal_shards(spark):
+    items = [(i, f"start{i} " + "leak " * 12) for i in range(30)]
+    docs = [(i, "x start1 " + "leak " * 12 if i % 12 < 6 else None) for i in range(24)] + [(None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for rows in (docs, docs[:6], [(1, None), (2, ""), (3, "...")]):
+        for shards in (1, 3):
+            spread = frame(spark, rows).repartition(shards * len(rows)) if shards > 1 else frame(spark, rows).coalesce(1)
+            found = decontam.find(spread, bench, block_bytes=1000)
+            assert Counter(tuple(r) for r in decontam.digest(found).collect()) == leaks(rows, items)
+
+
 def test_proximity(spark):
     docs = frame(spark, [(1, "one two big three four"), (2, "one x x x two three four"), (3, "one two"), (4, "three four"), (5, "one two three four")])
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
