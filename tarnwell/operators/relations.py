@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -84,18 +86,37 @@ def latest(df: DataFrame, key: str, time: str, row_id: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-@F.pandas_udf(DoubleType())
-def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def similar(above: float) -> Callable[..., Column]:
+    """Ratcliff-Obershelp ratio of two texts; 0 where their counts of characters already keep it from being above the limit."""
 
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = (difflib.SequenceMatcher(None, x, y) for x, y in zip(a, b))
+        return pd.Series([m.ratio() if m.quick_ratio() > above else 0.0 for m in pairs], dtype="float64")
 
-def near_duplicates(texts: DataFrame, key: str, text: str, ratio: float = 0.9) -> DataFrame:
-    """key_a, key_b, ratio of pairs of a small sample whose Ratcliff-Obershelp ratio is above the limit.
+    return ratio
 
-    For samples of some hundred texts, as a check of generated prompts; the sample is
-    paired by a key comparison. Texts of a corpus are joined by shingles elsewhere.
+
+def near_duplicates(texts: DataFrame, key: str, text: str, ratio: float = 0.9, parts: int = 16) -> DataFrame:
+    """key_a, key_b (the greater), ratio of all pairs whose Ratcliff-Obershelp ratio is above the limit, from 0 to under 1.
+
+    Texts are compared where the lengths allow the ratio: such lengths are in one band or in
+    two next to each other. Counts of characters rule out more pairs before the ratio is worked
+    out. Both are upper bounds, so no pair is lost. A band is dealt over parts; pairs of like
+    lengths still grow with the square of the texts, so texts of a corpus are joined by
+    shingles elsewhere. Rows with null key or text make no pair, nor do rows of the same key.
     """
-    side = lambda s: texts.select(F.col(key).alias(f"key_{s}"), F.col(text).alias(f"t_{s}"))
-    pairs = side("a").join(side("b"), F.col("key_a") < F.col("key_b"))
-    return pairs.select("key_a", "key_b", similar("t_a", "t_b").alias("ratio")).where(F.col("ratio") > ratio)
+    if not 0 <= ratio < 1:
+        raise ValueError(f"ratio is from 0 to under 1, not {ratio}")
+    # 2 * least / (a + b) > ratio keeps the lengths within a factor; a little more for rounding
+    width = math.log((2 - ratio) / ratio) + 1e-6 if ratio else math.inf
+    band = F.when(F.length(text) > 0, F.floor(F.log(F.length(text).cast("double")) / F.lit(width))).otherwise(0).cast("int")
+    rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    side = lambda s, *more: rows.select(F.col(key).alias(f"key_{s}"), F.col(text).alias(f"t_{s}"), *more)
+    a = side("a", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
+    b = side("b", band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    n_a, n_b = F.length("t_a"), F.length("t_b")
+    # dealt out by hand: a small input would be broadcast, and all pairs made in the one task that reads it
+    a, b = (x.repartition(parts, "band", "part") for x in (a, b))
+    pairs = a.join(b, ["band", "part"]).where((F.col("key_a") < F.col("key_b")) & (2 * F.least(n_a, n_b) >= F.lit(ratio) * (n_a + n_b)))
+    return pairs.select("key_a", "key_b", similar(ratio)("t_a", "t_b").alias("ratio")).where(F.col("ratio") > ratio)

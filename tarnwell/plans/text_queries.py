@@ -352,4 +352,4 @@ def p22_missing(t):
 
 @query()
 def j9_near_dup(t):
-    return relations.near_duplicates(t.benchmark.orderBy("item_id").limit(40), "item_id", "text", 0.5)
+    return relations.near_duplicates(t.benchmark, "item_id", "text", 0.5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import difflib
 import math
 import random
 from collections import Counter
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import adapters, chunking, metrics, text
 from tarnwell.operators import annotation, cleaning, evaluation, ranking, relations
+from tarnwell.plans import catalogue
 from tarnwell.sources import tables
 from tarnwell.streaming import flows
 
@@ -359,6 +361,27 @@ def test_near_duplicates(spark):
     assert [(r.key_a, r.key_b) for r in relations.near_duplicates(df, "id", "t", 0.8).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize("ratio", [0.0, 0.5, 0.9])
+def test_near_duplicates_are_all_pairs(spark, ratio):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdé \U0001f600") for _ in range(rng.choice([0, 1, 2, 3, 6, 7, 20, 60, 250]))) for _ in range(70)]
+    texts += [t + rng.choice(["", "x", t, t + t[:1]]) for t in texts]
+    want = {(i, j): difflib.SequenceMatcher(None, texts[i], texts[j]).ratio() for i in range(len(texts)) for j in range(i + 1, len(texts))}
+    df = spark.createDataFrame([*enumerate(texts), (None, "ab"), (900, None)], "id int, t string")
+    got = [(r.key_a, r.key_b, r.ratio) for r in relations.near_duplicates(df, "id", "t", ratio).collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in want.items() if v > ratio)
+
+
+def test_near_dup_query_takes_the_whole_benchmark(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100)) for _ in range(60)]
+    texts += [t[:90] + "0123456789" for t in texts]
+    spark.createDataFrame([*enumerate(texts)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.key_a, r.key_b) for r in catalogue.queries()["j9_near_dup"](spark, str(tmp_path)).collect()}
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if difflib.SequenceMatcher(None, texts[i], texts[j]).ratio() > 0.5}
+    assert got == want and {(i, i + 60) for i in range(60)} <= got
+
+
 def test_summaries_of_levels(spark):
     df = spark.createDataFrame([(1, i, f"Sentence {i}. More here.") for i in range(5)] + [(2, 0, "Alone.")], "d long, pos int, t string")
     got = Counter((r.d, r.level) for r in adapters.summarize_levels(df, "d", "pos", "t", [20, 20, 20]).collect())
