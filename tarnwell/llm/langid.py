@@ -4,14 +4,19 @@ For each language a raw-content Zstandard dictionary is made of text in it. A te
 compressed with each dictionary; the language whose dictionary gives the fewest bytes
 wins, and the answer is marked as rejected where the runner-up is almost as small.
 
-Learning takes a bounded sample of the rows (sample_rows a language, piece_bytes of each,
-dict_bytes in all), chosen by a hash of the row, so that it is spread over the corpus.
+Every value of lang with a letter in its texts is learned. The rows of a language are
+sampled by a hash of id and text (about sample_rows of them), and each gives a piece from a
+hashed place in its text, so that the sample is spread over the corpus and over the texts.
+All sampled rows get the same share of the dictionary, in hash order; what shorter ones leave
+goes to the others. A dictionary has dict_bytes at most, and fewer (all_bytes by the number
+of languages) where there are over 512 languages: fewer rows teach, no language is left out.
 Only letters, lower-cased, take part, so that digits, marks and capitals don't speak for
 a language. Whole texts are scored, in blocks of block_chars letters and blanks.
 
 Texts that are null or have no letter get `und` with score 0. Ties go to the language
 with more rows to learn from. With nothing learned, each text is `und`. Rows with null text or
-language, or with a null id, don't teach; other columns are passed by.
+language, or with a null id, don't teach; rows that repeat id and text teach once; other
+columns are passed by. Scoring takes time in proportion to the number of languages.
 """
 
 from __future__ import annotations
@@ -35,27 +40,65 @@ def letters_only(text: str | None) -> str:
     return " ".join(_letters(text.lower())) if text else ""
 
 
-def train(docs: DataFrame, teaches: Column, sample_rows: int = 400, piece_bytes: int = 4096, dict_bytes: int = 1 << 15, max_languages: int = 200) -> dict[str, bytes]:
-    """A raw-content dictionary for each language, the most frequent one first: the max_languages most frequent ones, dict_bytes at most for each.
+def piece_of(text: str, place: int, piece_chars: int, want: int) -> bytes:
+    """want bytes of letters at most, from a hashed place in the text; from anywhere if there is no letter."""
+    start = place % max(1, len(text) - piece_chars + 1)
+    plain = (letters_only(text[start : start + piece_chars]) or letters_only(text)).encode()
+    start = place % max(1, len(plain) - want + 1)
+    return plain[start : start + want]
+
+
+def evenly(pieces: list[bytes], room: int) -> bytes:
+    """All pieces cut to the same length, the greatest that fits in room with blanks between them."""
+    room -= max(0, len(pieces) - 1)
+    share = 0
+    for i, n in enumerate(sorted(map(len, pieces))):
+        share = room // (len(pieces) - i)
+        if n > share:
+            break
+        room, share = room - n, n
+    return b" ".join(p[:share] for p in pieces)
+
+
+SAMPLE = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("piece", pa.binary())])
+CONTENT = pa.schema([("lang", pa.string()), ("content", pa.binary())])
+
+
+def train(docs: DataFrame, teaches: Column, sample_rows: int = 400, piece_chars: int = 4096, dict_bytes: int = 1 << 15, all_bytes: int = 16 << 20) -> dict[str, bytes]:
+    """A raw-content dictionary for each language, the most frequent one first.
 
     Two scans: one counts rows by language, one takes each row with the chance that gives
-    sample_rows by language. Both the sample and its pieces are bounded.
+    sample_rows by language. Pieces are cut and joined on the executors.
     """
-    learned = docs.where(teaches & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    row_hash = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(17))
+    learned = docs.where(teaches & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    learned = learned.select(F.col("lang").cast("string"), F.col("text").cast("string"), row_hash.alias("h"))
+    counts = learned.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return {}
-    chance = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_rows / r["count"]))) for r in counts], F.lit(0.0))
-    unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = learned.where(unit < chance).select("lang", "doc_id", F.substring("text", 1, piece_bytes).alias("piece")).limit(2 * sample_rows * len(counts) + 1000).collect()
-    out: dict[str, bytes] = {}
-    for lang in (r["lang"] for r in counts):
-        pieces = [letters_only(r["piece"]).encode() for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["doc_id"], r["piece"]))]
-        share = max(256, dict_bytes // max(1, len(pieces)))
-        content = b" ".join(p[:share] for p in pieces)[:dict_bytes]
-        if content:
-            out[lang] = content
-    return out
+    room = max(64, min(dict_bytes, all_bytes // len(counts)))
+    # a share is about 64 bytes at least; and with 32 rows or more expected, no language goes without any
+    most = max(32, min(sample_rows, room // 64))
+    # the bytes wanted of a row are twice its share, for rows that are short
+    plan = [(r["lang"], min(1.0, most / max(1, r["different"])), max(64, 2 * room // max(1, min(most, r["different"])))) for r in counts]
+    chances = docs.sparkSession.createDataFrame(plan, "lang string, chance double, want long")
+    unit = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, text, h, want = (c.to_pylist() for c in batch.columns)
+            # the low bits of the hash have chosen the row
+            yield arrow({"lang": lang, "h": h, "piece": [piece_of(t, (x >> 30) & 0x3FFFFFFF, piece_chars, w) for t, x, w in zip(text, h, want)]}, SAMPLE)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = ([r["piece"] for r in rows.as_py()] for rows in batch.column(1))
+            yield arrow({"lang": batch.column(0), "content": [evenly([p for p in x if p][: max(room // 64, 1)], room) for x in pieces]}, CONTENT)
+
+    sample = learned.join(F.broadcast(chances), "lang").where(unit < F.col("chance")).select("lang", "text", "h", "want").mapInArrow(cut, "lang string, h long, piece binary")
+    grouped = sample.groupBy("lang").agg(F.sort_array(F.collect_set(F.struct("h", "piece"))).alias("rows"))
+    found = {r["lang"]: bytes(r["content"]) for r in grouped.mapInArrow(join, "lang string, content binary").collect()}
+    return {r["lang"]: found[r["lang"]] for r in counts if found.get(r["lang"])}
 
 
 class Compressor:

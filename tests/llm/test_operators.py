@@ -101,6 +101,31 @@ def test_langid_odd_rows(spark, tables):
     assert {r.lang_pred for r in langid.predict(bare, {}).collect()} == {"und"}
 
 
+def test_langid_learns_every_language(spark):
+    rng = random.Random(13)
+    word = lambda signs: "".join(rng.choice(signs) for _ in range(6))
+    words = [[word(rng.sample("abcdefghijklmnopqrstuvwxyz", 8)) for _ in range(30)] for _ in range(230)]
+    say = lambda k: " ".join(rng.choice(words[k]) for _ in range(40))
+    rows = [(i, say(i % 230), f"x-{i % 230}") for i in range(920)] + [(5000, "1 2 3", "digits")] + [(6000, "many copies", "copied")] * 900 + [(6001, "one other", "copied")]
+    learned = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert set(learned) == {f"x-{k}" for k in range(230)} | {"copied"}
+    small = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), all_bytes=231 * 128)
+    assert set(small) == set(learned) and max(map(len, small.values())) <= 128
+    asked = spark.createDataFrame([(k, say(k)) for k in range(230)], "doc_id long, text string")
+    assert np.mean([r.lang_pred == f"x-{r.doc_id}" for r in langid.predict(asked, learned).collect()]) > 0.97
+
+
+def test_langid_sample_is_spread_over_rows_and_texts(spark):
+    name = lambda n: "".join(chr(97 + int(d)) for d in f"{n:05d}")
+    rows = [(i, " ".join(["opening"] * 800 + ["z" + name(i)] * 800), "en") for i in range(2000)]
+    content = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))["en"]
+    taught = {w for w in content.decode().split() if len(w) == 6 and w[0] == "z"}
+    ids_ = np.array(sorted(int("".join(str(ord(c) - 97) for c in w[1:])) for w in taught))
+    assert 0.25 < content.count(b"z") / (content.count(b"z") + content.count(b"opening")) < 0.75
+    assert len(ids_) > 120 and all(n > 15 for n in np.histogram(ids_, 5, (0, 2000))[0])
+    assert langid.evenly([b"a" * 3, b"b" * 90, b"c" * 50], 62) == b"aaa " + b"b" * 28 + b" " + b"c" * 28
+
+
 def test_folds(spark):
     got = spark.createDataFrame([(i,) for i in [0, 7, -3, 10**15, None]], "doc_id long").select("doc_id", fold("doc_id", 5).alias("f")).collect()
     assert all(r.f == (0 if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5) for r in got)
