@@ -8,11 +8,13 @@ its minimizer: the k-byte gram in it with the lowest hash, the leftmost of equal
 windows have equal minimizers at equal places, so a gram that is the minimizer of only one
 run of windows settles all of them. The other runs are shipped, each as the few hundred
 bytes that its windows cover, and are compared where their grams meet: there the suffixes
-at window starts are sorted by prefix doubling, and the longest-previous-factor array,
-from the previous smaller positions in suffix order, tells which windows have an earlier
-equal. Grams with more than `hot` runs would make large groups; their windows are keyed by
-the hash of the whole window instead, and each batch sends one record for each different
-window, so that no group exceeds the number of batches.
+at window starts are sorted by prefix doubling, and the longest-previous-factor array, up to
+`length` and from the previous and next smaller positions in suffix order, tells which
+windows have an earlier equal. Windows whose 64-bit hash occurs once where their gram meets
+have none, and are left out before the sort; between those left, factors under `length`
+aren't used. Grams with more than `hot` runs would make large groups; their windows are
+keyed by the hash of the whole window instead, without factors, and each batch sends one
+record for each different window, so that no group exceeds the number of batches.
 
 Equal texts are worked on once, with the number of copies. Texts are told apart by 84
 hash bits, windows of hot grams by 128.
@@ -122,45 +124,62 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, cap: int) -> tuple[np.nda
     return order, ranks, levels
 
 
-def longest_previous(data: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The longest-previous-factor array, up to cap, and an earlier place with that match (-1: none).
+def smaller_before(places: np.ndarray) -> np.ndarray:
+    """For each entry the nearest one on the left with a smaller value (-1: none). Values differ.
 
-    In suffix order the best earlier match of a place is its previous or its next smaller
-    place; both come from one pass with a stack.
+    Runs of 2^k entries are stepped over while their minimum is greater, the longest first.
     """
-    n = len(data)
+    places = places.astype(np.int32)
+    minima = [places]
+    while 2 << (len(minima) - 1) <= len(places):
+        half = 1 << (len(minima) - 1)
+        minima.append(np.minimum(minima[-1][:-half], minima[-1][half:]))  # of the 2 * half values from each entry on
+    at = np.arange(len(places)) - 1
+    for k in range(len(minima) - 1, -1, -1):
+        begin = at - (1 << k) + 1
+        over = np.flatnonzero(begin >= 0)
+        over = over[minima[k][begin[over]] > places[over]]
+        at[over] -= 1 << k
+    return at
+
+
+def longest_previous(data: np.ndarray, cap: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The longest-previous-factor array of the starts (all places), up to cap, and an earlier start with that match (-1: none).
+
+    In suffix order the best earlier match of a start is its previous or its next smaller
+    one. Starts ascend. Matches end with the data, not with a text in it.
+    """
+    starts = np.arange(len(data)) if starts is None else starts
+    n = len(starts)
     lpf, source = np.zeros(n, np.int64), np.full(n, -1)
     if n < 2:
         return lpf, source
-    places = np.arange(n)
-    order, _, levels = suffix_order(data, places, cap)
-    lcp = np.zeros(n + 1, np.int64)
-    a, b = order[:-1], order[1:]
-    got = np.zeros(n - 1, np.int64)
-    for width, rank in reversed(levels):
-        for _ in range(2 if width == levels[-1][0] else 1):
-            same = (rank[a + got] == rank[b + got]) & (got + width <= cap)
-            got += width * same
-    lcp[1:n] = np.minimum(np.minimum(got, cap), n - np.maximum(a, b))
-    stack: list[tuple[int, int]] = []  # place, common bytes with what is below it
-    for i in range(n + 1):
-        here = int(order[i]) if i < n else -1
-        common = int(lcp[i])
-        while stack and here < stack[-1][0]:
-            place, below = stack.pop()
-            best, start = (below, stack[-1][0] if stack else -1) if below >= common else (common, here)
-            if best > 0 and start >= 0:
-                lpf[place], source[place] = best, start
-            common = min(common, below)
-        if i < n:
-            stack.append((here, common if stack else 0))
+    order, _, levels = suffix_order(data, starts, cap)
+    sorted_ = starts[order]
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        got = np.zeros(len(a), np.int64)
+        for width, rank in reversed(levels):
+            for _ in range(2 if width == levels[-1][0] else 1):
+                same = (rank[a + got] == rank[b + got]) & (got + width <= cap)
+                got += width * same
+        return np.minimum(np.minimum(got, cap), len(data) - np.maximum(a, b))
+
+    before = smaller_before(sorted_)
+    after = n - 1 - smaller_before(sorted_[::-1])[::-1]
+    for other in (before, after):
+        has = np.flatnonzero((other >= 0) & (other < n))
+        length = common(sorted_[has], sorted_[other[has]])
+        better = length > lpf[order[has]]
+        lpf[order[has[better]]], source[order[has[better]]] = length[better], sorted_[other[has[better]]]
     return lpf, source
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For window starts, in the order of copies: has an earlier equal (factor of `length` or more); has any equal.
 
-    Only windows whose hash occurs twice are sorted, and only the bytes they cover.
+    A window whose hash occurs once has no equal, so its factor is shorter; the factors of the
+    others come from the suffixes at their starts and the bytes they cover.
     """
     earlier, some = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
     if not len(starts):
@@ -174,13 +193,12 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple
     np.add.at(cover, starts[maybe], 1)
     np.add.at(cover, starts[maybe] + length, -1)
     held = np.cumsum(cover[:-1]) > 0
-    moved = np.cumsum(held) - 1
-    order, rank, _ = suffix_order(data[held], moved[starts[maybe]], length)
-    run = rank[order]
-    like_left = np.concatenate([[False], run[1:] == run[:-1]])  # the previous smaller place matches in full
-    like_right = np.concatenate([like_left[1:], [False]])
-    earlier[maybe[order]] = like_left
-    some[maybe[order]] = like_left | like_right
+    moved = (np.cumsum(held) - 1)[starts[maybe]]
+    factor, source = longest_previous(data[held], length, moved)
+    again = factor >= length
+    earlier[maybe] = again
+    some[maybe] = again
+    some[maybe[np.searchsorted(moved, source[again])]] = True  # equal windows are a chain of sources
     return earlier, some
 
 

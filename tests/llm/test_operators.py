@@ -501,3 +501,20 @@ def test_longest_previous_factors():
             common = lambda j, i=i: next((k for k in range(min(cap, len(text) - i)) if text[i + k] != text[j + k]), min(cap, len(text) - i))
             assert got[i] == max(map(common, range(i)), default=0)
             assert source[i] == -1 or source[i] < i and common(source[i]) == got[i]
+
+
+def test_repeated_windows_follow_the_factors(monkeypatch):
+    rng = random.Random(14)
+    calls, real = [], sa_dedup.longest_previous
+    monkeypatch.setattr(sa_dedup, "longest_previous", lambda *a: calls.append(a) or real(*a))
+    for _ in range(200):
+        text, length = bytes(rng.choice(b"ab") for _ in range(rng.randint(13, 120))), rng.choice([8, 9, 13])
+        starts = np.array(sorted(rng.sample(range(len(text) - length + 1), min(rng.randint(0, 60), len(text) - length + 1))), np.int64)
+        windows = [text[i : i + length] for i in starts]
+        earlier, some = sa_dedup.repeated_windows(np.frombuffer(text, np.uint8), starts, length)
+        assert earlier.tolist() == [w in windows[:i] for i, w in enumerate(windows)]
+        assert some.tolist() == [windows.count(w) > 1 for w in windows]
+        factor, _ = real(np.frombuffer(text, np.uint8), length, starts)
+        common = lambda a, b: next((k for k in range(len(text) - b) if text[a + k] != text[b + k]), len(text) - b)  # noqa: B023, E731
+        assert factor.tolist() == [max((min(length, common(a, b)) for a in starts[:i]), default=0) for i, b in enumerate(starts)]
+    assert len(calls) > 50
