@@ -11,12 +11,24 @@ from tarnwell.llm.queries import TOKENIZERS
 
 #: Ids up to which the removed ones are broadcast (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Column that tells rows apart within a stage, as ids may be null or repeated.
+KEY = "_row_key"
 
 
-def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs less the rows with one of the ids. Rows with null id stay."""
-    gone = Workspace(docs.sparkSession).table(ids.where("doc_id is not null").distinct(), name)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row, written once so that it stays the same."""
+    return Workspace(docs.sparkSession).table(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    """Key, as doc_id, and text."""
+    return rows.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """rows less those whose key is in gone, without the key."""
+    gone = Workspace(rows.sparkSession).table(gone, name)
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, KEY, "left_anti").drop(KEY)
 
 
 def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +38,15 @@ def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of similar ones."""
-    found = ngram_join.join(docs)
-    return without(docs, found.where("doc_id <> component_id").select("doc_id"), "copies")
+    """Keeps one row, that with the smallest id (null last), of each component of similar ones."""
+    rows = keyed(docs)
+    found = ngram_join.join(by_key(rows)).select(F.col("doc_id").alias(KEY), "component_id")
+    found = Workspace(spark).table(found.join(rows.select(KEY, F.col("doc_id").cast("long")), KEY), "components")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
+    first = found.groupBy("component_id").agg(F.min(rank)[KEY].alias("kept"), F.count("*").alias("n")).where("n > 1")
+    first = Workspace(spark).table(first, "first")  # as a table, so that the join can split a large component
+    gone = found.join(first, "component_id").where(F.col(KEY) != F.col("kept")).select(KEY)
+    return without(rows, gone, "copies")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +60,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words in a row of a benchmark item."""
-    found = decontam.find(docs, read(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(F.size("spans") > 0).select("doc_id"), "leaks")
+    rows = keyed(docs)
+    found = decontam.find(by_key(rows), read(spark, sf_dir, "benchmark"))
+    return without(rows, found.where(F.size("spans") > 0).select(F.col("doc_id").alias(KEY)), "leaks")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

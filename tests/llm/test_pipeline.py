@@ -67,6 +67,22 @@ def test_stages(spark, planted):
     assert whole == {tuple(r) for r in last}
 
 
+def test_rows_are_dropped_by_row(spark, tmp_path):
+    rng = random.Random(2)
+    say = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    leak, a, b, c, d = (say() for _ in range(5))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rows = [(None, "x " + leak, "s"), (7, leak, "s"), (7, a, "s"), (8, b, None), (8, b, None), (None, c, "s"), (None, None, None)]
+    clean = corpus_pipeline.decontaminate(spark, frame(rows), str(tmp_path))
+    assert clean.columns == ["doc_id", "text", "source"]
+    assert left(clean) == sorted([(7, a), (8, b), (8, b), (None, c), (None, None)], key=str)
+    rows = [(5, a, "s"), (None, a, "s"), (3, a + " more", "s"), (3, b, "s"), (8, c, None), (8, c, None), (None, d, "s"), (None, d, "s"), (None, None, None), (None, None, None)]
+    alone = corpus_pipeline.near_duplicates(spark, frame(rows), str(tmp_path))
+    assert left(alone) == sorted([(3, a + " more"), (3, b), (8, c), (None, d), (None, None), (None, None)], key=str)
+
+
 def test_registered():
     import __spark_entry__
 
