@@ -16,10 +16,15 @@ similarity is min_percent or more; what comes back is each row's component.
    becoming all its pairs, each class is first compared with one leader of each of its
    prefix n-grams; then all pairs of different components that share a prefix n-gram, in
    blocks of the n-gram's classes. Pairs within a component can't change the result.
+   Before that, classes go for which an n-gram has no partner: the one with the smallest set
+   is too large for what is left of their own set from the n-gram on.
 4. Candidates are verified fragment by fragment: the order is cut again, each fragment
    counts a pair's partial overlap, and the counts are summed by pair.
 
-N-grams, and classes, are told apart by 63- and 64-bit hashes.
+N-grams, and classes, are told apart by 64-bit hashes. A fragment is a range of hashes, so
+that seven bytes or fewer of an n-gram's hash, beside its fragment, give all 64 bits back.
+A batch sends one parcel to each fragment that it has n-grams for; there are never more
+parcels than n-grams.
 
 Null and empty texts, and those without a word, have an empty set and link with nothing:
 their component is their own id. Rows that repeat a text share its class. Rows with a null
@@ -30,6 +35,7 @@ extra columns are passed by.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +47,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm.common import Workspace, arrow, payload, pieces
 from tarnwell.llm.components import components
 
-LOW = 40  # bits of an n-gram's hash that are kept beside its fragment
-MASK = np.uint64((1 << LOW) - 1)
+LEAST_FRAGMENTS = 256  # so that the ranges are of 2^56 hashes at most
 MIX = np.uint64(0x9E3779B97F4A7C15)
 OFTEN = 2**31 - 1  # document frequency of n-grams that are frequent within a batch
 MEMO_WORDS = 200_000
@@ -75,22 +80,41 @@ def shingles(words: list[bytes], hashes: WordHashes, width: int = 5) -> np.ndarr
 
 
 def narrow(a: np.ndarray) -> bytes:
-    """Counts as 16 bits each if they fit, else 32."""
-    return a.astype("<u2" if not len(a) or a.max() < 1 << 16 else "<u4").tobytes()
+    """Counts as 8, 16 or 32 bits each, as they fit."""
+    most = a.max(initial=0)
+    return a.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 def wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int64)
+    return np.frombuffer(raw, f"<u{len(raw) // n if n else 1}").astype(np.int64)
 
 
-def pack5(tokens: np.ndarray) -> bytes:
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8].tobytes()
+def fragment_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
+    """The fragment of each hash: fragments are equal ranges of hashes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
 
 
-def unpack5(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // (LOW // 8), 8), np.uint8)
-    out[:, : LOW // 8] = np.frombuffer(raw, np.uint8).reshape(-1, LOW // 8)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def token_bytes(fragments: int) -> int:
+    """Low bytes of a hash that tell it from all others of its fragment."""
+    return 8 - (fragments.bit_length() - 1) // 8
+
+
+def pack(hashes: np.ndarray, size: int) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpack(raw: bytes, size: int, part: int, fragments: int) -> np.ndarray:
+    """The hashes of a fragment from their low bytes."""
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    low = out.reshape(-1).view("<u8").astype(np.uint64)
+    if size == 8:
+        return low
+    first = -(-(part << 32) // fragments) << 32  # the smallest hash of the fragment
+    base, span = first >> (8 * size) << (8 * size), 1 << (8 * size)
+    low += np.uint64(base)
+    low[low < np.uint64(first)] += np.uint64(span)
+    return low
 
 
 #: kind 0: a fragment's segments; 1: rows of documents; 2: shared n-grams on their way back, by bucket of classes.
@@ -105,6 +129,8 @@ def parcels(rows: list[tuple]) -> pa.RecordBatch:
 def segments(docs: DataFrame, fragments: int, width: int, often: int, piece_bytes: int) -> DataFrame:
     """Parcels of kinds 0, 1 and 2 of all documents."""
 
+    size = token_bytes(fragments)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in pieces(batches, 1, piece_bytes):
@@ -119,7 +145,7 @@ def segments(docs: DataFrame, fragments: int, width: int, often: int, piece_byte
                 if len(own):
                     sets.setdefault(key, own)
             keys = np.array(row_keys, np.uint64)
-            name = xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1
+            name = uuid.uuid4().int >> 65  # of its own, so that equal batches don't meet in one task
             yield parcels([(1, name, keys.tobytes(), np.array(row_sizes, "<u4").tobytes(), None, None, None, None, batch.column(0).to_pylist())])
             if sets:
                 yield parcels(list(segment(np.array(list(sets), np.uint64), list(sets.values()), name)))
@@ -127,35 +153,34 @@ def segments(docs: DataFrame, fragments: int, width: int, often: int, piece_byte
     def segment(keys: np.ndarray, sets: list[np.ndarray], name: int) -> Iterator[tuple]:
         sizes = np.array([len(s) for s in sets])
         full = np.concatenate(sets)
-        part = ((full >> np.uint64(LOW)) * np.uint64(fragments)) >> np.uint64(64 - LOW)
-        token = (part << np.uint64(LOW)) | (full & MASK)
         owner = np.repeat(np.arange(len(sets)), sizes)
-        by = np.argsort(token, kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], token[by][1:] != token[by][:-1]]))
-        run = np.diff(np.append(head, len(token)))
-        frequent = np.zeros(len(token), bool)
-        frequent[by] = np.repeat(run >= often, run)
-        told = token[by][head][run >= often]
+        by = np.argsort(full, kind="stable")  # by fragment, as fragments are ranges, and by set within an n-gram
+        full, owner = full[by], owner[by]
+        head = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]]))
+        run = np.diff(np.append(head, len(full)))
+        frequent = np.repeat(run >= often, run)
+        told = full[head][run >= often]
         if frequent.any():
-            own, t = owner[frequent], token[frequent]
+            inner = np.argsort(owner[frequent], kind="stable")
+            own, t = owner[frequent][inner], full[frequent][inner]
             count = np.bincount(own, minlength=len(sets))
             have = np.flatnonzero(count)
             yield (2, name, keys[have].tobytes(), narrow(sizes[have]), narrow(count[have]), t.astype("<u8").tobytes(), None, np.full(len(t), OFTEN, "<u4").tobytes(), None)
-        rest = np.flatnonzero(~frequent)
-        by = rest[np.argsort(part[rest], kind="stable")]  # by fragment, then by set
-        p, own, t = part[by].astype(np.int64), owner[by], token[by]
-        told_part = (told >> np.uint64(LOW)).astype(np.int64)
+        own, t = owner[~frequent], full[~frequent]
+        p, told_part = fragment_of(t, fragments), fragment_of(told, fragments)
         for k in np.union1d(p, told_part):
             a, b = np.searchsorted(p, [k, k + 1])
+            inner = a + np.argsort(own[a:b], kind="stable")
             have, count = np.unique(own[a:b], return_counts=True)
-            yield (0, int(k), keys[have].tobytes(), narrow(sizes[have]), narrow(count), pack5(t[a:b]), pack5(told[told_part == k]), None, None)
+            yield (0, int(k), keys[have].tobytes(), narrow(sizes[have]), narrow(count), pack(t[inner], size), pack(told[told_part == k], size), None, None)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     return rows.mapInArrow(work, PARCEL)
 
 
-def shared(parcels_: DataFrame, buckets: int) -> DataFrame:
+def shared(parcels_: DataFrame, fragments: int, buckets: int) -> DataFrame:
     """Parcels of kinds 1 and 2: rows of documents, and n-grams of two classes or more by bucket of classes."""
+    low = token_bytes(fragments)
 
     def split(keys, sizes, owner, tokens, freqs) -> list[tuple]:
         """owner: place in keys of each token."""
@@ -183,8 +208,8 @@ def shared(parcels_: DataFrame, buckets: int) -> DataFrame:
             tokens, freqs = (np.concatenate([np.frombuffer(x, t) for x in raw[c]]) for c, t in (("tokens", "<u8"), ("freqs", "<u4")))
             rows = split(key, sizes, owner, tokens, freqs)
         else:
-            tokens = np.concatenate([unpack5(x) for x in raw["tokens"]]) | (np.uint64(part) << np.uint64(LOW))
-            told = np.unique(np.concatenate([unpack5(x) for x in raw["often"]]) | (np.uint64(part) << np.uint64(LOW)))
+            tokens = unpack(b"".join(raw["tokens"]), low, part, fragments)
+            told = np.unique(unpack(b"".join(raw["often"]), low, part, fragments))
             # a class may come from several batches
             by = np.lexsort((key[owner], tokens))
             t, k = tokens[by], key[owner][by]
@@ -268,8 +293,17 @@ def fitting(rows: DataFrame, min_percent: int) -> DataFrame:
 
 
 def across(entries: DataFrame, roots: DataFrame, min_percent: int, block: int, work: Workspace) -> DataFrame:
-    """All pairs of different components that share a prefix n-gram: blocks of its classes against each other."""
+    """All pairs of different components that share a prefix n-gram: blocks of its classes against each other.
+
+    Classes that no other class of the n-gram can be a partner of by fitting's rule, as even
+    the smallest is too large, are left out before: texts that share a template, but less of
+    it than the threshold, make no pairs.
+    """
     named = entries.join(roots, entries["key"] == roots["node"], "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+    # the largest partner that a class can have by what is left of it from the n-gram on
+    named = work.table(named.withColumn("reach", F.floor((F.lit(100 + min_percent) * (F.col("n") - F.col("at"))) / F.lit(min_percent)) - F.col("n")), "named")
+    least = named.groupBy("token").agg(F.min("n").alias("least"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+    named = named.join(work.table(least.select("token", "least"), "least_n"), "token").where("reach >= least").drop("reach", "least")
     split = named.groupBy("token").agg(F.count("*").alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
     split = work.table(split.select("token", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "split")
     placed = named.join(split, "token")
@@ -283,12 +317,15 @@ def join(docs: DataFrame, min_percent: int = 80, width: int = 5, fragment_bytes:
     """doc_id, n_shingles and component_id of each row.
 
     fragment_bytes: text by which a fragment of the n-gram order grows; the number of
-    fragments follows the input.
+    fragments follows the input, from LEAST_FRAGMENTS and the number of shuffle partitions on.
     """
+    if not 0 < min_percent <= 100:
+        raise ValueError(f"min_percent is from 1 to 100, not {min_percent}")
     work = Workspace(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    fragments = min(1 << 22, max(1, math.ceil(size / fragment_bytes)))
-    found = work.table(shared(segments(docs, fragments, width, often, piece_bytes), max(1, fragments // 2)), "shared")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    fragments = min(1 << 22, max(LEAST_FRAGMENTS, partitions, math.ceil(size / fragment_bytes)))
+    found = work.table(shared(segments(docs, fragments, width, often, piece_bytes), fragments, max(1, fragments // 2)), "shared")
     rows = work.table(rows_of(found), "rows")
     classes = work.table(ordered(found, min_percent), "classes")
     work.free("shared")
@@ -296,7 +333,7 @@ def join(docs: DataFrame, min_percent: int = 80, width: int = 5, fragment_bytes:
     links = work.table(verified(candidates(entries, min_percent, work), classes, min_percent, cuts), "links")
     roots = components(links)
     more = work.table(verified(across(entries, roots, min_percent, block, work), classes, min_percent, cuts), "more")
-    work.free("classes", "entries", "lead", "split")
+    work.free("classes", "entries", "lead", "named", "least_n", "split")
     roots = components(links.union(more))
     work.free("links", "more")
     return labelled(rows, roots)

@@ -504,6 +504,31 @@ def test_longest_previous_factors():
 
 
 def test_repeated_windows_follow_the_factors(monkeypatch):
+def test_ngrams_are_told_apart_by_64_bits(spark):
+    # the hashes of these two words have equal low 40 bits
+    apart = {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, [(1, "w1017641"), (2, "w1110734"), (3, "w1017641")])).collect()}
+    assert apart == {1: 1, 2: 2, 3: 1}
+    rng = np.random.default_rng(15)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1, 1 << 56, (1 << 56) - 1], np.uint64)]))
+    for fragments in (1, 3, 255, 256, 300, 1 << 16, 70_001, 1 << 22):
+        part = ngram_join.fragment_of(hashes, fragments)
+        assert (np.diff(part) >= 0).all() and part[0] == 0 and part[-1] == fragments - 1
+        size = ngram_join.token_bytes(fragments)
+        for k in np.unique(part)[[0, 1 % len(np.unique(part)), -1]]:
+            own = hashes[part == k]
+            assert (ngram_join.unpack(ngram_join.pack(own, size), size, int(k), fragments) == own).all()
+
+
+def test_ngram_join_of_templates(spark):
+    """Texts that share a template but less of it than the threshold, some that share enough, and many different sizes."""
+    rng = random.Random(16)
+    say = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    template = say(60)
+    rows = [(i, f"{template} {say(rng.choice([2, 9, 14, 15, 16, 20, 25]))}") for i in range(120)]
+    got = Counter(tuple(r) for r in ngram_join.join(frame(spark, rows), block=8).collect())
+    assert got == similar(rows)
+
+
     rng = random.Random(14)
     calls, real = [], sa_dedup.longest_previous
     monkeypatch.setattr(sa_dedup, "longest_previous", lambda *a: calls.append(a) or real(*a))
