@@ -6,11 +6,15 @@ import hashlib
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
 from tarnwell.functions import text as tx
 
@@ -85,27 +89,79 @@ def generate(rows: DataFrame, config: ModelConfig, key: str, ruling: str, prompt
     return rows.select(key, F.col(ruling).alias("ruling"), F.col(prompt).alias("prompt")).mapInPandas(work, f"`{key}` {key_type}, model string, generated string, error string")
 
 
-def summarize(texts: DataFrame, keys: list[str], text: str, limit: int) -> DataFrame:
-    """Stand-in summary: a text's first sentences within a token limit."""
-    short = F.aggregate(tx.sentences(F.col(text)), F.lit(""), lambda a, s: F.when((a == "") | (tx.tokens_estimate(F.concat(a, F.lit(" "), s)) <= limit), F.trim(F.concat(a, F.lit(" "), s))).otherwise(a))
-    return texts.select(*keys, tx.shorten(short, 4 * limit, "").alias("summary"))
+def run_generation(rows: DataFrame, models: list[ModelConfig], key: str, ruling: str, prompt: str, reference: str, done: DataFrame | None = None) -> DataFrame:
+    """key, model, generated_press, reference_press, error and prompt of each row for each model.
+
+    done: results of an earlier run; what it holds is kept and not made again. The answer is
+    cut to what follows the request; a failed call keeps its row, with empty text and the error.
+    """
+    columns = [key, "model", "generated_press", "reference_press", "error", "prompt"]
+    parts = []
+    for config in models:
+        todo = rows if done is None else rows.join(done.where(F.col("model") == config.name).select(key), key, "left_anti")
+        made = generate(todo.select(key, ruling, prompt), config, key, ruling, prompt).join(todo.select(key, F.col(ruling).alias("_ruling"), F.col(prompt).alias("prompt"), F.col(reference).alias("reference_press")), key)
+        given = F.concat(F.lit(f"{tx.RULING_MARK} "), "_ruling", F.lit("\n\n"), "prompt")
+        text = F.coalesce(tx.generated_part(F.col("generated"), F.coalesce(given, F.lit(""))), F.lit(""))
+        parts.append(made.select(key, "model", text.alias("generated_press"), "reference_press", F.coalesce("error", F.lit("")).alias("error"), "prompt"))
+    new = reduce(DataFrame.unionByName, parts)
+    return new.select(*columns) if done is None else done.select(*columns).unionByName(new.select(*columns))
+
+
+@dataclass
+class Token:
+    """What a language model says of a word."""
+
+    text: str
+    lemma: str
+    pos: str = "NOUN"
+    stop: bool = False
+
+
+#: Parts of speech that are kept, and the length from which long texts are cut, and to which.
+CONTENT_POS = ["NOUN", "VERB", "ADJ", "ADV"]
+LONG_CHARS, CUT_CHARS = 5000, 1000
 
 
-def summarize_levels(chunks: DataFrame, key: str, position: str, text: str, lengths: list[int], fan_in: int = 2) -> DataFrame:
-    """key, level, chunk_index, summary of all levels: each level joins fan_in neighbours of the one below.
+def lemmas(text: Column, analyse: Callable[[str], list[Token]], cut_long: bool = False) -> Column:
+    """Lower-cased lemmas of content words: letters only, three or more, no stop words; joined by blanks. Null gives an empty text.
 
-    The number of levels is the logarithm of the longest text's chunks; within a level all
-    texts are worked on side by side. A text with one summary left goes no further.
+    analyse: a tagger's call, made in Arrow batches. cut_long: texts over LONG_CHARS count with their first CUT_CHARS.
     """
-    level = summarize(chunks, [key, position], text, lengths[0] if lengths else 900).withColumnRenamed(position, "chunk_index")
-    out = level.withColumn("level", F.lit(0))
-    for k, length in enumerate(lengths, 1):
-        more = level.groupBy(key).agg(F.max("chunk_index").alias("_last")).where("_last > 0")
-        grouped = level.join(more.select(key), key, "left_semi").withColumn("_g", F.floor(F.col("chunk_index") / fan_in).cast(level.schema["chunk_index"].dataType))
-        merged = grouped.groupBy(key, "_g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "summary"))), lambda x: x["summary"]), "\n\n").alias("_t"))
-        level = summarize(merged.withColumnRenamed("_g", "chunk_index"), [key, "chunk_index"], "_t", length)
-        out = out.unionByName(level.withColumn("level", F.lit(k)))
-    return out
+
+    @F.arrow_udf(StringType())
+    def call(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            t = t or ""
+            found = analyse(t[:CUT_CHARS] if cut_long and len(t) > LONG_CHARS else t) if t else []
+            out.append(" ".join(x.lemma.lower() for x in found if not x.stop and x.pos in CONTENT_POS and x.text.isalpha() and len(x.text) > 2))
+        return pa.array(out, pa.string())
+
+    return call(text)
+
+
+def token_length(text: Column, count: Callable[[str], int] | None = None) -> Column:
+    """Tokens of a text by a tokenizer's count, or by the estimate; null has none."""
+    if count is None:
+        return F.coalesce(tx.tokens_estimate(text), F.lit(0).cast("long"))
+
+    @F.arrow_udf(LongType())
+    def call(texts: pa.Array) -> pa.Array:
+        return pa.array([count(t) if t else 0 for t in texts.to_pylist()], pa.int64())
+
+    return call(text)
+
+
+@F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+def hashed_vectors(words: pa.Array) -> pa.Array:
+    """Stand-in for a transformer's token vectors: 16 signs of a digest for each word."""
+    flat = words.flatten().dictionary_encode()
+    digests = [np.frombuffer(hashlib.sha256(w.encode()).digest()[:2], np.uint8) for w in flat.dictionary.to_pylist()]
+    table = np.unpackbits(np.array(digests, np.uint8).reshape(-1, 2), axis=1).astype(float) * 2 - 1
+    vectors = table[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros((0, 16))
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * 16), pa.array(vectors.ravel()))
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), inner)
 
 
 def normalised(text: Column, stop_words: list[str] = tx.STOP_WORDS) -> Column:

@@ -64,24 +64,3 @@ def level_lengths(n: Column, most: int = 1 << 12, **config) -> Column:
         lengths = levels(k, **config)
         out = F.when(n >= k, F.array(*[F.lit(x) for x in lengths]) if lengths else F.array().cast("array<int>")).otherwise(out)
     return out
-
-
-def merge_groups(summaries: list[str], max_context: int, max_tokens: int, template_tokens: int, reserve: int = 50) -> list[str]:
-    """Numbered summaries packed into the room that a merge prompt leaves.
-
-    A summary's number is its place in the group that is open when it comes, so the one
-    that opens a new group carries the number it would have had in the group before.
-    """
-    room = max_context - max_tokens - template_tokens - reserve
-    groups: list[list[str]] = []
-    held = 0
-    for summary in summaries:
-        entry = f"Summary {len(groups[-1]) + 1 if groups else 1}:\n\n{summary}"
-        size = len(entry) // 4
-        if groups and held + size <= room:
-            groups[-1].append(entry)
-            held += size
-        else:
-            groups.append([entry])
-            held = size
-    return ["\n\n".join(g) for g in groups]

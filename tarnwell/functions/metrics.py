@@ -3,58 +3,144 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
 from tarnwell.functions import text as tx
+from tarnwell.functions.stemming import porter
 
-#: Weights of BLEU-1 to BLEU-4, and the smoothing of empty n-gram matches.
+#: Weights of BLEU-1 to BLEU-4, the smoothing of empty n-gram matches, errors of the factual metrics.
 BLEU_WEIGHTS = {1: (1.0, 0.0, 0.0, 0.0), 2: (0.5, 0.5, 0.0, 0.0), 3: (0.33, 0.33, 0.33, 0.0), 4: (0.25, 0.25, 0.25, 0.25)}
 BLEU_EPSILON = 0.1
+NO_QUESTIONS, NO_ANSWERS, NO_SCORES = "Keine gültigen Fragen generiert", "Keine gültigen Antwortpaare gefunden", "Keine gültigen Scores berechnet"
+NO_CLAIMS = "Keine gültigen Behauptungen extrahiert"
+
+
+def coded(*sides: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each list array the row of each word and a number for it; equal words have equal numbers on all sides."""
+    words = pa.concat_arrays([s.flatten() for s in sides]).dictionary_encode()
+    number, out, at = words.indices.to_numpy(zero_copy_only=False), [], 0
+    for s in sides:
+        sizes = s.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        out.append((np.repeat(np.arange(len(s)), sizes), number[at : at + int(sizes.sum())].astype(np.int64)))
+        at += int(sizes.sum())
+    return out
+
+
+def counted(rows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item, count and first place of the different items of each row."""
+    width = int(items.max(initial=0)) + 1
+    key, first, n = np.unique(rows * width + items, return_index=True, return_counts=True)
+    return key // width, key % width, n, first
+
+
+@F.arrow_udf(DoubleType())
+def _keyword_overlap(reference: pa.Array, generated: pa.Array, most: pa.Array) -> pa.Array:
+    rows, k = len(reference), most[0].as_py() if len(most) else 0
+    best = []
+    for r, w in coded(reference, generated):
+        row, word, n, first = counted(r, w)
+        order = np.lexsort((first, -n, row))
+        row, word = row[order], word[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best.append((row[place < k], word[place < k]))
+    width = max([int(w.max(initial=0)) for _, w in best]) + 1
+    (ra, wa), (rb, wb) = best
+    both = np.bincount(ra[np.isin(ra * width + wa, rb * width + wb)], minlength=rows)
+    a, b = np.bincount(ra, minlength=rows), np.bincount(rb, minlength=rows)
+    return pa.array(np.where((a > 0) & (b > 0), both / np.maximum(a + b - both, 1), 0.0))
+
+
+def keyword_overlap(reference: Column, generated: Column, most: int = 20) -> Column:
+    """Jaccard of the most frequent words of both texts, stop words aside; ties in frequency go to the word that comes first.
+
+    Words are split in the engine and counted in Arrow batches: nothing is shuffled.
+    """
+    kept = lambda c: F.filter(tx.words(F.coalesce(c, F.lit(""))), lambda w: ~w.isin(tx.STOP_WORDS))
+    return _keyword_overlap(kept(reference), kept(generated), F.lit(most))
 
 
-def keyword_overlap(pairs: DataFrame, keys: list[str], reference: str, generated: str, most: int = 20) -> DataFrame:
-    """keys and keyword_overlap: Jaccard of the most frequent words of both sides, stop words aside.
+def gram_matches(reference: Column, generated: Column, orders: tuple[int, ...]) -> Column:
+    """An array of structs (k, matched, n_ref, n_gen) of the n-grams of each order of two word lists; matches are clipped.
 
-    Ties in frequency go to the word that comes first. Words are counted by pair and side,
-    so a long text never becomes one row of a quadratic fold.
+    Longer n-grams are numbered from pairs of a shorter one and a word, for a whole batch at once.
     """
-    sides = F.array(F.struct(F.lit(0).alias("side"), tx.words(F.col(reference)).alias("w")), F.struct(F.lit(1).alias("side"), tx.words(F.col(generated)).alias("w")))
-    each = pairs.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.side", F.posexplode("s.w").alias("pos", "word"))
-    counts = each.where(~F.col("word").isin(tx.STOP_WORDS)).groupBy(*keys, "side", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    top = Window.partitionBy(*keys, "side").orderBy(F.desc("n"), "first")
-    best = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= most)
-    by_word = best.groupBy(*keys, "word").agg(F.count("*").alias("sides"), F.min("side").alias("low"), F.max("side").alias("high"))
-    shares = by_word.groupBy(*keys).agg(F.sum((F.col("sides") == 2).cast("long")).alias("both"), F.count("*").alias("all"), F.min("low").alias("low"), F.max("high").alias("high"))
-    value = F.when((F.col("low") == 0) & (F.col("high") == 1), F.col("both") / F.col("all")).otherwise(0.0)
-    return pairs.select(*keys).join(shares.select(*keys, value.alias("v")), keys, "left").select(*keys, F.coalesce("v", F.lit(0.0)).alias("keyword_overlap"))
 
+    @F.arrow_udf("array<struct<k:int,matched:bigint,n_ref:bigint,n_gen:bigint>>")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        rows, sides = len(a), coded(a, b)
+        grams, found = [w for _, w in sides], {}
+        for k in range(1, max(orders) + 1):
+            if k > 1:
+                width = max(int(w.max(initial=0)) for _, w in sides) + 1
+                joined, keep = [], []
+                for (r, w), g in zip(sides, grams):
+                    last = len(w) - k + 1
+                    keep.append(np.flatnonzero(r[: max(last, 0)] == r[k - 1 :]) if last > 0 else np.zeros(0, np.int64))
+                    joined.append(g[keep[-1]] * width + w[keep[-1] + k - 1])
+                number = np.unique(np.concatenate(joined), return_inverse=True)[1].reshape(-1)
+                cut = len(joined[0])
+                for side, (at, part) in enumerate(zip(keep, (number[:cut], number[cut:]))):
+                    grams[side] = np.zeros(len(sides[side][1]), np.int64)
+                    grams[side][at] = part
+                lists = [(sides[i][0][keep[i]], grams[i][keep[i]]) for i in (0, 1)]
+            else:
+                lists = [(sides[i][0], grams[i]) for i in (0, 1)]
+            if k in orders:
+                width = max(int(g.max(initial=0)) for _, g in lists) + 1
+                (ka, na), (kb, nb) = (np.unique(r * width + g, return_counts=True) for r, g in lists)
+                same, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+                matched = np.bincount(same // width, np.minimum(na[ia], nb[ib]), rows).astype(np.int64)
+                found[k] = (matched, *(np.bincount(r, minlength=rows) for r, _ in lists))
+        columns = [np.stack([found[k][i] for k in orders], 1).ravel() for i in range(3)]
+        items = pa.StructArray.from_arrays([pa.array(np.tile(np.array(orders, np.int32), rows)), *map(pa.array, columns)], ["k", "matched", "n_ref", "n_gen"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * len(orders)), items)
+
+    return count(_list(reference), _list(generated))
+
+
+def _list(words: Column) -> Column:
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
+def _ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / F.greatest(b, F.lit(1))).otherwise(0.0)
+
+
+def f_measure(p: Column, r: Column) -> Column:
+    return F.when(p + r > 0, 2 * p * r / F.when(p + r > 0, p + r)).otherwise(0.0)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def stems(words: pa.Array) -> pa.Array:
+    """The words with those of more than three letters cut to their stem."""
+    flat = words.flatten().dictionary_encode()
+    made = pa.array([porter(w) if len(w) > 3 else w for w in flat.dictionary.to_pylist()], pa.string())
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), made.take(flat.indices))
 
-def grams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
+def rouge_words(text: Column, stem: bool = True) -> Column:
+    """Word tokens for ROUGE: with stems runs of a-z and digits, cut to their stem; without, lower-cased words."""
+    if not stem:
+        return tx.words(text)
+    return stems(F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: w != ""))
 
-def gram_matches(pairs: DataFrame, keys: list[str], reference: Column, generated: Column, orders: list[int]) -> DataFrame:
-    """keys, k, matched (clipped), n_ref and n_gen of the n-grams of each order."""
-    tokens = pairs.select(*keys, reference.alias("_r"), generated.alias("_g"))
-    each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("side"), grams(F.col(c), k).alias("grams")) for k in orders for s, c in ((0, "_r"), (1, "_g"))])
-    rows = tokens.select(*keys, F.explode(each).alias("e")).select(*keys, "e.k", "e.side", F.explode("e.grams").alias("gram"))
-    by = rows.groupBy(*keys, "k", "gram").agg(F.sum((F.col("side") == 0).cast("long")).alias("r"), F.sum((F.col("side") == 1).cast("long")).alias("g"))
-    return by.groupBy(*keys, "k").agg(F.sum(F.least("r", "g")).alias("matched"), F.sum("r").alias("n_ref"), F.sum("g").alias("n_gen"))
 
+def rouge_n(reference: Column, generated: Column, orders: tuple[int, ...] = (1, 2)) -> Column:
+    """An array of structs (k, precision, recall, fmeasure, n_ref, n_gen) of ROUGE-k of two word lists."""
 
-def rouge_n(pairs: DataFrame, keys: list[str], reference: str, generated: str, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """keys, k, precision, recall and fmeasure of ROUGE-k on lower-cased word tokens, without stemming."""
-    found = gram_matches(pairs, keys, tx.words(F.col(reference)), tx.words(F.col(generated)), list(orders))
-    p = F.when(F.col("n_gen") > 0, F.col("matched") / F.col("n_gen")).otherwise(0.0)
-    r = F.when(F.col("n_ref") > 0, F.col("matched") / F.col("n_ref")).otherwise(0.0)
-    scored = found.select(*keys, "k", p.alias("precision"), r.alias("recall"))
-    return scored.withColumn("fmeasure", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    def one(x: Column) -> Column:
+        p, r = _ratio(x["matched"], x["n_gen"]), _ratio(x["matched"], x["n_ref"])
+        return F.struct(x["k"].alias("k"), p.alias("precision"), r.alias("recall"), f_measure(p, r).alias("fmeasure"), x["n_ref"].alias("n_ref"), x["n_gen"].alias("n_gen"))
+
+    return F.transform(gram_matches(reference, generated, orders), one)
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -66,22 +152,19 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf(LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        codes = {w: i for i, w in enumerate(dict.fromkeys([*x, *y]))}
-        out.append(lcs(np.array([codes[w] for w in x], np.int64), np.array([codes[w] for w in y], np.int64)))
-    return pd.Series(out, dtype="int64")
+@F.arrow_udf(LongType())
+def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+    (ra, wa), (rb, wb) = coded(a, b)
+    at, to = (np.searchsorted(r, np.arange(len(a) + 1)) for r in (ra, rb))
+    return pa.array([lcs(wa[at[i] : at[i + 1]], wb[to[i] : to[i + 1]]) for i in range(len(a))], pa.int64())
 
 
 def rouge_l(reference: Column, generated: Column) -> Column:
-    """A struct (precision, recall, fmeasure) of the longest common subsequence of word tokens."""
-    a, b = tx.words(reference), tx.words(generated)
+    """A struct (precision, recall, fmeasure) of the longest common subsequence of two word lists."""
+    a, b = _list(reference), _list(generated)
     common = lcs_length(a, b)
-    p = F.when(F.size(b) > 0, common / F.size(b)).otherwise(0.0)
-    r = F.when(F.size(a) > 0, common / F.size(a)).otherwise(0.0)
-    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("fmeasure"))
+    p, r = _ratio(common, F.size(b)), _ratio(common, F.size(a))
+    return F.struct(p.alias("precision"), r.alias("recall"), f_measure(p, r).alias("fmeasure"))
 
 
 def bleu_tokens(text: Column) -> Column:
@@ -89,19 +172,25 @@ def bleu_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"((?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))
 
 
-def bleu(pairs: DataFrame, keys: list[str], reference: str, generated: str) -> DataFrame:
-    """keys and bleu1..bleu4: modified precisions, epsilon for empty matches, brevity penalty; 0 without a common word."""
-    found = gram_matches(pairs, keys, bleu_tokens(F.col(reference)), bleu_tokens(F.col(generated)), [1, 2, 3, 4])
-    pick = lambda c, k: F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
-    wide = found.groupBy(*keys).agg(*[pick(c, k) for k in (1, 2, 3, 4) for c in ("matched", "n_gen")], pick("n_ref", 1))
-    logs = [F.log(F.when(F.col(f"matched{k}") == 0, BLEU_EPSILON).otherwise(F.col(f"matched{k}")) / F.greatest(F.col(f"n_gen{k}"), F.lit(1))) for k in (1, 2, 3, 4)]
-    brevity = F.when(F.col("n_gen1") == 0, 0.0).when(F.col("n_gen1") > F.col("n_ref1"), 1.0).otherwise(F.exp(1 - F.col("n_ref1") / F.greatest(F.col("n_gen1"), F.lit(1))))
-    out = []
-    for k, weights in BLEU_WEIGHTS.items():
-        total = sum((w * x for w, x in zip(weights[1:], logs[1:]) if w), weights[0] * logs[0])
-        out.append(F.when(F.col("matched1") == 0, 0.0).otherwise(brevity * F.exp(total)).alias(f"bleu{k}"))
-    zero = [F.coalesce(f"bleu{k}", F.lit(0.0)).alias(f"bleu{k}") for k in BLEU_WEIGHTS]
-    return pairs.select(*keys).join(wide.select(*keys, *out), keys, "left").select(*keys, *zero)
+def bleu(reference: Column, generated: Column, weights: dict[int, tuple[float, ...]] = BLEU_WEIGHTS) -> Column:
+    """A struct of bleu<name> for each tuple of weights by n-gram order.
+
+    Modified precisions, epsilon for empty matches, brevity penalty; 0 without a common word.
+    """
+    orders = tuple(range(1, max(map(len, weights.values())) + 1))
+    found = gram_matches(bleu_tokens(reference), bleu_tokens(generated), orders)
+
+    def scored(m: Column) -> Column:
+        logs = [F.log(F.when(m[i]["matched"] == 0, BLEU_EPSILON).otherwise(m[i]["matched"]) / F.greatest(m[i]["n_gen"], F.lit(1))) for i in range(len(orders))]
+        n_ref, n_gen = m[0]["n_ref"], m[0]["n_gen"]
+        brevity = F.when(n_gen == 0, 0.0).when(n_gen > n_ref, 1.0).otherwise(F.exp(1 - n_ref / F.greatest(n_gen, F.lit(1))))
+        out = []
+        for name, own in weights.items():
+            total = sum((w * x for w, x in zip(own[1:], logs[1:]) if w), own[0] * logs[0])
+            out.append(F.when(m[0]["matched"] == 0, 0.0).otherwise(brevity * F.exp(total)).alias(f"bleu{name}"))
+        return F.struct(*out)
+
+    return F.transform(F.array(found), scored)[0]  # bound once: the counts are used many times
 
 
 def stem(word: str) -> str:
@@ -136,22 +225,101 @@ def meteor_score(reference: list[str], generated: list[str], alpha: float = 0.9,
     return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (chunks / len(pairs)) ** beta)
 
 
-@F.pandas_udf(DoubleType())
-def meteor(reference: pd.Series, generated: pd.Series) -> pd.Series:
-    return pd.Series([meteor_score(list(a), list(b)) if len(a) and len(b) else 0.0 for a, b in zip(reference, generated)], dtype="float64")
+@F.arrow_udf(DoubleType())
+def meteor(reference: pa.Array, generated: pa.Array) -> pa.Array:
+    return pa.array([meteor_score(a, b) if a and b else 0.0 for a, b in zip(reference.to_pylist(), generated.to_pylist())], pa.float64())
+
+
+def _folded(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
+
+
+def dot(a: Column, b: Column) -> Column:
+    """The products of two arrays' elements, added up in order."""
+    return _folded(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of equal length, added up in order."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    """Cosine of two arrays of equal length."""
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def unit(vector: Column) -> Column:
+    """The vector at length 1; a zero vector stays."""
+    length = F.sqrt(dot(vector, vector))
+    return F.transform(F.arrays_zip(vector.alias("x"), F.array_repeat(length, F.size(vector)).alias("n")), lambda z: F.when(z["n"] > 0, z["x"].cast("double") / z["n"]).otherwise(0.0))
+
+
+def mean_pool(vectors: Column) -> Column:
+    """The mean of an array of equally long vectors; an empty array gives an empty vector."""
+    places = F.sequence(F.lit(0), F.greatest(F.size(vectors[0]), F.lit(1)) - 1)
+    mean = F.transform(places, lambda i: _folded(F.transform(vectors, lambda v: v[i].cast("double"))) / F.size(vectors))
+    return F.when(F.size(vectors) > 0, mean).otherwise(F.array().cast("array<double>"))
+
+
+def semantic_similarity(reference: Column, generated: Column) -> Column:
+    """Product of the mean-pooled token vectors of two texts at length 1."""
+    return dot(unit(mean_pool(reference)), unit(mean_pool(generated)))
+
+
 def greedy_match(reference: Column, generated: Column) -> Column:
-    """A struct (precision, recall, f1): mean best cosine of each token vector with those of the other side."""
-    best = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: cosine(x, y)))), F.lit(0.0), lambda s, v: s + v) / F.size(xs)
-    p, r = best(generated, reference), best(reference, generated)
-    return F.struct(p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r)).alias("f1"))
+    """A struct (precision, recall, f1): mean best cosine of each token vector with those of the other side; lengths are taken once a vector."""
+    units = lambda xs: F.transform(xs, unit)
+
+    def matched(z: Column) -> Column:
+        best = lambda xs, ys: _folded(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: dot(x, y))))) / F.size(xs)
+        return F.struct(best(z["g"], z["r"]).alias("precision"), best(z["r"], z["g"]).alias("recall"))
+
+    found = F.transform(F.array(F.struct(units(reference).alias("r"), units(generated).alias("g"))), matched)[0]
+    p, r = found["precision"], found["recall"]
+    return F.struct(p.alias("precision"), r.alias("recall"), f_measure(p, r).alias("f1"))
+
+
+def word_share(source: Column, claim: Column) -> Column:
+    """Stand-in for a classifier of claims: the share of a claim's different words that the source has."""
+    own, other = F.array_distinct(tx.words(claim)), F.array_distinct(tx.words(source))
+    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, other)) / F.greatest(F.size(own), F.lit(1)))
+
+
+def claim_scores(source: Column, generated: Column, classify: Callable[[Column, Column], Column] = word_share, threshold: float = 0.5) -> Column:
+    """A struct (score, consistency_ratio, claim_count, error) of the generated text's claims, each judged by classify(source, claim).
+
+    Without a claim the score is NaN, the ratio null and the error says so.
+    """
+    found = tx.claims(F.coalesce(generated, F.lit("")))
+    scores = F.transform(found, lambda c: classify(source, c))
+    n = F.size(found)
+    any_ = n > 0
+    return F.struct(
+        F.when(any_, _folded(scores) / F.greatest(n, F.lit(1))).otherwise(F.lit(float("nan"))).alias("score"),
+        F.when(any_, F.size(F.filter(scores, lambda s: s >= threshold)) / F.greatest(n, F.lit(1))).alias("consistency_ratio"),
+        n.alias("claim_count"),
+        F.when(~any_, NO_CLAIMS).alias("error"),
+    )
+
+
+def answer_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard of the lower-cased words of two answers; null if either has none."""
+    x, y = (F.array_distinct(tx.plain_words(F.lower(c))) for c in (a, b))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)))
+
+
+def question_scores(questions: Column, source_answers: Column, generated_answers: Column, similar: Callable[[Column, Column], Column] = answer_jaccard) -> Column:
+    """A struct (score, question_count, valid_answers, error) of answers to the same questions from two texts.
+
+    Pairs count where both sides answered. Without a question, a pair or a score the score
+    is NaN, valid_answers null, and the error says which.
+    """
+    pairs = F.filter(F.arrays_zip(source_answers.alias("a"), generated_answers.alias("b")), lambda z: (F.length(F.coalesce(z["a"], F.lit(""))) > 0) & (F.length(F.coalesce(z["b"], F.lit(""))) > 0))
+    scores = F.array_compact(F.transform(pairs, lambda z: similar(z["a"], z["b"])))
+    n, error = F.size(scores), F.when(F.size(questions) <= 0, NO_QUESTIONS).when(F.size(pairs) == 0, NO_ANSWERS).when(F.size(scores) == 0, NO_SCORES)
+    fine = error.isNull()
+    return F.struct(
+        F.when(fine, _folded(scores) / F.greatest(n, F.lit(1))).otherwise(F.lit(float("nan"))).alias("score"),
+        F.greatest(F.size(questions), F.lit(0)).alias("question_count"),
+        F.when(fine, n).alias("valid_answers"),
+        error.alias("error"),
+    )
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:

@@ -16,6 +16,9 @@ STOP_WORDS = [
     "der", "die", "das", "und", "in", "zu", "den", "mit", "von", "für", "auf", "im", "nicht", "ein", "eine",
     "ist", "es", "an", "dass", "sich", "bei", "als", "nach", "auch", "vor", "durch", "zum", "zur", "aus", "über",
 ]
+#: Before a blank or line break after a mark, or a blank after a mark and a quote.
+BOUNDARY = r'(?=(?<=[.?!])[ \n]|(?<=[.?!]") )'
+OUTPUT_ENDINGS = ["_gen_hier_summary", "_generated_judgement_summary"]
 PLACE_WORDS = ["stadt", "land", "bundesland", "gericht"]
 RULING_MARK = "Gerichtsurteil:"
 CLAIM_BREAK = r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)\s"
@@ -25,6 +28,8 @@ JUDGE_FIELDS = ["faktische_korrektheit", "vollständigkeit", "klarheit", "strukt
 
 WORD = r"[\p{L}\p{N}_]"
 WHITE = r"(?U)\s+"
+#: All characters that count as white space: those of Unicode and the four separators of ASCII.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def bounded(phrase: str) -> str:
@@ -33,7 +38,8 @@ def bounded(phrase: str) -> str:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """The text without white space at both ends, as Python strips it."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def any_contains(text: Column, phrases: list[str]) -> Column:
@@ -164,20 +170,46 @@ def special_share(text: Column) -> Column:
 
 
 def sanitize(answer: Column, least: int = 10, most: int = 5000, special: float = 0.3) -> Column:
-    """A model's answer without wrapping; an error text where it is no answer; empty for null or blank."""
-    t = strip(F.coalesce(answer, F.lit("")))
-    failed = t.rlike("(?i)" + "|".join(rf"\Q{m}\E" for m in ERROR_MARKS))
-    code = t.rlike("(?i)" + "|".join(JSON_ERROR_PATTERNS))
-    c = F.regexp_replace(t, rf"(?iU)^({'|'.join(META_PREFIXES)})\s*", "")
-    for pattern in (r"(?U)```prompt\s*|\s*```$", r"(?U)```\s*|\s*```$", "(?U)^\\s*['\"]|['\"]\\s*$"):
-        c = F.regexp_replace(c, pattern, "")
-    c = strip(c)
-    cut = shorten(c, most)
+    """A model's answer without wrapping; an error text where it is no answer; empty for null or blank.
+
+    The stripped and the unwrapped text are bound by one-element arrays, so that each is worked out once.
+    """
     say = lambda k: F.lit(FAILED + FAILURES[k])
-    return (
-        F.when(t == "", "").when(failed, say("pattern")).when(code, say("code")).when(F.length(c) < least, say("short"))
-        .when(special_share(cut) > special, say("special")).otherwise(F.translate(cut, "\0", ""))
-    )
+
+    def unwrapped(t: Column) -> Column:
+        c = F.regexp_replace(t, rf"(?iU)^({'|'.join(META_PREFIXES)})\s*", "")
+        for pattern in (r"(?U)```prompt\s*|\s*```$", r"(?U)```\s*|\s*```$", "(?U)^\\s*['\"]|['\"]\\s*$"):
+            c = F.regexp_replace(c, pattern, "")
+        return strip(c)
+
+    def judged(c: Column) -> Column:
+        cut = shorten(c, most)
+        return F.when(F.length(c) < least, say("short")).when(special_share(cut) > special, say("special")).otherwise(F.translate(cut, "\0", ""))
+
+    def checked(t: Column) -> Column:
+        failed = t.rlike("(?i)" + "|".join(rf"\Q{m}\E" for m in ERROR_MARKS))
+        code = t.rlike("(?i)" + "|".join(JSON_ERROR_PATTERNS))
+        return F.when(t == "", "").when(failed, say("pattern")).when(code, say("code")).otherwise(F.transform(F.array(unwrapped(t)), judged)[0])
+
+    return F.transform(F.array(strip(F.coalesce(answer, F.lit("")))), checked)[0]
+
+
+def judge_error(answer: Column) -> Column:
+    """The error of a judge's answer that has no readable JSON or lacks a value, else null."""
+    s = judge_scores(answer)
+    absent = F.array_compact(F.array(*[F.when(s[f].isNull(), F.lit(f)) for f in [*JUDGE_FIELDS, "gesamtscore"]]))
+    return F.when(answer.isNull(), "no answer").when(F.size(absent) > 0, F.concat(F.lit("missing: "), F.array_join(absent, ", ")))
+
+
+def boundaries(text: Column) -> Column:
+    """Ascending offsets, from 0, of the blanks and line breaks that end a sentence; null has none.
+
+    The text is cut before each of them, and the lengths of the pieces are added up.
+    """
+    pieces = F.split(F.coalesce(text, F.lit("")), BOUNDARY)
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+    grown = lambda a, p: F.struct((a["n"] + F.length(p)).alias("n"), F.array_append(a["at"], a["n"] + F.length(p)).alias("at"))
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, grown, lambda a: a["at"])
 
 
 def ends_whole(text: Column, limit: Column | int) -> Column:
@@ -185,5 +217,15 @@ def ends_whole(text: Column, limit: Column | int) -> Column:
     return (strip(text) != "") & (tokens_estimate(text) <= limit) & text.rlike("(?U)[.!?\"']\\s*\\z")
 
 
+def eval_type(file: Column) -> Column:
+    """hier or full, by the name of a file of summaries."""
+    return F.when(file.contains("hier"), "hier").otherwise("full")
+
+
+def model_name(column: Column) -> Column:
+    """The name of an output column without its ending."""
+    return F.regexp_replace(column, f"({'|'.join(OUTPUT_ENDINGS)})$", "")
+
+
 def checkpoint_number(path: Column) -> Column:
     return F.regexp_extract(path, r"_(\d+)\.\w+$", 1).try_cast("long")

@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as tx
-from tarnwell.operators.relations import latest, lookup
+from tarnwell.operators.cleaning import missing_columns
+from tarnwell.operators.ranking import stratified
+from tarnwell.operators.relations import latest, lookup, missing_in, nested, only_in
 
+#: Columns that a sample of cases needs.
+CASE_COLUMNS = ["id", "subset_name", "synthetic_prompt", "judgement", "summary"]
 FLAGS = ["hallucination", "incoherent", "publishable"]
 
 
+def prepare(df: DataFrame, n: int, stratum: str = "subset_name", key: str = "id", columns: list[str] = CASE_COLUMNS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The sample of n cases (or all) of each stratum, with the needed columns, and its distribution over the strata."""
+    if absent := missing_columns(df, columns):
+        raise ValueError(f"Missing required columns: {', '.join(absent)}")
+    sample = stratified(df, stratum, key, n, seed).select(*columns)
+    return sample, sample.groupBy(stratum).agg(F.count("*").alias("n"))
+
+
+def augment(base: DataFrame, models: list[tuple[str, str, DataFrame | None]], key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cases with model_summaries, the ids that each model lacks (model_name, key), and the number of summaries by model.
+
+    models: column name, category and table with key and column, in the order of the list; a
+    model whose table is None, or lacks the column, is skipped. Of a repeated id the greatest text counts.
+    """
+    known = [(name, kind, only_in(t.select(key, name), base, key), name) for name, kind, t in models if t is not None and name in t.columns]
+    if not known:
+        empty = base.withColumn("model_summaries", F.array().cast("array<struct<model_name:string,summary:string,category:string>>"))
+        return empty, base.select(F.lit("").alias("model_name"), key).limit(0), base.sparkSession.createDataFrame([], "model_name string, n long")
+    out = nested(base, key, known)
+    lacking = [missing_in(base.select(key), t, key).select(F.lit(name).alias("model_name"), key) for name, _, t, _ in known]
+    counts = out.select(F.explode("model_summaries.model_name").alias("model_name")).groupBy("model_name").agg(F.count("*").alias("n"))
+    return out, reduce(DataFrame.unionByName, lacking), counts
+
+
 def tasks(cases: DataFrame, key: str, items: str, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Annotation tasks (key, press_items, flat texts) and the mapping (key, press_id, model_name).
 

@@ -98,6 +98,18 @@ def clean(df: DataFrame, id_column: str, order: str, kept: list[str], prompt: st
     return out
 
 
+def verdicts(df: DataFrame, file: str, prompt: str, filled: list[str], phrases: list[str] = tx.ERROR_PHRASES) -> DataFrame:
+    """file, ok, valid and message of each file of prompts: error phrases first, then missing values."""
+    has = tx.any_contains(F.col(prompt), phrases)
+    empty = F.lit(False)
+    for c in filled:
+        empty = empty | blank(F.col(c).cast("string"))
+    n = lambda c: F.sum(c.cast("long"))
+    found = df.groupBy(file).agg(n(has).alias("phrases"), n(empty).alias("missing"), n(~has & ~empty).alias("valid"))
+    message = F.when(F.col("phrases") > 0, F.concat(F.col("phrases").cast("string"), F.lit(" rows with error phrases"))).when(F.col("missing") > 0, F.concat(F.col("missing").cast("string"), F.lit(" rows with missing values")))
+    return found.select(file, message.isNull().alias("ok"), "valid", F.coalesce(message, F.lit("sound")).alias("message"))
+
+
 def phrase_audit(df: DataFrame, columns: list[str], phrases: list[str]) -> DataFrame:
     """column, phrase, rows: how many rows of a column have a phrase, where any has."""
     pairs = [(c, p) for c in columns for p in phrases]
@@ -121,15 +133,18 @@ def carry_over(df: DataFrame, done: DataFrame, row_id: str, prompt: str, start:
     return df.join(old, row_id, "left").withColumn(prompt, F.coalesce("_old", prompt)).drop("_old")
 
 
-def drop_after_hit(lines: DataFrame, number: str, line: str, phrases: list[str]) -> DataFrame:
+def drop_after_hit(lines: DataFrame, number: str, line: str, phrases: list[str], file: str | None = None) -> DataFrame:
     """Line filter for unreadable files: a line with a phrase goes, and so does the line after it.
 
     A line that goes because of the one before can't take a further line along, so in a
-    run of hits every second one counts: places in the run decide.
+    run of hits every second one counts: places in the run decide. file: a column that
+    tells files apart; each is ordered by itself. Without it the lines are one file's,
+    which is read in order by one task.
     """
     hit = lines.withColumn("_hit", tx.any_contains(F.col(line), phrases))
-    by = Window.orderBy(number)  # one file's lines
-    run = hit.withColumn("_run", F.sum((~F.col("_hit")).cast("long")).over(by)).withColumn("_at", F.row_number().over(Window.partitionBy("_run", "_hit").orderBy(number)))
+    files = [file] if file else []
+    by = Window.partitionBy(*files).orderBy(number)
+    run = hit.withColumn("_run", F.sum((~F.col("_hit")).cast("long")).over(by)).withColumn("_at", F.row_number().over(Window.partitionBy(*files, "_run", "_hit").orderBy(number)))
     marked = run.withColumn("_after", F.lag(F.col("_hit") & (F.col("_at") % 2 == 1), 1, False).over(by))
     return marked.where(~F.col("_hit") & ~F.col("_after")).select(*lines.columns)
 

@@ -1,15 +1,44 @@
-"""Evaluation of generated texts: pairs, metric table, summaries, ranking, reports."""
+"""Evaluation of generated texts: metric table, resumable runs, summaries, result tables, ranking, reports."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import metrics as mx
 from tarnwell.functions import text as tx
+from tarnwell.operators.ranking import first_rows, top_rows
 
-#: Fixed value: the error of rows without a generated text.
+# The error of rows without a generated text, of models without a column and of models without a valid row; the metrics that summaries list.
 NO_TEXT = "Kein generierter Text verfügbar"
+NO_COLUMN = "Spalte '{}' nicht im Dataset gefunden"
+NO_VALID = "Keine gültigen Ergebnisse gefunden"
+ROUGE = [f"rouge{k}_{part}" for k in ("1", "2", "L") for part in ("precision", "recall", "fmeasure")]
+BLEU = ["bleu1", "bleu2", "bleu3", "bleu4"]
+BERTSCORE = ["bertscore_precision", "bertscore_recall", "bertscore_f1"]
+OVERLAP = ["keyword_overlap", "entity_overlap", "length_ratio", "semantic_similarity"]
+FACTUAL = ["qags_score", "qags_question_count", "qags_valid_answers", "factcc_score", "factcc_consistency_ratio", "factcc_claim_count"]
+JUDGE = [f"llm_judge_{f}" for f in [*tx.JUDGE_FIELDS, "gesamtscore"]]
+METRICS = [*ROUGE, *BLEU, "meteor", *BERTSCORE, *OVERLAP, *FACTUAL, *JUDGE]
+#: Groups of metrics in the order of result tables, and parts of a group in their order.
+GROUPS = ["other", "overlap", "rouge1", "rouge2", "rougel", "rouge", "bleu1", "bleu2", "bleu3", "bleu4", "bleu", "meteor", "bertscore", "factcc", "qags", "llm_judge"]
+PARTS = {"precision": 1, "recall": 2, "fmeasure": 3, "f1": 3, "score": 4}
+# End of fixed values.
+
+
+@dataclass(frozen=True)
+class Adapters:
+    """Models behind the metrics, as column functions; a metric whose model is absent is null."""
+
+    token_vectors: Callable[[Column], Column] | None = None  # words -> their vectors
+    entities: Callable[[Column], Column] | None = None  # text -> array of (text, label)
+    questions: Callable[[Column], Column] | None = None  # generated text -> a model's questions, a line each
+    answers: Callable[[Column, Column], Column] | None = None  # questions, text -> an answer to each
+    classify: Callable[[Column, Column], Column] | None = None  # source, claim -> score
+    judge: Callable[[Column, Column, Column], Column] | None = None  # source, generated, reference -> answer with JSON
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
@@ -24,22 +53,110 @@ def generated_error(generated: Column) -> Column:
     return F.when(generated.isNull() | (generated == ""), NO_TEXT)
 
 
-def score(pairs: DataFrame, keys: list[str], reference: str = "reference", generated: str = "generated") -> DataFrame:
-    """pairs with keyword_overlap, entity_overlap, length_ratio and error; metrics are null where there is an error."""
-    marked = pairs.withColumn("error", generated_error(F.col(generated)))
-    keyword = mx.keyword_overlap(marked.where("error is null"), keys, reference, generated)
+def score(pairs: DataFrame, reference: str = "reference", generated: str = "generated", source: str | None = None, adapters: Adapters = Adapters(), stem: bool = True) -> DataFrame:
+    """pairs with all METRICS, entity precision, recall and f1, error columns and error, worked out within each row.
+
+    Metrics are null where the row has an error, and where a model or the source is absent;
+    a factual metric that fails is NaN and its own error says why.
+    """
+    r, g = F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(generated), F.lit(""))
+    none = F.lit(None)
+    out = pairs.withColumn("error", generated_error(F.col(generated)))
+    out = out.withColumns({"_r": mx.rouge_words(r, stem), "_g": mx.rouge_words(g, stem)})
+    out = out.withColumns({"_rouge": mx.rouge_n(F.col("_r"), F.col("_g")), "_lcs": mx.rouge_l(F.col("_r"), F.col("_g")), "_bleu": mx.bleu(r, g), "_entity": tx.precision_recall(adapters.entities(r), adapters.entities(g)) if adapters.entities else none})
+    values = {f"rouge{k}_{part}": F.col("_rouge")[k - 1][part] for k in (1, 2) for part in ("precision", "recall", "fmeasure")}
+    values |= {f"rougeL_{part}": F.col("_lcs")[part] for part in ("precision", "recall", "fmeasure")}
+    values |= {b: F.col("_bleu")[b] for b in BLEU}
+    values |= {"meteor": mx.meteor(tx.words(r), tx.words(g)), "keyword_overlap": mx.keyword_overlap(r, g), "entity_overlap": tx.entity_overlap(r, g), "length_ratio": tx.length_ratio(r, g)}
+    if adapters.entities:
+        # a side without text scores nothing at all
+        both = (r != "") & (g != "")
+        values |= {f"entity_{part}": F.when(both, F.col("_entity")[part]).otherwise(0.0) for part in ("precision", "recall", "f1")}
+    if adapters.token_vectors:
+        out = out.withColumns({"_vr": adapters.token_vectors(tx.words(r)), "_vg": adapters.token_vectors(tx.words(g))})
+        full = (F.size("_vr") > 0) & (F.size("_vg") > 0)
+        out = out.withColumn("_bert", F.when(full, mx.greedy_match(F.col("_vr"), F.col("_vg"))))
+        values |= {f"bertscore_{part}": F.col("_bert")[part] for part in ("precision", "recall", "f1")}
+        values["semantic_similarity"] = F.when(full, mx.semantic_similarity(F.col("_vr"), F.col("_vg")))
+    errors = {}
+    if source is not None:
+        s = F.coalesce(F.col(source), F.lit(""))
+        if adapters.questions and adapters.answers:
+            out = out.withColumn("_q", tx.questions(adapters.questions(g)))
+            out = out.withColumn("_qags", mx.question_scores(F.col("_q"), adapters.answers(F.col("_q"), s), adapters.answers(F.col("_q"), g)))
+            values |= {f"qags_{part}": F.col("_qags")[part] for part in ("score", "question_count", "valid_answers")}
+            errors["qags_error"] = F.col("_qags")["error"]
+        if adapters.classify:
+            out = out.withColumn("_factcc", mx.claim_scores(s, g, adapters.classify))
+            values |= {f"factcc_{part}": F.col("_factcc")[part] for part in ("score", "consistency_ratio", "claim_count")}
+            errors["factcc_error"] = F.col("_factcc")["error"]
+        if adapters.judge:
+            out = out.withColumn("_answer", adapters.judge(s, g, r))
+            out = out.withColumn("_judge", tx.judge_scores(F.col("_answer")))
+            whole = tx.judge_error(F.col("_answer")).isNull()
+            values |= {f"llm_judge_{f}": F.when(whole, F.col("_judge")[f]) for f in [*tx.JUDGE_FIELDS, "gesamtscore"]}
+            errors["llm_judge_error"] = tx.judge_error(F.col("_answer"))
     fine = F.col("error").isNull()
-    return marked.join(keyword, keys, "left").withColumns(
-        {"entity_overlap": F.when(fine, tx.entity_overlap(F.col(reference), F.col(generated))), "length_ratio": F.when(fine, tx.length_ratio(F.col(reference), F.col(generated)))}
-    )
+    extra = [f"entity_{part}" for part in ("precision", "recall", "f1")]
+    out = out.withColumns({m: F.when(fine, values.get(m, none).cast("double")).cast("double") for m in [*METRICS, *extra]} | {e: F.when(fine, errors.get(e, none)).cast("string") for e in ("qags_error", "factcc_error", "llm_judge_error")})
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in pairs.columns])
 
 
-def summary(scored: DataFrame, model: str, names: list[str]) -> DataFrame:
-    """model, avg_* over rows without error, total, successful and failed counts, success_rate. NaN stays NaN, null is left out."""
+def summary(scored: DataFrame, model: str, names: list[str] = METRICS) -> DataFrame:
+    """model, avg_* over rows without error, total, successful and failed counts, success_rate and error.
+
+    NaN stays NaN, null is left out. A model without a valid row has the error instead of averages.
+    """
     fine = F.col("error").isNull()
     averages = [F.avg(F.when(fine, F.col(m))).alias(f"avg_{m}") for m in names]
     ok = F.sum(fine.cast("long"))
-    return scored.groupBy(model).agg(*averages, F.count("*").alias("total_samples"), ok.alias("successful_generations"), F.sum((~fine).cast("long")).alias("failed_generations"), (ok / F.count("*")).alias("success_rate"))
+    return scored.groupBy(model).agg(*averages, F.count("*").alias("total_samples"), ok.alias("successful_generations"), F.sum((~fine).cast("long")).alias("failed_generations"), (ok / F.count("*")).alias("success_rate"), F.when(ok == 0, NO_VALID).alias("error"))
+
+
+def evaluate(wide: DataFrame, row_id: str, reference: str, models: list[str], done: DataFrame | None = None, source: str | None = None, adapters: Adapters = Adapters(), stem: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Scored rows (row_id, model, generated, metrics, error) of all model columns, and their summary.
+
+    done: scored rows of an earlier run; what they hold is not scored again, and they count in
+    the summary. Models without a column have no rows, and a summary with an error alone.
+    """
+    known = [m for m in models if m in wide.columns]
+    kept = [row_id, reference, *([source] if source and source not in (row_id, reference) else [])]
+    schema = f"{', '.join(f'`{c}` {t}' for c, t in wide.select(*kept).dtypes)}, model string, generated string"
+    long = wide.select(*kept, *[F.col(m).cast("string").alias(m) for m in known]).unpivot(kept, known, "model", "generated") if known else wide.sparkSession.createDataFrame([], schema)
+    if done is not None:
+        long = long.join(done.select("model", row_id), ["model", row_id], "left_anti").select(*long.columns)
+    scored = score(long, reference, "generated", source, adapters, stem)
+    if done is not None:
+        scored = done.select(*scored.columns).unionByName(scored)
+    lost = wide.sparkSession.createDataFrame([(m, NO_COLUMN.format(m)) for m in models if m not in known], "model string, error string")
+    return scored, summary(scored, "model").unionByName(lost, allowMissingColumns=True)
+
+
+def metric_group(name: str) -> str:
+    """The group of result tables that a metric belongs to."""
+    low = name.lower()
+    if "rouge" in low and not any(x in low for x in ("bert", "factcc", "qags", "llm")):
+        return next((k for k in ("rouge1", "rouge2", "rougel") if k in low), "rouge")
+    if "bertscore" in low:
+        return "bertscore"
+    if "bleu" in low:
+        return next((k for k in BLEU if k in low), "bleu")
+    named = next((k for k in ("meteor", "factcc", "qags", "llm_judge") if k in low), None)
+    return named or ("overlap" if any(x in low for x in ("keyword", "entity", "length")) else "other")
+
+
+def metric_order(names: list[str]) -> list[str]:
+    """Metrics by group, within a group precision, recall, f, score and then all others by name."""
+    part = lambda n: PARTS.get(n.rpartition("_")[2], 999) if "_" in n else 999
+    return sorted(names, key=lambda n: (GROUPS.index(metric_group(n)), part(n), n))
+
+
+def results_table(summaries: DataFrame) -> DataFrame:
+    """model, the averages without their prefix in table order, and success_rate; metrics that no model has are left out."""
+    names = [c.removeprefix("avg_") for c in summaries.columns if c.startswith("avg_")]
+    held = summaries.agg(*[F.count(f"avg_{n}").alias(n) for n in names]).first()
+    shown = metric_order([n for n in names if held[n]])
+    return summaries.select("model", *[F.col(f"avg_{n}").alias(n) for n in shown], (F.col("successful_generations") / F.col("total_samples")).alias("success_rate"))
 
 
 def success_rates(results: DataFrame, model: str, error: str) -> DataFrame:
@@ -49,18 +166,33 @@ def success_rates(results: DataFrame, model: str, error: str) -> DataFrame:
 
 def examples(scored: DataFrame, model: str, metric: str, row_id: str, k: int = 3) -> DataFrame:
     """The k best and k worst rows of each model, as kind best or worst."""
-    from tarnwell.operators.ranking import top_rows
-
     valid = scored.where(F.col("error").isNull())
     return top_rows(valid, model, metric, row_id, k, True).withColumn("kind", F.lit("best")).unionByName(top_rows(valid, model, metric, row_id, k, False).withColumn("kind", F.lit("worst")))
 
 
+def example_rows(scored: DataFrame, model: str, row_id: str, only: str | None = None, k: int | None = None) -> DataFrame:
+    """Valid rows for export: of one model or all, the first k of each or all; columns without any value are left out."""
+    valid = scored.where(F.col("error").isNull()).drop("error")
+    valid = valid if only is None else valid.where(F.col(model) == only)
+    held = valid.agg(*[F.count(c).alias(c) for c in valid.columns]).first()
+    valid = valid.select(*[c for c in valid.columns if held[c] or c in (model, row_id)])
+    return valid if k is None else first_rows(valid, model, row_id, k).drop("rank")
+
+
 def ranked(metrics: DataFrame, value: str, ascending: bool = False) -> DataFrame:
     """Metrics by model with a place; the table has a row for each model."""
     by = Window.orderBy(F.asc(value) if ascending else F.desc(value), "model")
     return metrics.withColumn("place", F.row_number().over(by))
 
 
+def figure_data(scored: DataFrame, model: str, names: list[str]) -> DataFrame:
+    """model, metric, n, mean and the five quartile points of each metric: what bar and box figures show."""
+    long = scored.where(F.col("error").isNull()).unpivot([model], [F.col(c).cast("double").alias(c) for c in names], "metric", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    points = {"least": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "most": 1.0}
+    cut = long.groupBy(model, "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.array(*map(F.lit, points.values()))).alias("p"))
+    return cut.select(F.col(model).alias("model"), "metric", "n", "mean", *[F.col("p")[i].alias(k) for i, k in enumerate(points)])
+
+
 def markdown_report(metrics: DataFrame, value: str = "avg_rank", most: int = 1000) -> str:
     """A ranking table of the models, best first."""
     rows = ranked(metrics, value, True).orderBy("place").limit(most).collect()
@@ -70,34 +202,16 @@ def markdown_report(metrics: DataFrame, value: str = "avg_rank", most: int = 100
     return "\n".join(lines + [f"| {r['place']} | {r['model']} | " + " | ".join(show(r[c]) for c in names) + " |" for r in rows]) + "\n"
 
 
-def html_report(metrics: DataFrame, shown: DataFrame, most: int = 200) -> str:
-    """A page with the metric table and the example rows."""
+def html_report(metrics: DataFrame, shown: DataFrame, figures: DataFrame | None = None, most: int = 200) -> str:
+    """A page with the metric table, the data of the figures and the example rows."""
     from html import escape
 
     def table(df: DataFrame) -> str:
         body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in df.limit(most).collect())
         return "<table><tr>" + "".join(f"<th>{escape(c)}</th>" for c in df.columns) + f"</tr>{body}</table>"
 
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Evaluation</title></head><body><h1>Evaluation</h1>{table(metrics)}<h2>Examples</h2>{table(shown)}</body></html>"
-
-
-def claim_scores(pairs: DataFrame, keys: list[str], source: str, generated: str, threshold: float = 0.5) -> DataFrame:
-    """keys, score, consistency_ratio, claim_count of the generated text's claims, each scored by its word overlap with the source.
-
-    The overlap stands in for a classifier; texts without a claim have null scores.
-    """
-    each = pairs.select(*keys, F.col(source).alias("_s"), F.explode(tx.claims(F.col(generated))).alias("claim"))
-    own, other = F.array_distinct(tx.words(F.col("claim"))), F.array_distinct(tx.words(F.col("_s")))
-    value = F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, other)) / F.size(own))
-    scored = each.select(*keys, value.alias("v")).groupBy(*keys).agg(F.avg("v").alias("score"), F.avg((F.col("v") >= threshold).cast("double")).alias("consistency_ratio"), F.count("*").alias("claim_count"))
-    return pairs.select(*keys).join(scored, keys, "left").withColumn("claim_count", F.coalesce("claim_count", F.lit(0)))
-
-
-def answer_overlap(answers: DataFrame, keys: list[str], source: str, generated: str) -> DataFrame:
-    """keys, score and valid of question answers: mean word Jaccard of the pairs where both sides answered."""
-    lower = lambda c: F.array_distinct(tx.plain_words(F.lower(F.col(c))))
-    both = answers.where(F.length(F.coalesce(source, F.lit(""))) > 0).where(F.length(F.coalesce(generated, F.lit(""))) > 0)
-    return both.select(*keys, tx.jaccard(lower(source), lower(generated)).alias("v")).groupBy(*keys).agg(F.avg("v").alias("score"), F.count("*").alias("valid"))
+    parts = [("Evaluation", metrics), *([("Figures", figures)] if figures is not None else []), ("Examples", shown)]
+    return "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Evaluation</title></head><body>" + "".join(f"<h2>{name}</h2>{table(df)}" for name, df in parts) + "</body></html>"
 
 
 def pick_metrics(long: DataFrame, names: list[str]) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import text as tx
 from tarnwell.functions.adapters import ModelConfig, generate
-from tarnwell.operators.cleaning import REQUIRED, carry_over, reset_failed, to_do
+from tarnwell.operators.cleaning import REQUIRED, carry_over, drop_after_hit, reset_failed, to_do
 from tarnwell.operators.ranking import hash_split
 from tarnwell.operators.relations import override
-from tarnwell.sources.tables import read_csv, read_tolerant
+from tarnwell.sources.tables import read_arity, read_csv, read_lines, read_tolerant, write_csv
 
 #: Characters of a ruling and of a release that a request holds.
 RULING_CHARS, PRESS_CHARS = 12_000, 4_000
@@ -54,6 +54,21 @@ def repaired(spark: SparkSession, path: str, header_only: bool = False, default:
             return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in default))
 
 
+def fix_format(spark: SparkSession, path: str, out: str) -> int:
+    """Writes the records of a CSV that fit its header, all cells quoted; the number of rows written."""
+    df = read_arity(spark, path)
+    write_csv(df, out, backslash=True)
+    return df.count()
+
+
+def clean_prompts(spark: SparkSession, path: str, prompt: str, phrases: list[str] = tx.ERROR_PHRASES) -> DataFrame:
+    """The rows of a CSV whose prompt has no error phrase; of a file that can't be read so, the lines that are left by the line filter."""
+    df = read_csv(spark, path)
+    if prompt in df.columns:
+        return df.where(~tx.any_contains(F.col(prompt), phrases))
+    return drop_after_hit(read_lines(spark, path), "number", "line", phrases, "file").select("line")
+
+
 def ordered_columns(df: DataFrame, first: list[str]) -> DataFrame:
     """The named columns in their order, then all others."""
     known = [c for c in first if c in df.columns]

@@ -63,16 +63,23 @@ def usage(events: DataFrame, time: str, tokens: dict[str, str], group: str | Non
 def waits(events: DataFrame, time: str, tokens: str, limit: int, group: str, seconds: int = 60) -> DataFrame:
     """Adds wait_seconds: how long a call must wait until enough tokens of the calls before it have expired.
 
-    The calls within the last seconds expire in their order; the first at which the
-    running sum reaches what is over the limit gives the time.
+    The calls within the last seconds expire in their order; the first at which the running
+    sum reaches what is over the limit gives the time. With S the group's running sum, that is
+    the first call whose own S reaches S - limit of the waiting one: sums and limits are put
+    in one order, and each limit takes the next sum after it. Calls of the same time expire
+    together. Tokens are not negative; nulls count as none.
     """
-    past = Window.partitionBy(group).orderBy(F.col(time).cast("timestamp").cast("double")).rangeBetween(-seconds, Window.currentRow)
-    seen = events.withColumn("_w", F.array_sort(F.collect_list(F.struct(F.col(time).cast("timestamp").cast("double").alias("at"), F.col(tokens).alias("n"))).over(past)))
-    total = F.aggregate("_w", F.lit(0.0), lambda s, x: s + x["n"].cast("double"))
-    over = total - F.lit(float(limit))
-    first = F.aggregate(
-        "_w", F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at")),
-        lambda s, x: F.struct((s["sum"] + x["n"].cast("double")).alias("sum"), F.when(s["at"].isNotNull(), s["at"]).when(s["sum"] + x["n"].cast("double") >= over, x["at"]).alias("at")),
-    )["at"]
-    now = F.col(time).cast("timestamp").cast("double")
-    return seen.withColumn("wait_seconds", F.when(over > 0, F.greatest(first + seconds - now, F.lit(0.0))).otherwise(0.0)).drop("_w")
+    at = F.col(time).cast("timestamp").cast("double")
+    by = Window.partitionBy(group).orderBy("_at")
+    n = F.coalesce(F.col(tokens).cast("double"), F.lit(0.0))
+    rows = events.withColumn("_at", at).withColumn("_n", n)
+    rows = rows.withColumn("_s", F.round(F.sum("_n").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)), 9)).withColumn("_in", F.round(F.sum("_n").over(by.rangeBetween(-seconds, Window.currentRow)), 9))
+    names = events.columns
+    # each row is there as a sum at its own place, and as a limit at what must have expired
+    sides = F.array(F.struct(F.col("_s").alias("v"), F.lit(1).alias("side")), F.struct((F.col("_s") - F.lit(float(limit))).alias("v"), F.lit(0).alias("side")))
+    both = rows.select("*", F.explode(sides).alias("e")).select("*", F.round("e.v", 9).alias("_v"), F.col("e.side").alias("_side"))
+    # from the greatest down, so that the last sum seen is the next one up
+    down = Window.partitionBy(group).orderBy(F.desc("_v"), F.desc("_side"), F.desc("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_first", F.last(F.when(F.col("_side") == 1, F.col("_at")), True).over(down)).where("_side = 0")
+    wait = F.when(F.col("_in") > limit, F.greatest(F.col("_first") + seconds - F.col("_at"), F.lit(0.0))).otherwise(0.0)
+    return found.select(*names, wait.alias("wait_seconds"))

@@ -23,14 +23,15 @@ def coalesce_merge(base: DataFrame, others: list[DataFrame], key: str) -> DataFr
     """Left joins on the key; a column that is there already is filled up where it is null.
 
     Tables without the key or another column are skipped; a repeated key counts once, by
-    its smallest values.
+    its row with the smallest values, compared column by column.
     """
     out = base
     for other in others:
         extra = [c for c in other.columns if c != key]
         if key not in other.columns or not extra:
             continue
-        one = other.groupBy(key).agg(*[F.min(c).alias(f"_new_{c}") for c in extra])
+        # of a repeated key one whole row, never values of several
+        one = other.groupBy(key).agg(F.min(F.struct(*extra)).alias("_row")).select(key, *[F.col("_row")[c].alias(f"_new_{c}") for c in extra])
         out = out.join(one, key, "left")
         out = out.withColumns({c: F.coalesce(c, f"_new_{c}") if c in out.columns else F.col(f"_new_{c}") for c in extra}).drop(*[f"_new_{c}" for c in extra])
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwell.plans import evaluation_queries, table_queries, text_queries  # noqa: F401  they register themselves
+from tarnwell.plans import evaluation_queries, io_queries, table_queries, text_queries  # noqa: F401  they register themselves
 from tarnwell.plans.registry import ORACLES, QUERIES
 
 

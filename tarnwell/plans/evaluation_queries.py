@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text
-from tarnwell.functions.adapters import ModelConfig, generate
-from tarnwell.operators import annotation, evaluation, ranking, relations
+from tarnwell.functions.adapters import ModelConfig, generate, run_generation
+from tarnwell.operators import annotation, evaluation, prompts, relations
 from tarnwell.plans.registry import query
 
 
@@ -99,10 +99,11 @@ def c6_generation(t):
     return made.select("doc_id", "model", F.md5("generated").alias("generated_md5"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split, md5('User: ' || lang || E'\\n\\n' || text) AS prompt_md5 FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split, md5('User: ' || lang || chr(10) || chr(10) || 'Gerichtsurteil: ' || text || chr(10) || chr(10) || 'Assistant: ') AS prompt_md5, source AS completion FROM documents")
 def c11_training_data(t):
-    rows = t.documents.withColumn("split", F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train"))
-    return rows.select("doc_id", "split", F.md5(F.concat(F.lit("User: "), "lang", F.lit("\n\n"), "text")).alias("prompt_md5"))
+    rows = t.documents.withColumn("split_name", F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train"))
+    made = prompts.training_rows(rows, "doc_id", "lang", "text", "source", split="split_name")
+    return made.select("doc_id", "split", F.md5("prompt").alias("prompt_md5"), "completion")
 
 
 @query("""SELECT source AS model, CASE WHEN lang IN ('en', 'de') THEN 'full' ELSE 'hier' END AS eval_type, max(n_chars) AS chars, max(doc_id) AS ids FROM documents GROUP BY ALL""")
@@ -112,7 +113,52 @@ def s14_pivot_metrics(t):
     return evaluation.pick_metrics(long, ["chars", "ids"])
 
 
-@query("SELECT c_mktsegment AS subset, least(count(*), 10) AS n FROM customer GROUP BY ALL")
+def _cases_sample(t, n):
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("subset_name"), F.col("source").alias("synthetic_prompt"), F.col("text").alias("judgement"), F.md5("text").alias("summary"), "n_chars")
+    return annotation.prepare(rows, n)
+
+
+@query("SELECT lang AS subset_name, least(count(*), 25) AS n, least(count(*), 25) AS sound FROM documents WHERE lang IS NOT NULL GROUP BY ALL")
 def c1_prepare_sample(t):
-    sample = ranking.stratified(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 10)
-    return sample.groupBy(F.col("c_mktsegment").alias("subset")).agg(F.count("*").alias("n"))
+    """The sample's distribution, and how many of its rows are the documents they say they are."""
+    sample, distribution = _cases_sample(t, 25)
+    real = sample.join(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("own"), "lang"), "id").where("own = judgement AND lang = subset_name AND md5(own) = summary")
+    return distribution.join(real.groupBy("subset_name").agg(F.countDistinct("id").alias("sound")), "subset_name")
+
+
+@query("""SELECT doc_id AS id, concat_ws(';', CASE WHEN quality IS NOT NULL THEN 'm_quality=q' || quality || '/full' END, CASE WHEN toxic = 1 THEN 'm_toxic=t1/hier' END) AS models FROM documents LEFT JOIN labels USING (doc_id)""")
+def c2_augment(t):
+    """All documents as cases with the summaries of two models; a third one has no table."""
+    base = _cases_sample(t, 1 << 30)[0]
+    q = t.labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("id"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("m_quality"), "toxic")
+    x = t.labels.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("t1").alias("m_toxic"))
+    out, _, _ = annotation.augment(base, [("m_quality", "full", q), ("absent", "full", None), ("m_toxic", "hier", x)])
+    return out.select("id", F.array_join(F.transform("model_summaries", lambda m: F.concat(m["model_name"], F.lit("="), m["summary"], F.lit("/"), m["category"])), ";").alias("models"))
+
+
+@query("SELECT 'm_quality' AS model_name, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL) UNION ALL SELECT 'm_toxic', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def c2_missing(t):
+    """The cases that each model lacks."""
+    base = _cases_sample(t, 1 << 30)[0]
+    q = t.labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("id"), F.lit("q").alias("m_quality"))
+    x = t.labels.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("t").alias("m_toxic"))
+    return annotation.augment(base, [("m_quality", "full", q), ("m_toxic", "hier", x)])[1]
+
+
+_ANSWER = r"regexp_replace('[' || left(sha256('Write about ' || lang), 8) || '] ' || left(text, 600), '[\s\x{00A0}]+$', '')"
+
+
+@query(f"SELECT doc_id, 'old' AS model, 'kept' AS generated, source AS reference_press, '' AS error FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, m, md5({_ANSWER}), source, '' FROM documents, (SELECT unnest(['echo', 'old']) AS m) WHERE m = 'echo' OR doc_id % 3 <> 0")
+def c6_generation_run(t):
+    """Two models over all documents; a third of one model's rows are there already and stay."""
+    rows = t.documents.select("doc_id", "text", F.concat(F.lit("Write about "), "lang").alias("ask"), "source")
+    done = t.documents.where("doc_id % 3 = 0").select("doc_id", F.lit("old").alias("model"), F.lit("kept").alias("generated_press"), F.col("source").alias("reference_press"), F.lit("").alias("error"), F.lit("p").alias("prompt"))
+    made = run_generation(rows, [ModelConfig("echo"), ModelConfig("old")], "doc_id", "text", "ask", "source", done)
+    return made.select("doc_id", "model", F.when(F.col("generated_press") == "kept", "kept").otherwise(F.md5("generated_press")).alias("generated"), "reference_press", "error")
+
+
+@query("""SELECT model, round(avg(n_chars), 6) AS chars, NULL AS rouge, count(*) FILTER (n_chars > 500) / count(*) AS success_rate FROM (SELECT source AS model, CASE WHEN n_chars > 500 THEN n_chars END AS n_chars FROM documents) GROUP BY model""".replace("NULL AS rouge, ", ""))
+def c8_results_table(t):
+    """The result table of a summary: metrics without prefix, those that no model has left out."""
+    rows = t.documents.select(F.col("source").alias("model"), F.col("n_chars").cast("double").alias("chars"), F.lit(None).cast("double").alias("rouge1_recall"), F.when(F.col("n_chars") <= 500, "short").alias("error"))
+    return evaluation.results_table(evaluation.summary(rows, "model", ["rouge1_recall", "chars"])).withColumn("chars", F.round("chars", 6))

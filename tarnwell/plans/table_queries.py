@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwell.functions import metrics, text
-from tarnwell.operators import cleaning, ranking, relations
+from tarnwell.operators import cleaning, evaluation, ranking, relations
 from tarnwell.plans.registry import query
 
 
@@ -40,9 +40,9 @@ def j2_semi(t):
     return relations.only_in(t.customer.select("c_custkey", "c_name"), buyers, "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def j3_anti(t):
-    return relations.missing_in(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return relations.missing_in(t.customer.select("c_custkey"), t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""WITH q AS (SELECT doc_id, max('q' || quality) AS s FROM labels GROUP BY 1), x AS (SELECT doc_id, max('t' || toxic) AS s FROM labels WHERE toxic = 1 GROUP BY 1)
@@ -223,9 +223,20 @@ def w9_usage_window(t):
     return ranking.usage(t.events, "ts", {"tokens": "value"}, "event_type").select("event_id", "requests", F.round("tokens", 6).alias("tokens"))
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, event_type, epoch(ts) AS sec, coalesce(value, 0) AS n FROM events),
+w AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY sec RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS total FROM e),
+p AS (SELECT w.event_id, w.total, x.sec, sum(x.n) OVER (PARTITION BY w.event_id ORDER BY x.sec) AS s FROM w JOIN e x ON x.event_type = w.event_type AND x.sec BETWEEN w.sec - 600 AND w.sec WHERE w.total > 30),
+f AS (SELECT event_id, min(sec) FILTER (round(s, 9) >= round(total - 30, 9)) AS first FROM p GROUP BY ALL)
+SELECT event_id, round(CASE WHEN total > 30 THEN greatest(first + 600 - sec, 0) ELSE 0 END, 3) AS wait_seconds FROM w LEFT JOIN f USING (event_id)""")
 def w10_wait(t):
-    return ranking.waits(t.events.select("event_id", "ts", "value", "event_type"), "ts", "value", 30, "event_type", 600).select("event_id", "wait_seconds")
+    return ranking.waits(t.events.select("event_id", "ts", "value", "event_type"), "ts", "value", 30, "event_type", 600).select("event_id", F.round("wait_seconds", 3).alias("wait_seconds"))
+
+
+@query(f"SELECT unnest([{', '.join(repr(m) for m in evaluation.metric_order(evaluation.METRICS))}]) AS metric, unnest(range(1, {len(evaluation.METRICS)} + 1)) AS place")
+def w7_metric_order(t):
+    """The listed metrics in the order of result tables, worked out from their names in any order."""
+    names = evaluation.metric_order(sorted(evaluation.METRICS, reverse=True))
+    return t.spark.createDataFrame([(m, i) for i, m in enumerate(names, 1)], "metric string, place long")
 
 
 _TOP = "SELECT o_custkey, o_orderkey, rank, {1} AS kind FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice {0}, o_orderkey) AS rank FROM orders) WHERE rank <= 3"

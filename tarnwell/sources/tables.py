@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import json
+import csv
+import io
+import itertools
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from tarnwell.operators.relations import union_tagged
 
 #: Cells that count as missing on reading.
 NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+#: Endings of files that were derived from a checkpoint.
+DERIVED = ["_clean", "_fixed", "_repaired", "_original", "_sanitized"]
 CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "encoding": "UTF-8"}
 
 
@@ -20,9 +26,11 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(NA_STRINGS), F.col(c)) for c, kind in df.dtypes if kind == "string"})
 
 
-def read_csv(spark: SparkSession, path: str, na: bool = True, **options) -> DataFrame:
-    """All columns as text; cells that mean nothing as null."""
+def read_csv(spark: SparkSession, path: str | list[str], na: bool = True, backslash: bool = False, **options) -> DataFrame:
+    """All columns as text; cells that mean nothing as null. backslash: doubled ones are one."""
     df = spark.read.options(**(CSV | options)).csv(path)
+    if backslash:
+        df = df.withColumns({c: F.replace(F.col(c), F.lit("\\\\"), F.lit("\\")) for c in df.columns})
     return missing_to_null(df) if na else df
 
 
@@ -60,9 +68,38 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return df if limit is None else df.limit(limit)
 
 
+def read_plain(spark: SparkSession, path: str, limit: int | None = 5000) -> DataFrame:
+    """The first rows of a CSV whose quotes are plain characters: every comma and line break counts."""
+    df = missing_to_null(spark.read.options(**(CSV | {"quote": "", "multiLine": "false"})).csv(path))
+    return df if limit is None else df.limit(limit)
+
+
+def read_arity(spark: SparkSession, path: str) -> DataFrame:
+    """Records that have as many fields as the header, all others go: the last resort for broken files.
+
+    Files are parsed record by record, whatever stands in their quotes; a file is one task's.
+    """
+    names = header_of(spark, path)
+    schema = pa.schema([(c, pa.string()) for c in names])
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for content in batch.column(0):
+                text = io.TextIOWrapper(io.BytesIO(content.as_py()), encoding="utf-8-sig", errors="replace", newline="")
+                records = csv.reader(text)
+                next(records, None)
+                fit = (r for r in records if len(r) == len(names))
+                while rows := list(itertools.islice(fit, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=schema)
+
+    return missing_to_null(files.mapInArrow(parse, ", ".join(f"`{c}` string" for c in names)))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """number and line of a text file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("number"), F.col("value").alias("line"))
+    """file, number and line of text files."""
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("number"), F.col("value").alias("line"))
 
 
 def read_split_status(spark: SparkSession, path: str) -> DataFrame:
@@ -86,9 +123,9 @@ def read_parts(spark: SparkSession, parts: list[tuple[str, str, str]]) -> tuple[
 
 
 def read_glob(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """All matching CSV files as one table with the file of each row."""
-    df = spark.read.options(**CSV, pathGlobFilter=pattern).csv(folder)
-    return missing_to_null(df).withColumn("file", F.col("_metadata.file_name"))
+    """All matching CSV files, and folders of part files, as one table with the file (or folder) of each row."""
+    df = spark.read.options(**CSV).csv(f"{folder.rstrip('/')}/{pattern}")
+    return missing_to_null(df).withColumn("file", F.regexp_extract("_metadata.file_path", r"([^/]+)(?:/part-[^/]+)?$", 1))
 
 
 def latest_checkpoint(files: DataFrame) -> DataFrame:
@@ -98,10 +135,61 @@ def latest_checkpoint(files: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(top), "_n").drop("_n")  # one row
 
 
-def checkpoint_names(prefix: str, total: int, batch: int, interval: int = 1, start: int = 0) -> list[str]:
-    """Names of the checkpoints that a run writes: after each interval batches, and at its end."""
+def checkpoint_ends(total: int, batch: int, interval: int = 1, start: int = 0) -> list[int]:
+    """Rows done at each checkpoint of a run: after each interval batches, and at its end."""
     ends = [min(b + batch, total) for b in range(start, total, batch)]
-    return [f"{prefix}_{e}.csv" for i, e in enumerate(ends, 1) if i % interval == 0 or e == total]
+    return [e for i, e in enumerate(ends, 1) if i % interval == 0 or e == total]
+
+
+def checkpoint_names(prefix: str, total: int, batch: int, interval: int = 1, start: int = 0) -> list[str]:
+    """Names of the checkpoints that a run writes."""
+    return [f"{prefix}_{e}.csv" for e in checkpoint_ends(total, batch, interval, start)]
+
+
+def run_in_steps(rows: DataFrame, row_id: str, ends: list[int], step: Callable[[DataFrame], DataFrame], folder: str, prefix: str = "checkpoint") -> DataFrame:
+    """step over the rows, written a checkpoint at a time as prefix_<end>.csv; what is there already is not run again.
+
+    A checkpoint holds the rows from the one before it up to its end, so that each row is
+    written once; together they are the table. A stopped run goes on at its first missing
+    checkpoint: a folder counts when its writer has left its mark.
+    """
+    spark, first = rows.sparkSession, 0
+    paths = [f"{folder}/{prefix}_{e}.csv" for e in ends]
+    for end, path in zip(ends, paths):
+        if not _exists(spark, f"{path}/_SUCCESS"):
+            write_csv(step(rows.where((F.col(row_id) >= first) & (F.col(row_id) < end))), path, backslash=True)
+        first = end
+    if not paths:
+        return step(rows.limit(0))
+    return read_csv(spark, paths, backslash=True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def file_table(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """file, bytes, modified, number (of the checkpoint) and derivative (a name with an added ending) of the matching files, contents unread."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    name = F.col("_metadata.file_name")
+    return found.select(name.alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), checkpoint_number(name).alias("number"), name.rlike("(" + "|".join(DERIVED) + r")").alias("derivative"))
+
+
+def folder_table(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """As file_table, for checkpoints that are folders of part files."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder.rstrip('/')}/{pattern}")
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)/part-[^/]+$", 1)
+    own = found.select(name.alias("file"), "length", "modificationTime").groupBy("file").agg(F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"))
+    return own.select("file", "bytes", "modified", checkpoint_number(F.col("file")).alias("number"), F.col("file").rlike("(" + "|".join(DERIVED) + ")").alias("derivative"))
+
+
+def housekeeping(files: DataFrame) -> DataFrame:
+    """file, bytes and action: backup for the newest checkpoint, remove for what was derived from it, keep for all others. Nothing is deleted."""
+    newest = files.where(~F.col("derivative")).agg(F.max_by("file", F.struct("modified", "file")).alias("newest"))
+    stem = F.regexp_replace("newest", r"\.csv$", "")
+    action = F.when(F.col("file") == F.col("newest"), "backup").when(F.col("file").startswith(F.concat(stem, F.lit("_"))), "remove").otherwise("keep")
+    return files.crossJoin(F.broadcast(newest)).select("file", "bytes", action.alias("action"))  # one row
 
 
 def merge_json(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -114,6 +202,29 @@ def merge_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     return union_tagged(tables)
 
 
+def merge_json_into(spark: SparkSession, paths: list[str], path: str) -> None:
+    """The records of all JSON lists as JSON lines."""
+    write_jsonl(merge_json(spark, paths), path)
+
+
+def evaluation_details(spark: SparkSession, folder: str, pattern: str = "*_results.json") -> DataFrame:
+    """model, row_id, metric and value (text) of all files {summary, detailed_results: {row: {metric: value}}}."""
+    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(folder).select("value", F.regexp_replace(F.col("_metadata.file_name"), r"_results\.json$", "").alias("model"))
+    rows = texts.select("model", F.explode(F.from_json("value", "detailed_results map<string,map<string,string>>")["detailed_results"]).alias("row_id", "metrics"))
+    return rows.select("model", "row_id", F.explode("metrics").alias("metric", "value"))
+
+
+def write_evaluation(scored: DataFrame, summaries: DataFrame, folder: str, row_id: str) -> None:
+    """Scored rows by model, as a run resumes from them, and the summary as one JSON line a model."""
+    scored.withColumn("row_id", F.col(row_id).cast("string")).write.mode("overwrite").partitionBy("model").parquet(f"{folder}/details")
+    summaries.write.mode("overwrite").json(f"{folder}/summary")
+
+
+def load_evaluation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Summary and scored rows of a folder that write_evaluation made."""
+    return spark.read.json(f"{folder}/summary"), spark.read.parquet(f"{folder}/details")
+
+
 def summaries_long(spark: SparkSession, folder: str, pattern: str = "evaluation_summary*.json") -> DataFrame:
     """model, eval_type, metric, value of all summary files {model: {avg_metric: value}}."""
     texts = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).text(folder).select("value", F.col("_metadata.file_name").alias("file"))
@@ -122,8 +233,10 @@ def summaries_long(spark: SparkSession, folder: str, pattern: str = "evaluation_
     return long.withColumn("metric", F.regexp_replace("metric", "^avg_", ""))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Every cell quoted, quotes doubled."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", backslash: bool = False) -> None:
+    """Every cell quoted, quotes doubled; with backslash, backslashes are doubled as well."""
+    if backslash:
+        df = df.withColumns({c: F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")) for c, kind in df.dtypes if kind == "string"})
     df.write.mode(mode).options(header="true", quoteAll="true", quote='"', escape='"').csv(path)
 
 
@@ -142,9 +255,40 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def save_json(rows: DataFrame, path: str, most: int = 100_000) -> None:
-    """A small table as one JSON list on the driver's disk; more rows than most are an error."""
-    found = rows.limit(most + 1).collect()
-    if len(found) > most:
+def write_splits(df: DataFrame, path: str, split: str = "split", test: str | None = "test", like: str = "validation") -> None:
+    """JSON lines in one folder for each split that has rows; where no row is of the split `test`, it is a copy of the split `like`."""
+    if test is not None and not df.where(F.col(split) == test).take(1):
+        df = df.unionByName(df.where(F.col(split) == like).withColumn(split, F.lit(test)))
+    df.write.mode("overwrite").partitionBy(split).json(path)
+
+
+def write_generation(results: DataFrame, folder: str) -> None:
+    """Generated rows as CSV: one folder for each model, and all of them in all_models_results."""
+    write_by(results, f"{folder}/by_model", "model", "csv")
+    write_csv(results, f"{folder}/all_models_results")
+
+
+def write_annotation(tasks: DataFrame, mapping: DataFrame, folder: str) -> None:
+    """Annotation tasks and the mapping of their press ids to models."""
+    write_jsonl(tasks, f"{folder}/annotation_tasks")
+    write_jsonl(mapping, f"{folder}/annotation_mapping")
+
+
+def write_processed(cases: DataFrame, metrics: DataFrame, folder: str) -> None:
+    """Processed annotations by case, and the metrics by model."""
+    write_jsonl(cases, f"{folder}/processed_results")
+    write_jsonl(metrics, f"{folder}/model_metrics")
+
+
+def save_json(rows: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """A table that people read as one JSON list in a text file, written by one task row by row; more rows than most are an error."""
+    if rows.count() > most:
         raise ValueError(f"more than {most} rows: write them by write_jsonl")
-    Path(path).write_text(json.dumps([r.asDict(recursive=True) for r in found], ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), F.lit(1).alias("o"))
+    mark = lambda value, o: rows.sparkSession.createDataFrame([(value, o)], "value string, o int")
+    # commas lead each record but the first, which the opening line stands for
+    numbered = lines.withColumn("n", F.monotonically_increasing_id())
+    first = numbered.agg(F.min("n").alias("first"))
+    records = numbered.crossJoin(F.broadcast(first)).select(F.concat(F.when(F.col("n") == F.col("first"), "").otherwise(","), "value").alias("value"), "o", "n")
+    ends = mark("[", 0).unionByName(mark("]", 2)).withColumn("n", F.lit(0).cast("long"))
+    records.unionByName(ends).repartition(1).sortWithinPartitions("o", "n").select("value").write.mode("overwrite").text(path)
