@@ -1,13 +1,20 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are a text's lower-cased words and their first letters (prefix_chars), hashed to
-2^hash_bits places; a term that is there twice or more has a second place. The machine has a weight and a short vector for each place that tells
-the classes apart; the score is the logistic of bias + weights + products of vectors of
-all pairs of terms that meet in a text, so that two words can weigh more together than
-each does alone.
-
-Learning takes at most max_rows labelled rows (lowest hash of the id) and keeps the
-max_places places with the clearest difference; both bound the model. Null and empty texts
+2^hash_bits places; a term that is there twice or more has a second place. The machine has
+a weight and a short vector for each place; the score is the logistic of bias + weights +
+products of vectors of all pairs of terms that meet in a text, so that two words can weigh
+more together than each does alone.
+
+All places are in the model. As in a lasso with an active set, a place's weight and vector
+are zero as long as the slope of the loss on it, by what the machine has not explained yet,
+is no clearer than chance: clear_alone standard deviations for a place by itself, clear_pair
+for a place together with another one, so that terms which tell in company only take part
+as well. Slopes are taken anew after each fit, up to `rounds` times. Pairs are looked at
+among the pair_places most frequent places, all pairs of them at once.
+
+Learning takes at most max_rows labelled rows (lowest hash of the id), and no more of them
+than have max_entries places in all; both bound what the driver holds. Null and empty texts
 have no term and get the bias; with no labelled row each score is 0.5. Ids with several
 labels count by their mean (ties: toxic). Repeated rows give repeated results, other
 columns are passed by, texts are worked on whole.
@@ -26,12 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import arrow
+from tarnwell.llm.common import Workspace, arrow, payload
 from tarnwell.llm.quality import labelled
 
 _words = regex.compile(r"[^\W\d_]+").findall
 #: Words whose places a worker remembers.
 MEMO_WORDS = 200_000
+#: Entries that one numpy step of learning works on.
+STEP = 1 << 19
 
 
 def places_of(word: str, hash_bits: int, prefix_chars: int) -> tuple[int, ...]:
@@ -98,56 +107,110 @@ def _margin(weights, vectors, bias, found, owners, n):
     return bias + linear + 0.5 * ((total**2).sum(1) - squares), total
 
 
-def fit(owners: np.ndarray, places: np.ndarray, y: np.ndarray, hash_bits: int = 20, prefix_chars: int = 4, max_places: int = 4096, least_rows: int = 3, factors: int = 4, epochs: int = 250, rate: float = 0.3, ridge: float = 1e-3) -> Machine:
-    """owners, places: one entry for each row of y and place that it has. Full-batch AdaGrad on the logistic loss."""
-    n = len(y)
-    nothing = Machine({}, np.zeros(0), np.zeros((0, factors)), 0.0, hash_bits, prefix_chars)
+def slopes(owners: np.ndarray, places: np.ndarray, error: np.ndarray, spread: np.ndarray, size: int) -> np.ndarray:
+    """For each place the error's sum over the rows that have it, in standard deviations."""
+    total, variance = np.zeros(size), np.zeros(size)
+    for a in range(0, len(places), STEP):  # so that the entries are never copied whole
+        p, own = places[a : a + STEP], owners[a : a + STEP]
+        total += np.bincount(p, error[own], size)
+        variance += np.bincount(p, spread[own], size)
+    return total / np.sqrt(np.maximum(variance, 1e-9))
+
+
+def pair_slopes(owners: np.ndarray, columns: np.ndarray, error: np.ndarray, spread: np.ndarray, width: int, rows: int = 2048) -> np.ndarray:
+    """For each two of width columns the error's sum over the rows that have both, in standard deviations. owners ascend."""
+    total, variance = np.zeros((width, width), np.float32), np.zeros((width, width), np.float32)
+    for first in range(0, len(error), rows):
+        a, b = np.searchsorted(owners, [first, first + rows])
+        has = np.zeros((rows, width), np.float32)
+        has[owners[a:b] - first, columns[a:b]] = 1
+        here = slice(first, first + rows)
+        has = has[: len(error[here])]
+        total += has.T @ (has * error[here, None].astype(np.float32))
+        variance += has.T @ (has * spread[here, None].astype(np.float32))
+    z = total / np.sqrt(np.maximum(variance, 1e-9))
+    np.fill_diagonal(z, 0)
+    return z
+
+
+def fit(owners: np.ndarray, places: np.ndarray, y: np.ndarray, hash_bits: int = 20, prefix_chars: int = 4, clear_alone: float = 4.0, clear_pair: float = 6.5, pair_places: int = 1024, least_rows: int = 3, rounds: int = 2, **params) -> Machine:
+    """owners, places: one entry for each row of y and place that it has, by row. Places of fewer than least_rows rows tell nothing."""
+    n, size, factors = len(y), 1 << hash_bits, params.get("factors", 4)
+    machine = Machine({}, np.zeros(0), np.zeros((0, factors)), 0.0, hash_bits, prefix_chars)
     if not n:
-        return nothing
+        return machine
     share = (y.sum() + 0.5) / (n + 1)
-    nothing.bias = float(np.log(share / (1 - share)))
+    machine.bias = float(np.log(share / (1 - share)))
     if y.min() == y.max() or not len(places):
-        return nothing
-    size = 1 << hash_bits
-    having, toxic = np.zeros(size), np.zeros(size)
-    steps = [slice(a, a + (1 << 19)) for a in range(0, len(places), 1 << 19)]  # so that the entries are never copied whole
-    for part in steps:
-        having += np.bincount(places[part], minlength=size)
-        toxic += np.bincount(places[part], y[owners[part]], size)
-    # distance of the toxic share of a place's rows from that of all rows, in standard deviations
-    clear = np.where(having >= least_rows, np.abs(toxic - having * share) / np.sqrt(np.maximum(having, 1) * share * (1 - share)), 0)
-    kept = np.sort(np.lexsort((np.arange(size), -clear))[:max_places])
-    kept = kept[clear[kept] > 4.0]
-    if not len(kept):
-        return nothing
-    row = np.full(size, -1)
-    row[kept] = np.arange(len(kept))
-    own = np.concatenate([owners[part][row[places[part]] >= 0] for part in steps]).astype(np.int64)
-    found = np.concatenate([row[places[part]][row[places[part]] >= 0] for part in steps])
+        return machine
+    having = sum(np.bincount(places[a : a + STEP], minlength=size) for a in range(0, len(places), STEP))
+    common = np.lexsort((np.arange(size), -having))[:pair_places]
+    common = np.sort(common[having[common] >= least_rows])
+    picked = lambda chosen: np.concatenate([a + np.flatnonzero(chosen[places[a : a + STEP]]) for a in range(0, len(places), STEP)])
+    mask = np.zeros(size, bool)
+    mask[common] = True
+    shared = picked(mask)
+    shared_owners, columns = owners[shared].astype(np.int64), np.searchsorted(common, places[shared])
+    active, p = np.zeros(size, bool), np.full(n, share)
+    for _ in range(rounds):
+        error, spread = y - p, p * (1 - p)
+        new = (np.abs(slopes(owners, places, error, spread, size)) > clear_alone) & (having >= least_rows)
+        together = np.abs(pair_slopes(shared_owners, columns, error, spread, len(common))) > clear_pair
+        new[common[together.any(0)]] = True
+        if not (new & ~active).any():
+            break
+        active |= new
+        kept = np.flatnonzero(active)
+        entries = picked(active)
+        own, found = owners[entries].astype(np.int64), np.searchsorted(kept, places[entries])
+        machine = descend(own, found, y, kept, machine, **params)
+        p = machine.logistic(found, own, n)
+    return machine
+
+
+def descend(owners: np.ndarray, found: np.ndarray, y: np.ndarray, kept: np.ndarray, before: Machine, factors: int = 4, epochs: int = 40, batches: int = 10, rate: float = 0.3, ridge: float = 1e-3) -> Machine:
+    """A machine of the kept places by AdaGrad on the logistic loss, in `batches` parts of the rows. found: rows of kept; owners ascend."""
+    n, share = len(y), (y.sum() + 0.5) / (len(y) + 1)
     rng = np.random.default_rng(7)
-    weights, vectors, bias = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), factors)), nothing.bias
+    place = rng.permutation(n)
+    order = np.argsort(place[owners], kind="stable")
+    owners, found = place[owners][order], found[order]
+    y = y[np.argsort(place)]
+    parts = []
+    for first, last in zip(range(0, n, -(-n // batches)), [*range(0, n, -(-n // batches))[1:], n]):
+        a, b = np.searchsorted(owners, [first, last])
+        own = owners[a:b] - first
+        has = np.unique(own)
+        parts.append((y[first:last], own, found[a:b], has, np.searchsorted(own, has)))
+    weights, vectors, bias = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), factors)), float(np.log(share / (1 - share)))
     sums = [np.full(a.shape, 1e-6) for a in (weights, vectors, np.zeros(1))]
     for _ in range(epochs):
-        margin, total = _margin(weights, vectors, bias, found, own, n)
-        error = (1 / (1 + np.exp(-margin)) - y) / n
-        e = error[own]
-        steps = (
-            np.bincount(found, e, len(kept)) + ridge * weights / n,
-            np.stack([np.bincount(found, e * (total[own, k] - vectors[found, k]), len(kept)) for k in range(factors)], 1) + ridge * vectors / n,
-            np.array([error.sum()]),
-        )
-        for s, g in zip(sums, steps):
-            s += g**2
-        weights = weights - rate * steps[0] / np.sqrt(sums[0])
-        vectors = vectors - rate * 0.3 * steps[1] / np.sqrt(sums[1])
-        bias -= rate * float(steps[2][0] / np.sqrt(sums[2][0]))
-    return Machine({int(p): i for i, p in enumerate(kept)}, weights, vectors, bias, hash_bits, prefix_chars)
-
-
-def train(docs: DataFrame, labels: DataFrame, teaches: Column, max_rows: int = 20_000, hash_bits: int = 20, prefix_chars: int = 4, **params) -> Machine:
+        for labels, own, places, has, starts in parts:
+            own_vectors, margin, total = vectors[places], np.full(len(labels), bias), np.zeros((len(labels), factors))
+            if len(starts):
+                total[has] = np.add.reduceat(own_vectors, starts)
+                margin[has] += np.add.reduceat(weights[places] - 0.5 * (own_vectors**2).sum(1), starts) + 0.5 * (total[has] ** 2).sum(1)
+            error = (1 / (1 + np.exp(-margin)) - labels) / len(labels)
+            e = error[own]
+            others = total[own] - own_vectors
+            steps = (
+                np.bincount(places, e, len(kept)) + ridge * weights / n,
+                np.stack([np.bincount(places, e * others[:, k], len(kept)) for k in range(factors)], 1) + ridge * vectors / n,
+                np.array([error.sum()]),
+            )
+            for s, g in zip(sums, steps):
+                s += g**2
+            weights = weights - rate * steps[0] / np.sqrt(sums[0])
+            vectors = vectors - rate * 0.3 * steps[1] / np.sqrt(sums[1])
+            bias -= rate * float(steps[2][0] / np.sqrt(sums[2][0]))
+    return Machine({int(p): i for i, p in enumerate(kept)}, weights, vectors, bias, before.hash_bits, before.prefix_chars)
+
+
+def train(docs: DataFrame, labels: DataFrame, teaches: Column, max_rows: int = 20_000, max_entries: int = 10_000_000, hash_bits: int = 20, prefix_chars: int = 4, **params) -> Machine:
     """A machine from the labelled rows for which `teaches` (a condition on doc_id) holds.
 
-    The driver gets the distinct places of each of max_rows rows, four bytes a place.
+    The driver gets the distinct places of the rows, four bytes a place: rows in the order
+    of their ids' hash as long as their places are no more than max_entries.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +219,21 @@ def train(docs: DataFrame, labels: DataFrame, teaches: Column, max_rows: int = 2
             got = [np.array(places_in(t, hash_bits, prefix_chars), "<u4").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], ["doc_id", "y", "x"])
 
-    rows = labelled(docs, labels, "toxic", teaches, max_rows).select("doc_id", "text", "y").mapInArrow(work, "doc_id long, y int, x binary").collect()
-    rows.sort(key=lambda r: r["doc_id"])  # an id is there once
-    y = np.array([r["y"] for r in rows], float)
-    lists = [np.frombuffer(r["x"], "<u4") for r in rows]
-    owners = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in lists])
-    places = np.concatenate(lists) if rows else np.zeros(0, np.uint32)
-    del rows, lists
-    return fit(owners, places, y, hash_bits, prefix_chars, **params)
+    rows = labelled(docs, labels, "toxic", teaches, max_rows).select("doc_id", "text", "y").mapInArrow(work, "doc_id long, y int, x binary")
+    rows = Workspace(docs.sparkSession).table(rows.withColumn("h", F.xxhash64("doc_id")), "terms")
+    sizes = sorted((r["h"], r["doc_id"], r["n"]) for r in rows.select("h", "doc_id", (F.octet_length("x") / 4).cast("long").alias("n")).collect())
+    held = np.cumsum([n for _, _, n in sizes])
+    if len(held) and held[-1] > max_entries:
+        last = max(0, int(np.searchsorted(held, max_entries, "right")) - 1)
+        h, doc_id, _ = sizes[last]
+        rows = rows.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("doc_id") <= doc_id)))
+    table = rows.select("doc_id", "y", "x").toArrow().sort_by("doc_id").combine_chunks()  # an id is there once
+    if not table.num_rows:
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(0), hash_bits, prefix_chars, **params)
+    x = table.column("x").chunk(0)
+    data, at = payload(x)
+    owners = np.repeat(np.arange(table.num_rows, dtype=np.int32), np.diff(at) // 4)
+    return fit(owners, data.view("<u4"), table.column("y").to_numpy().astype(float), hash_bits, prefix_chars, **params)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

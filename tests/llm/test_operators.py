@@ -224,6 +224,46 @@ def test_viterbi_is_the_best_path():
         paths = [[p >> k & 1 for k in range(len(x))] for p in range(1 << len(x))]
         value = lambda s, x=x: field.start[s[0]] + sum(v for v, b in zip(x, s) if b) + sum(field.step[a, b] for a, b in zip(s, s[1:]))
         assert state[doc == d].tolist() == max(paths, key=value)
+def test_factorization_learns_terms_that_tell_in_company_only():
+    rng = np.random.default_rng(3)
+    has = rng.random((20_000, 6)) < 0.5
+    y = (has[:, 0] ^ has[:, 1]).astype(float)  # alone, each term is as likely in both classes
+    owners, places = np.nonzero(has)
+    machine = toxicity.fit(owners, places, y, hash_bits=4)
+    assert {0, 1} <= set(machine.rows)
+    known = np.isin(places, list(machine.rows))
+    p = machine.logistic(np.array([machine.rows[k] for k in places[known]]), owners[known], len(y))
+    assert ((p > 0.5) == (y == 1)).mean() > 0.98
+
+
+def test_machine_scores_as_all_pairs_summed():
+    rng = random.Random(18)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("xxxxx", "yyyyy", "zz")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "", "not known", "AXXXXX axxxxx"]
+    places = sorted({p for t in texts[:50] for p in toxicity.places_in(t, 10, 4)})
+    made = np.random.default_rng(19)
+    machine = toxicity.Machine({p: i for i, p in enumerate(places)}, made.normal(size=len(places)), made.normal(size=(len(places), 3)), -0.4, 10, 4)
+    got = machine.score(texts)
+    for text, score in zip(texts, got):
+        own = [machine.rows[p] for p in toxicity.places_in(text, 10, 4) if p in machine.rows]
+        margin = machine.bias + sum(machine.weights[i] for i in own) + sum(float(machine.vectors[a] @ machine.vectors[b]) for k, a in enumerate(own) for b in own[:k])
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}q" for k in range(10)), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    whole = toxicity.fit
+    try:
+        toxicity.fit = lambda owners, places, y, *a, **b: seen.append((len(y), len(places))) or whole(owners, places, y, *a, **b)
+        for most in (10_000, 500, 1):
+            toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True), max_entries=most, prefix_chars=9)
+    finally:
+        toxicity.fit = whole
+    assert seen == [(200, 2000), (50, 500), (1, 10)]
+
+
 
 
 # ---- URLs
