@@ -193,30 +193,22 @@ def bleu(reference: Column, generated: Column, weights: dict[int, tuple[float, .
     return F.transform(F.array(found), scored)[0]  # bound once: the counts are used many times
 
 
-def stem(word: str) -> str:
-    """A word without a common German or English ending."""
-    for end in ("ungen", "heit", "keit", "ern", "ing", "ung", "em", "en", "er", "es", "ed", "e", "s", "n"):
-        if word.endswith(end) and len(word) - len(end) >= 4:
-            return word[: -len(end)]
-    return word
-
-
 def meteor_score(reference: list[str], generated: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR with the exact and the stem stage."""
+    """METEOR with the exact and the stem stage. Words are matched from the last one backwards, each with the last equal one that is left."""
     left, pairs = list(enumerate(reference)), []
     open_ = list(enumerate(generated))
-    for key in (lambda w: w, stem):
+    for key in (lambda w: w, porter):
         places: dict[str, list[int]] = {}
         for i, w in left:
             places.setdefault(key(w), []).append(i)
         rest = []
-        for j, w in open_:
+        for j, w in reversed(open_):
             if places.get(key(w)):
-                pairs.append((j, places[key(w)].pop(0)))
+                pairs.append((j, places[key(w)].pop()))
             else:
                 rest.append((j, w))
         used = {i for _, i in pairs}
-        left, open_ = [(i, w) for i, w in left if i not in used], rest
+        left, open_ = [(i, w) for i, w in left if i not in used], rest[::-1]
     if not pairs:
         return 0.0
     pairs.sort()

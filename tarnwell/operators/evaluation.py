@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import metrics as mx
 from tarnwell.functions import text as tx
 from tarnwell.operators.ranking import first_rows, top_rows
+from tarnwell.sources.tables import append_results, path_exists
 
 # The error of rows without a generated text, of models without a column and of models without a valid row; the metrics that summaries list.
 NO_TEXT = "Kein generierter Text verfügbar"
@@ -113,23 +114,46 @@ def summary(scored: DataFrame, model: str, names: list[str] = METRICS) -> DataFr
     return scored.groupBy(model).agg(*averages, F.count("*").alias("total_samples"), ok.alias("successful_generations"), F.sum((~fine).cast("long")).alias("failed_generations"), (ok / F.count("*")).alias("success_rate"), F.when(ok == 0, NO_VALID).alias("error"))
 
 
+def to_score(wide: DataFrame, row_id: str, reference: str, models: list[str], done: DataFrame | None = None, source: str | None = None) -> DataFrame:
+    """A row (row_id, reference, source, model, generated) for each model column that wide has, less what done (model, row_id) holds."""
+    known = [m for m in models if m in wide.columns]
+    kept = [row_id, reference, *([source] if source and source not in (row_id, reference) else [])]
+    if not known:
+        schema = f"{', '.join(f'`{c}` {t}' for c, t in wide.select(*kept).dtypes)}, model string, generated string"
+        return wide.sparkSession.createDataFrame([], schema)
+    long = wide.select(*kept, *[F.col(m).cast("string").alias(m) for m in known]).unpivot(kept, known, "model", "generated")
+    return long if done is None else long.join(done.select("model", row_id), ["model", row_id], "left_anti").select(*long.columns)
+
+
+def lost_models(wide: DataFrame, models: list[str]) -> DataFrame:
+    """model and error of the models that have no column."""
+    return wide.sparkSession.createDataFrame([(m, NO_COLUMN.format(m)) for m in models if m not in wide.columns], "model string, error string")
+
+
 def evaluate(wide: DataFrame, row_id: str, reference: str, models: list[str], done: DataFrame | None = None, source: str | None = None, adapters: Adapters = Adapters(), stem: bool = True) -> tuple[DataFrame, DataFrame]:
     """Scored rows (row_id, model, generated, metrics, error) of all model columns, and their summary.
 
     done: scored rows of an earlier run; what they hold is not scored again, and they count in
     the summary. Models without a column have no rows, and a summary with an error alone.
     """
-    known = [m for m in models if m in wide.columns]
-    kept = [row_id, reference, *([source] if source and source not in (row_id, reference) else [])]
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in wide.select(*kept).dtypes)}, model string, generated string"
-    long = wide.select(*kept, *[F.col(m).cast("string").alias(m) for m in known]).unpivot(kept, known, "model", "generated") if known else wide.sparkSession.createDataFrame([], schema)
-    if done is not None:
-        long = long.join(done.select("model", row_id), ["model", row_id], "left_anti").select(*long.columns)
-    scored = score(long, reference, "generated", source, adapters, stem)
+    scored = score(to_score(wide, row_id, reference, models, done, source), reference, "generated", source, adapters, stem)
     if done is not None:
         scored = done.select(*scored.columns).unionByName(scored)
-    lost = wide.sparkSession.createDataFrame([(m, NO_COLUMN.format(m)) for m in models if m not in known], "model string, error string")
-    return scored, summary(scored, "model").unionByName(lost, allowMissingColumns=True)
+    return scored, summary(scored, "model").unionByName(lost_models(wide, models), allowMissingColumns=True)
+
+
+def run(wide: DataFrame, row_id: str, reference: str, models: list[str], folder: str, every: int, total: int, source: str | None = None, adapters: Adapters = Adapters(), stem: bool = True) -> DataFrame:
+    """The summary of a run that adds its scored rows to folder after each `every` rows; a run that was stopped goes on with what is missing.
+
+    row_id: numbers from 0 to under total. Each step scores its range of rows alone and
+    appends them by model, so that the driver holds nothing and no row is written twice.
+    """
+    spark = wide.sparkSession
+    for first in range(0, total, every):
+        done = spark.read.parquet(folder) if path_exists(spark, folder) else None
+        part = wide.where((F.col(row_id) >= first) & (F.col(row_id) < first + every))
+        append_results(score(to_score(part, row_id, reference, models, done, source), reference, "generated", source, adapters, stem), folder)
+    return summary(spark.read.parquet(folder), "model").unionByName(lost_models(wide, models), allowMissingColumns=True)
 
 
 def metric_group(name: str) -> str:

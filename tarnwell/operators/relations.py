@@ -98,14 +98,15 @@ def similar(above: float) -> Callable[..., Column]:
     return ratio
 
 
-def near_duplicates(texts: DataFrame, key: str, text: str, ratio: float = 0.9, parts: int = 16) -> DataFrame:
+def near_duplicates(texts: DataFrame, key: str, text: str, ratio: float = 0.9, parts: int = 16, sample: int | None = None, seed: int = 42) -> DataFrame:
     """key_a, key_b (the greater), ratio of all pairs whose Ratcliff-Obershelp ratio is above the limit, from 0 to under 1.
 
     Texts are compared where the lengths allow the ratio: such lengths are in one band or in
     two next to each other. Counts of characters rule out more pairs before the ratio is worked
     out. Both are upper bounds, so no pair is lost. A band is dealt over parts; pairs of like
     lengths still grow with the square of the texts, so texts of a corpus are joined by
-    shingles elsewhere. Rows with null key or text make no pair, nor do rows of the same key.
+    shingles elsewhere, or compared by a sample: `sample` rows (all if there are fewer), by a
+    hash of key and seed. Rows with null key or text make no pair, nor do rows of the same key.
     """
     if not 0 <= ratio < 1:
         raise ValueError(f"ratio is from 0 to under 1, not {ratio}")
@@ -113,6 +114,8 @@ def near_duplicates(texts: DataFrame, key: str, text: str, ratio: float = 0.9, p
     width = math.log((2 - ratio) / ratio) + 1e-6 if ratio else math.inf
     band = F.when(F.length(text) > 0, F.floor(F.log(F.length(text).cast("double")) / F.lit(width))).otherwise(0).cast("int")
     rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    if sample is not None:
+        rows = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample)
     side = lambda s, *more: rows.select(F.col(key).alias(f"key_{s}"), F.col(text).alias(f"t_{s}"), *more)
     a = side("a", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
     b = side("b", band.alias("band"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

@@ -335,3 +335,28 @@ def s15_json_lines(t):
     path = f"{scratch(t.spark)}/train.jsonl"
     tables.write_jsonl(t.documents.select("doc_id", "text"), path)
     return tables.read_table(t.spark, path).where("length(text) > 0").select("doc_id", (text.tokens_estimate(F.col("text")) <= 128).alias("short"))
+
+
+@query("""WITH v AS (SELECT doc_id, 'short' AS model, left(text, 90) AS g, text AS r FROM documents WHERE doc_id < 200 UNION ALL SELECT doc_id, 'none', NULL, text FROM documents WHERE doc_id < 200),
+w AS (SELECT model, g, len(list_filter(regexp_split_to_array(g, '\\s+'), lambda x: x <> '')) AS a, len(list_filter(regexp_split_to_array(r, '\\s+'), lambda x: x <> '')) AS b FROM v)
+SELECT model, count(*) AS total_samples, count(*) FILTER (g <> '') AS successful_generations, round(avg(CASE WHEN g <> '' THEN CASE WHEN a = 0 OR b = 0 THEN 0 ELSE least(a, b) / greatest(a, b) END END), 9) AS avg_length_ratio FROM w GROUP BY model
+UNION ALL SELECT 'lost', NULL, NULL, NULL""")
+def c5_resumed_run(t):
+    """An evaluation of two hundred rows, stopped after its first eighty and called again, in steps of a hundred."""
+    folder = f"{scratch(t.spark)}/results"
+    wide = t.documents.where("doc_id < 200").select(F.col("doc_id").alias("row"), F.col("text").alias("press"), F.substring("text", 1, 90).alias("short"), F.lit(None).cast("string").alias("none"))
+    evaluation.run(wide, "row", "press", ["short"], folder, 80, 80, stem=False)
+    found = evaluation.run(wide, "row", "press", ["short", "none", "lost"], folder, 100, 200, stem=False)
+    return found.select("model", "total_samples", "successful_generations", F.round("avg_length_ratio", 9).alias("avg_length_ratio"))
+
+
+@query("SELECT (SELECT least(count(*), 30) FROM documents) AS rows_taken, true AS only_true_pairs")
+def t29_sampled_pairs(t):
+    """Near duplicates within a sample of thirty documents and their edited copies."""
+    from tarnwell.operators.relations import near_duplicates
+
+    first = t.documents.orderBy(F.xxhash64(F.col("doc_id"), F.lit(42)), "doc_id").limit(30).select("doc_id", F.substring("text", 1, 400).alias("text"))
+    pairs = near_duplicates(t.documents.select("doc_id", F.substring("text", 1, 400).alias("text")), "doc_id", "text", 0.9, sample=30)
+    known = first.select(F.col("doc_id").alias("key_a")).union(first.select("doc_id")).distinct()
+    wrong = pairs.join(known, "key_a", "left_anti").count() + pairs.where("ratio <= 0.9").count()
+    return first.agg(F.count("*").alias("rows_taken")).withColumn("only_true_pairs", F.lit(wrong == 0))

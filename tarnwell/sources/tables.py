@@ -156,7 +156,7 @@ def run_in_steps(rows: DataFrame, row_id: str, ends: list[int], step: Callable[[
     spark, first = rows.sparkSession, 0
     paths = [f"{folder}/{prefix}_{e}.csv" for e in ends]
     for end, path in zip(ends, paths):
-        if not _exists(spark, f"{path}/_SUCCESS"):
+        if not path_exists(spark, f"{path}/_SUCCESS"):
             write_csv(step(rows.where((F.col(row_id) >= first) & (F.col(row_id) < end))), path, backslash=True)
         first = end
     if not paths:
@@ -164,7 +164,7 @@ def run_in_steps(rows: DataFrame, row_id: str, ends: list[int], step: Callable[[
     return read_csv(spark, paths, backslash=True)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
