@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +151,11 @@ def drop_after_hit(lines: DataFrame, number: str, line: str, phrases: list[str],
     return marked.where(~F.col("_hit") & ~F.col("_after")).select(*lines.columns)
 
 
+def date_parts(pattern: str) -> Callable[[Column], Column]:
+    """For a match of a date pattern its text and its day, month and year."""
+    return lambda m: F.struct(m.alias("all"), *[F.regexp_extract(m, pattern, k).alias(c) for k, c in ((1, "d"), (2, "m"), (3, "y"))])
+
+
 def announcement(summary: Column, published: Column | None = None, headlines: list[str] = HEADLINES, keywords: list[str] = KEYWORDS, dates: list[str] = DATE_PATTERNS, periods: list[str] = PERIODS) -> Column:
     """A struct (flag, criteria): a headline phrase early on, or a keyword together with a future date or period.
 
@@ -159,14 +166,15 @@ def announcement(summary: Column, published: Column | None = None, headlines: li
     start = F.substring(low, 1, HEADLINE_CHARS)
     texts = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
     hits_h = F.filter(texts(headlines), lambda p: start.contains(p))
-    hits_k = F.array_compact(F.array(*[F.when(low.rlike(tx.bounded(k)), F.lit(k)) for k in keywords])) if keywords else texts([])
+    hits_k = F.array_compact(F.array(*[F.when(low.contains(k) & low.rlike(tx.bounded(k)), F.lit(k)) for k in keywords])) if keywords else texts([])
     hits_p = F.array_compact(F.array(*[F.when(low.rlike(f"(?i){p}"), F.lit(p)) for p in periods])) if periods else texts([])
     found = F.array().cast("array<string>")
     if published is not None:
         day = F.try_to_date(published.cast("string"))
         for pattern in dates:
-            part = lambda k, p=pattern: F.regexp_extract_all(low, F.lit(f"(?U){p}"), F.lit(k))
-            each = F.arrays_zip(part(0).alias("all"), part(1).alias("d"), part(2).alias("m"), part(3).alias("y"))
+            full = f"(?U){pattern}"
+            # the text is searched once; groups come from the short matches
+            each = F.transform(F.regexp_extract_all(low, F.lit(full), F.lit(0)), date_parts(full))
 
             def ahead(x: Column) -> Column:
                 d, m = x["d"].cast("int"), x["m"].cast("int")
