@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,16 +18,18 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir. Where it is unset, local sessions (tests) get a fresh one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tarnwell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Workspace:
-    """Written tables that cut lineage; they go when the Python process ends.
+    """Written tables that cut lineage; they go by `release`, or when the Python process ends.
 
     Lost executors don't matter to a written table: its files are in the folder of
     spark.checkpoint.dir, and a failed task of its writer is run again.
@@ -34,7 +37,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        _OPEN.add(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}/{uuid.uuid4().hex[:8]}"
@@ -51,12 +54,23 @@ class Workspace:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def drop(self) -> None:
+        _OPEN.discard(self)
         try:
             self._delete(self.path)
         except Exception:  # the session has ended: nothing left to ask
             pass
 
 
+_OPEN: set[Workspace] = set()
+
+
+@atexit.register
+def release() -> None:
+    """Deletes all work tables. Results are read from them, so only when the results so far have been used or written."""
+    for workspace in list(_OPEN):
+        workspace.drop()
+
+
 def fold(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds. A null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % folds, F.lit(0))
@@ -96,6 +110,22 @@ def payload(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(array.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+_BLANKS = re.compile(rb"[ \t-\r]")
+
+
+def word_parts(text: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text between blanks and \\x09-\\x0D, as lists of about step bytes, so that a long text is never a list of all its words."""
+    start = 0
+    while start < len(text):
+        stop = start + step
+        if stop < len(text):
+            blank = _BLANKS.search(text, stop)
+            stop = blank.start() if blank else len(text)
+        if words := text[start:stop].split():
+            yield words
+        start = stop
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions start, start+1, ... of all runs, one after the other."""
     total = int(lengths.sum())

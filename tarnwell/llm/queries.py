@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import bpe, decontam, langid, ngram_join, quality, rules, sa_dedup, toxicity, urls, warc
 from tarnwell.llm.common import fold, read
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: The vocabulary file of the BPE operator.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES: list[urls.Rule] = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -57,7 +56,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,14 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+import zstandard
 
 from tarnwell.llm import bpe, decontam, langid, ngram_join, quality, queries, rules, sa_dedup, toxicity, urls, warc
 from tarnwell.llm.common import fold
 from tarnwell.llm.components import components
 
 DATA = "/root/testdata/sf0.01"
-BPE_FILE = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+BPE_FILE = queries.TOKENIZER
 #: Nulls, blanks, one word, a very long text, repeated rows and null ids; every operator must take them.
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "word"), (5, "12 34 ##"), (6, "lang " * 30_000), (7, "same text here"), (7, "same text here"), (None, "no id at all"), (None, None), (8, "İΣς ﷺ e\u0301 \x00 \u2028 x")]
 
@@ -127,6 +128,28 @@ def test_langid_sample_is_spread_over_rows_and_texts(spark):
 
 
 def test_folds(spark):
+def test_langid_compares_compressed_sizes_and_ties_go_to_the_first():
+    rng = random.Random(22)
+    say = lambda signs, n: " ".join("".join(rng.choice(signs) for _ in range(5)) for _ in range(n))
+    first = say("abcdef", 400).encode()
+    dictionaries = {"x": first, "y": say("defghi", 400).encode(), "z": first}
+    judge = langid.Compressor(dictionaries, 6, 256).judge
+    for text in [say("abcdef", 30), say("defghi", 200), say("ghi", 9), "Q", None, "12"]:
+        plain = langid.letters_only(text).encode()
+        size = {}
+        for name, content in dictionaries.items():
+            made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made.precompute_compress(level=6)
+            size[name] = sum(len(zstandard.ZstdCompressor(dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False).compress(plain[i : i + 256])) for i in range(0, len(plain), 256))
+        found, score, rejected = judge(text, 0.01)
+        if not plain:
+            assert (found, score) == ("und", 0.0)
+            continue
+        assert found == min(size, key=lambda k: (size[k], list(size).index(k))) and found != "z"
+        best, second = sorted(size.values())[:2]
+        assert rejected == ((second - best) / second < 0.01)
+
+
     got = spark.createDataFrame([(i,) for i in [0, 7, -3, 10**15, None]], "doc_id long").select("doc_id", fold("doc_id", 5).alias("f")).collect()
     assert all(r.f == (0 if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5) for r in got)
 

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnwell.llm import bpe, queries
@@ -59,7 +60,7 @@ def test_stages(spark, planted):
     assert {900001, 900011, 900012, 900041, 900042, None} <= set(kept["decontam"])
     assert kept["decontam"][900041] == rows[900041]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
-    own = bpe.tokenizer(f"{queries.TOKENIZERS}/word_bpe_49k.json")
+    own = bpe.tokenizer(queries.TOKENIZER)
     ids = {r.doc_id: r for r in last}
     want = own.encode(rows[900041])
     assert ids[900041].ids_sha256 == hashlib.sha256(want).hexdigest() and ids[900041].n_tokens == len(np.frombuffer(want, "<u4"))
@@ -83,6 +84,21 @@ def test_rows_are_dropped_by_row(spark, tmp_path):
     assert left(alone) == sorted([(3, a + " more"), (3, b), (8, c), (None, d), (None, None), (None, None)], key=str)
 
 
+def test_extra_columns_keep_their_values(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage = say(60)
+    names = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "key", "chk", "ord", "copies", "o", "runs", "row", "component_id", "score"]
+    rows = [(1, say(5) + passage), (2, passage + say(5)), (3, None), (None, say(9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(777 + i) for i, c in enumerate(names)}).withColumn("n_chars", F.lit(5)).repartition(2)
+    out = corpus_pipeline.repeats(spark, df, "")
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(r[c] == 777 + i for r in got.values() for i, c in enumerate(names))
+    assert got[1].text == rows[0][1] and passage not in got[2].text and got[2].n_chars == len(got[2].text)
+    assert got[3].text is None and got[3].n_chars == 5 and got[None].text == rows[3][1]
+
+
 def test_registered():
     import __spark_entry__
 
