@@ -69,7 +69,21 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3, "op5_urls": OP5, "op7_warc": OP7, "op8_decontam": OP8}
+    return {"op3_ngram_join": OP3, "op5_urls": OP5, "op7_warc": OP7, "op8_decontam": OP8, "op10_suffix_dedup": OP10}
+
+
+#: Bytes as hexadecimal digits; windows are cut from blocks of 200 starts, so that no long text is walked for each of them.
+OP10 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+b AS (SELECT r, n, b, substr(h, 2 * b + 1, 798) AS s FROM (SELECT *, unnest(range(0, n - 199, 200)) AS b FROM d WHERE n >= 200)),
+w AS (SELECT r, b + i AS p, md5_number(substr(s, 2 * i + 1, 400)) AS g FROM (SELECT *, unnest(range(0, least(200, n - 199 - b))) AS i FROM b)),
+again AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN again USING (g)),
+run AS (SELECT r, min(p) AS start, max(p) + 200 AS stop FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM hit) GROUP BY r, k),
+part AS (SELECT r, start, stop, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) AS before FROM run),
+cut AS (SELECT r, CAST(sum(stop - start) AS BIGINT) AS gone, count(*) AS spans, string_agg(substr(h, 2 * before + 1, 2 * (start - before)), '' ORDER BY start) || substr(any_value(h), 2 * max(stop) + 1) AS kept FROM part JOIN d USING (r) GROUP BY r)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)
+"""
 
 
 OP7 = """

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm.common import Workspace, arrow, offsets_of, payload, pieces, ragged
 
 #: Windows that one numpy step works on.
-STEP = 1 << 20
+STEP = 1 << 19
 _SEED = np.random.default_rng(20240229)
 _BYTES = [_SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 _BASE = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
@@ -343,7 +343,7 @@ def merge_windows(start: np.ndarray, key: np.ndarray, chk: np.ndarray, length: i
     return arrow({"key": key[first], "chk": chk[first], "start": start[first], "stop": start[last] + length}, RANGE_ARROW)
 
 
-def resolve(records: DataFrame, length: int, keep: str, held_bytes: int = 1 << 20) -> DataFrame:
+def resolve(records: DataFrame, length: int, keep: str, held_bytes: int = 1 << 19) -> DataFrame:
     """Ranges of bytes to remove, from records that are sorted by group and order within their partition."""
 
     def weights(rows: pa.RecordBatch) -> np.ndarray:

@@ -593,6 +593,19 @@ def test_ngram_join_of_templates(spark):
 
 
     rng = random.Random(14)
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("hot", [2048, 4])
+def test_suffix_dedup_with_the_settings_of_the_query(spark, keep, hot):
+    """Windows of 200 bytes, by the suffix array and (with few runs to a hot gram) by hash; one text is longer than a step."""
+    rng = random.Random(20)
+    say = lambda n: "".join(rng.choice("abcdefghéü ") for _ in range(n))
+    passage, long = say(450), say(sa_dedup.STEP + 3000)
+    rows = [(i, say(rng.randint(0, 300)) + passage[rng.randint(0, 150) : rng.randint(300, 450)] + say(rng.randint(0, 300))) for i in range(40)]
+    rows += [(100, long), (101, long[1000:1700] + say(50)), (102, say(50) + long[-600:]), (103, "ab" * 300), (104, rows[3][1]), (105, rows[3][1]), (106, None), (107, ""), (None, passage)]
+    got = Counter(tuple(r) for r in sa_dedup.digest(frame(spark, rows), hot=hot, keep=keep).collect())
+    assert got == cut_repeats(rows, 200, keep)
+
+
     calls, real = [], sa_dedup.longest_previous
     monkeypatch.setattr(sa_dedup, "longest_previous", lambda *a: calls.append(a) or real(*a))
     for _ in range(200):
