@@ -10,10 +10,10 @@ A phrase is searched from its rarest term in the shard: its postings, shifted by
 in the phrase, are the candidate starts; the lists of the other terms, rarest first, cut
 them down. With slop > 0 the other terms may stand that many words off (a proximity match).
 
-Phrases go to the executors in blocks of block_bytes of benchmark text, however large the
-benchmark is; the results of several blocks are merged by shard and place in it. A shard
-has a name of its own, so shards of equal content stay apart. Terms are told apart by
-64-bit hashes.
+Phrases go to the executors in blocks of block_bytes of benchmark text. Blocks are searched
+one after the other, each by a scan of the index, and the driver holds one at a time; the
+hits of several blocks are written, and merged by shard and place in it. A shard has a name
+of its own, so shards of equal content stay apart. Terms are told apart by 64-bit hashes.
 
 Null and empty texts have no words and no hits. Benchmark rows with null id or without
 words are left out; rows that share an id are one item. Repeated documents give repeated
@@ -131,8 +131,8 @@ HITS = "shard string, place int, doc_id long, n_words long, spans array<struct<f
 HITS_ARROW = pa.schema([("shard", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
-def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
-    """For each document: spans of words (first, last) in occurrences of the phrases, merged, and the items found."""
+def search(index: DataFrame, phrases: Phrases, slop: int = 0, all_rows: bool = True) -> DataFrame:
+    """For each document (all_rows) or each with a hit: spans of words (first, last) in occurrences of the phrases, merged, and the items found."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +153,9 @@ def search(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
                 spans: dict[int, list] = {}
                 for d, b, e in zip(owner.tolist(), (begins - heads[owner]).tolist(), (ends - heads[owner]).tolist()):
                     spans.setdefault(d, []).append({"first": b, "last": e - 1})
-                n = len(doc_ids)
+                rows = list(range(len(doc_ids))) if all_rows else sorted(spans)
                 yield arrow(
-                    {"shard": [shard.as_py()] * n, "place": np.arange(n), "doc_id": doc_ids, "n_words": counts, "spans": [spans.get(d, []) for d in range(n)], "items": [sorted(items.get(d, ())) for d in range(n)]},
+                    {"shard": [shard.as_py()] * len(rows), "place": rows, "doc_id": [doc_ids[d] for d in rows], "n_words": counts[rows], "spans": [spans.get(d, []) for d in rows], "items": [sorted(items.get(d, ())) for d in rows]},
                     HITS_ARROW,
                 )
 
@@ -168,22 +168,25 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 0,
     tests = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    found = []
+    if blocks > 1:  # written, as each block is a scan of it
+        tests = Workspace(docs.sparkSession).table(tests, "tests")
+    hits = None
     for k in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        rows = sorted((r["item"], r["text"].encode()) for r in part.toLocalIterator())
-        found.append(search(index, phrases_of(rows, window), slop))
-    if blocks == 1:
-        return found[0]
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.union(more)
-    joined = merged.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        phrases = phrases_of(sorted((r["item"], r["text"].encode()) for r in part.toLocalIterator()), window)
+        if blocks == 1:
+            return search(index, phrases, slop)
+        more = Workspace(docs.sparkSession).table(search(index, phrases, slop, all_rows=False), f"hits{k}")
+        hits = more if hits is None else hits.union(more)
+    merged = hits.groupBy("shard", "place").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     grown = F.expr("""aggregate(s, cast(array() as array<struct<first:int,last:int>>), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).last >= x.first - 1,
            concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last)))),
            concat(a, array(x))))""")
-    return joined.withColumn("spans", grown).drop("s")
+    rows = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("place", "d")).select("shard", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
+    found = rows.join(merged.select("shard", "place", grown.alias("spans"), "items"), ["shard", "place"], "left")
+    filled = {"spans": "array<struct<first:int,last:int>>", "items": "array<string>"}
+    return found.select("shard", "place", "doc_id", "n_words", *[F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in filled.items()])
 
 
 def digest(found: DataFrame) -> DataFrame:
