@@ -2,7 +2,8 @@
 
 Each archive is a .warc.zst file: a leading skippable frame with the dictionary, then a
 Zstandard frame for each record. The dictionary is made from the archive's own records (a
-bounded sample of them: dict_samples records, dict_bytes result). Of records with equal
+bounded sample of them: the first 8192 bytes of dict_samples records spread over the
+archive, dict_bytes result; records are compressed whole). Of records with equal
 payloads of min_revisit bytes or more, the one with the largest id is stored as response;
 the others are revisit records that refer to it.
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.common import Workspace, arrow
 
+#: Repeated payloads up to which they are broadcast (some 100 bytes each); beyond, payloads are shuffled by digest.
+BROADCAST_ROWS = 100_000
 #: Fixed value: the magic number of the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -112,9 +115,10 @@ def plan(pages: DataFrame, min_revisit: int) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= min_revisit
-    winners = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("winner"))
-    # written first: a join of two exchanges can split a frequent payload
-    out = rows.join(Workspace(pages.sparkSession).table(winners, "winners"), "digest", "left")
+    winners = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 AND winner IS NOT NULL").drop("n")
+    # written first: a join of two exchanges can split a frequent payload, and the number tells whether it is needed
+    winners = Workspace(pages.sparkSession).table(winners, "winners")
+    out = rows.join(F.broadcast(winners) if winners.count() <= BROADCAST_ROWS else winners, "digest", "left")
     refers = F.when(F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))
     return out.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
@@ -161,10 +165,14 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
-    """Writes each archive as a file into a folder of the driver's, one after the other."""
-    names = []
+    """Writes each archive as a file into a folder of any file system that Spark reaches; the driver holds one archive at a time."""
+    context, names = archives.sparkSession.sparkContext, []
     for row in archives.toLocalIterator():
-        with open(f"{folder}/{row['name']}", "wb") as file:
-            file.write(row["data"])
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['name']}")
+        file = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            file.write(bytearray(row["data"]))
+        finally:
+            file.close()
         names.append(row["name"])
     return names
