@@ -142,11 +142,11 @@ OP5 = f"""
 WITH rules(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
 page AS (SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(url, '{_PARTS}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path FROM pages),
 j AS (SELECT r, page_id, host, path, h || p AS rule, v FROM page LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC) = 1),
-u AS (SELECT host || path AS u, max(v) AS v FROM j GROUP BY 1),
-pos AS (SELECT u, v, substr(repeat(chr(2), {urls.ORDER - 1}) || u || chr(3), i, {urls.ORDER}) AS g FROM (SELECT u, v, unnest(range(1, length(u) + 2)) AS i FROM u)),
-c AS (SELECT g, count(*) FILTER (v = 'allow') AS a, count(*) FILTER (v = 'block') AS b FROM pos GROUP BY g),
-{_url_levels()}score AS (SELECT u, any_value(v) AS v, avg(ln(pa) - ln(pb)) AS llr FROM pos JOIN p{urls.ORDER} USING (g) GROUP BY u),
-mid AS (SELECT (avg(llr) FILTER (v = 'allow') + avg(llr) FILTER (v = 'block')) / 2 AS limit_ FROM score)
+u AS (SELECT *, left(md5(u), 1) IN ({", ".join(f"'{x}'" for x in urls.CALIBRATION)}) AS cal FROM (SELECT host || path AS u, max(v) AS v FROM j GROUP BY 1)),
+pos AS (SELECT u, v, cal, substr(repeat(chr(2), {urls.ORDER - 1}) || u || chr(3), i, {urls.ORDER}) AS g FROM (SELECT u, v, cal, unnest(range(1, length(u) + 2)) AS i FROM u)),
+c AS (SELECT g, count(*) FILTER (v = 'allow' AND NOT cal) AS a, count(*) FILTER (v = 'block' AND NOT cal) AS b FROM pos GROUP BY g),
+{_url_levels()}score AS (SELECT u, any_value(v) AS v, any_value(cal) AS cal, avg(ln(pa) - ln(pb)) AS llr FROM pos JOIN p{urls.ORDER} USING (g) GROUP BY u),
+mid AS (SELECT (coalesce(avg(llr) FILTER (v = 'allow' AND cal), avg(llr) FILTER (v = 'allow')) + coalesce(avg(llr) FILTER (v = 'block' AND cal), avg(llr) FILTER (v = 'block'))) / 2 AS limit_ FROM score)
 SELECT page_id, host, path, rule, coalesce(j.v, CASE WHEN limit_ IS NULL OR llr >= limit_ THEN 'allow' ELSE 'block' END) AS verdict
 FROM j JOIN score ON score.u = host || path, mid
 """

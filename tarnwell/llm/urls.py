@@ -4,9 +4,11 @@ Only DataFrame functions. The URLs that a rule settles teach two character model
 accepted and one of rejected URLs. Each predicts a character from the three before it,
 interpolating all orders down to a uniform one by the number of different characters seen
 after a context (Witten-Bell), so that the order used varies with what is known. A URL's
-score is the mean over its characters of the difference of the two log-likelihoods; the
-threshold lies midway between the mean scores of accepted and rejected URLs. Each
-different URL (host and path) teaches once, so a hot one has no more say than others.
+score is the mean over its characters of the difference of the two log-likelihoods. A
+quarter of the settled URLs, by a digest, teaches no model: the threshold is calibrated on
+them, midway between the mean scores of accepted and rejected ones (a class that has none
+among them is represented by all its settled URLs). Each different URL (host and path)
+teaches once, so a hot one has no more say than others.
 
 Null URLs and those without `://` have empty host and path and are judged by the model
 like any other. If no URL is accepted or none rejected by rules, all others are allowed.
@@ -28,6 +30,8 @@ ORDER = 4
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Rows up to which the gram table is broadcast (some 40 bytes each); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: First hexadecimal digits of the digests of URLs that calibrate.
+CALIBRATION = "0123"
 _START, _END = "\u0002", "\u0003"
 
 
@@ -45,6 +49,11 @@ def match(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def held_out(url: Column) -> Column:
+    """Whether a URL serves the calibration: one in four, by the first digit of its MD5."""
+    return F.substring(F.md5(url), 1, 1).isin(*CALIBRATION)
+
+
 def grams(texts: DataFrame, *keep: str) -> DataFrame:
     """A row for each character of u with the ORDER - 1 before it."""
     padded = F.concat(F.lit(_START * (ORDER - 1)), F.col("u"), F.lit(_END))
@@ -85,14 +94,17 @@ def judge(pages: DataFrame, rules: list[Rule], id_column: str = "page_id") -> Da
     rows = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("m", match(F.col("host"), F.col("path"), rules)).withColumn("u", F.concat("host", "path"))
     known = F.col("m.verdict")
-    urls = rows.groupBy("u").agg(F.max(known).alias("v"))
+    urls = rows.groupBy("u").agg(F.max(known).alias("v")).withColumn("calibrates", held_out(F.col("u")))
     urls = work.table(urls, "urls")
-    sums = [F.sum(F.coalesce((F.col("v") == s).cast("long"), F.lit(0))).alias(s) for s in ("allow", "block")]
-    table = work.table(gram_table(grams(urls, "v").groupBy("gram").agg(*sums)), "grams")
+    sums = [F.sum((F.coalesce(F.col("v") == s, F.lit(False)) & ~F.col("calibrates")).cast("long")).alias(s) for s in ("allow", "block")]
+    # written once: each order of the models reads the counts twice
+    counts = work.table(grams(urls, "v", "calibrates").groupBy("gram").agg(*sums), "counts")
+    table = work.table(gram_table(counts), "grams")
     model = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    scored = grams(urls, "u", "v").join(model, "gram").groupBy("u").agg(F.avg("llr").alias("llr"), F.max("v").alias("v"))
+    scored = grams(urls, "u", "v", "calibrates").join(model, "gram").groupBy("u").agg(F.avg("llr").alias("llr"), F.max("v").alias("v"), F.max("calibrates").alias("calibrates"))
     scored = work.table(scored, "scores")
-    means = scored.agg(*[F.avg(F.when(F.col("v") == s, F.col("llr"))).alias(s) for s in ("allow", "block")]).first()
+    side = lambda s: F.coalesce(F.avg(F.when((F.col("v") == s) & F.col("calibrates"), F.col("llr"))), F.avg(F.when(F.col("v") == s, F.col("llr")))).alias(s)
+    means = scored.agg(side("allow"), side("block")).first()
     settled = means["allow"] is not None and means["block"] is not None
     threshold = (means["allow"] + means["block"]) / 2 if settled else 0.0
     by_model = F.when((F.col("llr") >= threshold) | F.lit(not settled), "allow").otherwise("block")

@@ -305,7 +305,7 @@ def judged(rows, rule_list):
     counts = {s: Counter() for s in ("allow", "block")}
     grams_of = lambda u: [("\2" * 3 + u + "\3")[i : i + 4] for i in range(len(u) + 1)]
     for u, v in texts.items():
-        if v:
+        if v and not calibrates[u]:
             for g in grams_of(u):
                 for k in range(1, 5):
                     counts[v][g[4 - k :]] += 1
@@ -320,10 +320,12 @@ def judged(rows, rule_list):
     cache = {}
     llr = lambda g: cache.setdefault(g, np.log(p("allow", g)) - np.log(p("block", g)))
     score = {u: float(np.mean([llr(g) for g in grams_of(u)])) for u in texts}
-    mean = {s: np.mean([score[u] for u, v in texts.items() if v == s]) if s in texts.values() else None for s in counts}
+    apart = lambda s: [score[u] for u, v in texts.items() if v == s and calibrates[u]] or [score[u] for u, v in texts.items() if v == s]
+    mean = {s: np.mean(apart(s)) if s in texts.values() else None for s in counts}
     limit = None if None in mean.values() else (mean["allow"] + mean["block"]) / 2
     out = []
     for (h, q), b in zip(parts, best):
+    calibrates = {u: hashlib.md5(u.encode()).hexdigest()[0] in "0123" for u in texts}
         by_model = "allow" if limit is None or score[h + q] >= limit else "block"
         out.append((h, q, b[0] + b[1] if b else None, b[2] if b else by_model))
     return out
