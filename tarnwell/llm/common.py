@@ -64,6 +64,11 @@ class Workspace:
 _OPEN: set[Workspace] = set()
 
 
+def opened() -> set[Workspace]:
+    """The work tables that are there."""
+    return set(_OPEN)
+
+
 @atexit.register
 def release() -> None:
     """Deletes all work tables. Results are read from them, so only when the results so far have been used or written."""

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import arrow, payload, pieces
+from tarnwell.llm.common import arrow, payload, pieces, word_parts
 
 #: Byte classes of the character statistics; the last holds all bytes beyond ASCII.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".", ",", "!", "|", "#*$%&<>", "\"'();:?-/"]
-_CLASS = np.full(256, len(CLASSES), np.int64)
+#: Bytes of a text that one step works on.
+STEP = 1 << 20
+_CLASS = np.full(256, len(CLASSES), np.uint8)
 _CLASS[128:] = len(CLASSES) + 1
 for _k, _chars in enumerate(CLASSES):
     _CLASS[[ord(c) for c in _chars]] = _k
@@ -37,24 +39,30 @@ NAMES = [f"class_{k}" for k in range(N_CLASSES)] + ["log_bytes", "log_words", "w
 def statistics(texts: pa.Array) -> np.ndarray:
     """A row of len(NAMES) numbers for each text."""
     data, at = payload(texts)
-    n = len(texts)
-    lengths = np.diff(at)
-    owner = np.repeat(np.arange(n), lengths)
-    shares = np.bincount(owner * N_CLASSES + _CLASS[data], minlength=n * N_CLASSES).reshape(n, N_CLASSES) / np.maximum(lengths, 1)[:, None]
-    rest = np.zeros((n, len(NAMES) - N_CLASSES))
-    raw = data.tobytes()
-    for i in range(n):
-        text = raw[at[i] : at[i + 1]]
-        words = text.split()
-        if not words:
+    out = np.zeros((len(texts), len(NAMES)))
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        if a == b:
             continue
-        lines = [x for x in text.split(b"\n") if x.strip()]
-        w, sizes = len(words), list(map(len, words))
-        rest[i] = (
-            np.log1p(len(text)), np.log1p(w), sum(sizes) / w, len(set(words)) / w, sum(map(bytes.__eq__, words, words[1:])) / w,
-            w / len(lines), 1 - len(set(lines)) / len(lines), sum(s < 3 for s in sizes) / w, sum(x.endswith((b".", b"!", b"?")) for x in lines) / len(lines), np.log1p(max(sizes)),
-        )
-    return np.hstack([shares, rest])
+        for part in range(a, b, STEP):
+            out[i, :N_CLASSES] += np.bincount(_CLASS[data[part : min(b, part + STEP)]], minlength=N_CLASSES)
+        out[i, :N_CLASSES] /= b - a
+        text = data[a:b].tobytes()
+        w = held = stutter = short = longest = 0
+        distinct, last = set(), None
+        for words in word_parts(text, STEP):
+            sizes = list(map(len, words))
+            w, held, longest = w + len(words), held + sum(sizes), max(longest, max(sizes))
+            short += sum(s < 3 for s in sizes)
+            stutter += sum(map(bytes.__eq__, words, words[1:])) + (last == words[0])
+            distinct.update(words)
+            last = words[-1]
+        if w:
+            lines = [x for x in text.split(b"\n") if x.strip()]
+            out[i, N_CLASSES:] = (
+                np.log1p(len(text)), np.log1p(w), held / w, len(distinct) / w, stutter / w,
+                w / len(lines), 1 - len(set(lines)) / len(lines), short / w, sum(x.endswith((b".", b"!", b"?")) for x in lines) / len(lines), np.log1p(longest),
+            )
+    return out
 
 
 @dataclass

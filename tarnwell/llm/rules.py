@@ -5,10 +5,12 @@ five-word windows). All others are judged by their lines: each line with a word
 features, Viterbi decoding marks it as content or boilerplate, and the text is kept when
 the characters of its content lines are min_share or more of all.
 
-The field is trained on whole documents: lines of documents labelled good count as
+The field learns from labelled documents: lines of documents labelled good count as
 content, those of documents labelled bad as boilerplate; the chain carries the verdict
-over lines that show nothing by themselves. Learning takes at most max_rows labelled ids
-(lowest hash) and the first max_lines lines of each. With no labelled row all lines are
+over lines that show nothing by themselves. Documents are joined to chains of `splice` in the
+order of their ids' hash, so that changes from content to boilerplate and back are learned
+too. Learning takes at most max_rows labelled ids (lowest hash) and of each long document a
+run of max_lines lines from a place by its id's hash. With no labelled row all lines are
 content.
 
 Words are runs of bytes other than blank and \\x09-\\x0D, as for ASCII rules in SQL. Null
@@ -23,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwell.llm.common import arrow, payload, pieces
+from tarnwell.llm.common import arrow, payload, pieces, word_parts
 from tarnwell.llm.quality import labelled
 
 WINDOW = 5
@@ -36,7 +39,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _CHAR = ~_BLANK & ((np.arange(256) & 0xC0) != 0x80)  # first bytes of characters in words
 #: Byte classes of a line's features: lower, upper, digit, symbol, pipe, exclamation mark, other.
-_KIND = np.full(256, 6)
+_KIND = np.full(256, 6, np.uint8)
 for _k, _chars in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&<>", "|", "!"]):
     _KIND[[ord(c) for c in _chars]] = _k
 FEATURES = ["bias", "upper", "digits", "symbols", "pipes", "exclamations", "ended", "words", "word_length", "repeated", "stutter", "few_distinct"]
@@ -69,36 +72,32 @@ def examine(texts: pa.Array) -> tuple[dict[str, np.ndarray], Lines]:
     for i in range(n):
         start, seen = int(at[i]), set()
         for line in raw[start : at[i + 1]].split(b"\n"):
-            words = line.split()
-            if words:
+            own = [ids[w] for part in word_parts(line) for w in part]
+            if own:
                 owner.append(i)
                 first.append(start)
                 size.append(len(line))
-                words_in.append(len(words))
+                words_in.append(len(own))
                 repeated.append(line in seen)
-                distinct.append(len(set(words)))
+                distinct.append(len(set(own)))
                 seen.add(line)
-                numbers.extend([ids[w] for w in words])
+                numbers.append(np.array(own, np.int32))
             start += len(line) + 1
     doc, first, size, words_in = (np.array(x, np.int64) for x in (owner, first, size, words_in))
     repeated = np.array(repeated, bool)
-    numbers = np.array(numbers, np.int64)
+    numbers = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
     np.add.at(n_words, doc, words_in)
     np.add.at(n_dup, doc, repeated)
-    up_to = lambda mask: np.concatenate([[0], np.cumsum(mask[data])])
-    chars, symbols = up_to(_CHAR), up_to(_SYMBOL)
     base = {
         "n_words": n_words,
-        "word_chars": chars[at[1:]] - chars[at[:-1]],
-        "n_symbols": symbols[at[1:]] - symbols[at[:-1]],
+        "word_chars": counted(_CHAR, data, at[:-1], at[1:]),
+        "n_symbols": counted(_SYMBOL, data, at[:-1], at[1:]),
         "n_dup_lines": n_dup,
         "n_repeat_words": repeat_words(numbers, n_words),
     }
     lines, count = np.arange(len(doc)), np.maximum(words_in, 1)
-    line_of = np.repeat(lines, size)
-    at_byte = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    kinds = np.bincount(line_of * 7 + _KIND[data[at_byte]], minlength=7 * len(doc)).reshape(-1, 7) / np.maximum(size, 1)[:, None]
-    line_chars = chars[first + size] - chars[first]
+    kinds = np.stack([counted(_KIND == k, data, first, first + size) for k in range(7)], 1) / np.maximum(size, 1)[:, None]
+    line_chars = counted(_CHAR, data, first, first + size)
     last = data[first + size - 1] if len(first) else np.zeros(0, np.uint8)
     word_line = np.repeat(lines, words_in)
     same = np.zeros(len(doc))
@@ -112,6 +111,15 @@ def examine(texts: pa.Array) -> tuple[dict[str, np.ndarray], Lines]:
     return base, Lines(doc, x, line_chars)
 
 
+def counted(kind: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Bytes of a kind (a table of 256 flags) from each start up to its stop. Starts and stops ascend; a byte more for each byte of data is held."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    marks = np.append(kind[data], False).view(np.uint8)
+    found = np.add.reduceat(marks, np.stack([starts, stops], 1).ravel(), dtype=np.int64)[::2]
+    return np.where(stops > starts, found, 0)
+
+
 def repeat_words(numbers: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """Words in five-word windows that the same text holds twice or more."""
     total, docs = len(numbers), len(n_words)
@@ -217,20 +225,24 @@ def fit(features: np.ndarray, doc: np.ndarray, state: np.ndarray, rounds: int =
     return Field(params[: len(FEATURES)], params[len(FEATURES) : -2].reshape(2, 2), params[-2:])
 
 
-def train(docs: DataFrame, labels: DataFrame, teaches: Column | None = None, max_rows: int = 4000, max_lines: int = 200, **params) -> Field:
-    """A field from at most max_rows documents of labels.quality and their first max_lines lines."""
+def train(docs: DataFrame, labels: DataFrame, teaches: Column | None = None, max_rows: int = 4000, max_lines: int = 200, splice: int = 4, **params) -> Field:
+    """A field from at most max_rows documents of labels.quality and max_lines lines of each, in chains of `splice` documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             _, lines = examine(batch.column(1))
-            got = [lines.features[lines.doc == i][:max_lines].astype(np.uint8).tobytes() for i in range(batch.num_rows)]
+            got = []
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                own = lines.features[slice(*np.searchsorted(lines.doc, [i, i + 1]))]
+                begin = xxhash.xxh3_64_intdigest(str(doc_id)) % max(1, len(own) - max_lines + 1)
+                got.append(own[begin : begin + max_lines].astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.binary())], ["doc_id", "y", "x"])
 
     teaches = F.lit(True) if teaches is None else teaches
     rows = labelled(docs, labels, "quality", teaches, max_rows).select("doc_id", F.coalesce("text", F.lit("")), "y").mapInArrow(work, "doc_id long, y int, x binary").collect()
-    rows = [r for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["x"]))) if r["x"]]
+    rows = [r for r in sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(str(r["doc_id"])), r["doc_id"])) if r["x"]]
     lists = [np.frombuffer(r["x"], np.uint8).reshape(-1, len(FEATURES)) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
+    doc = np.repeat(np.arange(len(rows)) // splice, [len(x) for x in lists])
     state = np.repeat(np.array([1 - r["y"] for r in rows], np.int64), [len(x) for x in lists])
     return fit(np.concatenate(lists).astype(float) if lists else np.zeros((0, len(FEATURES))), doc, state, **params)
 

@@ -9,9 +9,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 import zstandard
+from pyspark.sql import functions as F
 
 from tarnwell.llm import bpe, decontam, langid, ngram_join, quality, queries, rules, sa_dedup, toxicity, urls, warc
 from tarnwell.llm.common import fold
@@ -127,7 +128,6 @@ def test_langid_sample_is_spread_over_rows_and_texts(spark):
     assert langid.evenly([b"a" * 3, b"b" * 90, b"c" * 50], 62) == b"aaa " + b"b" * 28 + b" " + b"c" * 28
 
 
-def test_folds(spark):
 def test_langid_compares_compressed_sizes_and_ties_go_to_the_first():
     rng = random.Random(22)
     say = lambda signs, n: " ".join("".join(rng.choice(signs) for _ in range(5)) for _ in range(n))
@@ -150,6 +150,7 @@ def test_langid_compares_compressed_sizes_and_ties_go_to_the_first():
         assert rejected == ((second - best) / second < 0.01)
 
 
+def test_folds(spark):
     got = spark.createDataFrame([(i,) for i in [0, 7, -3, 10**15, None]], "doc_id long").select("doc_id", fold("doc_id", 5).alias("f")).collect()
     assert all(r.f == (0 if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5) for r in got)
 
@@ -159,6 +160,25 @@ def test_quality_held_out(spark, tables):
     assert (found.predicted == found.quality).mean() > 0.95
 
 
+def test_statistics_are_those_of_whole_texts(monkeypatch):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice(["ab ", "AB", "é", "1.\n", "! ", "|", "\n\n", "\t", "the the ", "x"]) for _ in range(rng.randint(0, 400))) for _ in range(60)] + [None, "", " \n"]
+    monkeypatch.setattr(quality, "STEP", 64)
+    for text, got in zip(texts, quality.statistics(pa.array(texts))):
+        raw = (text or "").encode()
+        words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+        inside = lambda c: sum(bytes([b]) in c.encode() for b in raw if b < 128)
+        shares = [inside(c) for c in quality.CLASSES]
+        beyond = sum(b >= 128 for b in raw)
+        want = [x / max(1, len(raw)) for x in (*shares, len(raw) - sum(shares) - beyond, beyond)]
+        w = len(words)
+        want += [0.0] * 10 if not w else [
+            np.log1p(len(raw)), np.log1p(w), sum(map(len, words)) / w, len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:])) / w, w / len(lines),
+            1 - len(set(lines)) / len(lines), sum(len(x) < 3 for x in words) / w, sum(x[-1:] in b".!?" for x in lines) / len(lines), np.log1p(max(map(len, words))),
+        ]
+        assert got == pytest.approx(want)
+
+
 def test_trees_find_a_rule_and_score_as_walked():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 4))
@@ -204,6 +224,46 @@ def test_factorization_learns_a_pair():
     assert v > 0.5
 
 
+def test_factorization_learns_terms_that_tell_in_company_only():
+    rng = np.random.default_rng(3)
+    has = rng.random((20_000, 6)) < 0.5
+    y = (has[:, 0] ^ has[:, 1]).astype(float)  # alone, each term is as likely in both classes
+    owners, places = np.nonzero(has)
+    machine = toxicity.fit(owners, places, y, hash_bits=4)
+    assert {0, 1} <= set(machine.rows)
+    known = np.isin(places, list(machine.rows))
+    p = machine.logistic(np.array([machine.rows[k] for k in places[known]]), owners[known], len(y))
+    assert ((p > 0.5) == (y == 1)).mean() > 0.98
+
+
+def test_machine_scores_as_all_pairs_summed():
+    rng = random.Random(18)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in ("xxxxx", "yyyyy", "zz")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "", "not known", "AXXXXX axxxxx"]
+    places = sorted({p for t in texts[:50] for p in toxicity.places_in(t, 10, 4)})
+    made = np.random.default_rng(19)
+    machine = toxicity.Machine({p: i for i, p in enumerate(places)}, made.normal(size=len(places)), made.normal(size=(len(places), 3)), -0.4, 10, 4)
+    got = machine.score(texts)
+    for text, score in zip(texts, got):
+        own = [machine.rows[p] for p in toxicity.places_in(text, 10, 4) if p in machine.rows]
+        margin = machine.bias + sum(machine.weights[i] for i in own) + sum(float(machine.vectors[a] @ machine.vectors[b]) for k, a in enumerate(own) for b in own[:k])
+        assert score == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}q" for k in range(10)), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = []
+    whole = toxicity.fit
+    try:
+        toxicity.fit = lambda owners, places, y, *a, **b: seen.append((len(y), len(places))) or whole(owners, places, y, *a, **b)
+        for most in (10_000, 500, 1):
+            toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True), max_entries=most, prefix_chars=9)
+    finally:
+        toxicity.fit = whole
+    assert seen == [(200, 2000), (50, 500), (1, 10)]
+
+
 # ---- rules
 
 
@@ -247,46 +307,6 @@ def test_viterbi_is_the_best_path():
         paths = [[p >> k & 1 for k in range(len(x))] for p in range(1 << len(x))]
         value = lambda s, x=x: field.start[s[0]] + sum(v for v, b in zip(x, s) if b) + sum(field.step[a, b] for a, b in zip(s, s[1:]))
         assert state[doc == d].tolist() == max(paths, key=value)
-def test_factorization_learns_terms_that_tell_in_company_only():
-    rng = np.random.default_rng(3)
-    has = rng.random((20_000, 6)) < 0.5
-    y = (has[:, 0] ^ has[:, 1]).astype(float)  # alone, each term is as likely in both classes
-    owners, places = np.nonzero(has)
-    machine = toxicity.fit(owners, places, y, hash_bits=4)
-    assert {0, 1} <= set(machine.rows)
-    known = np.isin(places, list(machine.rows))
-    p = machine.logistic(np.array([machine.rows[k] for k in places[known]]), owners[known], len(y))
-    assert ((p > 0.5) == (y == 1)).mean() > 0.98
-
-
-def test_machine_scores_as_all_pairs_summed():
-    rng = random.Random(18)
-    words = [f"{a}{b}" for a in "abcdefgh" for b in ("xxxxx", "yyyyy", "zz")]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "", "not known", "AXXXXX axxxxx"]
-    places = sorted({p for t in texts[:50] for p in toxicity.places_in(t, 10, 4)})
-    made = np.random.default_rng(19)
-    machine = toxicity.Machine({p: i for i, p in enumerate(places)}, made.normal(size=len(places)), made.normal(size=(len(places), 3)), -0.4, 10, 4)
-    got = machine.score(texts)
-    for text, score in zip(texts, got):
-        own = [machine.rows[p] for p in toxicity.places_in(text, 10, 4) if p in machine.rows]
-        margin = machine.bias + sum(machine.weights[i] for i in own) + sum(float(machine.vectors[a] @ machine.vectors[b]) for k, a in enumerate(own) for b in own[:k])
-        assert score == pytest.approx(1 / (1 + np.exp(-margin)))
-
-
-def test_toxicity_sample_is_bounded(spark):
-    rows = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}q" for k in range(10)), i % 2) for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    seen = []
-    whole = toxicity.fit
-    try:
-        toxicity.fit = lambda owners, places, y, *a, **b: seen.append((len(y), len(places))) or whole(owners, places, y, *a, **b)
-        for most in (10_000, 500, 1):
-            toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True), max_entries=most, prefix_chars=9)
-    finally:
-        toxicity.fit = whole
-    assert seen == [(200, 2000), (50, 500), (1, 10)]
-
-
 
 
 # ---- URLs
@@ -304,6 +324,7 @@ def judged(rows, rule_list):
     texts = {h + p: (b[2] if b else None) for (h, p), b in zip(parts, best)}
     counts = {s: Counter() for s in ("allow", "block")}
     grams_of = lambda u: [("\2" * 3 + u + "\3")[i : i + 4] for i in range(len(u) + 1)]
+    calibrates = {u: hashlib.md5(u.encode()).hexdigest()[0] in "0123" for u in texts}
     for u, v in texts.items():
         if v and not calibrates[u]:
             for g in grams_of(u):
@@ -325,7 +346,6 @@ def judged(rows, rule_list):
     limit = None if None in mean.values() else (mean["allow"] + mean["block"]) / 2
     out = []
     for (h, q), b in zip(parts, best):
-    calibrates = {u: hashlib.md5(u.encode()).hexdigest()[0] in "0123" for u in texts}
         by_model = "allow" if limit is None or score[h + q] >= limit else "block"
         out.append((h, q, b[0] + b[1] if b else None, b[2] if b else by_model))
     return out
@@ -484,6 +504,31 @@ def test_ngram_join(spark, options):
     assert got == similar(rows)
 
 
+def test_ngrams_are_told_apart_by_64_bits(spark):
+    # the hashes of these two words have equal low 40 bits
+    apart = {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, [(1, "w1017641"), (2, "w1110734"), (3, "w1017641")])).collect()}
+    assert apart == {1: 1, 2: 2, 3: 1}
+    rng = np.random.default_rng(15)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1, 1 << 56, (1 << 56) - 1], np.uint64)]))
+    for fragments in (1, 3, 255, 256, 300, 1 << 16, 70_001, 1 << 22):
+        part = ngram_join.fragment_of(hashes, fragments)
+        assert (np.diff(part) >= 0).all() and part[0] == 0 and part[-1] == fragments - 1
+        size = ngram_join.token_bytes(fragments)
+        for k in np.unique(part)[[0, 1 % len(np.unique(part)), -1]]:
+            own = hashes[part == k]
+            assert (ngram_join.unpack(ngram_join.pack(own, size), size, int(k), fragments) == own).all()
+
+
+def test_ngram_join_of_templates(spark):
+    """Texts that share a template but less of it than the threshold, some that share enough, and many different sizes."""
+    rng = random.Random(16)
+    say = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    template = say(60)
+    rows = [(i, f"{template} {say(rng.choice([2, 9, 14, 15, 16, 20, 25]))}") for i in range(120)]
+    got = Counter(tuple(r) for r in ngram_join.join(frame(spark, rows), block=8).collect())
+    assert got == similar(rows)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.join(frame(spark, [])).count() == 0
     assert ngram_join.join(frame(spark, [(1, None), (2, "")])).count() == 2
@@ -548,6 +593,19 @@ def test_suffix_dedup_texts(spark):
     assert sa_dedup.dedup(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("hot", [2048, 4])
+def test_suffix_dedup_with_the_settings_of_the_query(spark, keep, hot):
+    """Windows of 200 bytes, by the suffix array and (with few runs to a hot gram) by hash; one text is longer than a step."""
+    rng = random.Random(20)
+    say = lambda n: "".join(rng.choice("abcdefghéü ") for _ in range(n))
+    passage, long = say(450), say(sa_dedup.STEP + 3000)
+    rows = [(i, say(rng.randint(0, 300)) + passage[rng.randint(0, 150) : rng.randint(300, 450)] + say(rng.randint(0, 300))) for i in range(40)]
+    rows += [(100, long), (101, long[1000:1700] + say(50)), (102, say(50) + long[-600:]), (103, "ab" * 300), (104, rows[3][1]), (105, rows[3][1]), (106, None), (107, ""), (None, passage)]
+    got = Counter(tuple(r) for r in sa_dedup.digest(frame(spark, rows), hot=hot, keep=keep).collect())
+    assert got == cut_repeats(rows, 200, keep)
+
+
 def test_long_text_in_steps(monkeypatch):
     rng = random.Random(11)
     data = np.frombuffer("".join(rng.choice("ab") for _ in range(3000)).encode(), np.uint8)
@@ -569,45 +627,7 @@ def test_longest_previous_factors():
 
 
 def test_repeated_windows_follow_the_factors(monkeypatch):
-def test_ngrams_are_told_apart_by_64_bits(spark):
-    # the hashes of these two words have equal low 40 bits
-    apart = {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, [(1, "w1017641"), (2, "w1110734"), (3, "w1017641")])).collect()}
-    assert apart == {1: 1, 2: 2, 3: 1}
-    rng = np.random.default_rng(15)
-    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, (1 << 64) - 1, 1 << 56, (1 << 56) - 1], np.uint64)]))
-    for fragments in (1, 3, 255, 256, 300, 1 << 16, 70_001, 1 << 22):
-        part = ngram_join.fragment_of(hashes, fragments)
-        assert (np.diff(part) >= 0).all() and part[0] == 0 and part[-1] == fragments - 1
-        size = ngram_join.token_bytes(fragments)
-        for k in np.unique(part)[[0, 1 % len(np.unique(part)), -1]]:
-            own = hashes[part == k]
-            assert (ngram_join.unpack(ngram_join.pack(own, size), size, int(k), fragments) == own).all()
-
-
-def test_ngram_join_of_templates(spark):
-    """Texts that share a template but less of it than the threshold, some that share enough, and many different sizes."""
-    rng = random.Random(16)
-    say = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
-    template = say(60)
-    rows = [(i, f"{template} {say(rng.choice([2, 9, 14, 15, 16, 20, 25]))}") for i in range(120)]
-    got = Counter(tuple(r) for r in ngram_join.join(frame(spark, rows), block=8).collect())
-    assert got == similar(rows)
-
-
     rng = random.Random(14)
-@pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("hot", [2048, 4])
-def test_suffix_dedup_with_the_settings_of_the_query(spark, keep, hot):
-    """Windows of 200 bytes, by the suffix array and (with few runs to a hot gram) by hash; one text is longer than a step."""
-    rng = random.Random(20)
-    say = lambda n: "".join(rng.choice("abcdefghéü ") for _ in range(n))
-    passage, long = say(450), say(sa_dedup.STEP + 3000)
-    rows = [(i, say(rng.randint(0, 300)) + passage[rng.randint(0, 150) : rng.randint(300, 450)] + say(rng.randint(0, 300))) for i in range(40)]
-    rows += [(100, long), (101, long[1000:1700] + say(50)), (102, say(50) + long[-600:]), (103, "ab" * 300), (104, rows[3][1]), (105, rows[3][1]), (106, None), (107, ""), (None, passage)]
-    got = Counter(tuple(r) for r in sa_dedup.digest(frame(spark, rows), hot=hot, keep=keep).collect())
-    assert got == cut_repeats(rows, 200, keep)
-
-
     calls, real = [], sa_dedup.longest_previous
     monkeypatch.setattr(sa_dedup, "longest_previous", lambda *a: calls.append(a) or real(*a))
     for _ in range(200):
