@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import bpe, decontam, langid, ngram_join, quality, rules, sa_dedup, toxicity, urls, warc
+from tarnwell.llm import bpe, branch_merge, decontam, fim, html_text, langid, ngram_join, quality, rules, sa_dedup, toxicity, urls, warc
 from tarnwell.llm.common import fold, read
 
 #: The vocabulary file of the BPE operator.
@@ -63,13 +63,74 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sa_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(read(spark, sf_dir, "documents")))
+
+
+def op12_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branch_merge.digest(branch_merge.merge_coded(read(spark, sf_dir, "documents")))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    made = [op1_quality, op2_langid, op3_ngram_join, op4_rules, op5_urls, op6_toxicity, op7_warc, op8_decontam, op9_bpe, op10_suffix_dedup]
+    made = [op1_quality, op2_langid, op3_ngram_join, op4_rules, op5_urls, op6_toxicity, op7_warc, op8_decontam, op9_bpe, op10_suffix_dedup, op11_fim, op12_branch_merge, op13_html_text]
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": OP3, "op5_urls": OP5, "op7_warc": OP7, "op8_decontam": OP8, "op10_suffix_dedup": OP10}
+    return {"op3_ngram_join": OP3, "op5_urls": OP5, "op7_warc": OP7, "op8_decontam": OP8, "op10_suffix_dedup": OP10, "op11_fim": OP11, "op12_branch_merge": OP12}
+
+
+_MARK = "'<P>'", "'<S>'", "'<M>'"
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, {", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN n = 0 OR {" OR ".join(f"contains(t, {m})" for m in _MARK)} OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, left(t, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+#: CRC-32 by its table of 256 remainders, worked out here.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 17"
+_COLUMN = "CASE {1} WHEN 0 THEN '' WHEN 1 THEN {0} || '!' WHEN 2 THEN {0} || '?' ELSE {0} END"
+_PIECE = "CASE {1} WHEN 1 THEN x || '!' WHEN 2 THEN x || '?' WHEN 0 THEN NULL ELSE x END"
+_GAP = "CASE {0} WHEN 3 THEN '!' WHEN 4 THEN '?' END"
+_TEXT = "coalesce(string_agg(CASE WHEN {0} IS NULL THEN {1} WHEN {1} IS NULL THEN {0} ELSE {0} || chr(10) || {1} END, chr(10) ORDER BY i), '')"
+_CODED = ", ".join(f"max(CASE WHEN name = '{c}' THEN {b} END) AS {c}_{b}" for c in ("row", "lang", "source") for b in "lr")
+_CHANGED = [f"{c}_l_v <> {c} AND {c}_r_v <> {c} AND {c}_l_v <> {c}_r_v" for c in ("lang", "source")]
+_MOVED = [f"({c}_l_v <> {c} OR {c}_r_v <> {c})" for c in ("lang", "source")]
+OP12 = f"""
+WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS q(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+lines AS (SELECT r, id, CAST(i - 1 AS VARCHAR) AS name, i, w[i] AS x FROM (SELECT r, id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT r, id, string_split(text, chr(10)) AS w FROM d))),
+names AS (SELECT r, id, name FROM lines UNION ALL SELECT r, id, unnest(['row', 'lang', 'source']) FROM d),
+codes AS (SELECT r, name, {_CRC.format("'L:' || id || ':' || name")} AS l, {_CRC.format("'R:' || id || ':' || name")} AS r_ FROM names, tab),
+own AS (SELECT r, {_CODED.replace("THEN r ", "THEN r_ ")} FROM codes GROUP BY r),
+pairs AS (SELECT r, i, x, l, r_, l < 3 AS el, r_ < 3 AS er, l IN (3, 4) AS gl, r_ IN (3, 4) AS gr, CASE WHEN l < 3 THEN l ELSE r_ END AS k, CASE WHEN l IN (3, 4) THEN l ELSE r_ END AS g FROM lines JOIN codes USING (r, name)),
+cut AS (SELECT *, {_PIECE.format("", "k")} AS p, {_GAP.format("g")} AS q, {_PIECE.format("", "l")} AS pl, {_GAP.format("l")} AS ql FROM pairs),
+text AS (SELECT r, {_TEXT.format("p", "q")} AS merged, {_TEXT.format("pl", "ql")} AS ltext, bool_or(l < 5) AS touched_l, bool_or(r_ < 5) AS touched_r,
+         sum(((el OR er) AND NOT (el AND er AND l <> r_))::INT + ((gl OR gr) AND NOT (gl AND gr AND l <> r_))::INT) AS clean,
+         sum((el AND er AND l <> r_ AND l > 0 AND r_ > 0)::INT) AS ee, sum((el AND er AND l <> r_ AND (l = 0 OR r_ = 0))::INT) AS ed, sum((gl AND gr AND l <> r_)::INT) AS ii FROM cut GROUP BY r),
+v AS (SELECT *, {", ".join(_COLUMN.format(c, f"{c}_{b}") + f" AS {c}_{b}_v" for c in ("lang", "source") for b in "lr")} FROM d JOIN own USING (r) JOIN text USING (r)),
+w AS (SELECT *, CASE WHEN row_l = 0 AND row_r = 0 THEN 'both' WHEN row_l = 0 THEN CASE WHEN touched_r OR lang_r_v <> lang OR source_r_v <> source THEN 'conflict' ELSE 'clean' END
+      WHEN row_r = 0 THEN CASE WHEN touched_l OR lang_l_v <> lang OR source_l_v <> source THEN 'left' ELSE 'clean' END ELSE 'kept' END AS fate FROM v),
+base AS (SELECT doc_id, {", ".join(f"CASE fate WHEN 'kept' THEN CASE WHEN {c}_l_v <> {c} THEN {c}_l_v ELSE {c}_r_v END WHEN 'left' THEN {c}_l_v END AS {c}" for c in ("lang", "source"))},
+         sha256(CASE fate WHEN 'kept' THEN merged WHEN 'left' THEN ltext END) AS text_sha256,
+         CASE WHEN fate = 'kept' THEN clean + ({_MOVED[0]} AND NOT ({_CHANGED[0]}))::INT + ({_MOVED[1]} AND NOT ({_CHANGED[1]}))::INT ELSE (fate IN ('both', 'clean'))::INT END AS n_clean,
+         CASE WHEN fate = 'kept' THEN ee + ({_CHANGED[0]})::INT + ({_CHANGED[1]})::INT ELSE 0 END AS n_edit_edit,
+         CASE WHEN fate = 'kept' THEN ed ELSE (fate IN ('conflict', 'left'))::INT END AS n_edit_delete, CASE WHEN fate = 'kept' THEN ii ELSE 0 END AS n_insert_insert FROM w),
+added AS (SELECT -1 - doc_id AS doc_id, 1 AS side, lang, source, {_GAP.format("row_l")} AS mark FROM v WHERE row_l IN (3, 4) UNION ALL SELECT -5 - doc_id, 2, lang, source, {_GAP.format("row_r")} FROM v WHERE row_r IN (3, 4)),
+whole AS (SELECT doc_id, min((lang, source, mark)) FILTER (side = 1) AS l, min((lang, source, mark)) FILTER (side = 2) AS r FROM added GROUP BY doc_id),
+pick AS (SELECT doc_id, coalesce(l, r) AS x, l IS NOT NULL AND r IS NOT NULL AND l <> r AS clash FROM whole)
+SELECT doc_id, lang, source, text_sha256, CAST(n_clean AS BIGINT) AS n_clean, CAST(n_edit_edit AS BIGINT) AS n_edit_edit, CAST(n_edit_delete AS BIGINT) AS n_edit_delete, CAST(n_insert_insert AS BIGINT) AS n_insert_insert FROM base
+UNION ALL SELECT doc_id, x[1], x[2], sha256(x[3]), (NOT clash)::BIGINT, 0, 0, clash::BIGINT FROM pick
+"""
 
 
 #: Bytes as hexadecimal digits; windows are cut from blocks of 200 starts, so that no long text is walked for each of them.
