@@ -5,16 +5,16 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tarnwell.functions import text as tx
 
@@ -39,70 +39,116 @@ class ModelConfig:
     name: str
     kind: str = "local"
     options: dict = field(default_factory=dict)
+    tries: int = 3
+    pause: float = 1.0  # seconds before the second try; each later wait is 1.5 times as long
+    parallel: int = 1  # calls at a time within a task
 
 
+#: Makes a model of its configuration, by kind. Kinds added on the driver go to the executors with each call.
 REGISTRY: dict[str, Callable[[ModelConfig], Model]] = {"local": lambda c: Echo(c.name, **c.options)}
+_OWN = ("tries", "pause", "parallel")
 
 
 def configs(found: list[dict], only: str | None = None) -> list[ModelConfig]:
     """Model records as configurations, all or the one of a name."""
-    out = [ModelConfig(r["name"], r.get("type", "local"), {k: v for k, v in r.items() if k not in ("name", "type")}) for r in found]
+    out = [ModelConfig(r["name"], r.get("type", "local"), {k: v for k, v in r.items() if k not in ("name", "type", *_OWN)}, **{k: r[k] for k in _OWN if k in r}) for r in found]
     return out if only is None else [c for c in out if c.name == only]
 
 
-def build(config: ModelConfig) -> Model:
+def maker(config: ModelConfig) -> Callable[[ModelConfig], Model]:
+    """What makes the models of a configuration's kind."""
     if config.kind not in REGISTRY:
         raise ValueError(f"Unknown model type: {config.kind}")
-    return REGISTRY[config.kind](config)
+    return REGISTRY[config.kind]
+
+
+def build(config: ModelConfig) -> Model:
+    return maker(config)(config)
 
 
-def retried(call: Callable[[], str], tries: int = 3, base: float = 1.5, sleep: Callable[[float], None] = time.sleep) -> str:
-    """The call's result; after a failure it waits base^k seconds and tries again."""
+def retried(call: Callable[[], str], tries: int = 3, base: float = 1.5, sleep: Callable[[float], None] = time.sleep, pause: float = 1.0) -> str:
+    """The call's result; after a failure it waits pause * base^k seconds and tries again."""
     for k in range(tries):
         try:
             return call()
         except Exception:
             if k == tries - 1:
                 raise
-            sleep(base**k)
+            sleep(pause * base**k)
     raise ValueError("tries must be positive")
 
 
-def generate(rows: DataFrame, config: ModelConfig, key: str, ruling: str, prompt: str) -> DataFrame:
-    """key, model, generated, error: a model is built once for a task; a failed call fills error, no row is lost."""
-    name = config.name
-    key_type = dict(rows.dtypes)[key]
+def answered(rows: DataFrame, config: ModelConfig, ruling: Column, prompt: Column, out: str = "generated", error: str = "error", where: Column | None = None) -> DataFrame:
+    """rows with the model's answer to each and the error of a call that failed; all columns go along, so no row is lost or doubled.
+
+    A model is built once a task, by the maker that its kind has on the driver. Failed calls
+    wait and are tried again. where: rows that it doesn't hold for get nulls without a call.
+    A row is called each time that the plan runs: write the result before using it twice, or
+    keep answers in a ledger.
+    """
+    if taken := {out, error} & set(rows.columns):
+        raise ValueError(f"columns are there already: {sorted(taken)}")
+    make, kept = maker(config), len(rows.columns)
+    asked = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make(config)
+
+        def one(request: tuple[str | None, str | None, bool]) -> tuple[str | None, str | None]:
+            r, p, wanted = request
+            if not wanted:
+                return None, None
+            try:
+                return retried(lambda: model.generate(r or "", p or ""), config.tries, pause=config.pause), None
+            except Exception as failure:
+                return None, str(failure)
+
+        with ThreadPoolExecutor(max(1, config.parallel)) as pool:
+            for batch in batches:
+                requests = zip(*[batch.column(kept + i).to_pylist() for i in range(3)])
+                made = list(pool.map(one, requests) if config.parallel > 1 else map(one, requests))
+                columns = [pa.array([m[i] for m in made], pa.string()) for i in (0, 1)]
+                schema = pa.schema([*[batch.schema.field(i) for i in range(kept)], (out, pa.string()), (error, pa.string())])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], schema=schema)
+
+    schema = StructType([*rows.schema.fields, StructField(out, StringType()), StructField(error, StringType())])
+    return rows.select("*", ruling.cast("string").alias("_ruling"), prompt.cast("string").alias("_prompt"), asked.alias("_asked")).mapInArrow(work, schema)
+
+
+class Ask(Protocol):
+    """`answered`, or a ledger's `ask`."""
+
+    def __call__(self, rows: DataFrame, config: ModelConfig, ruling: Column, prompt: Column, out: str = "generated", error: str = "error", where: Column | None = None) -> DataFrame: ...
+
+
+def generate(rows: DataFrame, config: ModelConfig, key: str, ruling: str, prompt: str, ask: Ask = answered) -> DataFrame:
+    """key, model, generated, error of each row; a failed call fills error."""
+    made = ask(rows.select(F.col(key), F.col(ruling).alias("_r"), F.col(prompt).alias("_p")), config, F.col("_r"), F.col("_p"))
+    return made.select(key, F.lit(config.name).alias("model"), "generated", "error")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = build(config)
-        for batch in batches:
-            texts, errors = [], []
-            for r, p in zip(batch["ruling"], batch["prompt"]):
-                try:
-                    texts.append(retried(lambda r=r, p=p: model.generate(r or "", p or ""), sleep=lambda s: None))
-                    errors.append(None)
-                except Exception as error:
-                    texts.append(None)
-                    errors.append(str(error))
-            yield pd.DataFrame({key: batch[key], "model": name, "generated": texts, "error": errors})
 
-    return rows.select(key, F.col(ruling).alias("ruling"), F.col(prompt).alias("prompt")).mapInPandas(work, f"`{key}` {key_type}, model string, generated string, error string")
+def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key, null like any other, isn't in done."""
+    have = done.select(F.col(key).alias("_done")).distinct()
+    return rows.join(have, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
 
 
-def run_generation(rows: DataFrame, models: list[ModelConfig], key: str, ruling: str, prompt: str, reference: str, done: DataFrame | None = None) -> DataFrame:
+def run_generation(rows: DataFrame, models: list[ModelConfig], key: str, ruling: str, prompt: str, reference: str, done: DataFrame | None = None, ask: Ask = answered) -> DataFrame:
     """key, model, generated_press, reference_press, error and prompt of each row for each model.
 
-    done: results of an earlier run; what it holds is kept and not made again. The answer is
-    cut to what follows the request; a failed call keeps its row, with empty text and the error.
+    done: results of an earlier run; what it holds is kept and not made again, so rows are told
+    apart by key there. Without it null and repeated keys are rows like any others. The answer
+    is cut to what follows the request; a failed call keeps its row, with empty text and the error.
     """
     columns = [key, "model", "generated_press", "reference_press", "error", "prompt"]
     parts = []
     for config in models:
-        todo = rows if done is None else rows.join(done.where(F.col("model") == config.name).select(key), key, "left_anti")
-        made = generate(todo.select(key, ruling, prompt), config, key, ruling, prompt).join(todo.select(key, F.col(ruling).alias("_ruling"), F.col(prompt).alias("prompt"), F.col(reference).alias("reference_press")), key)
-        given = F.concat(F.lit(f"{tx.RULING_MARK} "), "_ruling", F.lit("\n\n"), "prompt")
+        todo = rows if done is None else not_done(rows, done.where(F.col("model") == config.name), key)
+        todo = todo.select(F.col(key), F.col(ruling).alias("_r"), F.col(prompt).alias("prompt"), F.col(reference).alias("reference_press"))
+        made = ask(todo, config, F.col("_r"), F.col("prompt"))
+        given = F.concat(F.lit(f"{tx.RULING_MARK} "), "_r", F.lit("\n\n"), "prompt")
         text = F.coalesce(tx.generated_part(F.col("generated"), F.coalesce(given, F.lit(""))), F.lit(""))
-        parts.append(made.select(key, "model", text.alias("generated_press"), "reference_press", F.coalesce("error", F.lit("")).alias("error"), "prompt"))
+        parts.append(made.select(F.col(key), F.lit(config.name).alias("model"), text.alias("generated_press"), "reference_press", F.coalesce("error", F.lit("")).alias("error"), "prompt"))
     new = reduce(DataFrame.unionByName, parts)
     return new.select(*columns) if done is None else done.select(*columns).unionByName(new.select(*columns))
 

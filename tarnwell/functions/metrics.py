@@ -144,12 +144,16 @@ def rouge_n(reference: Column, generated: Column, orders: tuple[int, ...] = (1,
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of a longest common subsequence; one numpy row for each element of a."""
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        row = np.maximum.accumulate(row)
-    return int(row[-1])
+    """Length of a longest common subsequence, by bits: a mask of its places in a for each word, and one addition, whose carries run over all places at once, for each word of b."""
+    words = a.tolist()
+    masks: dict[int, int] = {}
+    for i, w in enumerate(words):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full = free = (1 << len(words)) - 1
+    for w in b.tolist():
+        if hit := free & masks.get(w, 0):
+            free = (free + hit | free - hit) & full
+    return len(words) - free.bit_count()
 
 
 @F.arrow_udf(LongType())

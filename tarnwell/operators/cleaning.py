@@ -130,8 +130,8 @@ def to_do(df: DataFrame, prompt: str, row_id: str, start: int) -> DataFrame:
 
 
 def carry_over(df: DataFrame, done: DataFrame, row_id: str, prompt: str, start: int) -> DataFrame:
-    """Prompts of an earlier run for the rows before start."""
-    old = done.where(F.col(row_id) < start).select(row_id, F.col(prompt).alias("_old"))
+    """Prompts of an earlier run for the rows before start; of several for one id the smallest."""
+    old = done.where(F.col(row_id) < start).groupBy(row_id).agg(F.min(prompt).alias("_old"))
     return df.join(old, row_id, "left").withColumn(prompt, F.coalesce("_old", prompt)).drop("_old")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import metrics as mx
 from tarnwell.functions import text as tx
 from tarnwell.operators.ranking import first_rows, top_rows
+from tarnwell.sources.scratch import settled
 from tarnwell.sources.tables import append_results, path_exists
 
 # The error of rows without a generated text, of models without a column and of models without a valid row; the metrics that summaries list.
@@ -122,7 +123,10 @@ def to_score(wide: DataFrame, row_id: str, reference: str, models: list[str], do
         schema = f"{', '.join(f'`{c}` {t}' for c, t in wide.select(*kept).dtypes)}, model string, generated string"
         return wide.sparkSession.createDataFrame([], schema)
     long = wide.select(*kept, *[F.col(m).cast("string").alias(m) for m in known]).unpivot(kept, known, "model", "generated")
-    return long if done is None else long.join(done.select("model", row_id), ["model", row_id], "left_anti").select(*long.columns)
+    if done is None:
+        return long
+    have = done.select(F.col("model").alias("_model"), F.col(row_id).alias("_row")).distinct()
+    return long.join(have, (F.col("model") == F.col("_model")) & F.col(row_id).eqNullSafe(F.col("_row")), "left_anti")
 
 
 def lost_models(wide: DataFrame, models: list[str]) -> DataFrame:
@@ -135,25 +139,36 @@ def evaluate(wide: DataFrame, row_id: str, reference: str, models: list[str], do
 
     done: scored rows of an earlier run; what they hold is not scored again, and they count in
     the summary. Models without a column have no rows, and a summary with an error alone.
+    With adapters the scored rows are written first, so that rows and summary together call
+    each model once.
     """
     scored = score(to_score(wide, row_id, reference, models, done, source), reference, "generated", source, adapters, stem)
+    if adapters != Adapters():
+        scored = settled(scored)
     if done is not None:
         scored = done.select(*scored.columns).unionByName(scored)
     return scored, summary(scored, "model").unionByName(lost_models(wide, models), allowMissingColumns=True)
 
 
-def run(wide: DataFrame, row_id: str, reference: str, models: list[str], folder: str, every: int, total: int, source: str | None = None, adapters: Adapters = Adapters(), stem: bool = True) -> DataFrame:
-    """The summary of a run that adds its scored rows to folder after each `every` rows; a run that was stopped goes on with what is missing.
+def run(wide: DataFrame, row_id: str, reference: str, models: list[str], folder: str, every: int, source: str | None = None, adapters: Adapters = Adapters(), stem: bool = True, steps: int | None = None) -> DataFrame:
+    """The summary of a run that adds its scored rows to folder after each `every` numbers; a run that was stopped goes on with what is missing.
 
-    row_id: numbers from 0 to under total. Each step scores its range of rows alone and
-    appends them by model, so that the driver holds nothing and no row is written twice.
+    row_id: whole numbers. Steps are ranges of them, from the least to the greatest that the
+    table has, and one for rows without a number. Each is scored alone and appended by model, so
+    that the driver holds nothing and no row is written twice: what is there is looked up once,
+    within the step's range. A step is appended whole, so rows of one number are all there or
+    none. steps: ends the call after so many, as an interruption would.
     """
     spark = wide.sparkSession
-    for first in range(0, total, every):
-        done = spark.read.parquet(folder) if path_exists(spark, folder) else None
-        part = wide.where((F.col(row_id) >= first) & (F.col(row_id) < first + every))
-        append_results(score(to_score(part, row_id, reference, models, done, source), reference, "generated", source, adapters, stem), folder)
-    return summary(spark.read.parquet(folder), "model").unionByName(lost_models(wide, models), allowMissingColumns=True)
+    done = spark.read.parquet(folder).select("model", row_id) if path_exists(spark, folder) else None
+    n = F.col(row_id)
+    least, most, unnumbered = wide.agg(F.min(n), F.max(n), F.sum(n.isNull().cast("long"))).first()
+    ranges = [(n >= a) & (n < a + every) for a in range(least, most + 1, every)] if least is not None else []
+    for part in [*ranges, *([n.isNull()] if unnumbered else [])][:steps]:
+        left = to_score(wide.where(part), row_id, reference, models, None if done is None else done.where(part), source)
+        append_results(score(left, reference, "generated", source, adapters, stem), folder)
+    scored = spark.read.parquet(folder) if path_exists(spark, folder) else score(to_score(wide.limit(0), row_id, reference, models, None, source), reference, "generated", source, adapters, stem)
+    return summary(scored, "model").unionByName(lost_models(wide, models), allowMissingColumns=True)
 
 
 def metric_group(name: str) -> str:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as tx
-from tarnwell.functions.adapters import ModelConfig, generate
-from tarnwell.operators.cleaning import REQUIRED, carry_over, drop_after_hit, reset_failed, to_do
+from tarnwell.functions.adapters import Ask, ModelConfig, answered
+from tarnwell.operators.cleaning import REQUIRED, carry_over, drop_after_hit, reset_failed
 from tarnwell.operators.ranking import hash_split
-from tarnwell.operators.relations import override
-from tarnwell.sources.tables import read_arity, read_csv, read_lines, read_tolerant, write_csv
+from tarnwell.sources.scratch import settled
+from tarnwell.sources.tables import header_of, read_arity, read_csv, read_lines, read_tolerant, write_csv
 
 #: Characters of a ruling and of a release that a request holds.
 RULING_CHARS, PRESS_CHARS = 12_000, 4_000
@@ -21,16 +21,22 @@ def request(ruling, press):
     return F.concat(F.lit("Pressemitteilung:\n"), tx.shorten(press, PRESS_CHARS), F.lit(f"\n\n{tx.RULING_MARK}\n"), tx.shorten(ruling, RULING_CHARS))
 
 
-def synthesize(df: DataFrame, row_id: str, ruling: str, press: str, prompt: str, config: ModelConfig, done: DataFrame | None = None, start: int = 0) -> DataFrame:
-    """The table with prompts: those of an earlier run before start are carried over, failed ones are made again, missing ones from start on are made."""
-    if prompt not in df.columns:
-        df = df.withColumn(prompt, F.lit(None).cast("string"))
+def synthesize(df: DataFrame, row_id: str, ruling: str, press: str, prompt: str, config: ModelConfig, done: DataFrame | None = None, start: int = 0, ask: Ask = answered) -> DataFrame:
+    """The table with prompts: those of an earlier run before start are carried over, failed ones are made again, missing ones from start on are made.
+
+    Rows go through the call with all their columns, so null and repeated ids are rows like any
+    others; a row without an id is never before start.
+    """
+    names = df.columns
+    if prompt not in names:
+        df, names = df.withColumn(prompt, F.lit(None).cast("string")), [*names, prompt]
     if done is not None:
         df = carry_over(df, done, row_id, prompt, start)
     df = reset_failed(df, prompt)
-    asked = to_do(df, prompt, row_id, start).select(row_id, F.col(ruling).alias("_ruling"), request(F.col(ruling), F.col(press)).alias("_request"))
-    made = generate(asked, config, row_id, "_ruling", "_request").select(row_id, tx.sanitize(F.coalesce("generated", F.concat(F.lit("API-Fehler: "), F.coalesce("error", F.lit("?"))))).alias(prompt))
-    return override(df.select(row_id, prompt), made, [row_id]).join(df.drop(prompt), row_id).select(*df.columns)
+    missing = F.coalesce(F.col(row_id) >= start, F.lit(True)) & F.col(prompt).isNull()
+    made = ask(df, config, F.col(ruling), request(F.col(ruling), F.col(press)), "_made", "_error", missing)
+    new = tx.sanitize(F.coalesce("_made", F.concat(F.lit("API-Fehler: "), F.coalesce("_error", F.lit("?")))))
+    return made.withColumn(prompt, F.when(missing, new).otherwise(F.col(prompt))).select(*names)
 
 
 def sanitized(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -56,16 +62,15 @@ def repaired(spark: SparkSession, path: str, header_only: bool = False, default:
 
 def fix_format(spark: SparkSession, path: str, out: str) -> int:
     """Writes the records of a CSV that fit its header, all cells quoted; the number of rows written."""
-    df = read_arity(spark, path)
+    df = settled(read_arity(spark, path))
     write_csv(df, out, backslash=True)
     return df.count()
 
 
 def clean_prompts(spark: SparkSession, path: str, prompt: str, phrases: list[str] = tx.ERROR_PHRASES) -> DataFrame:
     """The rows of a CSV whose prompt has no error phrase; of a file that can't be read so, the lines that are left by the line filter."""
-    df = read_csv(spark, path)
-    if prompt in df.columns:
-        return df.where(~tx.any_contains(F.col(prompt), phrases))
+    if prompt in header_of(spark, path):
+        return read_tolerant(spark, path).where(~tx.any_contains(F.coalesce(prompt, F.lit("")), phrases))
     return drop_after_hit(read_lines(spark, path), "number", "line", phrases, "file").select("line")
 
 

@@ -1,4 +1,4 @@
-"""Samples, splits, top rows, deltas and sliding usage."""
+"""Samples, splits and top rows."""
 
 from __future__ import annotations
 
@@ -35,51 +35,8 @@ def contiguous(row_id: Column, total: int, parts: int) -> Column:
     return F.floor(row_id / max(1, -(-total // parts))).cast("long")
 
 
-def deltas(df: DataFrame, order: str, time: str, count: str, goal: int = 1000) -> DataFrame:
-    """Seconds and rows between consecutive checkpoints, rows an hour, and hours left to the goal."""
-    by = Window.orderBy(order)  # a row for each checkpoint
-    out = df.withColumn("seconds", (F.col(time).cast("timestamp").cast("double") - F.lag(time).over(by).cast("timestamp").cast("double"))).withColumn("added", F.col(count) - F.lag(count).over(by))
-    rate = F.when(F.col("seconds") > 0, F.col("added") / F.col("seconds") * 3600)
-    return out.withColumn("per_hour", rate).withColumn("hours_left", F.when(rate > 0, F.greatest(F.lit(goal) - F.col(count), F.lit(0)) / rate))
-
-
 def best_of(df: DataFrame, groups: list[str], names: list[str], key: str) -> DataFrame:
     """groups, metric, key, value: the row with the greatest value of each metric; of equals the smallest key."""
     long = df.unpivot([*groups, key], names, "metric", "value")
     by = Window.partitionBy(*groups, "metric").orderBy(F.desc("value"), key)
     return long.where(F.col("value").isNotNull()).withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
-
-
-def usage(events: DataFrame, time: str, tokens: dict[str, str], group: str | None = None, seconds: int = 60) -> DataFrame:
-    """Requests and tokens of the last seconds up to and with each call. Calls exactly that old still count.
-
-    group: one budget for each of its values; without it all calls share one budget and
-    must be ordered in one task, as the limiter they mirror is one process.
-    """
-    frame = f"over ({'partition by ' + group if group else ''} order by {time} range between interval {seconds} seconds preceding and current row)"
-    return events.withColumns({"requests": F.expr(f"count(*) {frame}")} | {name: F.expr(f"sum({c}) {frame}") for name, c in tokens.items()})
-
-
-def waits(events: DataFrame, time: str, tokens: str, limit: int, group: str, seconds: int = 60) -> DataFrame:
-    """Adds wait_seconds: how long a call must wait until enough tokens of the calls before it have expired.
-
-    The calls within the last seconds expire in their order; the first at which the running
-    sum reaches what is over the limit gives the time. With S the group's running sum, that is
-    the first call whose own S reaches S - limit of the waiting one: sums and limits are put
-    in one order, and each limit takes the next sum after it. Calls of the same time expire
-    together. Tokens are not negative; nulls count as none.
-    """
-    at = F.col(time).cast("timestamp").cast("double")
-    by = Window.partitionBy(group).orderBy("_at")
-    n = F.coalesce(F.col(tokens).cast("double"), F.lit(0.0))
-    rows = events.withColumn("_at", at).withColumn("_n", n)
-    rows = rows.withColumn("_s", F.round(F.sum("_n").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)), 9)).withColumn("_in", F.round(F.sum("_n").over(by.rangeBetween(-seconds, Window.currentRow)), 9))
-    names = events.columns
-    # each row is there as a sum at its own place, and as a limit at what must have expired
-    sides = F.array(F.struct(F.col("_s").alias("v"), F.lit(1).alias("side")), F.struct((F.col("_s") - F.lit(float(limit))).alias("v"), F.lit(0).alias("side")))
-    both = rows.select("*", F.explode(sides).alias("e")).select("*", F.round("e.v", 9).alias("_v"), F.col("e.side").alias("_side"))
-    # from the greatest down, so that the last sum seen is the next one up
-    down = Window.partitionBy(group).orderBy(F.desc("_v"), F.desc("_side"), F.desc("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_first", F.last(F.when(F.col("_side") == 1, F.col("_at")), True).over(down)).where("_side = 0")
-    wait = F.when(F.col("_in") > limit, F.greatest(F.col("_first") + seconds - F.col("_at"), F.lit(0.0))).otherwise(0.0)
-    return found.select(*names, wait.alias("wait_seconds"))

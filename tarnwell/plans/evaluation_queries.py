@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text
-from tarnwell.functions.adapters import ModelConfig, generate, run_generation
+from tarnwell.functions.adapters import REGISTRY, ModelConfig, configs, generate, run_generation
 from tarnwell.operators import annotation, evaluation, prompts, relations
+from tarnwell.operators.ledger import Ledger
 from tarnwell.plans.registry import query
+from tarnwell.sources.scratch import scratch
 
 
 def _annotated(t):
@@ -145,18 +150,57 @@ def c2_missing(t):
     return annotation.augment(base, [("m_quality", "full", q), ("m_toxic", "hier", x)])[1]
 
 
-_ANSWER = r"regexp_replace('[' || left(sha256('Write about ' || lang), 8) || '] ' || left(text, 600), '[\s\x{00A0}]+$', '')"
+#: Documents with a null id for each seventh and a copy of each fifth: rows that ids can't tell apart.
+_PLANTED = "d AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END AS doc_id, text, lang, source FROM documents UNION ALL SELECT CASE WHEN doc_id % 7 <> 0 THEN doc_id END, text, lang, source FROM documents WHERE doc_id % 5 = 0)"
+
+
+def _planted(t):
+    rows = t.documents.select(F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).alias("doc_id"), "text", F.concat(F.lit("Write about "), "lang").alias("ask"), "source", (F.col("doc_id") % 5 == 0).alias("twice"))
+    return rows.unionByName(rows.where("twice")).drop("twice")
 
 
-@query(f"SELECT doc_id, 'old' AS model, 'kept' AS generated, source AS reference_press, '' AS error FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, m, md5({_ANSWER}), source, '' FROM documents, (SELECT unnest(['echo', 'old']) AS m) WHERE m = 'echo' OR doc_id % 3 <> 0")
+#: The stand-in with whole texts.
+WHOLE = {"max_chars": 1 << 30}
+_ANSWER = r"regexp_replace('[' || left(sha256('Write about ' || lang), 8) || '] ' || text, '[\s\x{00A0}]+$', '')"
+
+
+@query(f"WITH {_PLANTED} SELECT doc_id, m AS model, CASE WHEN m = 'old' AND doc_id % 3 = 0 THEN 'kept' ELSE md5({_ANSWER}) END AS generated, source AS reference_press, '' AS error FROM d, (SELECT unnest(['echo', 'old']) AS m) WHERE m = 'echo' OR doc_id % 3 IS DISTINCT FROM 0 UNION ALL SELECT DISTINCT doc_id, 'old', 'kept', source, '' FROM d WHERE doc_id % 3 = 0")
 def c6_generation_run(t):
-    """Two models over all documents; a third of one model's rows are there already and stay."""
-    rows = t.documents.select("doc_id", "text", F.concat(F.lit("Write about "), "lang").alias("ask"), "source")
-    done = t.documents.where("doc_id % 3 = 0").select("doc_id", F.lit("old").alias("model"), F.lit("kept").alias("generated_press"), F.col("source").alias("reference_press"), F.lit("").alias("error"), F.lit("p").alias("prompt"))
-    made = run_generation(rows, [ModelConfig("echo"), ModelConfig("old")], "doc_id", "text", "ask", "source", done)
+    """Two models over all documents, null and repeated ids among them; what is there of a third of one model's ids stays."""
+    rows = _planted(t)
+    done = rows.where("doc_id % 3 = 0").select("doc_id", F.lit("old").alias("model"), F.lit("kept").alias("generated_press"), F.col("source").alias("reference_press"), F.lit("").alias("error"), F.lit("p").alias("prompt")).distinct()
+    made = run_generation(rows, [ModelConfig("echo", options=WHOLE), ModelConfig("old", options=WHOLE)], "doc_id", "text", "ask", "source", done)
     return made.select("doc_id", "model", F.when(F.col("generated_press") == "kept", "kept").otherwise(F.md5("generated_press")).alias("generated"), "reference_press", "error")
 
 
+@query(f"WITH {_PLANTED}, c AS (SELECT count(DISTINCT (text, lang)) AS n FROM d) SELECT doc_id, m AS model, md5({_ANSWER}) AS generated, source AS reference_press, '' AS error, n AS calls FROM d, c, (SELECT unnest(['echo', 'old']) AS m)")
+def c6_call_ledger(t):
+    """Two models over rows that ids can't tell apart, by a ledger, then once more; the calls of each model are its different requests, though both runs and the result ask for all."""
+    ledger = Ledger(t.spark, f"{scratch(t.spark)}/calls")
+    models = [ModelConfig("echo", options=WHOLE), ModelConfig("old", options=WHOLE)]
+    run_generation(_planted(t), models[:1], "doc_id", "text", "ask", "source", ask=ledger.ask)
+    made = run_generation(_planted(t), models, "doc_id", "text", "ask", "source", ask=ledger.ask)
+    calls = ledger.calls().groupBy("model").agg(F.count("*").alias("calls"))
+    return made.join(F.broadcast(calls), "model").select("doc_id", "model", F.md5("generated_press").alias("generated"), "reference_press", "error", "calls")  # a row for each model
+
+
+@query("SELECT item_id, lang AS model, replace(text, 'e', 'E') || '/' || lang AS generated FROM benchmark, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
+def c13_registered_kind(t):
+    """Models by their records, one for each language, of a kind that is registered here and runs on executors."""
+
+    class Loud:
+        def __init__(self, config):
+            self.ending = config.options["ending"]
+
+        def generate(self, ruling, prompt):
+            return ruling.replace("e", "E") + self.ending
+
+    REGISTRY["loud"] = Loud
+    records = [{"name": r.lang, "type": "loud", "ending": f"/{r.lang}"} for r in t.documents.where("lang IS NOT NULL").select("lang").distinct().limit(1000).collect()]
+    parts = [generate(t.benchmark.withColumn("p", F.lit("")), c, "item_id", "text", "p") for c in configs(records)]
+    return reduce(DataFrame.unionByName, parts).select("item_id", "model", "generated")
+
+
 @query("""SELECT model, round(avg(n_chars), 6) AS chars, NULL AS rouge, count(*) FILTER (n_chars > 500) / count(*) AS success_rate FROM (SELECT source AS model, CASE WHEN n_chars > 500 THEN n_chars END AS n_chars FROM documents) GROUP BY model""".replace("NULL AS rouge, ", ""))
 def c8_results_table(t):
     """The result table of a summary: metrics without prefix, those that no model has left out."""

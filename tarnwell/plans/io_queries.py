@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text
-from tarnwell.functions.adapters import ModelConfig, generate, run_generation
+from tarnwell.functions.adapters import ModelConfig, generate, not_done, run_generation
 from tarnwell.operators import annotation, cleaning, evaluation, prompts
 from tarnwell.plans.registry import query
 from tarnwell.sources import config, tables
@@ -105,7 +105,7 @@ def s13_evaluation_folder(t):
     """Summary and details of an evaluation, written and loaded again."""
     folder = scratch(t.spark)
     scored = t.documents.select("doc_id", F.col("source").alias("model"), F.col("n_chars").cast("double").alias("chars"), F.when(F.col("n_chars") <= 300, "short").alias("error"))
-    tables.write_evaluation(scored, evaluation.summary(scored, "model", ["chars"]), folder, "doc_id")
+    tables.write_evaluation(scored, lambda rows: evaluation.summary(rows, "model", ["chars"]), folder, "doc_id")
     summaries, details = tables.load_evaluation(t.spark, folder)
     counts = details.groupBy("model").agg(F.count("*").alias("rows_there"))
     return summaries.join(counts, "model").select("model", F.round("avg_chars", 6).alias("avg_chars"), "successful_generations", "rows_there")
@@ -136,12 +136,21 @@ def k3_quoted(t):
     return tables.read_csv(t.spark, path, backslash=True).select(F.col("o_orderkey").cast("long").alias("id"), "note")
 
 
-@query("SELECT o_orderkey AS row_id, 'done ' || o_orderstatus AS result, CASE WHEN o_orderkey < 300 THEN 'run_300.csv' WHEN o_orderkey < 600 THEN 'run_600.csv' ELSE 'run_1000.csv' END AS file FROM orders WHERE o_orderkey < 1000")
+_STEPS = "m AS (SELECT max(o_orderkey) + 1 AS total, (max(o_orderkey) + 1) // 10 + 1 AS b FROM orders)"
+
+
+def _batches(t) -> tuple[int, int]:
+    """One more than the greatest order key, and a tenth of it."""
+    total = t.orders.agg(F.max("o_orderkey")).first()[0] + 1
+    return total, total // 10 + 1
+
+
+@query(f"WITH {_STEPS} SELECT o_orderkey AS row_id, 'done ' || o_orderstatus AS result, 'run_' || CASE WHEN o_orderkey < 3 * b THEN 3 * b WHEN o_orderkey < 6 * b THEN 6 * b WHEN o_orderkey < 9 * b THEN 9 * b ELSE total END || '.csv' AS file FROM orders, m")
 def k5_run_in_steps(t):
-    """A run of a thousand rows in batches of a hundred, with a checkpoint after every third and at the end; the second call finds it all done."""
+    """A run over all orders in ten batches, with a checkpoint after every third and at the end; the second call finds it all done."""
     folder = scratch(t.spark)
-    rows = t.orders.where("o_orderkey < 1000").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus")
-    ends = [300, 600, 1000]
+    rows = t.orders.select(F.col("o_orderkey").alias("row_id"), "o_orderstatus")
+    ends = tables.checkpoint_ends(*_batches(t), 3)
     step = lambda df: df.select("row_id", F.concat(F.lit("done "), "o_orderstatus").alias("result"))
     tables.run_in_steps(rows, "row_id", ends, step, folder, "run")
     again = tables.run_in_steps(rows, "row_id", ends, lambda df: df.select("row_id", F.lit("anew").alias("result")), folder, "run")
@@ -149,17 +158,17 @@ def k5_run_in_steps(t):
     return made.join(again.select(F.col("row_id").cast("long")), "row_id", "left_semi")
 
 
-@query("SELECT unnest(['run_300.csv', 'run_600.csv', 'run_900.csv', 'run_1000.csv']) AS name")
+@query(f"WITH {_STEPS} SELECT 'run_' || unnest([3 * b, 6 * b, 9 * b, total]) || '.csv' AS name FROM m")
 def k5_names(t):
-    """Names of the checkpoints of a thousand rows in batches of a hundred, every third written."""
-    return t.spark.createDataFrame([(n,) for n in tables.checkpoint_names("run", 1000, 100, 3)], "name string")
+    """Names of the checkpoints of that run."""
+    return t.spark.createDataFrame([(n,) for n in tables.checkpoint_names("run", *_batches(t), 3)], "name string")
 
 
 @query("SELECT m AS model, count(*) AS by_model, count(*) AS in_all FROM documents, (SELECT unnest(['a', 'b']) AS m) GROUP BY m")
 def k6_generation_files(t):
     """Results of two models: in a folder each, and all together."""
     folder = scratch(t.spark)
-    rows = t.documents.select("doc_id", F.substring("text", 1, 200).alias("ruling"), F.lit("Write").alias("ask"), F.lit("press").alias("press"))
+    rows = t.documents.select("doc_id", F.col("text").alias("ruling"), F.lit("Write").alias("ask"), F.lit("press").alias("press"))
     tables.write_generation(run_generation(rows, [ModelConfig("a"), ModelConfig("b")], "doc_id", "ruling", "ask", "press"), folder)
     count = lambda path, name: t.spark.read.options(**tables.CSV).csv(path).groupBy("model").agg(F.count("*").alias(name))
     return count(f"{folder}/by_model", "by_model").join(count(f"{folder}/all_models_results", "in_all"), "model")
@@ -240,11 +249,21 @@ def p10_fixed_format(t):
     return tables.read_csv(t.spark, out).select(F.col("id").cast("long"), "state", F.col("cust").cast("long"))
 
 
+@query("""SELECT doc_id, 'Write about "' || lang || '",' || chr(10) || 'as asked ' || doc_id AS prompt, length(text) AS chars FROM documents WHERE doc_id % 4 <> 0""")
+def p11_clean_prompts(t):
+    """A file of prompts with quotes and breaks, whole texts beside them, cut by many tasks; each fourth prompt is an error and goes."""
+    path = f"{scratch(t.spark)}/prompts.csv"
+    prompt = F.when(F.col("doc_id") % 4 == 0, F.lit("API-Fehler: no answer")).otherwise(F.concat(F.lit('Write about "'), "lang", F.lit('",\nas asked '), "doc_id"))
+    tables.write_csv(t.documents.select("doc_id", prompt.alias("synthetic_prompt"), "text"), path)
+    made = prompts.clean_prompts(t.spark, path, "synthetic_prompt")
+    return made.select(F.col("doc_id").cast("long"), F.col("synthetic_prompt").alias("prompt"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
+
+
 @query("SELECT unnest(['Missing columns: date, synthetic_prompt']) AS message")
 def p3_missing_columns(t):
     """What validation says of a table without two of its columns."""
     names = [c for c in cleaning.REQUIRED if c not in ("date", "synthetic_prompt")]
-    sound, errors = cleaning.validate(t.documents.limit(0).select(*[F.lit("x").alias(c) for c in names]))
+    sound, errors = cleaning.validate(t.documents.select(*[F.lit("x").alias(c) for c in names]))
     return t.spark.createDataFrame([(e,) for e in errors], "message string")
 
 
@@ -280,18 +299,19 @@ def t28_mock_columns(t):
 @query("SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN 'done ' || doc_id WHEN doc_id % 5 = 2 THEN NULL ELSE 'made' END AS state FROM documents".replace("doc_id % 5 < 2", "doc_id < 60 AND doc_id % 2 = 0").replace("doc_id % 5 = 2", "doc_id < 60"))
 def c7_synthesize(t):
     """Prompts: those of an earlier run before row 60 are carried over (odd ones are missing there), all from 60 on are made."""
-    rows = t.documents.select("doc_id", F.concat(F.lit("Urteil "), F.substring("text", 1, 100)).alias("judgement"), F.lit("Presse").alias("summary"))
+    rows = t.documents.select("doc_id", F.concat(F.lit("Urteil "), "text").alias("judgement"), F.lit("Presse").alias("summary"))
     done = t.documents.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("done "), "doc_id").alias("prompt"))
     made = prompts.synthesize(rows, "doc_id", "judgement", "summary", "prompt", ModelConfig("echo"), done, 60)
     return made.select("doc_id", F.when(F.col("prompt").startswith("done") | F.col("prompt").isNull(), F.col("prompt")).otherwise("made").alias("state"))
 
 
-@query("SELECT unnest(['a', 'b']) AS name, unnest([3, 600]) AS max_chars")
+@query("SELECT lang AS name, CASE WHEN lang = 'en' THEN 3 ELSE 600 END AS max_chars FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
 def c13_model_configs(t):
-    """Model records as configurations, of known kinds, with their options or defaults."""
+    """Model records, one for each language, as configurations of known kinds, with their options or defaults."""
     from tarnwell.functions.adapters import build, configs
 
-    found = configs([{"name": "a", "type": "local", "max_chars": 3}, {"name": "b"}])
+    names = [r.lang for r in t.documents.where("lang IS NOT NULL").select("lang").distinct().limit(1000).collect()]
+    found = configs([{"name": n, "type": "local", "max_chars": 3} if n == "en" else {"name": n} for n in names])
     return t.spark.createDataFrame([(c.name, build(c).max_chars) for c in found], "name string, max_chars int")
 
 
@@ -321,10 +341,10 @@ def t3_request(t):
 def k4_results_appended(t):
     """Results by model, added in two runs; the second makes only what the first did not."""
     folder = scratch(t.spark)
-    rows = t.documents.select("doc_id", F.substring("text", 1, 50).alias("r"), F.lit("p").alias("p"))
-    tables.append_results(generate(rows.where("doc_id % 2 = 0"), ModelConfig("only"), "doc_id", "r", "p"), folder)
-    done = t.spark.read.parquet(folder)
-    tables.append_results(generate(rows.join(done, "doc_id", "left_anti"), ModelConfig("only"), "doc_id", "r", "p"), folder)
+    rows = t.documents.select("doc_id", F.col("text").alias("r"), F.lit("p").alias("p"))
+    model = ModelConfig("only", options={"max_chars": 1 << 30})
+    tables.append_results(generate(rows.where("doc_id % 2 = 0"), model, "doc_id", "r", "p"), folder)
+    tables.append_results(generate(not_done(rows, t.spark.read.parquet(folder), "doc_id"), model, "doc_id", "r", "p"), folder)
     made = t.spark.read.parquet(folder).join(rows, "doc_id")
     return made.select("doc_id", "model", F.col("generated").endswith(F.col("r")).alias("same"))
 
@@ -337,16 +357,18 @@ def s15_json_lines(t):
     return tables.read_table(t.spark, path).where("length(text) > 0").select("doc_id", (text.tokens_estimate(F.col("text")) <= 128).alias("short"))
 
 
-@query("""WITH v AS (SELECT doc_id, 'short' AS model, left(text, 90) AS g, text AS r FROM documents WHERE doc_id < 200 UNION ALL SELECT doc_id, 'none', NULL, text FROM documents WHERE doc_id < 200),
+@query("""WITH v AS (SELECT doc_id, 'short' AS model, left(text, length(text) // 2) AS g, text AS r FROM documents UNION ALL SELECT doc_id, 'none', NULL, text FROM documents),
 w AS (SELECT model, g, len(list_filter(regexp_split_to_array(g, '\\s+'), lambda x: x <> '')) AS a, len(list_filter(regexp_split_to_array(r, '\\s+'), lambda x: x <> '')) AS b FROM v)
 SELECT model, count(*) AS total_samples, count(*) FILTER (g <> '') AS successful_generations, round(avg(CASE WHEN g <> '' THEN CASE WHEN a = 0 OR b = 0 THEN 0 ELSE least(a, b) / greatest(a, b) END END), 9) AS avg_length_ratio FROM w GROUP BY model
 UNION ALL SELECT 'lost', NULL, NULL, NULL""")
 def c5_resumed_run(t):
-    """An evaluation of two hundred rows, stopped after its first eighty and called again, in steps of a hundred."""
+    """An evaluation of all documents, stopped after the first of its steps and called again with more models and other steps. Row numbers are null where the id is a multiple of 50."""
     folder = f"{scratch(t.spark)}/results"
-    wide = t.documents.where("doc_id < 200").select(F.col("doc_id").alias("row"), F.col("text").alias("press"), F.substring("text", 1, 90).alias("short"), F.lit(None).cast("string").alias("none"))
-    evaluation.run(wide, "row", "press", ["short"], folder, 80, 80, stem=False)
-    found = evaluation.run(wide, "row", "press", ["short", "none", "lost"], folder, 100, 200, stem=False)
+    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    wide = t.documents.select(F.when(F.col("doc_id") % 50 != 0, F.col("doc_id")).alias("row"), F.col("text").alias("press"), half.alias("short"), F.lit(None).cast("string").alias("none"))
+    third = t.documents.agg(F.max("doc_id")).first()[0] // 3 + 1
+    evaluation.run(wide, "row", "press", ["short"], folder, third, stem=False, steps=1)
+    found = evaluation.run(wide, "row", "press", ["short", "none", "lost"], folder, third + third // 2, stem=False)
     return found.select("model", "total_samples", "successful_generations", F.round("avg_length_ratio", 9).alias("avg_length_ratio"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwell.functions import metrics, text
-from tarnwell.operators import cleaning, evaluation, ranking, relations
+from tarnwell.operators import cleaning, evaluation, ranking, relations, rolling
 from tarnwell.plans.registry import query
 
 
@@ -197,11 +197,9 @@ def w3_stratified(t):
 l AS (SELECT day, n, epoch(ts) - epoch(lag(ts) OVER (ORDER BY day)) AS seconds, n - lag(n) OVER (ORDER BY day) AS added FROM c)
 SELECT day, CAST(n AS BIGINT) AS n, round(seconds, 3) AS seconds, CAST(added AS BIGINT) AS added, round(CASE WHEN seconds > 0 THEN added / seconds * 3600 END, 6) AS per_hour FROM l""")
 def w4_lag_rate(t):
-    from pyspark.sql import Window
-
-    days = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.max("ts").alias("ts"))
-    grown = days.withColumn("n", F.sum("n").over(Window.orderBy("day")))  # a row for each day
-    return ranking.deltas(grown, "day", "ts", "n").select("day", "n", F.round("seconds", 3).alias("seconds"), "added", F.round("per_hour", 6).alias("per_hour"))
+    days = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("added_rows"), F.max("ts").alias("ts"))
+    grown = rolling.running(days, ["day"], {"n": F.col("added_rows")})
+    return rolling.deltas(grown, "day", "ts", "n").select("day", "n", F.round("seconds", 3).alias("seconds"), "added", F.round("per_hour", 6).alias("per_hour"))
 
 
 @query("""WITH l AS (SELECT lang, doc_id AS id, unnest(['chars', 'words']) AS metric, unnest([n_chars, CAST(len(string_split(text, ' ')) AS BIGINT)]) AS value FROM documents)
@@ -220,16 +218,30 @@ def w6_ordered(t):
 
 @query("""SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 6) AS tokens FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)""")
 def w9_usage_window(t):
-    return ranking.usage(t.events, "ts", {"tokens": "value"}, "event_type").select("event_id", "requests", F.round("tokens", 6).alias("tokens"))
+    return rolling.usage(t.events, "ts", {"tokens": "value"}, "event_type").select("event_id", "requests", F.round("tokens", 6).alias("tokens"))
 
 
-@query("""WITH e AS (SELECT event_id, event_type, epoch(ts) AS sec, coalesce(value, 0) AS n FROM events),
-w AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY sec RANGE BETWEEN 600 PRECEDING AND CURRENT ROW) AS total FROM e),
-p AS (SELECT w.event_id, w.total, x.sec, sum(x.n) OVER (PARTITION BY w.event_id ORDER BY x.sec) AS s FROM w JOIN e x ON x.event_type = w.event_type AND x.sec BETWEEN w.sec - 600 AND w.sec WHERE w.total > 30),
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS sec, coalesce(value, 0) AS n FROM events),
+w AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY sec RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS total FROM e),
+p AS (SELECT w.event_id, w.total, x.sec, sum(x.n) OVER (PARTITION BY w.event_id ORDER BY x.sec) AS s FROM w JOIN e x ON x.event_type = w.event_type AND x.sec BETWEEN w.sec - 600000000 AND w.sec WHERE w.total > 30),
 f AS (SELECT event_id, min(sec) FILTER (round(s, 9) >= round(total - 30, 9)) AS first FROM p GROUP BY ALL)
-SELECT event_id, round(CASE WHEN total > 30 THEN greatest(first + 600 - sec, 0) ELSE 0 END, 3) AS wait_seconds FROM w LEFT JOIN f USING (event_id)""")
+SELECT event_id, round(CASE WHEN total > 30 THEN greatest(first + 600000000 - sec, 0) / 1e6 ELSE 0 END, 6) AS wait_seconds FROM w LEFT JOIN f USING (event_id)""")
 def w10_wait(t):
-    return ranking.waits(t.events.select("event_id", "ts", "value", "event_type"), "ts", "value", 30, "event_type", 600).select("event_id", F.round("wait_seconds", 3).alias("wait_seconds"))
+    return rolling.waits(t.events.select("event_id", "ts", "value", "event_type"), "ts", "value", 30, "event_type", 600).select("event_id", F.round("wait_seconds", 6).alias("wait_seconds"))
+
+
+@query("SELECT click_id, count(*) OVER w AS requests, round(sum(value) OVER w, 6) AS tokens FROM clicks WHERE ts IS NOT NULL WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)")
+def w9_shared_budget(t):
+    """All clicks as calls on one budget: there is no group to deal them out by, and times, clients and values may be null or repeated."""
+    return rolling.usage(t.clicks.where("ts IS NOT NULL"), "ts", {"tokens": "value"}).select("click_id", "requests", F.round("tokens", 6).alias("tokens"))
+
+
+@query("SELECT sale_id, status, round(sum(total) OVER (PARTITION BY status ORDER BY sold_at, sale_id RANGE UNBOUNDED PRECEDING), 3) AS so_far, lag(total) OVER (PARTITION BY status ORDER BY sold_at, sale_id, total) AS before FROM (SELECT sale_id, status, total, sold_at FROM sales WHERE sold_at IS NOT NULL GROUP BY ALL HAVING count(*) = 1)")
+def w4_running(t):
+    """The running total of sales by status and the sale before; a status may hold a third of all rows."""
+    rows = t.sales.where("sold_at IS NOT NULL").groupBy("sale_id", "status", "total", "sold_at").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    out = rolling.previous(rolling.running(rows, ["sold_at", "sale_id"], {"so_far": F.col("total")}, "status"), ["sold_at", "sale_id", "total"], {"before": "total"}, "status")
+    return out.select("sale_id", "status", F.round("so_far", 3).alias("so_far"), "before")
 
 
 @query(f"SELECT unnest([{', '.join(repr(m) for m in evaluation.metric_order(evaluation.METRICS))}]) AS metric, unnest(range(1, {len(evaluation.METRICS)} + 1)) AS place")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -21,3 +21,10 @@ def scratch(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="tarnwell-scratch-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written once and read again, so that what uses it twice doesn't work it out twice."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

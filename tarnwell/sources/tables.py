@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions.text import checkpoint_number
 from tarnwell.operators.relations import union_tagged
+from tarnwell.sources.quoted import records
+from tarnwell.sources.scratch import settled
 
 #: Cells that count as missing on reading.
 NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -39,17 +37,17 @@ def header_of(spark: SparkSession, path: str, **options) -> list[str]:
     return spark.read.options(**(CSV | options)).csv(path).columns
 
 
+def _as_columns(found: DataFrame, names: list[str]) -> DataFrame:
+    """Records as rows of named text columns, headers left out, missing fields null."""
+    field = lambda i: F.try_element_at("fields", F.lit(i + 1))
+    return missing_to_null(found.where(~F.col("first")).select(*[field(i).alias(c) for i, c in enumerate(names)]))
+
+
 def read_tolerant(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
     """Rows with too many fields go; rows with too few are filled up with null, or go too if exact."""
     names = header_of(spark, path)
-    schema = ", ".join(f"`{c}` string" for c in names) + ", `_raw` string"
-    if exact:
-        df = spark.read.options(**(CSV | {"mode": "DROPMALFORMED"})).schema(", ".join(f"`{c}` string" for c in names)).csv(path)
-        return missing_to_null(df)
-    df = spark.read.options(**(CSV | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw"})).schema(schema).csv(path)
-    # commas outside quotes, in records that the reader marked
-    fields = F.length(F.regexp_replace(F.regexp_replace("_raw", r'(?s)"(?:[^"]|"")*"', ""), "[^,]", "")) + 1
-    return missing_to_null(df.where(F.col("_raw").isNull() | (fields <= len(names))).drop("_raw"))
+    found = records(spark, path)
+    return _as_columns(found.where(F.size("fields") == len(names) if exact else F.size("fields") <= len(names)), names)
 
 
 def read_table(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -77,24 +75,9 @@ def read_plain(spark: SparkSession, path: str, limit: int | None = 5000) -> Data
 def read_arity(spark: SparkSession, path: str) -> DataFrame:
     """Records that have as many fields as the header, all others go: the last resort for broken files.
 
-    Files are parsed record by record, whatever stands in their quotes; a file is one task's.
+    Records are cut exactly, whatever stands in their quotes, by many tasks a file.
     """
-    names = header_of(spark, path)
-    schema = pa.schema([(c, pa.string()) for c in names])
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(1 << 30)
-        for batch in batches:
-            for content in batch.column(0):
-                text = io.TextIOWrapper(io.BytesIO(content.as_py()), encoding="utf-8-sig", errors="replace", newline="")
-                records = csv.reader(text)
-                next(records, None)
-                fit = (r for r in records if len(r) == len(names))
-                while rows := list(itertools.islice(fit, 10_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=schema)
-
-    return missing_to_null(files.mapInArrow(parse, ", ".join(f"`{c}` string" for c in names)))
+    return read_tolerant(spark, path, True)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -150,11 +133,15 @@ def run_in_steps(rows: DataFrame, row_id: str, ends: list[int], step: Callable[[
     """step over the rows, written a checkpoint at a time as prefix_<end>.csv; what is there already is not run again.
 
     A checkpoint holds the rows from the one before it up to its end, so that each row is
-    written once; together they are the table. A stopped run goes on at its first missing
+    written once; together they are the table. Rows without a number, below 0 or from the last
+    end on would be in none and are an error. A stopped run goes on at its first missing
     checkpoint: a folder counts when its writer has left its mark.
     """
     spark, first = rows.sparkSession, 0
     paths = [f"{folder}/{prefix}_{e}.csv" for e in ends]
+    inside = (F.col(row_id) >= 0) & (F.col(row_id) < (ends[-1] if ends else 0))
+    if outside := rows.where(~F.coalesce(inside, F.lit(False))).count():
+        raise ValueError(f"{outside} rows are in no step")
     for end, path in zip(ends, paths):
         if not path_exists(spark, f"{path}/_SUCCESS"):
             write_csv(step(rows.where((F.col(row_id) >= first) & (F.col(row_id) < end))), path, backslash=True)
@@ -169,6 +156,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder, none if it isn't there."""
+    if not path_exists(spark, path):
+        return []
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted(f.getPath().toString() for f in found if f.isDirectory())
+
+
 def file_table(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """file, bytes, modified, number (of the checkpoint) and derivative (a name with an added ending) of the matching files, contents unread."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
@@ -214,10 +210,13 @@ def evaluation_details(spark: SparkSession, folder: str, pattern: str = "*_resul
     return rows.select("model", "row_id", F.explode("metrics").alias("metric", "value"))
 
 
-def write_evaluation(scored: DataFrame, summaries: DataFrame, folder: str, row_id: str) -> None:
-    """Scored rows by model, as a run resumes from them, and the summary as one JSON line a model."""
+def write_evaluation(scored: DataFrame, summarize: Callable[[DataFrame], DataFrame], folder: str, row_id: str) -> None:
+    """Scored rows by model, as a run resumes from them, and what summarize makes of them as one JSON line a model.
+
+    The summary is made of the written rows, so nothing is scored twice.
+    """
     scored.withColumn("row_id", F.col(row_id).cast("string")).write.mode("overwrite").partitionBy("model").parquet(f"{folder}/details")
-    summaries.write.mode("overwrite").json(f"{folder}/summary")
+    summarize(scored.sparkSession.read.parquet(f"{folder}/details")).write.mode("overwrite").json(f"{folder}/summary")
 
 
 def load_evaluation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -263,7 +262,8 @@ def write_splits(df: DataFrame, path: str, split: str = "split", test: str | Non
 
 
 def write_generation(results: DataFrame, folder: str) -> None:
-    """Generated rows as CSV: one folder for each model, and all of them in all_models_results."""
+    """Generated rows as CSV: one folder for each model, and all of them in all_models_results. Rows are generated once for both."""
+    results = settled(results)
     write_by(results, f"{folder}/by_model", "model", "csv")
     write_csv(results, f"{folder}/all_models_results")
 

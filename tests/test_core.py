@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.functions import adapters, chunking, metrics, text
-from tarnwell.operators import annotation, cleaning, evaluation, ranking, relations
+from tarnwell.operators import annotation, cleaning, evaluation, ranking, relations, rolling
 from tarnwell.plans import catalogue
 from tarnwell.sources import tables
 from tarnwell.streaming import flows
@@ -206,6 +206,9 @@ def test_lcs_and_meteor():
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
         assert metrics.lcs(a, b) == table[-1, -1]
+    # a pair of 20 000 words has no table: the same words twice, and every second one
+    long = rng.integers(0, 3000, 20_000)
+    assert metrics.lcs(long, long) == 20_000 and metrics.lcs(long, long[::2]) == 10_000
     assert metrics.meteor_score(["a", "b"], ["a", "b"]) == pytest.approx(1 - 0.5 * 0.5**3)
     assert metrics.meteor_score(["a"], ["b"]) == 0
 
@@ -293,8 +296,8 @@ def test_stratified(spark):
 def test_usage_and_waits(spark):
     at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s // 60 * 0) + datetime.timedelta(seconds=s)
     df = spark.createDataFrame([(at(s), n, "g") for s, n in ((0, 10.0), (30, 10.0), (60, 10.0), (61, 10.0))], "ts timestamp, n double, g string")
-    assert [r.requests for r in ranking.usage(df, "ts", {"tokens": "n"}).orderBy("ts").collect()] == [1, 2, 3, 3]
-    assert [r.wait_seconds for r in ranking.waits(df, "ts", "n", 25, "g").orderBy("ts").collect()] == [0, 0, 0.0, 29.0]
+    assert [r.requests for r in rolling.usage(df, "ts", {"tokens": "n"}).orderBy("ts").collect()] == [1, 2, 3, 3]
+    assert [r.wait_seconds for r in rolling.waits(df, "ts", "n", 25, "g").orderBy("ts").collect()] == [0, 0, 0.0, 29.0]
 
 
 def test_waits_are_those_of_a_queue(spark):
@@ -311,7 +314,7 @@ def test_waits_are_those_of_a_queue(spark):
                 break
         want[i] = wait
     df = spark.createDataFrame(rows, "i int, ts timestamp, n double, g string").repartition(4)
-    assert {r.i: r.wait_seconds for r in ranking.waits(df, "ts", "n", 20, "g").collect()} == want
+    assert {r.i: r.wait_seconds for r in rolling.waits(df, "ts", "n", 20, "g").collect()} == want
 
 
 # ---- sources and streams
