@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import metrics as mx
 from tarnwell.functions import text as tx
 from tarnwell.operators.ranking import first_rows, top_rows
+from tarnwell.operators.selection import quantiles
 from tarnwell.sources.scratch import settled
 from tarnwell.sources.tables import append_results, path_exists
 
@@ -227,9 +228,11 @@ def ranked(metrics: DataFrame, value: str, ascending: bool = False) -> DataFrame
 def figure_data(scored: DataFrame, model: str, names: list[str]) -> DataFrame:
     """model, metric, n, mean and the five quartile points of each metric: what bar and box figures show."""
     long = scored.where(F.col("error").isNull()).unpivot([model], [F.col(c).cast("double").alias(c) for c in names], "metric", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    long = settled(long.withColumnRenamed(model, "model") if model != "model" else long)
     points = {"least": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "most": 1.0}
-    cut = long.groupBy(model, "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.array(*map(F.lit, points.values()))).alias("p"))
-    return cut.select(F.col(model).alias("model"), "metric", "n", "mean", *[F.col("p")[i].alias(k) for i, k in enumerate(points)])
+    means = long.groupBy("model", "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    cut = quantiles(long, "value", points, ["model", "metric"]).withColumnsRenamed({"model": "_model", "metric": "_metric"})
+    return means.join(cut, F.col("model").eqNullSafe(F.col("_model")) & (F.col("metric") == F.col("_metric"))).select("model", "metric", "n", "mean", *points)
 
 
 def markdown_report(metrics: DataFrame, value: str = "avg_rank", most: int = 1000) -> str:

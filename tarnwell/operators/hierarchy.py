@@ -13,7 +13,9 @@ from pyspark.sql.types import StringType
 from tarnwell.functions import chunking
 from tarnwell.functions import text as tx
 from tarnwell.operators.relations import coalesce_merge
+from tarnwell.operators.selection import quantiles
 from tarnwell.sources.config import Settings
+from tarnwell.sources.scratch import settled
 
 #: The built-in templates, with named places, and the tokens that are kept free beside them.
 TEMPLATES = {
@@ -193,17 +195,28 @@ def releases(df: DataFrame, prompt: str, summary: str, out: str, settings: Setti
     return df.withColumn(out, call(release_input(F.col(prompt), F.col(summary), settings.summarization.max_context_length, most)))
 
 
+def with_chunks(df: DataFrame, settings: Settings = Settings(), out: str = "chunks") -> DataFrame:
+    """The table with chunks of its text column."""
+    return df.withColumn(out, chunking.chunks(F.coalesce(F.col(settings.columns.text), F.lit("")), settings.chunking.chunk_size))
+
+
 def run_chunking(df: DataFrame, settings: Settings = Settings(), out: str = "chunks") -> tuple[DataFrame, DataFrame]:
     """The table with chunks of its text column, and one row (chunks, least, most, mean, median) of their token counts."""
-    made = df.withColumn(out, chunking.chunks(F.coalesce(F.col(settings.columns.text), F.lit("")), settings.chunking.chunk_size))
-    n = made.select(F.explode(out).alias("c")).select(tx.tokens_estimate(F.col("c")).alias("n"))
-    return made, n.agg(F.count("*").alias("chunks"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.percentile("n", 0.5).alias("median"))
+    made = with_chunks(df, settings, out)
+    return made, chunk_stats(made, out)
+
+
+def chunk_stats(made: DataFrame, chunks: str) -> DataFrame:
+    """One row (chunks, least, most, mean, median) of the token counts of all chunks."""
+    n = settled(made.select(F.explode(chunks).alias("c")).select(tx.tokens_estimate(F.col("c")).alias("n")))
+    stats = n.agg(F.count("*").alias("chunks"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
+    return stats.join(quantiles(n, "n", {"median": 0.5}), F.lit(True), "left")  # one row each
 
 
 def run(df: DataFrame, model: str, settings: Settings = Settings(), build: Callable[[], Summarizer] = FirstSentences, check: bool = True) -> DataFrame:
     """id and `model`: chunks, hierarchical summary and final release of each row, in one plan."""
     c = settings.columns
-    chunked, _ = run_chunking(df.select(c.id, c.text), settings)
+    chunked = with_chunks(df.select(c.id, c.text), settings)
     summarized = summarize_chunks(chunked, c.id, "chunks", settings, build, check).select(c.id, F.col("summary").alias("_summary"))
     made = releases(df.select(c.id, c.prompt).join(summarized, c.id), c.prompt, "_summary", model, settings, build)
     return made.select(c.id, model)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnwell.functions import text as tx
 from tarnwell.functions.adapters import Ask, ModelConfig, answered
 from tarnwell.operators.cleaning import REQUIRED, carry_over, drop_after_hit, reset_failed
-from tarnwell.operators.ranking import hash_split
+from tarnwell.operators.selection import exact_split
 from tarnwell.sources.scratch import settled
 from tarnwell.sources.tables import header_of, read_arity, read_csv, read_lines, read_tolerant, write_csv
 
@@ -93,6 +93,6 @@ def mock_columns(df: DataFrame, key: str, names: list[str], least: int = 300, mo
 
 
 def training_rows(df: DataFrame, key: str, prompt: str, ruling: str, summary: str, train: float = 0.9, split: str | None = None) -> DataFrame:
-    """key, split, prompt, completion: by the split column where there is one, else by a hash; test then equals validation."""
-    rows = df.withColumn("split", F.col(split)) if split else hash_split(df, key, train)
+    """key, split, prompt, completion: by the split column where there is one, else the int(rows * train) rows of the smallest hashes are for training."""
+    rows = df.withColumn("split", F.col(split)) if split else exact_split(df, key, train)
     return rows.select(key, "split", F.concat(F.lit("User: "), tx.prompt(F.col(prompt), F.col(ruling)), F.lit("\n\nAssistant: ")).alias("prompt"), F.col(summary).alias("completion"))

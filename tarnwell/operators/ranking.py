@@ -24,10 +24,14 @@ def first_rows(df: DataFrame, group: str, row_id: str, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def hash_split(df: DataFrame, key: str, train: float, seed: int = 42) -> DataFrame:
-    """Adds split: each row falls to train with the given chance, by a hash of key and seed; no order over all rows is needed."""
-    unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("split", F.when(unit < round(train * 1_000_000), "train").otherwise("validation"))
+def tail(df: DataFrame, order: list[str], k: int) -> DataFrame:
+    """The last k rows of an order, in no certain order among each other."""
+    return df.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(k)
+
+
+def sample_rows(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """k rows (or all), those with the smallest hashes of key and seed: the same ones wherever they lie."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
 
 
 def contiguous(row_id: Column, total: int, parts: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwell.functions import metrics, text
-from tarnwell.operators import cleaning, evaluation, ranking, relations, rolling
+from tarnwell.operators import cleaning, evaluation, ranking, relations, rolling, selection
 from tarnwell.plans.registry import query
 
 
@@ -109,9 +109,8 @@ def a3_group_stats(t):
 
 @query("SELECT count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS least, quantile_cont(n_chars, 0.25) AS q25, quantile_cont(n_chars, 0.5) AS q50, quantile_cont(n_chars, 0.75) AS q75, max(n_chars) AS most FROM documents")
 def a4_describe(t):
-    q = F.percentile("n_chars", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    out = t.documents.agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("std"), F.min("n_chars").alias("least"), q.alias("q"), F.max("n_chars").alias("most"))
-    return out.select("n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most")
+    out = t.documents.agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("std"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    return out.crossJoin(selection.quantiles(t.documents, "n_chars", {"q25": 0.25, "q50": 0.5, "q75": 0.75}))  # one row each
 
 
 @query("SELECT year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL")
@@ -128,8 +127,10 @@ def a9_success(t):
 
 @query("SELECT lang, count(length(text)) AS n, min(length(text)) AS least, max(length(text)) AS most, round(avg(length(text)), 6) AS mean, median(length(text)) AS median FROM documents GROUP BY lang")
 def a15_len_stats(t):
-    x = F.length("text")
-    return t.documents.groupBy("lang").agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.avg(x), 6).alias("mean"), F.percentile(x, 0.5).alias("median"))
+    rows, x = t.documents.select("lang", F.length("text").alias("x")), F.col("x")
+    out = rows.groupBy("lang").agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.avg(x), 6).alias("mean"))
+    middle = selection.quantiles(rows, "x", {"median": 0.5}, ["lang"]).withColumnRenamed("lang", "_lang")
+    return out.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
 
 
 @query("SELECT source, count(*) AS n, count(CASE WHEN n_chars > 500 THEN text END) AS filled, count(CASE WHEN n_chars > 500 THEN text END) * 100 / count(*) AS percent FROM documents GROUP BY source")
@@ -279,6 +280,20 @@ def l5_head(t):
     return t.documents.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(10)
 
 
+@query("SELECT * FROM (SELECT doc_id, n_chars FROM documents ORDER BY doc_id DESC LIMIT 5)")
+def l5_tail(t):
+    """The last rows of an order, as the first of the reverse: each task keeps its own best before they meet."""
+    return ranking.tail(t.documents.select("doc_id", "n_chars"), ["doc_id"], 5)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(*) AS sound FROM (SELECT doc_id FROM documents LIMIT 25)")
+def l5_sample(t):
+    """A random sample of rows for display, the same for a seed: how many, how many different, and how many of them are the table's rows."""
+    shown = ranking.sample_rows(t.documents.select("doc_id", "n_chars"), "doc_id", 25, 7)
+    real = shown.join(t.documents.select("doc_id", F.col("n_chars").alias("own")), "doc_id").where("own = n_chars")
+    return real.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.sum((F.col("own") == F.col("n_chars")).cast("long")).alias("sound"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id = 7")
 def l6_row(t):
     return t.documents.where("doc_id = 7").select("doc_id", "lang")
@@ -286,7 +301,22 @@ def l6_row(t):
 
 @query()
 def l7_split(t):
-    return ranking.hash_split(t.documents.select("doc_id"), "doc_id", 0.9)
+    """Exactly nine tenths of the documents, by a hash, are training rows."""
+    return selection.exact_split(t.documents.select("doc_id"), "doc_id", 0.9)
+
+
+@query("WITH c AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.9) AS BIGINT) AS k FROM sale_lines) SELECT 'train' AS split, k AS n FROM c UNION ALL SELECT 'validation', n - k FROM c")
+def l7_counts(t):
+    """As many training rows as asked for, though keys are null or repeated, and one may have a third of all rows."""
+    return selection.exact_split(t.sale_lines.select("sale_id"), "sale_id", 0.9).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT nation_id, count(balance) AS n, quantile_cont(balance, 0.1) AS q10, median(balance) AS q50, quantile_cont(balance, 0.9) AS q90 FROM clients GROUP BY nation_id")
+def a4_quantiles(t):
+    """Exact quantiles of doubles by nation; a nation may be null or have a third of all rows."""
+    found = selection.quantiles(t.clients, "balance", {"q10": 0.1, "q50": 0.5, "q90": 0.9}, ["nation_id"]).withColumnRenamed("nation_id", "_nation")
+    counts = t.clients.groupBy("nation_id").agg(F.count("balance").alias("n"))
+    return counts.join(found, F.col("nation_id").eqNullSafe(F.col("_nation"))).drop("_nation")
 
 
 @query("SELECT o_orderkey, o_orderkey // CAST(ceil((SELECT count(*) FROM orders) / 4) AS BIGINT) AS part FROM orders")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwell.functions import adapters, chunking, metrics, text
-from tarnwell.operators import cleaning, evaluation, hierarchy, relations
+from tarnwell.operators import cleaning, evaluation, hierarchy, relations, selection
 from tarnwell.sources.config import Settings, merged
 from tarnwell.plans.registry import query
+from tarnwell.sources.scratch import settled
 
 #: SQL pieces: lower-cased words, pairs of turns, white space with the no-break space.
 W = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]|\p{{Nd}}', ' ', 'g'), '\s+'), lambda x: x <> '')"
@@ -366,7 +367,10 @@ def t27_chunks(t):
 SELECT lang, count(*) AS chunks, min(n) AS least, max(n) AS most, round(avg(n), 9) AS mean, median(n) AS median FROM e GROUP BY lang""")
 def a14_chunk_stats(t):
     made = t.documents.select("lang", F.explode(chunking.chunks(F.col("text"), 128, "\n")).alias("chunk")).select("lang", text.tokens_estimate(F.col("chunk")).alias("n"))
-    return made.groupBy("lang").agg(F.count("*").alias("chunks"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 9).alias("mean"), F.percentile("n", 0.5).alias("median"))
+    made = settled(made)  # the passes of the selection would cut the texts anew
+    out = made.groupBy("lang").agg(F.count("*").alias("chunks"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 9).alias("mean"))
+    middle = selection.quantiles(made, "n", {"median": 0.5}, ["lang"]).withColumnRenamed("lang", "_lang")
+    return out.join(middle, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
 
 
 _LEVELS = chunking.levels(1 << 12)

@@ -115,9 +115,9 @@ def test_two_sided_p(spark):
 def test_samples_by_hash(spark):
     hashed = lambda parts, seed=42: seed if not parts else hashed(parts[1:], xxhash.xxh64_intdigest(parts[0], seed=seed))
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    for r in catalogue.queries()["l7_split"](spark, DATA).collect():
-        h = signed(hashed([struct.pack("<q", r.doc_id), struct.pack("<i", 42)]))
-        assert r.split == ("train" if h % 1_000_000 < 900_000 else "validation")
+    split = {r.doc_id: r.split for r in catalogue.queries()["l7_split"](spark, DATA).collect()}
+    places = sorted(split, key=lambda i: signed(hashed([struct.pack("<q", i), struct.pack("<i", 42)])))
+    assert [split[i] for i in places] == ["train"] * int(len(split) * 0.9) + ["validation"] * (len(split) - int(len(split) * 0.9))
     turns = {}
     for r in table(spark, "conversations").orderBy("turn").collect():
         turns.setdefault(r.conv_id, []).append((r.role, r.text))
