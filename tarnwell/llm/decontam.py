@@ -8,7 +8,9 @@ again and a lost executor loses nothing.
 
 A phrase is searched from its rarest term in the shard: its postings, shifted by its place
 in the phrase, are the candidate starts; the lists of the other terms, rarest first, cut
-them down. With slop > 0 the other terms may stand that many words off (a proximity match).
+them down. With slop > 0 the other terms may stand that many words off (a proximity match),
+within the same document; one word of a text may serve several equal ones of a phrase. A
+greater slop never finds less.
 
 Phrases go to the executors in blocks of block_bytes of benchmark text. Blocks are searched
 one after the other, each by a scan of the index, and the driver holds one at a time; the
@@ -116,7 +118,8 @@ def matches(phrases: Phrases, terms: np.ndarray, starts: np.ndarray, positions:
             if first is None:
                 first, doc = postings - place, np.searchsorted(heads, postings, "right")
                 continue
-            near = np.searchsorted(postings, first + place - slop)
+            # not before the match's own document, where a posting could hide the right one
+            near = np.searchsorted(postings, np.maximum(first + place - slop, heads[doc - 1]))
             inside = near < len(postings)
             first, near, doc = first[inside], near[inside], doc[inside]
             inside = (postings[near] <= first + place + slop) & (np.searchsorted(heads, postings[near], "right") == doc)

@@ -456,6 +456,29 @@ def test_proximity(spark):
     assert exact == {5} and near == {1, 5}
 
 
+def test_proximity_by_brute_force(spark):
+    """Several documents a shard, few words, so that a document's end often hides what the next one begins with."""
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(900, "zzz beta"), (901, "alpha beta")]
+    items = [(i, " ".join(rng.sample("abcdef", 2))) for i in range(6)] + [(6, "alpha beta"), (7, "a b c"), (8, "d d"), (9, "c a e b")]
+    want = lambda text, item, slop: any(
+        all(any(w == word and abs(at - (start + k)) <= slop for at, w in enumerate(text)) for k, word in enumerate(item)) for start in range(-len(item), len(text) + 1)
+    )
+    before = None
+    for slop in range(6):
+        found = decontam.find(frame(spark, docs, False), spark.createDataFrame(items, "item_id long, text string"), slop=slop).collect()
+        got = {(r.doc_id, i) for r in found for i in r["items"]}
+        near = {(d, str(i)) for d, t in docs for i, x in items if want(t.split(), x.split(), slop)}
+        # the rarest word is held in place: a match by it is a match, and of two words each can hold the other
+        assert got <= near and (before is None or before <= got)
+        pairs = {(d, str(i)) for d, t in docs for i, x in items if len(x.split()) == 2 for a, v in enumerate(t.split()) for b, w in enumerate(t.split()) if [v, w] == x.split() and abs(b - a - 1) <= slop}
+        assert {(d, i) for d, i in got if len(dict((str(k), x) for k, x in items)[i].split()) == 2} == pairs
+        before = got
+        if slop == 0:
+            assert got == near
+    assert (901, "6") in before
+
+
 # ---- n-gram join
 
 
