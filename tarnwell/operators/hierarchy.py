@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,7 +16,8 @@ from tarnwell.functions import text as tx
 from tarnwell.operators.relations import coalesce_merge
 from tarnwell.operators.selection import quantiles
 from tarnwell.sources.config import Settings
-from tarnwell.sources.scratch import settled
+from tarnwell.sources.scratch import scratch, settled
+from tarnwell.sources.tables import delete, path_exists, write_csv
 
 #: The built-in templates, with named places, and the tokens that are kept free beside them.
 TEMPLATES = {
@@ -85,27 +87,38 @@ def whole(summary: str, limit: int) -> bool:
     return bool(summary) and len(summary) // 4 <= limit and summary.rstrip().endswith((".", "!", "?", '"', "'"))
 
 
-def attempts(build: Callable[[], Summarizer], tries: int, check: bool = True) -> Callable[[Column, Column, Column], Column]:
-    """A column function (prompt, text, max_tokens): the first sound summary of up to `tries`, else the last one.
+def tried(build: Callable[[], Summarizer], tries: int, check: bool = True) -> Callable[[Column, Column, Column], Column]:
+    """A column function (prompt, text, max_tokens) to a struct (text, error): the first sound summary of up to `tries`, else the last one.
 
-    A model is built once a batch. Null prompts give null and call no model.
+    A model is built once a batch. A call that fails is one of the tries; the text is null, with
+    the last error, if all of them failed. Null prompts give nulls and call no model.
     """
 
-    @F.arrow_udf(StringType())
+    @F.arrow_udf("text string, error string")
     def call(prompt: pa.Array, text: pa.Array, limit: pa.Array) -> pa.Array:
         model, out = build(), []
         for p, t, n in zip(prompt.to_pylist(), text.to_pylist(), limit.to_pylist()):
-            made = None
+            made = error = None
             for _ in range(tries if p is not None else 0):
-                made = model.summarize(p, t or "", n)
+                try:
+                    made = model.summarize(p, t or "", n)
+                except Exception as failure:
+                    error = str(failure) or type(failure).__name__
+                    continue
                 if not check or whole(made, n):
                     break
-            out.append(made)
-        return pa.array(out, pa.string())
+            out.append({"text": made, "error": error if made is None else None})
+        return pa.array(out, pa.struct([("text", pa.string()), ("error", pa.string())]))
 
     return call
 
 
+def attempts(build: Callable[[], Summarizer], tries: int, check: bool = True) -> Callable[[Column, Column, Column], Column]:
+    """The text that `tried` gives."""
+    call = tried(build, tries, check)
+    return lambda prompt, text, limit: call(prompt, text, limit)["text"]
+
+
 def merge_room(settings: Settings, max_tokens: Column, templates: dict[str, str] = TEMPLATES) -> Column:
     """Tokens that numbered summaries may take in a merge request."""
     empty = templates["merge"].format(words="", text="")
@@ -139,7 +152,7 @@ def summarize_chunks(docs: DataFrame, key: str, chunks: str, settings: Settings
 
     Chunks are summarised one by one, then merged level by level until one is left; if
     several are left after the last level, the first is the summary. No chunk gives an
-    empty one. Keys are unique. All levels keep the partitioning by key of the first
+    empty one, and so does a call that failed. Keys are unique. All levels keep the partitioning by key of the first
     grouping, and the number of levels is the logarithm of the longest document's chunks.
     """
     s = settings.summarization
@@ -154,7 +167,7 @@ def summarize_chunks(docs: DataFrame, key: str, chunks: str, settings: Settings
         todo = F.col("now") if level == 0 else F.when(active, merge_batches(F.col("now"), merge_room(settings, limit, templates))).otherwise(F.col("now"))
         each = state.select(key, "lengths", "levels", active.alias("active"), limit.alias("limit"), F.posexplode_outer(todo).alias("pos", "text"))
         prompt = F.when(F.col("active") & F.col("text").isNotNull(), chunk_prompt(F.col("text"), words_for(F.col("limit"), s.word_ratio), level, None, templates))
-        made = each.withColumn("made", call(prompt, F.col("text"), F.col("limit"))).withColumn("summary", F.when(F.col("active"), F.col("made")).otherwise(F.col("text")))
+        made = each.withColumn("made", call(prompt, F.col("text"), F.col("limit"))).withColumn("summary", F.when(F.col("active"), F.coalesce("made", F.lit(""))).otherwise(F.col("text")))
         item = F.when(F.col("pos").isNotNull(), F.struct("pos", "summary"))
         state = made.groupBy(key).agg(F.first("lengths").alias("lengths"), F.first("levels").alias("levels"), F.first("active").alias("active"), F.array_sort(F.collect_list(item)).alias("items"))
         number = F.lit(level).alias("level")
@@ -166,11 +179,74 @@ def summarize_chunks(docs: DataFrame, key: str, chunks: str, settings: Settings
 LEVELS = "array<struct<level:int,chunk_index:int,summary:string>>"
 
 
+def _level(spark: SparkSession, path: str) -> DataFrame | None:
+    """A level's table, if its writer has left its mark."""
+    return spark.read.parquet(path) if path_exists(spark, f"{path}/_SUCCESS") else None
+
+
+def summarize_by_level(docs: DataFrame, key: str, chunks: str, folder: str, settings: Settings = Settings(), build: Callable[[], Summarizer] = FirstSentences, check: bool = True, templates: dict[str, str] = TEMPLATES, stop_after: int | None = None) -> DataFrame | None:
+    """As summarize_chunks, with a written table for each level: key, lengths, chunk_index, summary and error.
+
+    A level holds the documents that still had several summaries, and is made from the level
+    before it, so each chunk and each merge is called once. A run that was stopped goes on after
+    the last level that is there; one that had ended is read. The result (key, summary, levels)
+    and the errors of failed calls stay in the folder, the levels go. A failed call keeps its
+    document: its summary is empty. stop_after: ends the call after that level, as an
+    interruption would, and gives nothing.
+    """
+    spark, s = docs.sparkSession, settings.summarization
+    done = _level(spark, f"{folder}/summaries")
+    if done is not None:
+        return done
+    config = {"max_context": s.max_context_length, "max_summary": s.max_summary_length, "chunk_size": settings.chunking.chunk_size, "ratio": s.word_ratio}
+    call, none = tried(build, s.num_attempts, check), F.array().cast("array<string>")
+    at = lambda level: f"{folder}/frontier/{level}"
+
+    def written(opened: DataFrame, texts: Column, level: int) -> DataFrame:
+        limit = F.coalesce(F.try_element_at("lengths", F.lit(level + 1)), F.lit(s.max_summary_length))
+        each = opened.select(key, "lengths", limit.alias("limit"), F.posexplode_outer(texts).alias("chunk_index", "text"))
+        prompt = F.when(F.col("text").isNotNull(), chunk_prompt(F.col("text"), words_for(F.col("limit"), s.word_ratio), level, None, templates))
+        made = each.withColumn("made", call(prompt, F.col("text"), F.col("limit")))
+        made.select(key, "lengths", "chunk_index", F.coalesce("made.text", F.lit("")).alias("summary"), "made.error").write.mode("overwrite").parquet(at(level))
+        return spark.read.parquet(at(level))
+
+    level, now = 0, _level(spark, at(0))
+    if now is None:
+        state = docs.select(key, F.coalesce(chunks, none).alias("now"))
+        most = state.agg(F.max(F.size("now"))).first()[0] or 0
+        now = written(state.withColumn("lengths", chunking.level_lengths(F.size("now"), max(most, 1), **config)), F.col("now"), 0)
+    while stop_after is None or level < stop_after:
+        level += 1
+        grouped = now.groupBy(key).agg(F.first("lengths").alias("lengths"), F.array_sort(F.collect_list(F.struct("chunk_index", "summary"))).alias("items"))
+        opened = grouped.where((F.size("items") > 1) & (F.size("lengths") >= level))
+        if not opened.take(1):
+            break
+        held = _level(spark, at(level))
+        limit = F.coalesce(F.try_element_at("lengths", F.lit(level + 1)), F.lit(s.max_summary_length))
+        now = held if held is not None else written(opened, merge_batches(F.transform("items", lambda x: x["summary"]), merge_room(settings, limit, templates)), level)
+    else:
+        return None
+    tables = [spark.read.parquet(at(k)).select("*", F.lit(k).alias("level")) for k in range(level)]
+    rows = reduce(DataFrame.unionByName, tables)
+    rows.where(F.col("error").isNotNull()).select(key, "level", "chunk_index", "error").write.mode("overwrite").parquet(f"{folder}/errors")
+    entry = F.when(F.col("chunk_index").isNotNull(), F.struct("level", "chunk_index", "summary"))
+    best = F.max_by("summary", F.struct("level", -F.coalesce("chunk_index", F.lit(0))))  # the first of the last level
+    found = rows.groupBy(key).agg(best.alias("summary"), F.array_sort(F.collect_list(entry)).cast(LEVELS).alias("levels"))
+    found.write.mode("overwrite").parquet(f"{folder}/summaries")
+    delete(spark, f"{folder}/frontier")
+    return spark.read.parquet(f"{folder}/summaries")
+
+
 def level_rows(summarized: DataFrame, key: str) -> DataFrame:
     """key, level, chunk_index and summary of all levels."""
     return summarized.select(key, F.explode("levels").alias("x")).select(key, "x.*")
 
 
+def write_levels(summarized: DataFrame, key: str, path: str) -> None:
+    """The summaries of all levels as CSV."""
+    write_csv(level_rows(summarized, key), path, backslash=True)
+
+
 def release_input(prompt: Column, summary: Column, context: int, most: int = RELEASE_TOKENS) -> Column:
     """Prompt and summary as one request; the summary is cut where both don't fit beside the answer."""
     joined = F.concat(prompt, F.lit("\n\n"), summary)
@@ -213,11 +289,11 @@ def chunk_stats(made: DataFrame, chunks: str) -> DataFrame:
     return stats.join(quantiles(n, "n", {"median": 0.5}), F.lit(True), "left")  # one row each
 
 
-def run(df: DataFrame, model: str, settings: Settings = Settings(), build: Callable[[], Summarizer] = FirstSentences, check: bool = True) -> DataFrame:
-    """id and `model`: chunks, hierarchical summary and final release of each row, in one plan."""
+def run(df: DataFrame, model: str, settings: Settings = Settings(), build: Callable[[], Summarizer] = FirstSentences, check: bool = True, folder: str | None = None) -> DataFrame:
+    """id and `model`: chunks, hierarchical summary and final release of each row; its levels are written to folder, or else to scratch. Ids are unique."""
     c = settings.columns
     chunked = with_chunks(df.select(c.id, c.text), settings)
-    summarized = summarize_chunks(chunked, c.id, "chunks", settings, build, check).select(c.id, F.col("summary").alias("_summary"))
+    summarized = summarize_by_level(chunked, c.id, "chunks", folder or scratch(df.sparkSession), settings, build, check).select(c.id, F.col("summary").alias("_summary"))
     made = releases(df.select(c.id, c.prompt).join(summarized, c.id), c.prompt, "_summary", model, settings, build)
     return made.select(c.id, model)
 

@@ -232,14 +232,6 @@ def k13_split_files(t):
     return t.spark.read.json(folder).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CAST(n_chars % 4 AS INT) AS level, 'summary of ' || doc_id AS summary FROM documents")
-def k14_levels_file(t):
-    """Intermediate summaries through a CSV."""
-    path = f"{scratch(t.spark)}/levels.csv"
-    tables.write_csv(t.documents.select("doc_id", (F.col("n_chars") % 4).alias("level"), F.concat(F.lit("summary of "), "doc_id").alias("summary")), path)
-    return tables.read_csv(t.spark, path).select(F.col("doc_id").cast("long"), F.col("level").cast("int"), "summary")
-
-
 @query("SELECT o_orderkey AS id, o_orderstatus AS state, o_custkey AS cust FROM orders WHERE o_orderkey % 4 <> 0")
 def p10_fixed_format(t):
     """A file with records of a wrong number of fields, written anew without them."""

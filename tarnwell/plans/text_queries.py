@@ -8,7 +8,8 @@ from tarnwell.functions import adapters, chunking, metrics, text
 from tarnwell.operators import cleaning, evaluation, hierarchy, relations, selection
 from tarnwell.sources.config import Settings, merged
 from tarnwell.plans.registry import query
-from tarnwell.sources.scratch import settled
+from tarnwell.sources.scratch import scratch, settled
+from tarnwell.sources.tables import read_csv
 
 #: SQL pieces: lower-cased words, pairs of turns, white space with the no-break space.
 W = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]|\p{{Nd}}', ' ', 'g'), '\s+'), lambda x: x <> '')"
@@ -387,9 +388,9 @@ def h1_levels(t):
 SMALL = merged(Settings(), {"chunking": {"chunk_size": 128}, "summarization": {"max_context_length": 512, "max_summary_length": 96}})
 
 
-def _summarized(t):
+def _summarized(t, build=hierarchy.FirstSentences):
     chunked = t.documents.select("doc_id", chunking.chunks(F.col("text"), SMALL.chunking.chunk_size, "\n").alias("chunks"))
-    return hierarchy.summarize_chunks(chunked, "doc_id", "chunks", SMALL)
+    return hierarchy.summarize_by_level(chunked, "doc_id", "chunks", scratch(t.spark), SMALL, build)
 
 
 @query()
@@ -398,6 +399,33 @@ def h4_summaries(t):
     return hierarchy.level_rows(_summarized(t), "doc_id").select("doc_id", "level", "chunk_index", F.md5("summary").alias("summary_md5"))
 
 
+class _Head:
+    """Stand-in that SQL can express: as many characters as fit."""
+
+    def summarize(self, prompt: str, text: str, max_tokens: int) -> str:
+        return text[: 4 * max_tokens]
+
+
+def _first_limit() -> str:
+    """SQL for the tokens of a summary of level 0, by the number of chunks n: each level above leaves room for more words."""
+    s, out, x = SMALL.summarization, "", SMALL.summarization.max_summary_length
+    branching = max(2, (s.max_context_length - x) // SMALL.chunking.chunk_size)
+    for k in range(1, 12):
+        out += f" WHEN n <= {branching**k} THEN {x}"
+        x = int(x * s.word_ratio)
+    return f"CASE{out} END"
+
+
+@query(f"""WITH {_CHUNK}, e AS (SELECT doc_id, len(c) AS n, unnest(c) AS chunk, unnest(range(0, len(c))) AS chunk_index FROM chunks)
+SELECT doc_id, CAST(0 AS INT) AS level, CAST(chunk_index AS INT) AS chunk_index, md5(left(chunk, 4 * ({_first_limit()}))) AS summary_md5 FROM e""")
+def k14_levels_file(t):
+    """The levels of a summary run through a CSV; those of chunks, as the file has them."""
+    path = f"{scratch(t.spark)}/levels.csv"
+    hierarchy.write_levels(_summarized(t, _Head), "doc_id", path)
+    found = read_csv(t.spark, path, na=False, backslash=True).select(F.col("doc_id").cast("long"), F.col("level").cast("int"), F.col("chunk_index").cast("int"), F.md5(F.coalesce("summary", F.lit(""))).alias("summary_md5"))
+    return found.where("level = 0")
+
+
 @query("""WITH n AS (SELECT doc_id, list_transform(range(1, doc_id % 7 + 2), lambda k: repeat(chr(CAST(96 + k AS INT)), CAST(40 * k AS INT))) AS s FROM documents),
 e AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {'done': CAST([] AS VARCHAR[]), 'open': [x], 'held': CAST(0 AS BIGINT)}), lambda a, x: CASE
   WHEN len(a.open) > 0 AND a.held + length('Summary ' || (len(a.open) + 1) || ':' || chr(10) || chr(10) || x.open[1]) // 4 > 80

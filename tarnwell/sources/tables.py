@@ -156,6 +156,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder with all that is in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """The folders in a folder, none if it isn't there."""
     if not path_exists(spark, path):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
 import struct
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -221,6 +223,55 @@ def test_hierarchical_summaries(spark):
     assert hierarchy.summarize_chunks(chunked.limit(0), "id", "chunks", small).count() == 0
 
 
+def counted_heads(folder, fails=""):
+    """A summarizer that leaves a file for each call, and fails for texts with a word."""
+
+    class Counted:
+        def summarize(self, prompt, text, max_tokens):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(prompt)
+            if fails and fails in text:
+                raise ValueError("no summary")
+            return text[: 4 * max_tokens].rstrip(". ") + "."
+
+    return Counted
+
+
+def test_summaries_by_level(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"Word{k} and more of {k}." for k in range(i * 23))) for i in range(12)] + [(50, None)], "id long, judgement string")
+    small, chunked = text_queries.SMALL, hierarchy.with_chunks(docs, text_queries.SMALL)
+    want = {r.id: (r.summary, [tuple(x) for x in r.levels]) for r in hierarchy.summarize_chunks(chunked, "id", "chunks", small).collect()}
+    got = hierarchy.summarize_by_level(chunked, "id", "chunks", str(tmp_path / "plain"), small)
+    assert {r.id: (r.summary, [tuple(x) for x in r.levels]) for r in got.collect()} == want
+    assert max(x[0] for _, levels in want.values() for x in levels) > 1
+    # stopped after level 1, called again: no chunk and no merge is called twice, and nothing of the run's state is left
+    (tmp_path / "calls").mkdir()
+    build, folder = counted_heads(str(tmp_path / "calls")), str(tmp_path / "stopped")
+    assert hierarchy.summarize_by_level(chunked, "id", "chunks", folder, small, build, stop_after=1) is None
+    first = len(os.listdir(tmp_path / "calls"))
+    assert sorted(x for x in os.listdir(f"{folder}/frontier") if x.isdigit()) == ["0", "1"]
+    made = hierarchy.summarize_by_level(chunked, "id", "chunks", folder, small, build)
+    rows = made.collect()
+    assert sum(len(r.levels) for r in rows) == len(os.listdir(tmp_path / "calls")) > first
+    assert hierarchy.summarize_by_level(chunked, "id", "chunks", folder, small, build).count() == 13
+    assert sum(len(r.levels) for r in rows) == len(os.listdir(tmp_path / "calls")) and not os.path.exists(f"{folder}/frontier")
+    none = hierarchy.summarize_by_level(chunked.limit(0), "id", "chunks", str(tmp_path / "none"), small)
+    assert none.count() == 0
+
+
+def test_a_failed_call_keeps_its_document(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"Word{k} and more of {k}." for k in range(i * 60))) for i in range(1, 5)], "id long, judgement string")
+    (tmp_path / "calls").mkdir()
+    build = counted_heads(str(tmp_path / "calls"), "Word100 ")
+    chunked = hierarchy.with_chunks(docs, text_queries.SMALL)
+    rows = {r.id: r for r in hierarchy.summarize_by_level(chunked, "id", "chunks", str(tmp_path / "run"), text_queries.SMALL, build).collect()}
+    assert set(rows) == {1, 2, 3, 4} and all(r.summary for r in rows.values())
+    errors = {(r.id, r.level, r.error) for r in spark.read.parquet(str(tmp_path / "run/errors")).collect()}
+    assert errors == {(i, 0, "no summary") for i in (2, 3, 4)}
+    whole = hierarchy.summarize_chunks(chunked, "id", "chunks", text_queries.SMALL, build).collect()
+    assert {r.id: r.summary for r in whole} == {i: r.summary for i, r in rows.items()}
+
+
 def test_run_of_all_stages(spark):
     docs = spark.createDataFrame([(i, " ".join(f"Word{k} and more." for k in range(i * 90)), "Write") for i in range(1, 5)] + [(9, "No prompt.", None)], "id long, judgement string, synthetic_prompt string")
     got = {r.id: r.m for r in hierarchy.run(docs, "m", text_queries.SMALL).collect()}
