@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -151,44 +152,67 @@ def drop_after_hit(lines: DataFrame, number: str, line: str, phrases: list[str],
     return marked.where(~F.col("_hit") & ~F.col("_after")).select(*lines.columns)
 
 
-def date_parts(pattern: str) -> Callable[[Column], Column]:
-    """For a match of a date pattern its text and its day, month and year."""
-    return lambda m: F.struct(m.alias("all"), *[F.regexp_extract(m, pattern, k).alias(c) for k, c in ((1, "d"), (2, "m"), (3, "y"))])
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def days_ahead(match: Column, pattern: str, day: Column) -> Column:
+    """Days from day to the date (day, month and perhaps year) of a match of a date pattern; null if it is none."""
+
+    def of(x: Column) -> Column:
+        d, m, y = x["d"], x["m"], x["y"]
+        sound = d.between(1, 31) & m.between(1, 12) & y.between(1900, 2100)
+        return F.datediff(F.when(sound, F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d))), day)
+
+    group = lambda k: F.nullif(F.regexp_extract(match, pattern, k), F.lit("")).cast("int")
+    return bound(F.struct(group(1).alias("d"), group(2).alias("m"), F.coalesce(group(3), F.year(day)).alias("y")), of)
+
+
+def _literal(phrase: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", phrase)
 
 
 def announcement(summary: Column, published: Column | None = None, headlines: list[str] = HEADLINES, keywords: list[str] = KEYWORDS, dates: list[str] = DATE_PATTERNS, periods: list[str] = PERIODS) -> Column:
     """A struct (flag, criteria): a headline phrase early on, or a keyword together with a future date or period.
 
     All lists are parameters; periods are patterns, keywords are literal phrases between
-    word boundaries.
+    word boundaries. A text is searched once for all phrases of a list; only where there is
+    one is it asked which, and dates and periods are looked for only where a headline or
+    keyword lets them count.
     """
-    low = F.lower(summary)
-    start = F.substring(low, 1, HEADLINE_CHARS)
-    texts = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    hits_h = F.filter(texts(headlines), lambda p: start.contains(p))
-    hits_k = F.array_compact(F.array(*[F.when(low.contains(k) & low.rlike(tx.bounded(k)), F.lit(k)) for k in keywords])) if keywords else texts([])
-    hits_p = F.array_compact(F.array(*[F.when(low.rlike(f"(?i){p}"), F.lit(p)) for p in periods])) if periods else texts([])
-    found = F.array().cast("array<string>")
-    if published is not None:
-        day = F.try_to_date(published.cast("string"))
-        for pattern in dates:
-            full = f"(?U){pattern}"
-            # the text is searched once; groups come from the short matches
-            each = F.transform(F.regexp_extract_all(low, F.lit(full), F.lit(0)), date_parts(full))
-
-            def ahead(x: Column) -> Column:
-                d, m = x["d"].cast("int"), x["m"].cast("int")
-                y = F.coalesce(F.nullif(x["y"], F.lit("")).cast("int"), F.year(day))
-                sound = d.between(1, 31) & m.between(1, 12) & y.between(1900, 2100)
-                when = F.when(sound, F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d)))
-                return F.datediff(when, day)
-
-            found = F.concat(found, F.transform(F.filter(each, lambda x: F.coalesce(ahead(x) >= 1, F.lit(False))), lambda x: F.concat(F.lit("Datum: "), x["all"], F.lit(" (+"), ahead(x).cast("string"), F.lit(" Tage)"))))
+    none = F.array().cast("array<string>")
+    some = lambda gate, found: F.when(gate, found).otherwise(none)
+    named = lambda cases: F.array_compact(F.array(*[F.when(c, F.lit(v)) for c, v in cases]))
+    any_of = lambda text, patterns, flags="": text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
     label = lambda xs, name: F.transform(xs, lambda x: F.concat(F.lit(f"{name}: "), x))
-    future = (F.size(found) > 0) | (F.size(hits_p) > 0)
-    flag = F.coalesce((F.size(hits_h) > 0) | ((F.size(hits_k) > 0) & future), F.lit(False))
-    criteria = F.concat_ws(" | ", F.concat(label(hits_h, "Headline"), label(hits_k, "Keyword"), F.coalesce(found, texts([])), label(hits_p, "Zeitraum")))
-    return F.struct(flag.alias("flag"), F.when(flag, criteria).alias("criteria"))
+
+    def phrases(low: Column) -> Column:
+        start = F.substring(low, 1, HEADLINE_CHARS)
+        h = some(any_of(start, map(_literal, headlines)), named([(start.contains(p), p) for p in headlines])) if headlines else none
+        k = some(any_of(low, map(_literal, keywords)), named([(low.contains(p) & low.rlike(tx.bounded(p)), p) for p in keywords])) if keywords else none
+        day = F.try_to_date(published.cast("string")) if published is not None else F.lit(None).cast("date")
+        return bound(F.struct(low.alias("low"), h.alias("h"), k.alias("k"), day.alias("day")), times)
+
+    def times(x: Column) -> Column:
+        low, counts = x["low"], (F.size(x["h"]) > 0) | (F.size(x["k"]) > 0)
+        p = some(counts & any_of(low, periods, "(?i)"), named([(low.rlike(f"(?i){p}"), p) for p in periods])) if periods else none
+        d = none
+        if published is not None and dates:
+            d = some(counts & any_of(low, dates, "(?U)"), F.concat(*[ahead(low, f"(?U){pattern}", x["day"]) for pattern in dates]))
+        return bound(F.struct(x["h"].alias("h"), x["k"].alias("k"), d.alias("d"), p.alias("p")), verdict)
+
+    def ahead(low: Column, pattern: str, day: Column) -> Column:
+        each = F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("all"), days_ahead(m, pattern, day).alias("n")))
+        return F.transform(F.filter(each, lambda x: F.coalesce(x["n"] >= 1, F.lit(False))), lambda x: F.concat(F.lit("Datum: "), x["all"], F.lit(" (+"), x["n"].cast("string"), F.lit(" Tage)")))
+
+    def verdict(x: Column) -> Column:
+        future = (F.size(x["d"]) > 0) | (F.size(x["p"]) > 0)
+        flag = (F.size(x["h"]) > 0) | ((F.size(x["k"]) > 0) & future)
+        criteria = F.concat_ws(" | ", F.concat(label(x["h"], "Headline"), label(x["k"], "Keyword"), x["d"], label(x["p"], "Zeitraum")))
+        return F.struct(flag.alias("flag"), F.when(flag, criteria).alias("criteria"))
+
+    return bound(F.lower(F.coalesce(summary, F.lit(""))), phrases)
 
 
 def split_by_flag(df: DataFrame, flag: str) -> DataFrame:
