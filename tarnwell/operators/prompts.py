@@ -86,7 +86,7 @@ def mock_columns(df: DataFrame, key: str, names: list[str], least: int = 300, mo
     def filler(name: str):
         seed = F.concat(F.col(key).cast("string"), F.lit(f"/{name}/"))
         blocks = F.transform(F.sequence(F.lit(0), F.lit(most // 64)), lambda i: F.sha2(F.concat(seed, i.cast("string")), 256))
-        size = F.pmod(F.xxhash64(seed), F.lit(most - least + 1)) + least
+        size = F.conv(F.substring(F.sha2(seed, 256), 1, 8), 16, 10).cast("long") % (most - least + 1) + least
         return F.substring(F.array_join(blocks, ""), F.lit(1), size.cast("int"))
 
     return df.withColumns({name: filler(name) for name in names if name not in df.columns})

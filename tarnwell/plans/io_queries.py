@@ -281,11 +281,27 @@ def p21_ordered_columns(t):
     return df
 
 
-@query("SELECT doc_id, true AS sound FROM documents")
+_MOCK = "left(array_to_string(list_transform(range(0, 10), lambda i: sha256(doc_id || '/{0}/' || i)), ''), CAST(CAST('0x' || left(sha256(doc_id || '/{0}/'), 8) AS BIGINT) % 301 + 300 AS INT))"
+
+
+@query(f"SELECT doc_id, {_MOCK.format('m1')} AS m1, 'kept' AS m2 FROM documents")
 def t28_mock_columns(t):
-    """Stand-in outputs have 300 to 600 characters and differ by row."""
-    made = prompts.mock_columns(t.documents.select("doc_id", F.lit("kept").alias("m2")), "doc_id", ["m1", "m2"])
-    return made.select("doc_id", (F.length("m1").between(300, 600) & (F.col("m2") == "kept") & (F.length("m1") > 0)).alias("sound"))
+    """Stand-in outputs of a model that the table lacks, of 300 to 600 characters; a column that is there stays."""
+    return prompts.mock_columns(t.documents.select("doc_id", F.lit("kept").alias("m2")), "doc_id", ["m1", "m2"]).select("doc_id", "m1", "m2")
+
+
+@query(f"SELECT doc_id, md5(text) AS text_md5, md5({_MOCK.format('m1')}) AS m1_md5 FROM documents WHERE doc_id % 6 <> 0")
+def c12_mock_chain(t):
+    """A broken file of documents, each sixth with a field too many, read by its records of the right length; stand-in columns added, written, and read again."""
+    folder = scratch(t.spark)
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", "doc_id", quoted, F.when(F.col("doc_id") % 6 == 0, F.lit("more")))
+    head = t.spark.createDataFrame([("doc_id,text",)], "value string")
+    head.unionByName(t.documents.select(line.alias("value"))).coalesce(1).write.text(f"{folder}/broken.csv")
+    rows = prompts.mock_columns(tables.read_arity(t.spark, f"{folder}/broken.csv"), "doc_id", ["m1"])
+    tables.write_csv(rows, f"{folder}/mocked.csv")
+    made = tables.read_arity(t.spark, f"{folder}/mocked.csv")
+    return made.select(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.md5("m1").alias("m1_md5"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN 'done ' || doc_id WHEN doc_id % 5 = 2 THEN NULL ELSE 'made' END AS state FROM documents".replace("doc_id % 5 < 2", "doc_id < 60 AND doc_id % 2 = 0").replace("doc_id % 5 = 2", "doc_id < 60"))
@@ -312,7 +328,7 @@ def c14_housekeeping(t):
     """What to do with checkpoint files: the newest is backed up, what was derived from it can go."""
     folder = scratch(t.spark)
     for name in ("run_5.csv", "run_10_clean.csv", "run_10.csv"):  # written in this order
-        t.documents.select("doc_id").limit(3).coalesce(1).write.csv(f"{folder}/{name}")
+        t.documents.select("doc_id", "text").write.csv(f"{folder}/{name}")
     found = tables.folder_table(t.spark, folder, "run_*.csv")
     return tables.housekeeping(found).select("file", "action")
 

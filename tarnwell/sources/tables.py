@@ -17,6 +17,8 @@ from tarnwell.sources.scratch import settled
 NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 #: Endings of files that were derived from a checkpoint.
 DERIVED = ["_clean", "_fixed", "_repaired", "_original", "_sanitized"]
+#: Every cell quoted, with the white space at its ends, which Spark's writer takes away by itself.
+WRITTEN = {"header": "true", "quoteAll": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "encoding": "UTF-8"}
 
 
@@ -242,13 +244,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", backslash: bool
     """Every cell quoted, quotes doubled; with backslash, backslashes are doubled as well."""
     if backslash:
         df = df.withColumns({c: F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")) for c, kind in df.dtypes if kind == "string"})
-    df.write.mode(mode).options(header="true", quoteAll="true", quote='"', escape='"').csv(path)
+    df.write.mode(mode).options(**WRITTEN).csv(path)
 
 
 def write_by(df: DataFrame, path: str, column: str, kind: str = "parquet", mode: str = "overwrite") -> None:
     """One folder for each value of the column: status, model or split."""
     writer = df.write.mode(mode).partitionBy(column)
-    writer.options(header="true", quoteAll="true", escape='"').csv(path) if kind == "csv" else writer.format(kind).save(path)
+    writer.options(**WRITTEN).csv(path) if kind == "csv" else writer.format(kind).save(path)
 
 
 def append_results(df: DataFrame, path: str) -> None:

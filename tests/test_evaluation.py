@@ -327,6 +327,15 @@ def test_evaluation_files(spark, tmp_path):
     assert got == {("m", "0", "bleu1", "0.5"), ("m", "0", "prompt", "p"), ("m", "1", "error", "none")}
 
 
+def test_cells_keep_their_white_space(spark, tmp_path):
+    cells = ["  ends ", "\n\tx\n", " ", "a\r\nb ", '" q "', "\\ \\"]
+    rows = spark.createDataFrame([(i, c, "s") for i, c in enumerate(cells)], "i int, t string, s string")
+    tables.write_csv(rows, str(tmp_path / "all"), backslash=True)
+    tables.write_by(rows, str(tmp_path / "by"), "s", "csv")
+    assert {int(r.i): r.t for r in tables.read_csv(spark, str(tmp_path / "all"), na=False, backslash=True).collect()} == dict(enumerate(cells))
+    assert {int(r.i): r.t for r in tables.read_arity(spark, str(tmp_path / "by" / "s=s")).collect()} == dict(enumerate(cells))
+
+
 def test_run_in_steps_goes_on_where_it_stopped(spark, tmp_path):
     rows, calls = spark.range(50).toDF("row"), []
 
