@@ -55,9 +55,9 @@ def quoted_after(line: str, quoted: bool) -> bool:
         at, fresh = step.end(), True
 
 
-def lines_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, block (its start), line (bytes) and the file's size, of text files, in order within each task. A byte order mark at a file's start is no text."""
-    rows = spark.read.option("lineSep", "\n").text(path)
+def lines_of(spark: SparkSession, path: str | list[str], sep: str = "\n", deep: bool = False) -> DataFrame:
+    """file, block (its start), line (bytes) and the file's size, of text files, in order within each task. deep: with those of folders in folders. A byte order mark at a file's start is no text."""
+    rows = spark.read.options(lineSep=sep, recursiveFileLookup=deep).text(path)
     about = [F.col(f"_metadata.{k}").alias(c) for k, c in (("file_path", "file"), ("file_block_start", "block"))]
     return rows.select(*about, F.col("value").cast("binary").alias("line"), F.col("_metadata.file_size").alias("size"))
 
@@ -172,17 +172,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([first and i == 0 for i in range(n)], pa.bool_()), pa.array(records, pa.list_(pa.string()))], names=["file", "first", "fields"])
 
 
-def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, first (whether it begins its file, as a header does) and fields (texts) of each record that isn't empty.
+def stitched(pieces: DataFrame, sep: str) -> DataFrame:
+    """file, first, last (whether it is its file's last fragment) and text of each record that lies across blocks.
 
-    Files are read twice, once for the states and once for the records, which are written to
-    scratch: the blocks must be the same both times.
+    A tail begins a record, all fragments up to the next tail belong to it; texts stay out of the window.
     """
-    lines = lines_of(spark, path)
-    within, broken = states(lines)
-    cut = settled(lines.mapInArrow(lambda batches: _cut(batches, within), "file string, block long, first boolean, fields array<string>, part string, text string"))
-    pieces = cut.where(F.col("part").isNotNull())
-    # a tail begins a record, all fragments up to the next tail belong to it; texts stay out of the window
     order = F.struct("block", (F.col("part") == "tail").alias("tail"))
     which = pieces.select("file", "block", "part", "first", F.octet_length("text").cast("long").alias("size"))
     number = F.sum((F.col("part") == "tail").cast("long")).over(Window.partitionBy("file").orderBy(order))
@@ -190,8 +184,20 @@ def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     sizes = which.groupBy("file", "number").agg(F.sum("size").alias("bytes"), F.max("first").alias("first"))
     sizes = sizes.withColumn("last", F.col("number") == F.max("number").over(Window.partitionBy("file"))).where(F.col("bytes") <= MOST_BYTES)
     whole = pieces.select("file", "block", "part", "text").join(which.select("file", "block", "part", "number"), ["file", "block", "part"]).join(sizes, ["file", "number"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", (F.col("part") == "tail").alias("tail"), "text"))), lambda x: x["text"]), "\n")
-    whole = whole.groupBy("file", "number", "last").agg(F.max("first").alias("first"), text.alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", (F.col("part") == "tail").alias("tail"), "text"))), lambda x: x["text"]), sep)
+    return whole.groupBy("file", "number", "last").agg(F.max("first").alias("first"), text.alias("text"))
+
+
+def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, first (whether it begins its file, as a header does) and fields (texts) of each record that isn't empty.
+
+    Files are read twice, once for the states and once for the records, which are written to
+    scratch: the blocks must be the same both times.
+    """
+    lines = lines_of(spark, path)
+    within, broken = states(lines)
+    cut = settled(lines.mapInArrow(lambda batches: _cut(batches, within), "file string, block long, first boolean, fields array<string>, part string, text string"))
+    whole = stitched(cut.where(F.col("part").isNotNull()), "\n")
     whole = whole.select("file", "first", F.when(F.col("last") & F.col("file").isin(sorted(broken)), F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"))
     joined = whole.mapInArrow(_joined, "file string, first boolean, fields array<string>")
     return cut.where(F.col("part").isNull()).select("file", "first", "fields").unionByName(joined)

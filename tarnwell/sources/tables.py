@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions.text import checkpoint_number
 from tarnwell.operators.relations import union_tagged
+from tarnwell.sources.json_lists import json_lines
 from tarnwell.sources.quoted import records
 from tarnwell.sources.scratch import settled
 
@@ -58,7 +59,7 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None) -> Data
     if suffix == ".csv":
         df = read_csv(spark, path)
     elif suffix == ".json":
-        df = spark.read.option("multiLine", "true").json(path)
+        df = spark.read.json(json_lines(spark, path))
     elif suffix == ".jsonl":
         df = spark.read.json(path)
     elif suffix == ".parquet":
@@ -197,13 +198,8 @@ def housekeeping(files: DataFrame) -> DataFrame:
 
 
 def merge_json(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of all JSON lists; a file that holds no list of records is skipped."""
-    tables = []
-    for path in paths:
-        df = spark.read.option("multiLine", "true").json(path)
-        if "_corrupt_record" not in df.columns:
-            tables.append((df, {}))
-    return union_tagged(tables)
+    """Records of all JSON lists as one table; a file that holds no list of records is skipped."""
+    return spark.read.json(json_lines(spark, paths))
 
 
 def merge_json_into(spark: SparkSession, paths: list[str], path: str) -> None:
@@ -288,15 +284,18 @@ def write_processed(cases: DataFrame, metrics: DataFrame, folder: str) -> None:
     write_jsonl(metrics, f"{folder}/model_metrics")
 
 
-def save_json(rows: DataFrame, path: str, most: int = 1_000_000) -> None:
-    """A table that people read as one JSON list in a text file, written by one task row by row; more rows than most are an error."""
-    if rows.count() > most:
-        raise ValueError(f"more than {most} rows: write them by write_jsonl")
-    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), F.lit(1).alias("o"))
-    mark = lambda value, o: rows.sparkSession.createDataFrame([(value, o)], "value string, o int")
-    # commas lead each record but the first, which the opening line stands for
-    numbered = lines.withColumn("n", F.monotonically_increasing_id())
-    first = numbered.agg(F.min("n").alias("first"))
-    records = numbered.crossJoin(F.broadcast(first)).select(F.concat(F.when(F.col("n") == F.col("first"), "").otherwise(","), "value").alias("value"), "o", "n")
-    ends = mark("[", 0).unionByName(mark("]", 2)).withColumn("n", F.lit(0).cast("long"))
-    records.unionByName(ends).repartition(1).sortWithinPartitions("o", "n").select("value").write.mode("overwrite").text(path)
+def save_json(rows: DataFrame, path: str) -> None:
+    """A table as one JSON list, written by many tasks: its part files, one after the other by name (`cat */part-*`), are the list.
+
+    The first record opens it in a part of its own, all others bring their comma along, and the
+    last part closes it. `read_table` and `merge_json` read the folder.
+    """
+    lines = settled(rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), F.monotonically_increasing_id().alias("_m")))
+    first = lines.agg(F.min("_m")).first()[0]
+    mark = lambda text: rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1)
+    led = lambda sign: F.concat(F.lit(sign), "value").alias("value")
+    parts = [mark("["), None, mark("]")] if first is None else [lines.where(F.col("_m") == first).select(led("[")), lines.where(F.col("_m") != first).select(led(",")), mark("]")]
+    delete(rows.sparkSession, path)
+    for k, part in enumerate(parts):
+        if part is not None:
+            part.write.text(f"{path}/{k}")
