@@ -103,5 +103,5 @@ def test_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and [n for n in names if n.startswith("op")] == [f.__name__ for f in (queries.op1_quality, queries.op2_langid, queries.op3_ngram_join, queries.op4_rules, queries.op5_urls, queries.op6_toxicity, queries.op7_warc, queries.op8_decontam, queries.op9_bpe, queries.op10_suffix_dedup)]
+    assert "pipeline" in names and [n for n in names if n.startswith("op")] == [f.__name__ for f in (queries.op1_quality, queries.op2_langid, queries.op3_ngram_join, queries.op4_rules, queries.op5_urls, queries.op6_toxicity, queries.op7_warc, queries.op8_decontam, queries.op9_bpe, queries.op10_suffix_dedup, queries.op11_fim, queries.op12_branch_merge, queries.op13_html_text)]
     assert set(__spark_entry__.oracle_sql()) <= set(names)
