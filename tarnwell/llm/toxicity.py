@@ -7,11 +7,12 @@ products of vectors of all pairs of terms that meet in a text, so that two words
 more together than each does alone.
 
 All places are in the model. As in a lasso with an active set, a place's weight and vector
-are zero as long as the slope of the loss on it, by what the machine has not explained yet,
-is no clearer than chance: clear_alone standard deviations for a place by itself, clear_pair
-for a place together with another one, so that terms which tell in company only take part
-as well. Slopes are taken anew after each fit, up to `rounds` times. Pairs are looked at
-among the pair_places most frequent places, all pairs of them at once.
+are zero as long as what the machine has not explained yet is no clearer than chance on it:
+clear_alone standard deviations of the loss's slope for a place by itself; for a place
+together with another one, so that terms which tell in company only take part as well, a
+Chernoff bound as small as clear_pair standard deviations'. Places are looked at anew after
+each fit, alone and then in pairs, up to `rounds` times. All pairs are looked at, rare and
+frequent: telling_pairs rules out by bounds that no pair can pass.
 
 Learning takes at most max_rows labelled rows (lowest hash of the id), and no more of them
 than have max_entries places in all; both bound what the driver holds. Null and empty texts
@@ -117,23 +118,79 @@ def slopes(owners: np.ndarray, places: np.ndarray, error: np.ndarray, spread: np
     return total / np.sqrt(np.maximum(variance, 1e-9))
 
 
-def pair_slopes(owners: np.ndarray, columns: np.ndarray, error: np.ndarray, spread: np.ndarray, width: int, rows: int = 2048) -> np.ndarray:
-    """For each two of width columns the error's sum over the rows that have both, in standard deviations. owners ascend."""
-    total, variance = np.zeros((width, width), np.float32), np.zeros((width, width), np.float32)
-    for first in range(0, len(error), rows):
-        a, b = np.searchsorted(owners, [first, first + rows])
-        has = np.zeros((rows, width), np.float32)
-        has[owners[a:b] - first, columns[a:b]] = 1
-        here = slice(first, first + rows)
-        has = has[: len(error[here])]
-        total += has.T @ (has * error[here, None].astype(np.float32))
-        variance += has.T @ (has * spread[here, None].astype(np.float32))
-    z = total / np.sqrt(np.maximum(variance, 1e-9))
-    np.fill_diagonal(z, 0)
-    return z
-
-
-def fit(owners: np.ndarray, places: np.ndarray, y: np.ndarray, hash_bits: int = 20, prefix_chars: int = 4, clear_alone: float = 4.0, clear_pair: float = 6.5, pair_places: int = 1024, least_rows: int = 3, rounds: int = 2, **params) -> Machine:
+def surprise(k: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How far k of n rows are beyond the q that were expected: the exponent of Chernoff's bound on that chance; 0 for no more than expected."""
+    rest = n - k
+    far = k * np.log(np.maximum(k, 1e-300) / q) + rest * np.log(np.maximum(rest, 1e-300) / np.maximum(n - q, 1e-300))
+    return np.where(k > q, far, 0.0)
+
+
+def _after(positions: np.ndarray, ends: np.ndarray, columns: np.ndarray, weight: np.ndarray, first: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the entries from each position up to its end: how many there are of each column from first on, and the sum of their weights."""
+    count, total = np.zeros(width), np.zeros(width)
+    lengths = ends - positions
+    at = np.cumsum(lengths)
+    cuts = np.unique(np.searchsorted(at, np.arange(0, at[-1] + STEP, STEP) if len(at) else [], "left"))
+    for a, b in zip(cuts, [*cuts[1:], len(at)]):
+        n = lengths[a:b]
+        if not (size := int(n.sum())):
+            continue
+        step = np.arange(size) + np.repeat(positions[a:b] - np.cumsum(n) + n, n)
+        found = columns[step] - first
+        count += np.bincount(found, minlength=width)
+        total += np.bincount(found, np.repeat(weight[a:b], n), width)
+    return count, total
+
+
+def telling_pairs(owners: np.ndarray, places: np.ndarray, one: np.ndarray, q: np.ndarray, known: np.ndarray, usable: np.ndarray, clear: float) -> np.ndarray:
+    """The places that are, with some other place, in more rows of the class `one` than q, the rows' chances of it, allow. owners ascend.
+
+    All pairs of usable places are looked at but those of two known ones. Only sums that can't be passed rule out:
+    a pair's surprise is at most the sum of -log(q) of its rows of the class, so at most that
+    of either place; and rows of the other class only lower it. So pairs are counted in the
+    rows of the class first, then in ever more of the others, as long as any is left.
+    """
+    size, beyond, loss = len(usable), clear**2 / 2, np.where(one, -np.log(q), 0.0)
+    most = sum(np.bincount(places[a : a + STEP], loss[owners[a : a + STEP]], size) for a in range(0, len(places), STEP))
+    having = sum(np.bincount(places[a : a + STEP], minlength=size) for a in range(0, len(places), STEP))
+    chosen = np.flatnonzero(usable & (most > beyond))
+    chosen, width = chosen[np.argsort(having[chosen], kind="stable")], len(chosen)  # rare ones first: they have few rows
+    told = np.zeros(size, bool)
+    if width < 2:
+        return told
+    column = np.full(size, -1, np.int32)
+    column[chosen] = np.arange(width)
+    entries = np.concatenate([a + np.flatnonzero(column[places[a : a + STEP]] >= 0) for a in range(0, len(places), STEP)])
+    keys = np.sort(owners[entries].astype(np.int64) * width + column[places[entries]])
+    own, columns = (keys // width).astype(np.int32), (keys % width).astype(np.int32)
+    del entries, keys
+    by_column = np.argsort(columns, kind="stable").astype(np.int32)
+    starts = np.searchsorted(columns[by_column], np.arange(width + 1))
+    row_ends = np.searchsorted(own, np.arange(1, len(one) + 1))
+    old = known[chosen]
+    for a in range(width - 1):
+        at = by_column[starts[a] : starts[a + 1]].astype(np.int64)
+        rows = own[at]
+        inside, others = np.flatnonzero(one[rows]), np.flatnonzero(~one[rows])
+        count = lambda part: _after(at[part] + 1, row_ends[rows[part]], columns, q[rows[part]], a + 1, width - a - 1)  # noqa: B023, E731
+        k, expected = count(inside)
+        left = np.flatnonzero((k > expected) & ~(old[a] & old[a + 1 :]))
+        left = left[surprise(k[left], k[left], expected[left]) > beyond]
+        k, n, expected = k[left], k[left].copy(), expected[left]
+        done = 0
+        while len(left) and done < len(others):
+            last = max(2 * done, len(others) // 8, 64)
+            more, likely = count(others[done:last])
+            n, expected, done = n + more[left], expected + likely[left], last
+            still = surprise(k, n, expected) > beyond
+            left, k, n, expected = left[still], k[still], n[still], expected[still]
+        if len(left):
+            told[chosen[a]] = True
+            told[chosen[a + 1 + left]] = True
+    return told
+
+
+def fit(owners: np.ndarray, places: np.ndarray, y: np.ndarray, hash_bits: int = 20, prefix_chars: int = 4, clear_alone: float = 4.0, clear_pair: float = 6.5, least_rows: int = 3, rounds: int = 2, **params) -> Machine:
     """owners, places: one entry for each row of y and place that it has, by row. Places of fewer than least_rows rows tell nothing."""
     n, size, factors = len(y), 1 << hash_bits, params.get("factors", 4)
     machine = Machine({}, np.zeros(0), np.zeros((0, factors)), 0.0, hash_bits, prefix_chars)
@@ -143,28 +200,31 @@ def fit(owners: np.ndarray, places: np.ndarray, y: np.ndarray, hash_bits: int =
     machine.bias = float(np.log(share / (1 - share)))
     if y.min() == y.max() or not len(places):
         return machine
-    having = sum(np.bincount(places[a : a + STEP], minlength=size) for a in range(0, len(places), STEP))
-    common = np.lexsort((np.arange(size), -having))[:pair_places]
-    common = np.sort(common[having[common] >= least_rows])
-    picked = lambda chosen: np.concatenate([a + np.flatnonzero(chosen[places[a : a + STEP]]) for a in range(0, len(places), STEP)])
-    mask = np.zeros(size, bool)
-    mask[common] = True
-    shared = picked(mask)
-    shared_owners, columns = owners[shared].astype(np.int64), np.searchsorted(common, places[shared])
+    usable = sum(np.bincount(places[a : a + STEP], minlength=size) for a in range(0, len(places), STEP)) >= least_rows
     active, p = np.zeros(size, bool), np.full(n, share)
+
+    def alone() -> np.ndarray:
+        return (np.abs(slopes(owners, places, y - p, p * (1 - p), size)) > clear_alone) & usable
+
+    def together() -> np.ndarray:
+        chance = np.clip(p, 1e-9, 1 - 1e-9)
+        found = [telling_pairs(owners, places, y == value, chance if value else 1 - chance, active, usable, clear_pair) for value in (1, 0)]
+        return found[0] | found[1]
+
     for _ in range(rounds):
-        error, spread = y - p, p * (1 - p)
-        new = (np.abs(slopes(owners, places, error, spread, size)) > clear_alone) & (having >= least_rows)
-        together = np.abs(pair_slopes(shared_owners, columns, error, spread, len(common))) > clear_pair
-        new[common[together.any(0)]] = True
-        if not (new & ~active).any():
+        before = active.sum()
+        for look in (alone, together):
+            new = look() & ~active
+            if not new.any():
+                continue
+            active |= new
+            kept = np.flatnonzero(active)
+            entries = np.concatenate([a + np.flatnonzero(active[places[a : a + STEP]]) for a in range(0, len(places), STEP)])
+            own, found = owners[entries].astype(np.int64), np.searchsorted(kept, places[entries])
+            machine = descend(own, found, y, kept, machine, **params)
+            p = machine.logistic(found, own, n)
+        if active.sum() == before:
             break
-        active |= new
-        kept = np.flatnonzero(active)
-        entries = picked(active)
-        own, found = owners[entries].astype(np.int64), np.searchsorted(kept, places[entries])
-        machine = descend(own, found, y, kept, machine, **params)
-        p = machine.logistic(found, own, n)
     return machine
 
 

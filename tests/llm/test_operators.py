@@ -236,6 +236,47 @@ def test_factorization_learns_terms_that_tell_in_company_only():
     assert ((p > 0.5) == (y == 1)).mean() > 0.98
 
 
+@pytest.mark.parametrize("frequent", [1500, 20_000])
+def test_a_pair_among_any_number_of_more_frequent_terms(frequent):
+    """Two terms of 150 rows that are toxic together only, while as large a share of all rows is toxic: no number of commoner terms hides them."""
+    rng, n = np.random.default_rng(5), 6000
+    common = rng.integers(0, frequent, (n, 160 * frequent // n))
+    first, second, third, rest = np.split(rng.permutation(n), [60, 150, 240])
+    y = np.zeros(n)
+    y[first] = 1
+    y[rest[: int(0.4 * len(rest))]] = 1
+    has = {frequent: {*first, *second}, frequent + 1: {*first, *third}}
+    rows = [np.unique(np.append(common[i], [t for t in has if i in has[t]]).astype(np.uint32)) for i in range(n)]
+    owners, places = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
+    assert np.median(np.bincount(places)[:frequent]) > 150
+    machine = toxicity.fit(owners, places, y, hash_bits=15)
+    assert {frequent, frequent + 1} <= set(machine.rows)
+    score = lambda own: machine.logistic(np.array([machine.rows[t] for t in own]), np.zeros(len(own), np.int64), 1)[0]
+    assert score([frequent, frequent + 1]) > 0.9 and score([frequent]) < 0.3 and score([frequent + 1]) < 0.3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_telling_pairs_are_those_of_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n, width = 1500, 40
+    has = rng.random((n, width)) < rng.choice([0.02, 0.1, 0.4, 0.8], width)
+    y = (rng.random(n) < np.where(has[:, 3] & has[:, 7], 0.8, 0.2)) & ~(has[:, 5] & has[:, 9] & (rng.random(n) < 0.9))
+    p = np.clip(rng.choice([0.1, 0.2, 0.35], n) + (0.0 if seed % 2 else rng.random(n) * 0.2), 0.01, 0.99)
+    known, usable = rng.random(width) < 0.2, rng.random(width) < 0.9
+    owners, places = np.nonzero(has)
+    for one, q in ((y, p), (~y, 1 - p)):
+        for clear in (1.5, 2.5, 4.0):
+            want = np.zeros(width, bool)
+            for a in range(width):
+                for b in range(a):
+                    rows = has[:, a] & has[:, b]
+                    if usable[a] and usable[b] and not (known[a] and known[b]) and rows.any():
+                        k, total, expected = float((rows & one).sum()), float(rows.sum()), q[rows].sum()
+                        if k > expected and k * np.log(k / expected) + (np.log((total - k) / (total - expected)) * (total - k) if total > k else 0) > clear**2 / 2:
+                            want[[a, b]] = True
+            assert (toxicity.telling_pairs(owners, places, one, q, known, usable, clear) == want).all() and (clear > 2 or want.any())
+
+
 def test_machine_scores_as_all_pairs_summed():
     rng = random.Random(18)
     words = [f"{a}{b}" for a in "abcdefgh" for b in ("xxxxx", "yyyyy", "zz")]
