@@ -236,7 +236,7 @@ def test_factorization_learns_terms_that_tell_in_company_only():
     assert ((p > 0.5) == (y == 1)).mean() > 0.98
 
 
-@pytest.mark.parametrize("frequent", [1500, 20_000])
+@pytest.mark.parametrize("frequent", [1500, 5000])
 def test_a_pair_among_any_number_of_more_frequent_terms(frequent):
     """Two terms of 150 rows that are toxic together only, while as large a share of all rows is toxic: no number of commoner terms hides them."""
     rng, n = np.random.default_rng(5), 6000
