@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tarnwell.functions import text as tx
 from tarnwell.functions.stemming import porter
@@ -258,17 +258,56 @@ def semantic_similarity(reference: Column, generated: Column) -> Column:
     return dot(unit(mean_pool(reference)), unit(mean_pool(generated)))
 
 
-def greedy_match(reference: Column, generated: Column) -> Column:
-    """A struct (precision, recall, f1): mean best cosine of each token vector with those of the other side; lengths are taken once a vector."""
-    units = lambda xs: F.transform(xs, unit)
+#: Cells of a table of cosines that are held at a time.
+CELLS = 1 << 20
+
+
+def _unit_rows(vectors: pa.ListArray) -> list[np.ndarray | None]:
+    """A matrix of the vectors at length 1 for each row; None for a null, for no vectors, and for vectors of different length or with nulls. Zero vectors stay."""
+    inner = vectors.values
+    flat = inner.values
+    starts, ends, null = vectors.offsets.to_numpy(), inner.offsets.to_numpy(), vectors.is_null().to_numpy(zero_copy_only=False)
+    lacks = np.cumsum(np.append(0, flat.is_null().to_numpy(zero_copy_only=False))) if flat.null_count else None
+    numbers, out = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False), []
+    for i in range(len(vectors)):
+        a, b = starts[i], starts[i + 1]
+        widths = np.diff(ends[a : b + 1])
+        if null[i] or a == b or not widths[0] or (widths != widths[0]).any() or (lacks is not None and lacks[ends[b]] > lacks[ends[a]]):
+            out.append(None)
+            continue
+        matrix = numbers[ends[a] : ends[b]].reshape(b - a, widths[0])
+        length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+        out.append(np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0))
+    return out
+
+
+def best_cosines(reference: np.ndarray, generated: np.ndarray) -> tuple[float, float]:
+    """Mean best cosine of the generated vectors (precision) and of the reference ones (recall), by products of blocks of CELLS."""
+    step, recall, best = max(1, CELLS // len(generated)), 0.0, np.full(len(generated), -np.inf)
+    for a in range(0, len(reference), step):
+        table = reference[a : a + step] @ generated.T
+        recall += float(table.max(1).sum())
+        np.maximum(best, table.max(0), out=best)
+    return float(best.mean()), recall / len(reference)
+
 
-    def matched(z: Column) -> Column:
-        best = lambda xs, ys: _folded(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: dot(x, y))))) / F.size(xs)
-        return F.struct(best(z["g"], z["r"]).alias("precision"), best(z["r"], z["g"]).alias("recall"))
+@F.arrow_udf(StructType([StructField("precision", DoubleType()), StructField("recall", DoubleType())]))
+def _greedy(reference: pa.Array, generated: pa.Array) -> pa.Array:
+    pairs = zip(_unit_rows(reference), _unit_rows(generated))
+    found = [None if a is None or b is None or a.shape[1] != b.shape[1] else best_cosines(a, b) for a, b in pairs]
+    column = lambda k: pa.array([f and f[k] for f in found], pa.float64())
+    return pa.StructArray.from_arrays([column(0), column(1)], ["precision", "recall"])
 
-    found = F.transform(F.array(F.struct(units(reference).alias("r"), units(generated).alias("g"))), matched)[0]
-    p, r = found["precision"], found["recall"]
-    return F.struct(p.alias("precision"), r.alias("recall"), f_measure(p, r).alias("f1"))
+
+def greedy_match(reference: Column, generated: Column) -> Column:
+    """A struct (precision, recall, f1): mean best cosine of each token vector with those of the other side.
+
+    Null parts where a side is null or has no vectors, where vectors have nulls, and where
+    their lengths differ. A pair takes memory for its vectors and one block of cosines.
+    """
+    typed = [c.cast("array<array<double>>") for c in (reference, generated)]
+    found = F.transform(F.array(_greedy(*typed)), lambda z: F.struct(z["precision"].alias("precision"), z["recall"].alias("recall"), f_measure(z["precision"], z["recall"]).alias("f1")))
+    return found[0]
 
 
 def word_share(source: Column, claim: Column) -> Column:

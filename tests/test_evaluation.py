@@ -366,3 +366,19 @@ def test_boundaries(spark):
     got = spark.createDataFrame([(t,), (None,), ("",)], "t string").select(text.boundaries(F.col("t")).alias("b")).collect()
     pattern = [m.end() - 1 for p in (r"\. ", r"\.\n", r"\? ", r"\?\n", "! ", r"!\n", r'\." ', r'\?" ', '!" ') for m in regex.finditer(p, t)]
     assert [r.b for r in got] == [sorted(set(pattern)), [], []]
+
+
+def test_greedy_match_is_that_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=(1 + k % 5, 3)).tolist(), rng.normal(size=(1 + k % 7, 3)).tolist()) for k in range(40)]
+    odd = [(100, [[0.0, 0.0, 0.0]], [[1.0, 0.0, 0.0]]), (101, None, [[1.0]]), (102, [], [[1.0]]), (103, [[1.0, None]], [[1.0, 2.0]]), (104, [[1.0], [1.0, 2.0]], [[1.0]]), (105, [[1.0]], [[1.0, 2.0]]), (106, [[]], [[]])]
+    df = spark.createDataFrame(rows + odd, "k int, r array<array<double>>, g array<array<double>>").repartition(3)
+    got = {r.k: r.s for r in df.select("k", metrics.greedy_match(F.col("r"), F.col("g")).alias("s")).collect()}
+    for k, r, g in rows:
+        cosines = [[np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) for y in g] for x in r]
+        p, c = np.mean(np.max(cosines, 0)), np.mean(np.max(cosines, 1))
+        assert (got[k].precision, got[k].recall) == pytest.approx((p, c)) and got[k].f1 == pytest.approx(2 * p * c / (p + c) if p + c > 0 else 0.0)
+        monkeypatch.setattr(metrics, "CELLS", 4)
+        assert metrics.best_cosines(*(np.array(x) / np.linalg.norm(x, axis=1)[:, None] for x in (r, g))) == pytest.approx((p, c))
+    assert tuple(got[100]) == (0.0, 0.0, 0.0)
+    assert all(got[k].precision is None and got[k].recall is None for k in range(101, 107))
