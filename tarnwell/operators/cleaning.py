@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text as tx
+from tarnwell.sources.scratch import settled
 
 # Phrase lists, date patterns and labels of the announcement rule.
 HEADLINES = [
@@ -36,13 +37,14 @@ NORMAL_LENGTH = 100_000
 # End of fixed values.
 
 
-def row_ids(df: DataFrame, order: list[str], name: str = "_row_id") -> DataFrame:
+def row_ids(df: DataFrame, order: list[str | Column], name: str = "_row_id") -> DataFrame:
     """A contiguous row number from 0 in the given order.
 
     Rows are numbered within ranges of the order, and each range is moved by the number of
-    rows before it, so that no single task sees all rows.
+    rows before it, so that no single task sees all rows. The ranges are written once: their
+    bounds come from a sample, and a second one would cut them elsewhere.
     """
-    spread = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    spread = settled(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
     sizes = spread.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each partition
     placed = spread.join(F.broadcast(before.select("_p", "_first", F.coalesce("_before", F.lit(0)).alias("_before"))), "_p")

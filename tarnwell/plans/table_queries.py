@@ -214,7 +214,7 @@ def w5_argmax(t):
 def w6_ordered(t):
     """A contiguous row number in a fixed order of segments."""
     order = F.when(F.col("c_mktsegment") == "BUILDING", 0).when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(2)
-    return cleaning.row_ids(t.customer.select("c_custkey", "c_mktsegment", order.alias("o")), ["o", "c_custkey"], "row_id").drop("o")
+    return cleaning.row_ids(t.customer.select("c_custkey", "c_mktsegment", order.alias("o")), ["o", F.asc_nulls_last("c_custkey")], "row_id").drop("o")
 
 
 @query("""SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 6) AS tokens FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)""")

@@ -78,6 +78,13 @@ def test_row_ids(spark):
     assert all(r.v == r._row_id for r in got) and len(got) == 1000
 
 
+def test_row_ids_of_more_rows_than_a_sample_of_ranges_sees(spark, tmp_path):
+    spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("other")).write.parquet(f"{tmp_path}/t")
+    got = cleaning.row_ids(spark.read.parquet(f"{tmp_path}/t"), ["v"])
+    row = got.agg(F.count("*").alias("n"), F.sum((F.col("v") == F.col("_row_id")).cast("long")).alias("right"), F.count_distinct("other").alias("others")).first()
+    assert (row.n, row.right, row.others) == (200_000, 200_000, 200_000)
+
+
 RULES = [
     (None, "2020-01-01", False, None),
     ("Terminvorschau für Mai", "2020-01-01", True, "Headline: terminvorschau"),
