@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tarnwell.functions import text as tx
+from tarnwell.functions.batches import in_steps
 from tarnwell.functions.stemming import porter
 
 #: Weights of BLEU-1 to BLEU-4, the smoothing of empty n-gram matches, errors of the factual metrics.
@@ -40,8 +41,7 @@ def counted(rows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key // width, key % width, n, first
 
 
-@F.arrow_udf(DoubleType())
-def _keyword_overlap(reference: pa.Array, generated: pa.Array, most: pa.Array) -> pa.Array:
+def _shared_keywords(reference: pa.Array, generated: pa.Array, most: pa.Array) -> pa.Array:
     rows, k = len(reference), most[0].as_py() if len(most) else 0
     best = []
     for r, w in coded(reference, generated):
@@ -57,23 +57,32 @@ def _keyword_overlap(reference: pa.Array, generated: pa.Array, most: pa.Array) -
     return pa.array(np.where((a > 0) & (b > 0), both / np.maximum(a + b - both, 1), 0.0))
 
 
+@F.arrow_udf(DoubleType())
+def _keyword_overlap(reference: pa.Array, generated: pa.Array, most: pa.Array) -> pa.Array:
+    return in_steps(_shared_keywords, reference, generated, most)
+
+
 def keyword_overlap(reference: Column, generated: Column, most: int = 20) -> Column:
     """Jaccard of the most frequent words of both texts, stop words aside; ties in frequency go to the word that comes first.
 
     Words are split in the engine and counted in Arrow batches: nothing is shuffled.
     """
-    kept = lambda c: F.filter(tx.words(F.coalesce(c, F.lit(""))), lambda w: ~w.isin(tx.STOP_WORDS))
+    return keywords_shared(*[tx.words(F.coalesce(c, F.lit(""))) for c in (reference, generated)], most)
+
+
+def keywords_shared(reference: Column, generated: Column, most: int = 20) -> Column:
+    """As keyword_overlap, of two word lists."""
+    kept = lambda c: F.filter(c, lambda w: ~w.isin(tx.STOP_WORDS))
     return _keyword_overlap(kept(reference), kept(generated), F.lit(most))
 
 
 def gram_matches(reference: Column, generated: Column, orders: tuple[int, ...]) -> Column:
     """An array of structs (k, matched, n_ref, n_gen) of the n-grams of each order of two word lists; matches are clipped.
 
-    Longer n-grams are numbered from pairs of a shorter one and a word, for a whole batch at once.
+    Longer n-grams are numbered from pairs of a shorter one and a word, for all rows of a step of the batch at once.
     """
 
-    @F.arrow_udf("array<struct<k:int,matched:bigint,n_ref:bigint,n_gen:bigint>>")
-    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+    def counts(a: pa.Array, b: pa.Array) -> pa.Array:
         rows, sides = len(a), coded(a, b)
         grams, found = [w for _, w in sides], {}
         for k in range(1, max(orders) + 1):
@@ -102,6 +111,10 @@ def gram_matches(reference: Column, generated: Column, orders: tuple[int, ...])
         items = pa.StructArray.from_arrays([pa.array(np.tile(np.array(orders, np.int32), rows)), *map(pa.array, columns)], ["k", "matched", "n_ref", "n_gen"])
         return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * len(orders)), items)
 
+    @F.arrow_udf("array<struct<k:int,matched:bigint,n_ref:bigint,n_gen:bigint>>")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        return in_steps(counts, a, b)
+
     return count(_list(reference), _list(generated))
 
 
@@ -117,15 +130,19 @@ def f_measure(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / F.when(p + r > 0, p + r)).otherwise(0.0)
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def stems(words: pa.Array) -> pa.Array:
-    """The words with those of more than three letters cut to their stem."""
+def _stems(words: pa.Array) -> pa.Array:
     flat = words.flatten().dictionary_encode()
     made = pa.array([porter(w) if len(w) > 3 else w for w in flat.dictionary.to_pylist()], pa.string())
     sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), made.take(flat.indices))
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def stems(words: pa.Array) -> pa.Array:
+    """The words with those of more than three letters cut to their stem."""
+    return in_steps(_stems, words)
+
+
 def rouge_words(text: Column, stem: bool = True) -> Column:
     """Word tokens for ROUGE: with stems runs of a-z and digits, cut to their stem; without, lower-cased words."""
     if not stem:
@@ -156,13 +173,17 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(words) - free.bit_count()
 
 
-@F.arrow_udf(LongType())
-def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+def _lcs_lengths(a: pa.Array, b: pa.Array) -> pa.Array:
     (ra, wa), (rb, wb) = coded(a, b)
     at, to = (np.searchsorted(r, np.arange(len(a) + 1)) for r in (ra, rb))
     return pa.array([lcs(wa[at[i] : at[i + 1]], wb[to[i] : to[i + 1]]) for i in range(len(a))], pa.int64())
 
 
+@F.arrow_udf(LongType())
+def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+    return in_steps(_lcs_lengths, a, b)
+
+
 def rouge_l(reference: Column, generated: Column) -> Column:
     """A struct (precision, recall, fmeasure) of the longest common subsequence of two word lists."""
     a, b = _list(reference), _list(generated)
@@ -221,15 +242,24 @@ def meteor_score(reference: list[str], generated: list[str], alpha: float = 0.9,
     return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (chunks / len(pairs)) ** beta)
 
 
+def _meteor(reference: pa.Array, generated: pa.Array) -> pa.Array:
+    return pa.array([meteor_score(a, b) if a and b else 0.0 for a, b in zip(reference.to_pylist(), generated.to_pylist())], pa.float64())
+
+
 @F.arrow_udf(DoubleType())
 def meteor(reference: pa.Array, generated: pa.Array) -> pa.Array:
-    return pa.array([meteor_score(a, b) if a and b else 0.0 for a, b in zip(reference.to_pylist(), generated.to_pylist())], pa.float64())
+    return in_steps(_meteor, reference, generated)
 
 
 def _folded(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value bound by a one-element array, so that it is worked out once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     """The products of two arrays' elements, added up in order."""
     return _folded(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")))
@@ -262,8 +292,8 @@ def semantic_similarity(reference: Column, generated: Column) -> Column:
 CELLS = 1 << 20
 
 
-def _unit_rows(vectors: pa.ListArray) -> list[np.ndarray | None]:
-    """A matrix of the vectors at length 1 for each row; None for a null, for no vectors, and for vectors of different length or with nulls. Zero vectors stay."""
+def _matrices(vectors: pa.ListArray) -> list[np.ndarray | None]:
+    """A matrix of the vectors of each row; None for a null, for no vectors, and for vectors of different length or with nulls."""
     inner = vectors.values
     flat = inner.values
     starts, ends, null = vectors.offsets.to_numpy(), inner.offsets.to_numpy(), vectors.is_null().to_numpy(zero_copy_only=False)
@@ -275,12 +305,16 @@ def _unit_rows(vectors: pa.ListArray) -> list[np.ndarray | None]:
         if null[i] or a == b or not widths[0] or (widths != widths[0]).any() or (lacks is not None and lacks[ends[b]] > lacks[ends[a]]):
             out.append(None)
             continue
-        matrix = numbers[ends[a] : ends[b]].reshape(b - a, widths[0])
-        length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
-        out.append(np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0))
+        out.append(numbers[ends[a] : ends[b]].reshape(b - a, widths[0]))
     return out
 
 
+def _at_length_1(matrix: np.ndarray) -> np.ndarray:
+    """The rows of a matrix at length 1; zeros stay."""
+    length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
+
 def best_cosines(reference: np.ndarray, generated: np.ndarray) -> tuple[float, float]:
     """Mean best cosine of the generated vectors (precision) and of the reference ones (recall), by products of blocks of CELLS."""
     step, recall, best = max(1, CELLS // len(generated)), 0.0, np.full(len(generated), -np.inf)
@@ -291,12 +325,21 @@ def best_cosines(reference: np.ndarray, generated: np.ndarray) -> tuple[float, f
     return float(best.mean()), recall / len(reference)
 
 
+def _matched(a: np.ndarray | None, b: np.ndarray | None) -> tuple[float, float] | None:
+    return None if a is None or b is None or a.shape[1] != b.shape[1] else best_cosines(_at_length_1(a), _at_length_1(b))
+
+
+def _columns(found: list[tuple[float, ...] | None], names: list[str]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array([f and f[k] for f in found], pa.float64()) for k in range(len(names))], names)
+
+
+def _best(reference: pa.Array, generated: pa.Array) -> pa.Array:
+    return _columns([_matched(a, b) for a, b in zip(_matrices(reference), _matrices(generated))], ["precision", "recall"])
+
+
 @F.arrow_udf(StructType([StructField("precision", DoubleType()), StructField("recall", DoubleType())]))
 def _greedy(reference: pa.Array, generated: pa.Array) -> pa.Array:
-    pairs = zip(_unit_rows(reference), _unit_rows(generated))
-    found = [None if a is None or b is None or a.shape[1] != b.shape[1] else best_cosines(a, b) for a, b in pairs]
-    column = lambda k: pa.array([f and f[k] for f in found], pa.float64())
-    return pa.StructArray.from_arrays([column(0), column(1)], ["precision", "recall"])
+    return in_steps(_best, reference, generated)
 
 
 def greedy_match(reference: Column, generated: Column) -> Column:
@@ -310,6 +353,26 @@ def greedy_match(reference: Column, generated: Column) -> Column:
     return found[0]
 
 
+def vector_scores(reference: Column, generated: Column, vectors: Callable[[pa.Array], pa.Array]) -> Column:
+    """A struct (precision, recall, f1, similarity) as of greedy_match and semantic_similarity, of two word lists and a model that makes their vectors within the task.
+
+    vectors: Arrow lists of words to lists of vectors. Only words and scores pass between Spark and Python.
+    """
+
+    def one(a: np.ndarray | None, b: np.ndarray | None) -> tuple[float, ...] | None:
+        best = _matched(a, b)
+        return best and (*best, float(_at_length_1(a.mean(0, keepdims=True))[0] @ _at_length_1(b.mean(0, keepdims=True))[0]))
+
+    def scores(a: pa.Array, b: pa.Array) -> pa.Array:
+        return _columns([one(x, y) for x, y in zip(_matrices(vectors(a)), _matrices(vectors(b)))], ["precision", "recall", "similarity"])
+
+    @F.arrow_udf("struct<precision:double,recall:double,similarity:double>")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        return in_steps(scores, a, b)
+
+    return once(score(_list(reference), _list(generated)), lambda z: F.struct(*[z[k].alias(k) for k in ("precision", "recall", "similarity")], F.when(z["precision"].isNotNull(), f_measure(z["precision"], z["recall"])).alias("f1")))
+
+
 def word_share(source: Column, claim: Column) -> Column:
     """Stand-in for a classifier of claims: the share of a claim's different words that the source has."""
     own, other = F.array_distinct(tx.words(claim)), F.array_distinct(tx.words(source))
@@ -322,15 +385,18 @@ def claim_scores(source: Column, generated: Column, classify: Callable[[Column,
     Without a claim the score is NaN, the ratio null and the error says so.
     """
     found = tx.claims(F.coalesce(generated, F.lit("")))
-    scores = F.transform(found, lambda c: classify(source, c))
-    n = F.size(found)
-    any_ = n > 0
-    return F.struct(
-        F.when(any_, _folded(scores) / F.greatest(n, F.lit(1))).otherwise(F.lit(float("nan"))).alias("score"),
-        F.when(any_, F.size(F.filter(scores, lambda s: s >= threshold)) / F.greatest(n, F.lit(1))).alias("consistency_ratio"),
-        n.alias("claim_count"),
-        F.when(~any_, NO_CLAIMS).alias("error"),
-    )
+
+    def scored(scores: Column) -> Column:
+        n = F.size(scores)
+        any_ = n > 0
+        return F.struct(
+            F.when(any_, _folded(scores) / F.greatest(n, F.lit(1))).otherwise(F.lit(float("nan"))).alias("score"),
+            F.when(any_, F.size(F.filter(scores, lambda s: s >= threshold)) / F.greatest(n, F.lit(1))).alias("consistency_ratio"),
+            n.alias("claim_count"),
+            F.when(~any_, NO_CLAIMS).alias("error"),
+        )
+
+    return once(F.transform(found, lambda c: classify(source, c)), scored)
 
 
 def answer_jaccard(a: Column, b: Column) -> Column:
@@ -346,15 +412,19 @@ def question_scores(questions: Column, source_answers: Column, generated_answers
     is NaN, valid_answers null, and the error says which.
     """
     pairs = F.filter(F.arrays_zip(source_answers.alias("a"), generated_answers.alias("b")), lambda z: (F.length(F.coalesce(z["a"], F.lit(""))) > 0) & (F.length(F.coalesce(z["b"], F.lit(""))) > 0))
-    scores = F.array_compact(F.transform(pairs, lambda z: similar(z["a"], z["b"])))
-    n, error = F.size(scores), F.when(F.size(questions) <= 0, NO_QUESTIONS).when(F.size(pairs) == 0, NO_ANSWERS).when(F.size(scores) == 0, NO_SCORES)
-    fine = error.isNull()
-    return F.struct(
-        F.when(fine, _folded(scores) / F.greatest(n, F.lit(1))).otherwise(F.lit(float("nan"))).alias("score"),
-        F.greatest(F.size(questions), F.lit(0)).alias("question_count"),
-        F.when(fine, n).alias("valid_answers"),
-        error.alias("error"),
-    )
+
+    def scored(all_: Column) -> Column:
+        scores = F.array_compact(all_)
+        n, error = F.size(scores), F.when(F.size(questions) <= 0, NO_QUESTIONS).when(F.size(all_) == 0, NO_ANSWERS).when(F.size(scores) == 0, NO_SCORES)
+        fine = error.isNull()
+        return F.struct(
+            F.when(fine, _folded(scores) / F.greatest(n, F.lit(1))).otherwise(F.lit(float("nan"))).alias("score"),
+            F.greatest(F.size(questions), F.lit(0)).alias("question_count"),
+            F.when(fine, n).alias("valid_answers"),
+            error.alias("error"),
+        )
+
+    return once(F.transform(pairs, lambda z: similar(z["a"], z["b"])), scored)
 
 
 def _beta_tail(x: float, a: float, b: float) -> float:
