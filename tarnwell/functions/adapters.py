@@ -198,8 +198,7 @@ def token_length(text: Column, count: Callable[[str], int] | None = None) -> Col
     return call(text)
 
 
-@F.arrow_udf(ArrayType(ArrayType(DoubleType())))
-def hashed_vectors(words: pa.Array) -> pa.Array:
+def sign_vectors(words: pa.Array) -> pa.Array:
     """Stand-in for a transformer's token vectors: 16 signs of a digest for each word."""
     flat = words.flatten().dictionary_encode()
     digests = [np.frombuffer(hashlib.sha256(w.encode()).digest()[:2], np.uint8) for w in flat.dictionary.to_pylist()]
@@ -210,6 +209,12 @@ def hashed_vectors(words: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), inner)
 
 
+@F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+def hashed_vectors(words: pa.Array) -> pa.Array:
+    """The stand-in's vectors as a column."""
+    return sign_vectors(words)
+
+
 def normalised(text: Column, stop_words: list[str] = tx.STOP_WORDS) -> Column:
     """Stand-in for lemmas: lower-cased words of three letters or more without stop words, joined by blanks; null gives an empty text."""
     kept = F.filter(tx.words(F.coalesce(text, F.lit(""))), lambda w: (F.length(w) > 2) & w.rlike(r"^\p{L}+$") & ~w.isin(stop_words))

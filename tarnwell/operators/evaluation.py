@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ PARTS = {"precision": 1, "recall": 2, "fmeasure": 3, "f1": 3, "score": 4}
 
 @dataclass(frozen=True)
 class Adapters:
-    """Models behind the metrics, as column functions; a metric whose model is absent is null."""
+    """Models behind the metrics, as column functions, one as a function of Arrow arrays; a metric whose model is absent is null."""
 
     token_vectors: Callable[[Column], Column] | None = None  # words -> their vectors
     entities: Callable[[Column], Column] | None = None  # text -> array of (text, label)
@@ -42,6 +43,7 @@ class Adapters:
     answers: Callable[[Column, Column], Column] | None = None  # questions, text -> an answer to each
     classify: Callable[[Column, Column], Column] | None = None  # source, claim -> score
     judge: Callable[[Column, Column, Column], Column] | None = None  # source, generated, reference -> answer with JSON
+    vectors: Callable[[pa.Array], pa.Array] | None = None  # in place of token_vectors: Arrow lists of words -> their vectors, made and used within the task
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
@@ -65,18 +67,25 @@ def score(pairs: DataFrame, reference: str = "reference", generated: str = "gene
     r, g = F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(generated), F.lit(""))
     none = F.lit(None)
     out = pairs.withColumn("error", generated_error(F.col(generated)))
-    out = out.withColumns({"_r": mx.rouge_words(r, stem), "_g": mx.rouge_words(g, stem)})
+    # words are cut once for all metrics that take them
+    out = out.withColumns({"_wr": tx.words(r), "_wg": tx.words(g)})
+    wr, wg = F.col("_wr"), F.col("_wg")
+    out = out.withColumns({"_r": mx.rouge_words(r) if stem else wr, "_g": mx.rouge_words(g) if stem else wg})
     out = out.withColumns({"_rouge": mx.rouge_n(F.col("_r"), F.col("_g")), "_lcs": mx.rouge_l(F.col("_r"), F.col("_g")), "_bleu": mx.bleu(r, g), "_entity": tx.precision_recall(adapters.entities(r), adapters.entities(g)) if adapters.entities else none})
     values = {f"rouge{k}_{part}": F.col("_rouge")[k - 1][part] for k in (1, 2) for part in ("precision", "recall", "fmeasure")}
     values |= {f"rougeL_{part}": F.col("_lcs")[part] for part in ("precision", "recall", "fmeasure")}
     values |= {b: F.col("_bleu")[b] for b in BLEU}
-    values |= {"meteor": mx.meteor(tx.words(r), tx.words(g)), "keyword_overlap": mx.keyword_overlap(r, g), "entity_overlap": tx.entity_overlap(r, g), "length_ratio": tx.length_ratio(r, g)}
+    values |= {"meteor": mx.meteor(wr, wg), "keyword_overlap": mx.keywords_shared(wr, wg), "entity_overlap": tx.entity_overlap(r, g), "length_ratio": tx.length_ratio(r, g)}
     if adapters.entities:
         # a side without text scores nothing at all
         both = (r != "") & (g != "")
         values |= {f"entity_{part}": F.when(both, F.col("_entity")[part]).otherwise(0.0) for part in ("precision", "recall", "f1")}
-    if adapters.token_vectors:
-        out = out.withColumns({"_vr": adapters.token_vectors(tx.words(r)), "_vg": adapters.token_vectors(tx.words(g))})
+    if adapters.vectors:
+        out = out.withColumn("_bert", mx.vector_scores(wr, wg, adapters.vectors))
+        values |= {f"bertscore_{part}": F.col("_bert")[part] for part in ("precision", "recall", "f1")}
+        values["semantic_similarity"] = F.col("_bert")["similarity"]
+    elif adapters.token_vectors:
+        out = out.withColumns({"_vr": adapters.token_vectors(wr), "_vg": adapters.token_vectors(wg)})
         full = (F.size("_vr") > 0) & (F.size("_vg") > 0)
         out = out.withColumn("_bert", F.when(full, mx.greedy_match(F.col("_vr"), F.col("_vg"))))
         values |= {f"bertscore_{part}": F.col("_bert")[part] for part in ("precision", "recall", "f1")}

@@ -259,7 +259,7 @@ def _questions(generated):
 
 def _answers(questions, given):
     """Stand-in for an answering model: the words of a question that the text has."""
-    return F.transform(questions, lambda q: F.array_join(F.array_intersect(text.words(q), text.words(given)), " "))
+    return metrics.once(text.words(given), lambda known: F.transform(questions, lambda q: F.array_join(F.array_intersect(text.words(q), known), " ")))
 
 
 def _judge(source, generated, reference):
@@ -269,7 +269,7 @@ def _judge(source, generated, reference):
     return F.concat(F.lit("Urteil: {"), body, F.lit("} Ende."))
 
 
-STAND_INS = evaluation.Adapters(adapters.hashed_vectors, lambda c: F.transform(text.capitalised(c), lambda w: F.struct(w.alias("text"), F.lit("X").alias("label"))), _questions, _answers, metrics.word_share, _judge)
+STAND_INS = evaluation.Adapters(None, lambda c: F.transform(text.capitalised(c), lambda w: F.struct(w.alias("text"), F.lit("X").alias("label"))), _questions, _answers, metrics.word_share, _judge, adapters.sign_vectors)
 
 
 @query(r"""SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS gesamtscore, CAST(json_extract(props, '$.k') AS DOUBLE) / 10 AS klarheit FROM events""")

@@ -145,6 +145,21 @@ def test_all_metrics_of_a_run(spark, pairs):
     assert all(r.bertscore_f1 is None and r.qags_score is None and r.rougeL_fmeasure is not None for r in bare)
 
 
+def test_vectors_made_within_the_task_score_like_columns_of_vectors(spark):
+    import dataclasses
+
+    from tarnwell.functions.adapters import hashed_vectors
+
+    turns = evaluation.turn_pairs(table(spark, "conversations")).unionByName(spark.createDataFrame([(-1, 0, "a b", "...", "m"), (-2, 0, None, "a b a", "m")], "conv_id long, turn int, reference string, generated string, model string"))
+    within = evaluation.score(turns, adapters=text_queries.STAND_INS, source="reference")
+    columns = evaluation.score(turns, adapters=dataclasses.replace(text_queries.STAND_INS, vectors=None, token_vectors=hashed_vectors), source="reference")
+    assert "hashed_vectors" not in within._jdf.queryExecution().toString()
+    names = [*evaluation.BERTSCORE, "semantic_similarity"]
+    got, want = ({(r.conv_id, r.turn): [r[n] for n in names] for r in df.select("conv_id", "turn", *names).collect()} for df in (within, columns))
+    assert got.keys() == want.keys()
+    assert all(a == b if None in (a, b) else math.isclose(a, b, abs_tol=1e-9) for k in got for a, b in zip(got[k], want[k]))
+
+
 def test_errors_of_factual_metrics(spark):
     rows = [(1, "alpha beta", "Kurz."), (2, "alpha beta gamma delta eins", "Alpha beta gamma delta eins. Alpha beta."), (3, "x", ""), (4, "", "zeta eta theta iota kappa lambda.")]
     got = {r.i: r for r in evaluation.score(spark.createDataFrame(rows, "i int, reference string, generated string"), source="reference", adapters=text_queries.STAND_INS).collect()}
