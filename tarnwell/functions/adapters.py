@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tarnwell.functions import text as tx
+from tarnwell.functions.batches import in_steps, steps
 
 
 class Model(Protocol):
@@ -104,7 +105,8 @@ def answered(rows: DataFrame, config: ModelConfig, ruling: Column, prompt: Colum
                 return None, str(failure)
 
         with ThreadPoolExecutor(max(1, config.parallel)) as pool:
-            for batch in batches:
+            # small batches go out as they are made: a task holds the one it was given and one step's texts
+            for batch in (whole.slice(a, n) for whole in batches for a, n in steps(whole.columns)):
                 requests = zip(*[batch.column(kept + i).to_pylist() for i in range(3)])
                 made = list(pool.map(one, requests) if config.parallel > 1 else map(one, requests))
                 columns = [pa.array([m[i] for m in made], pa.string()) for i in (0, 1)]
@@ -174,15 +176,18 @@ def lemmas(text: Column, analyse: Callable[[str], list[Token]], cut_long: bool =
     analyse: a tagger's call, made in Arrow batches. cut_long: texts over LONG_CHARS count with their first CUT_CHARS.
     """
 
-    @F.arrow_udf(StringType())
-    def call(texts: pa.Array) -> pa.Array:
+    def some(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
             t = t or ""
             found = analyse(t[:CUT_CHARS] if cut_long and len(t) > LONG_CHARS else t) if t else []
-            out.append(" ".join(x.lemma.lower() for x in found if not x.stop and x.pos in CONTENT_POS and x.text.isalpha() and len(x.text) > 2))
+            out.append(" ".join([x.lemma.lower() for x in found if not x.stop and x.pos in CONTENT_POS and len(x.text) > 2 and x.text.isalpha()]))
         return pa.array(out, pa.string())
 
+    @F.arrow_udf(StringType())
+    def call(texts: pa.Array) -> pa.Array:
+        return in_steps(some, texts)
+
     return call(text)
 
 

@@ -40,3 +40,29 @@ def test_a_large_batch_takes_little_more_than_itself():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20 << 20, peak
+
+
+def test_answers_go_out_in_steps(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tarnwell.functions.adapters import ModelConfig, answered
+
+    rows, taken = spark.createDataFrame([(1, "a")], "i long, t string"), []
+    with monkeypatch.context() as patch:
+        patch.setattr(type(rows), "mapInArrow", lambda self, work, schema: taken.append(work) or self)
+        answered(rows, ModelConfig("echo"), F.col("t"), F.lit("p"))
+    texts = [f"{i} " + "x" * 10_000 for i in range(2000)]
+    batch = pa.record_batch([pa.array(range(2000), pa.int64()), pa.array(texts), pa.array(texts), pa.array(["p"] * 2000), pa.array([True] * 2000)], names=["i", "t", "_ruling", "_prompt", "_asked"])
+    made = list(taken[0](iter([batch])))
+    assert max(b.num_rows for b in made) < 200
+    assert [x for b in made for x in b.column(0).to_pylist()] == list(range(2000))
+    assert [x[-600:] for b in made for x in b.column(2).to_pylist()] == [t[:600] for t in texts]
+
+
+def test_the_tagger_looks_at_each_word_once():
+    from tarnwell.plans import text_queries
+
+    text_queries._plain_token.cache_clear()
+    found = text_queries.plain_tagger("Der Hund, 12 Hunde: x_1 der ÄRGER! hund hund")
+    assert [(x.text, x.stop, x.pos) for x in found] == [("der", True, "NOUN"), ("hund", False, "NOUN"), ("hunde", False, "NOUN"), ("x_", False, "X"), ("der", True, "NOUN"), ("ärger", False, "X"), ("hund", False, "NOUN"), ("hund", False, "NOUN")]
+    assert text_queries._plain_token.cache_info().misses == 5
