@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache, lru_cache
+
 from pyspark.sql import functions as F
 
 from tarnwell.functions import adapters, chunking, metrics, text
@@ -213,11 +216,20 @@ def t24_lemmas(t):
     return t.documents.select("doc_id", F.md5(adapters.lemmas(F.col("text"), plain_tagger)).alias("lemmas_md5"))
 
 
-def plain_tagger(given: str) -> list[adapters.Token]:
+@cache
+def _no_word():
     import regex
 
-    found = regex.sub(r"[^\p{L}\p{N}_\s]|\p{Nd}", " ", given.lower()).split()
-    return [adapters.Token(w, w, stop=w in text.STOP_WORDS) if regex.fullmatch("[a-z]+", w) else adapters.Token(w, w, "X") for w in found]
+    return regex.compile(r"(?:[^\p{L}\p{N}_\s]|\p{Nd})+")
+
+
+@lru_cache(maxsize=50_000)
+def _plain_token(word: str) -> adapters.Token:
+    return adapters.Token(word, word, stop=word in text.STOP_WORDS) if re.fullmatch("[a-z]+", word) else adapters.Token(word, word, "X")
+
+
+def plain_tagger(given: str) -> list[adapters.Token]:
+    return [*map(_plain_token, _no_word().sub(" ", given.lower()).split())]
 
 
 _PART = {"precision": "matched / n_gen", "recall": "matched / n_ref"}
