@@ -89,3 +89,22 @@ def test_arity_and_tolerance(spark, tmp_path):
     assert rows(in_blocks(spark, 16, lambda: tables.read_arity(spark, str(tmp_path / "a.csv")))) == [("1", "a\n\n,b"), ("4", "d"), ("5", None)]
     assert rows(in_blocks(spark, 16, lambda: tables.read_tolerant(spark, str(tmp_path / "a.csv")))) == [("1", "a\n\n,b"), ("2", None), ("4", "d"), ("5", None)]
     assert quoted.records(spark, str(tmp_path / "a.csv")).where(F.col("first")).count() == 1
+
+
+def test_files_of_lines_are_written_by_many_tasks_each_with_the_header(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tarnwell.plans import io_queries
+    from tarnwell.plans.registry import Tables
+    from tarnwell.sources import tables
+
+    def lines(n):
+        rows = spark.range(n, numPartitions=5).select("id")
+        return io_queries._lines(Tables(spark, str(tmp_path)), "x.csv", F.concat_ws(",", "id", F.lit('"a\nb"')), rows, "k,v")
+
+    path = lines(1000)
+    files = [r.value for r in spark.read.text(path, wholetext=True).collect()]
+    assert len(files) == 5 and all(f.startswith("k,v\n") and f.count("k,v") == 1 for f in files)
+    got = tables.read_arity(spark, path).collect()
+    assert sorted(int(r.k) for r in got) == list(range(1000)) and {r.v for r in got} == {"a\nb"}
+    assert tables.read_arity(spark, lines(0)).columns == ["k", "v"] and tables.read_arity(spark, lines(0)).count() == 0
