@@ -24,6 +24,8 @@ from tarnwell.functions.adapters import ModelConfig, answered
 from tarnwell.sources.scratch import settled
 from tarnwell.sources.tables import folders, path_exists
 
+#: How texts are written: smaller than by Spark's own choice.
+SMALL = "zstd"
 SCHEMA = "digest string, model string, answer string, error string"
 
 
@@ -50,10 +52,11 @@ class Ledger:
         waves = [w for w in folders(self.spark, self.folder) if path_exists(self.spark, f"{w}/_SUCCESS")]
         return self.spark.read.schema(SCHEMA).parquet(*waves) if waves else self.spark.createDataFrame([], SCHEMA)
 
-    def answers(self) -> DataFrame:
-        """digest, answer and error of each request: an answer before an error, of several the smallest."""
+    def answers(self, model: str | None = None) -> DataFrame:
+        """digest, answer and error of each request, or of those to one model: an answer before an error, of several the smallest."""
         best = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "answer", "error"))
-        return self.calls().groupBy("digest").agg(best.alias("a")).select("digest", "a.answer", "a.error")
+        calls = self.calls() if model is None else self.calls().where(F.col("model") == model)
+        return calls.groupBy("digest").agg(best.alias("a")).select("digest", "a.answer", "a.error")
 
     def ask(self, rows: DataFrame, config: ModelConfig, ruling: Column, prompt: Column, out: str = "generated", error: str = "error", where: Column | None = None) -> DataFrame:
         """As `adapters.answered`, by the ledger: the calls are made now, the result can be used any number of times."""
@@ -62,13 +65,17 @@ class Ledger:
         digest = request_digest(config, ruling, prompt)
         asked = rows.select("*", (digest if where is None else F.when(where, digest)).alias("_digest"))
         requests = asked.where(F.col("_digest").isNotNull()).select(F.col("_digest").alias("digest"), ruling.cast("string").alias("ruling"), prompt.cast("string").alias("prompt"))
-        known = self.answers().where(F.col("error").isNull()).select("digest")
-        # equal digests are equal requests, so any one stands for all; tasks keep one each before the shuffle
-        opened = settled(requests.join(known, "digest", "left_anti").groupBy("digest").agg(F.first("ruling").alias("ruling"), F.first("prompt").alias("prompt")))
+        known = self.calls().where((F.col("model") == config.name) & F.col("error").isNull()).select("digest")
+        if not known.isEmpty():
+            # digests alone tell which requests are open; texts are moved only if there are any, and only theirs
+            wanted = settled(requests.select("digest").distinct().join(known, "digest", "left_anti"))
+            requests = wanted.select("digest", F.lit("").alias("ruling"), F.lit("").alias("prompt")) if wanted.isEmpty() else requests.join(wanted, "digest", "left_semi")
+        # equal digests are equal requests, so any one stands for all
+        opened = settled(requests.dropDuplicates(["digest"]), SMALL)
         waves = -(-opened.count() // self.every)
         for k in range(waves):
             wave = opened.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == k)
             made = answered(wave, config, F.col("ruling"), F.col("prompt"), "answer", "error")
-            made.select("digest", F.lit(config.name).alias("model"), "answer", "error").write.parquet(f"{self.folder}/wave-{uuid.uuid4().hex}")
-        found = self.answers().select(F.col("digest").alias("_digest"), F.col("answer").alias(out), F.col("error").alias(error))
+            made.select("digest", F.lit(config.name).alias("model"), "answer", "error").write.parquet(f"{self.folder}/wave-{uuid.uuid4().hex}", compression=SMALL)
+        found = self.answers(config.name).select(F.col("digest").alias("_digest"), F.col("answer").alias(out), F.col("error").alias(error))
         return asked.join(found, "_digest", "left").select(*rows.columns, out, error)

@@ -23,8 +23,8 @@ def scratch(spark: SparkSession) -> str:
     return folder
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df written once and read again, so that what uses it twice doesn't work it out twice."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -181,3 +181,19 @@ def test_evaluate_with_models_calls_each_once(spark, tmp_path):
     made = len(os.listdir(folder))
     assert scored.count() == 5 and summed.first().total_samples == 5 and len(scored.collect()) == 5
     assert len(os.listdir(folder)) == made
+
+
+def test_a_model_reads_its_own_calls_and_known_requests_move_no_texts(spark, tmp_path, monkeypatch):
+    from tarnwell.operators import ledger as module
+
+    rows = spark.createDataFrame([(i, f"text {i % 5}") for i in range(20)], "i int, t string")
+    calls = module.Ledger(spark, f"{tmp_path}/calls")
+    calls.ask(rows, ModelConfig("a"), F.col("t"), F.lit("p"))
+    calls.ask(rows, ModelConfig("b"), F.col("t"), F.lit("p"))
+    assert calls.answers("a").count() == 5 and calls.answers().count() == calls.calls().count() == 10
+    plans, own = [], module.settled
+    monkeypatch.setattr(module, "settled", lambda df, *rest: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df, *rest))
+    again = calls.ask(rows, ModelConfig("a"), F.col("t"), F.lit("p"))
+    assert again.count() == 20 and calls.calls().count() == 10
+    # the digests that are open, and nothing of the texts
+    assert len(plans) == 2 and "Join" not in plans[1]
