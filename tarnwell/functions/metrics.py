@@ -43,8 +43,12 @@ def counted(rows: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _shared_keywords(reference: pa.Array, generated: pa.Array, most: pa.Array) -> pa.Array:
     rows, k = len(reference), most[0].as_py() if len(most) else 0
+    # the stop words have numbers too, as a last row
+    *sides, (_, stop) = coded(reference, generated, pa.array([tx.STOP_WORDS], reference.type))
     best = []
-    for r, w in coded(reference, generated):
+    for r, w in sides:
+        kept = ~np.isin(w, stop)
+        r, w = r[kept], w[kept]
         row, word, n, first = counted(r, w)
         order = np.lexsort((first, -n, row))
         row, word = row[order], word[order]
@@ -72,8 +76,7 @@ def keyword_overlap(reference: Column, generated: Column, most: int = 20) -> Col
 
 def keywords_shared(reference: Column, generated: Column, most: int = 20) -> Column:
     """As keyword_overlap, of two word lists."""
-    kept = lambda c: F.filter(c, lambda w: ~w.isin(tx.STOP_WORDS))
-    return _keyword_overlap(kept(reference), kept(generated), F.lit(most))
+    return _keyword_overlap(reference, generated, F.lit(most))
 
 
 def gram_matches(reference: Column, generated: Column, orders: tuple[int, ...]) -> Column:
@@ -194,7 +197,7 @@ def rouge_l(reference: Column, generated: Column) -> Column:
 
 def bleu_tokens(text: Column) -> Column:
     """Lower-cased runs of word characters, and single marks."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"((?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)[{tx.LOWER}\p{{L}}\p{{N}}_]++|[^\p{{L}}\p{{N}}_\s]"), F.lit(0))
 
 
 def bleu(reference: Column, generated: Column, weights: dict[int, tuple[float, ...]] = BLEU_WEIGHTS) -> Column:
@@ -219,7 +222,7 @@ def bleu(reference: Column, generated: Column, weights: dict[int, tuple[float, .
 
 
 def meteor_score(reference: list[str], generated: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR with the exact and the stem stage. Words are matched from the last one backwards, each with the last equal one that is left."""
+    """METEOR of one pair with the exact and the stem stage. Words are matched from the last one backwards, each with the last equal one that is left."""
     left, pairs = list(enumerate(reference)), []
     open_ = list(enumerate(generated))
     for key in (lambda w: w, porter):
@@ -242,8 +245,46 @@ def meteor_score(reference: list[str], generated: list[str], alpha: float = 0.9,
     return p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (chunks / len(pairs)) ** beta)
 
 
-def _meteor(reference: pa.Array, generated: pa.Array) -> pa.Array:
-    return pa.array([meteor_score(a, b) if a and b else 0.0 for a, b in zip(reference.to_pylist(), generated.to_pylist())], pa.float64())
+def _last_with_last(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b, both rows and items, that are matched: equal items of a row, the last with the last."""
+    width, longest = max(int(k.max(initial=0)) for _, k in (a, b)) + 1, max(len(a[0]), len(b[0]), 1)
+    keys, places = [], []
+    for rows, items in (a, b):
+        key = rows * width + items
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        keys.append(key * longest + np.searchsorted(key, key, "right") - 1 - np.arange(len(key)))
+        places.append(order)
+    _, at, to = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+    return places[0][at], places[1][to]
+
+
+def _meteor(reference: pa.Array, generated: pa.Array, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> pa.Array:
+    """meteor_score of all rows of a step at once, by the numbers of their words and of their words' stems."""
+    flat = pa.concat_arrays([reference.flatten(), generated.flatten()]).dictionary_encode()
+    number, sizes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in (reference, generated)]
+    cut = int(sizes[0].sum())
+    (ra, wa), (rb, wb) = ((np.repeat(np.arange(len(n)), n), w) for n, w in zip(sizes, (number[:cut], number[cut:])))
+    at, to = _last_with_last((ra, wa), (rb, wb))
+    left, open_ = np.delete(np.arange(len(wa)), at), np.delete(np.arange(len(wb)), to)
+    if len(left) and len(open_):
+        words = np.unique(np.concatenate([wa[left], wb[open_]]))
+        stem = np.zeros(len(flat.dictionary), np.int64)
+        stem[words] = pa.array([porter(w) for w in flat.dictionary.take(pa.array(words)).to_pylist()], pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        more = _last_with_last((ra[left], stem[wa[left]]), (rb[open_], stem[wb[open_]]))
+        at, to = np.concatenate([at, left[more[0]]]), np.concatenate([to, open_[more[1]]])
+    order = np.argsort(to)
+    at, to = at[order], to[order]
+    row = rb[to]
+    # a chunk begins at each pair that doesn't follow the one before on both sides
+    begins = np.append(True, (np.diff(at) != 1) | (np.diff(to) != 1) | (np.diff(row) != 0))[: len(row)]
+    pairs, chunks = np.bincount(row, minlength=len(reference)).tolist(), np.bincount(row[begins], minlength=len(reference)).tolist()
+    out = [0.0] * len(reference)
+    for i, (m, c, a, b) in enumerate(zip(pairs, chunks, sizes[0].tolist(), sizes[1].tolist())):
+        if m:
+            p, r = m / b, m / a
+            out[i] = p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * (c / m) ** beta)
+    return pa.array(out, pa.float64())
 
 
 @F.arrow_udf(DoubleType())

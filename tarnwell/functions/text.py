@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Phrases, patterns and limits that results depend on.
 ERROR_PHRASES = ["API-Fehler", "Your credit balance is too low", "invalid_request_error", "Fehler bei der Generierung des Prompts"]
@@ -27,7 +30,13 @@ JUDGE_FIELDS = ["faktische_korrektheit", "vollständigkeit", "klarheit", "strukt
 # End of fixed values.
 
 WORD = r"[\p{L}\p{N}_]"
+#: The letters of most words as a class within a class: it is looked at first and takes no look at Unicode.
+LOWER = "[abcdefghijklmnopqrstuvwxyz]"
+#: A letter of more than 16 bits: with one in it, Java's look behind goes by whole characters.
+BEYOND = "\U00010000"
 WHITE = r"(?U)\s+"
+#: What stands between WHITE, for RE2.
+PIECE = r"[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 #: All characters that count as white space: those of Unicode and the four separators of ASCII.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
@@ -76,8 +85,7 @@ def generated_part(full: Column, given: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased words without digits and marks; an underscore stays."""
-    plain = F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}_\s]|\p{Nd}", " ")
-    return F.filter(F.split(plain, WHITE), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{LOWER}\p{{L}}\p{{Nl}}\p{{No}}_]++"), F.lit(0))
 
 
 def plain_words(text: Column) -> Column:
@@ -87,8 +95,7 @@ def plain_words(text: Column) -> Column:
 
 def capitalised(text: Column) -> Column:
     """Different tokens of ASCII letters that start with a capital."""
-    found = F.regexp_extract_all(text, F.lit(f"({WORD}+)"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda w: w.rlike("^[A-Z][a-zA-Z]*$")))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[A-Z](?<![\p{{L}}\p{{N}}_{BEYOND}][A-Z])[a-zA-Z]*+(?!{WORD})"), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -101,9 +108,15 @@ def entity_overlap(reference: Column, generated: Column) -> Column:
     return jaccard(capitalised(reference), capitalised(generated))
 
 
+@F.arrow_udf(IntegerType())
+def piece_count(text: pa.Array) -> pa.Array:
+    """The number of plain_words."""
+    return pc.cast(pc.count_substring_regex(text, PIECE), pa.int32())
+
+
 def length_ratio(reference: Column, generated: Column) -> Column:
     """Shorter over longer word count; 0 if either has no word."""
-    a, b = F.size(plain_words(reference)), F.size(plain_words(generated))
+    a, b = piece_count(reference), piece_count(generated)
     return F.when((a <= 0) | (b <= 0), F.lit(0.0)).otherwise(F.least(a, b) / F.greatest(a, b))
 
 

@@ -66,3 +66,16 @@ def test_the_tagger_looks_at_each_word_once():
     found = text_queries.plain_tagger("Der Hund, 12 Hunde: x_1 der ÄRGER! hund hund")
     assert [(x.text, x.stop, x.pos) for x in found] == [("der", True, "NOUN"), ("hund", False, "NOUN"), ("hunde", False, "NOUN"), ("x_", False, "X"), ("der", True, "NOUN"), ("ärger", False, "X"), ("hund", False, "NOUN"), ("hund", False, "NOUN")]
     assert text_queries._plain_token.cache_info().misses == 5
+
+
+def test_meteor_of_a_step_is_that_of_each_pair_and_stems_each_word_once():
+    forms = [a + b for a in ("run", "relat", "hop", "a", "cat", "controll") for b in ("", "s", "ing", "ed", "ional", "ful", "fulness", "ies")]
+    sides = [pa.array([None if R.random() < 0.05 else [R.choice(forms) for _ in range(R.randrange(R.choice([2, 9, 70])))] for _ in range(1500)], pa.list_(pa.string())) for _ in range(2)]
+    plain = [metrics.meteor_score(a, b) if a and b else 0.0 for a, b in zip(*[c.to_pylist() for c in sides])]
+    assert metrics.meteor.func(*sides).to_pylist() == plain
+    assert metrics.meteor.func(*[c.slice(40, 300) for c in sides]).to_pylist() == plain[40:340]
+    calls = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(metrics, "porter", lambda w, cut=metrics.porter: calls.append(w) or cut(w))
+        metrics.meteor.func(*sides)
+    assert len(calls) <= len(forms) * 2  # a word's stem is asked for once a step

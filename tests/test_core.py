@@ -138,6 +138,24 @@ def test_words_and_tokens(spark):
     assert one(spark, text.capitalised(F.col("t")), t=t) == ["Berlin", "Preis", "Paris", "Ab"]
 
 
+def test_tokens_are_those_of_the_plain_patterns_for_all_characters(spark):
+    """Each code point within, before and behind words."""
+    points = spark.range(0x110000).where("id not between 55296 and 57343 and (id < 12800 or id % 5 = 0)")
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    t = F.concat(F.lit("A"), c, F.lit("b1x "), c, F.lit("Ab Ab"), c, F.lit(" AB"), c, F.lit("B"))
+    white = r"(?U)\s+"
+    pieces = lambda x: F.filter(F.split(x, white), lambda w: w != "")
+    plain = {
+        "words": (text.words(F.col("t")), pieces(F.regexp_replace(F.lower("t"), r"(?U)[^\p{L}\p{N}_\s]|\p{Nd}", " "))),
+        "bleu": (metrics.bleu_tokens(F.col("t")), F.regexp_extract_all(F.lower("t"), F.lit(r"((?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))),
+        "capitalised": (text.capitalised(F.col("t")), F.array_distinct(F.filter(F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike("^[A-Z][a-zA-Z]*$")))),
+        "pieces": (text.piece_count(F.col("t")), F.size(pieces(F.col("t")))),
+    }
+    rows = points.select(t.alias("t")).repartition(8)
+    found = rows.select(*[x.alias(f"{k}_{i}") for k, two in plain.items() for i, x in enumerate(two)])
+    assert found.agg(*[F.count(F.when(~F.col(f"{k}_0").eqNullSafe(F.col(f"{k}_1")), 1)).alias(k) for k in plain]).first().asDict() == dict.fromkeys(plain, 0)
+
+
 def test_keyword_overlap_breaks_ties_by_place(spark):
     df = spark.createDataFrame([(1, "b a der a c b", "b x"), (2, "", "a"), (3, "der die", "der")], "id int, r string, g string")
     got = {x.id: x.v for x in df.select("id", metrics.keyword_overlap(F.col("r"), F.col("g"), 1).alias("v")).collect()}

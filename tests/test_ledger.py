@@ -158,6 +158,15 @@ def test_evaluation_run_keeps_all_rows_and_scores_each_once(spark, tmp_path):
     assert evaluation.run(wide.limit(0), "row", "press", ["m1"], str(tmp_path / "none"), 5).count() == 0
 
 
+def test_evaluation_run_deals_a_step_to_many_tasks(spark, tmp_path):
+    """One file with all rows in order of their numbers: no task scores many more of a step's rows than another."""
+    wide = spark.range(0, 400, numPartitions=1).select(F.col("id").alias("row"), F.lit("a text of words").alias("press"), F.lit("a text").alias("m1"))
+    folder = str(tmp_path / "dealt")
+    evaluation.run(wide, "row", "press", ["m1"], folder, 200, steps=1)
+    shares = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
+    assert sum(shares) == 200 and len(shares) >= 8 and max(shares) <= 200 // 8
+
+
 def test_steps_tell_of_rows_outside(spark, tmp_path):
     rows = spark.createDataFrame([(0,), (None,), (9,)], "n long")
     with pytest.raises(ValueError, match="2 rows are in no step"):
