@@ -10,7 +10,7 @@ from tarnwell.functions.adapters import ModelConfig, generate, not_done, run_gen
 from tarnwell.operators import annotation, cleaning, evaluation, prompts
 from tarnwell.plans.registry import query
 from tarnwell.sources import config, tables
-from tarnwell.sources.scratch import scratch
+from tarnwell.sources.scratch import scratch, settled
 
 
 def _orders(t) -> DataFrame:
@@ -78,9 +78,10 @@ def s9_checkpoints(t):
     folder = scratch(t.spark)
     for k, end in enumerate((5, 10, 7)):
         tables.write_csv(_orders(t).where(F.col("id").cast("long") % 3 == k), f"{folder}/run_{end}.csv")
-    files = tables.read_glob(t.spark, folder, "run_*.csv")
-    last = tables.latest_checkpoint(files).select("file").distinct().withColumn("latest", F.lit(True))
-    return files.groupBy("file").agg(F.count("*").alias("n")).join(last, "file", "left").withColumn("latest", F.coalesce("latest", F.lit(False)))
+    # the files are read once: which is the latest is told from their counts
+    files = settled(tables.read_glob(t.spark, folder, "run_*.csv").groupBy("file").agg(F.count("*").alias("n")))
+    last = tables.latest_checkpoint(files).select("file", F.lit(True).alias("latest"))
+    return files.join(last, "file", "left").withColumn("latest", F.coalesce("latest", F.lit(False)))
 
 
 @query("SELECT o_orderstatus AS state, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL")

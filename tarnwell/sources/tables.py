@@ -111,14 +111,18 @@ def read_parts(spark: SparkSession, parts: list[tuple[str, str, str]]) -> tuple[
 def read_glob(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """All matching CSV files, and folders of part files, as one table with the file (or folder) of each row."""
     df = spark.read.options(**CSV).csv(f"{folder.rstrip('/')}/{pattern}")
-    return missing_to_null(df).withColumn("file", F.regexp_extract("_metadata.file_path", r"([^/]+)(?:/part-[^/]+)?$", 1))
+    # every row has its path: cut at slashes, as a pattern would be tried at each of its characters
+    path = F.col("_metadata.file_path")
+    name = F.substring_index(path, "/", -1)
+    return missing_to_null(df).withColumn("file", F.when(name.startswith("part-") & (name != "part-"), F.substring_index(F.substring_index(path, "/", -2), "/", 1)).otherwise(name))
 
 
 def latest_checkpoint(files: DataFrame) -> DataFrame:
-    """The rows of the checkpoint file with the greatest number in its name."""
-    numbered = files.withColumn("_n", checkpoint_number(F.col("file")))
-    top = numbered.agg(F.max("_n").alias("_n"))
-    return numbered.join(F.broadcast(top), "_n").drop("_n")  # one row
+    """The rows of the checkpoint file with the greatest number in its name. Numbers are looked for once a name, not once a row."""
+    names = files.select("file").distinct().select("file", checkpoint_number(F.col("file")).alias("_n"))
+    names = names.groupBy("_n").agg(F.collect_set("file").alias("_files")).where(F.col("_n").isNotNull())
+    top = names.agg(F.max_by("_files", "_n").alias("_files"))  # one row, the names with the greatest number
+    return files.join(F.broadcast(top.select(F.explode("_files").alias("file"))), "file", "left_semi").select(*files.columns)
 
 
 def checkpoint_ends(total: int, batch: int, interval: int = 1, start: int = 0) -> list[int]:

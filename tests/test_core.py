@@ -6,6 +6,7 @@ import datetime
 import difflib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -365,6 +366,30 @@ def test_round_trips(spark, tmp_path):
         tables.read_table(spark, "x.xlsx")
 
 
+def test_names_of_read_files_and_the_latest_of_them(spark, tmp_path):
+    for name in ("run_5.csv/part-0.csv", "run_10.csv/part-1.csv", "run_10.csv/part-2.csv", "run_010.csv", "run_x.csv", "run_12/part-", "a b/run_7.csv"):
+        at = tmp_path / name
+        at.parent.mkdir(exist_ok=True)
+        at.write_text(f"v,id\nx,{name}\n")
+    read = tables.read_glob(spark, str(tmp_path), "*")
+    found = {(r.id, r.file) for r in read.collect()}
+    assert found == {(n, re.search(r"([^/]+)(?:/part-[^/]+)?$", n)[1]) for n in ("run_5.csv/part-0.csv", "run_10.csv/part-1.csv", "run_10.csv/part-2.csv", "run_010.csv", "run_x.csv", "run_12/part-", "a b/run_7.csv")}
+    # no row's path is searched by a pattern
+    assert "regexp_extract" not in read._jdf.queryExecution().optimizedPlan().toString()
+    latest = tables.latest_checkpoint(read)
+    assert latest.columns == ["v", "id", "file"]
+    assert {r.id for r in latest.collect()} == {"run_10.csv/part-1.csv", "run_10.csv/part-2.csv", "run_010.csv"}
+    assert tables.latest_checkpoint(read.where("file = 'run_x.csv'")).count() == 0
+
+
+def test_checkpoint_files_are_read_once(spark):
+    from tarnwell.plans import catalogue
+
+    made = catalogue.queries()["s9_checkpoints"](spark, "/root/testdata/sf0.001")
+    assert "Scan csv" not in made._jdf.queryExecution().toString()
+    assert {(r.file, r.latest) for r in made.collect()} == {("run_5.csv", False), ("run_7.csv", False), ("run_10.csv", True)}
+
+
 def test_checkpoints(spark, tmp_path):
     assert tables.checkpoint_names("p", 20, 5) == ["p_5.csv", "p_10.csv", "p_15.csv", "p_20.csv"]
     assert tables.checkpoint_names("p", 20, 10) == ["p_10.csv", "p_20.csv"]
